@@ -24,11 +24,16 @@ def ascii_lower(s: Column) -> Column:
     return F.translate(s, _ASCII_UPPER, _ASCII_UPPER.lower())
 
 
+def strip(s: Column) -> Column:
+    """Remove white space (any Unicode kind) at both ends; ``trim`` removes plain spaces only."""
+    return F.regexp_replace(s, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
+
+
 def count_literal(s: Column, needle: Column) -> Column:
     """Number of non-overlapping occurrences of ``needle``; 0 for an empty needle."""
     width = F.octet_length(needle)
     removed = F.octet_length(s) - F.octet_length(F.replace(s, needle, F.lit("")))
-    return F.when(width > 0, (removed / width).cast("int")).otherwise(F.lit(0))
+    return F.coalesce(F.try_divide(removed, width).cast("int"), F.lit(0))
 
 
 def occurs_twice(s: Column, needle: Column) -> Column:
@@ -61,7 +66,7 @@ def matched_bytes(s: Column, pattern: str) -> Column:
 def ascii_ws_ratio(s: Column) -> Column:
     """Share of bytes that are ASCII white space (space, tab, LF, CR, FF)."""
     stripped = F.octet_length(F.translate(s, " \t\n\r\f", ""))
-    return (F.octet_length(s) - stripped) / F.octet_length(s)
+    return F.coalesce(F.try_divide(F.octet_length(s) - stripped, F.octet_length(s)), F.lit(0.0))
 
 
 def shannon_entropy(s: Column) -> Column:

@@ -22,6 +22,7 @@ from sparkwarden.functions.text import (
     regex_spans,
     shannon_entropy,
     spans_of,
+    strip,
 )
 from sparkwarden.schemas import FINDING_ITEM, FIX
 from sparkwarden.sources.rules import STARTER_RULES, SecretRule, java_regex
@@ -91,7 +92,7 @@ def marker_spans(text: Column, prefix: str) -> Column:
         listed = F.regexp_replace(marker, F.lit(rf"(?U)^{re.escape(prefix)}:allow\s+"), F.lit(""))
         return F.transform(
             F.split(listed, ","),
-            lambda name: F.regexp_replace(F.trim(name), F.lit(r"^secrets\.?"), F.lit("")),
+            lambda name: F.regexp_replace(strip(name), F.lit(r"^secrets\.?"), F.lit("")),
         )
 
     def firsts(spans: Column) -> Column:
@@ -179,6 +180,12 @@ def literal_candidates(parts: Column, language: Column, options: SecretOptions)
         & (token_kind(t["token"], language) == "string"),
     )
     cleaned = F.filter(F.transform(long_tokens, lambda t: judge(t["token"], t["place"])), plausible)
+    # Most files have no long token at all; one cheap test per piece settles that.
+    any_long = F.exists(
+        parts,
+        lambda p: (F.octet_length(p) >= options.literal_min_bytes) & F.rlike(p, F.lit(f"^[A-Za-z]{{0,2}}#{{0,2}}{_QUOTES}")),
+    )
+    cleaned = F.when(any_long, cleaned).otherwise(F.expr("cast(array() as array<struct<place:int,cleaned:string>>)"))
     scored = F.transform(
         cleaned,
         lambda c: F.struct(
