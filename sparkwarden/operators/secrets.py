@@ -420,6 +420,26 @@ def tokens(files: DataFrame) -> DataFrame:
     )
 
 
+def match_context(files: DataFrame, options: SecretOptions | None = None) -> DataFrame:
+    """Rule matches with the context of their start: ``string``, ``comment``, ``code``, or null without context.
+
+    Matches of a file meet its tokens in an equi join with the span test as residual. The scan itself
+    looks tokens up inside the row; this table is for looking at the steps.
+    """
+    m = rule_matches(files, options).select("repo", "path", "rule_id", "start")
+    t = tokens(files).select("repo", "path", "kind", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    known = files.select("repo", "path", F.col("language").isin(list(TOKEN_PATTERNS)).alias("known"))
+    inside = (F.col("start") >= F.col("t_start")) & (F.col("start") < F.col("t_end"))
+    # Tokens never overlap, so a match start meets at most one.
+    joined = m.alias("m").join(
+        t.alias("t"), (F.col("m.repo") == F.col("t.repo")) & (F.col("m.path") == F.col("t.path")) & inside, "left"
+    ).select("m.repo", "m.path", "rule_id", "start", "kind")
+    kind = F.when(F.col("kind") == "comment", F.lit("comment")).when(F.col("kind").isNotNull(), F.lit("string"))
+    return joined.join(known, ["repo", "path"]).select(
+        "repo", "path", "rule_id", "start", F.when(F.col("known"), F.coalesce(kind, F.lit("code"))).alias("context")
+    )
+
+
 def string_literals(files: DataFrame) -> DataFrame:
     """String literals; Rust character literals are not strings here."""
     return tokens(files).where(F.col("kind") == "string").drop("kind")
