@@ -37,7 +37,8 @@ def running(items: Column, zero: Column, combine: Callable[[Column, Column], Col
         )
 
     def blocked(xs: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        # Short rows, by far the most common, are a single block.
+        width = F.when(F.size(xs) <= 64, F.greatest(F.size(xs), F.lit(1))).otherwise(F.ceil(F.sqrt(F.size(xs))).cast("int"))
         return let(width, lambda w: let(
             F.transform(
                 numbers(F.ceil(F.size(xs) / w)),
@@ -58,8 +59,7 @@ def running(items: Column, zero: Column, combine: Callable[[Column, Column], Col
             ),
         ))
 
-    # Short rows, by far the most common, skip the block bookkeeping.
-    return let(items, lambda xs: F.when(F.size(xs) <= 64, chain(xs, zero)).otherwise(blocked(xs)))
+    return let(items, blocked)
 
 
 def count_at_most(sorted_values: Column, x: Column) -> Column:

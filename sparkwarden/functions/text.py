@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparkwarden.functions.arrays import let, running
+from sparkwarden.functions.arrays import let, numbers, running
 
 # Splitting character around matches. It cannot be typed in source text; where a file holds it anyway,
 # it is read as DEL, which is also one byte and neither space nor word character.
@@ -19,6 +19,11 @@ def ramp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.least((x - F.lit(lo)) / F.lit(hi - lo), F.lit(1.0)), F.lit(0.0))
 
 
+def settled(x: Column) -> Column:
+    """Six decimals. The nudge sends a value that is a tie but for floating-point noise upwards, always."""
+    return F.round(x + F.lit(1e-9), 6)
+
+
 def ascii_lower(s: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would also change other letters."""
     return F.translate(s, _ASCII_UPPER, _ASCII_UPPER.lower())
@@ -142,20 +147,20 @@ def positions(parts: Column) -> Column:
 def spans_of(parts: Column) -> Column:
     """The matches in ``pieces`` output, with offsets and 1-based line/column of start and end (exclusive)."""
 
-    def build(ps: Column, at: Column) -> Column:
-        spans = F.transform(
-            ps,
-            lambda p, i: F.struct(
-                F.get(at, i)["offset"].alias("start"),
-                F.get(at, i + 1)["offset"].alias("end"),
-                (F.get(at, i)["breaks"] + 1).alias("start_line"),
-                (F.get(at, i)["tail"] + 1).alias("start_col"),
-                (F.get(at, i + 1)["breaks"] + 1).alias("end_line"),
-                (F.get(at, i + 1)["tail"] + 1).alias("end_col"),
-                p.alias("text"),
-            ),
+    def span(text: Column, start: Column, end: Column) -> Column:
+        return F.struct(
+            start["offset"].alias("start"),
+            end["offset"].alias("end"),
+            (start["breaks"] + 1).alias("start_line"),
+            (start["tail"] + 1).alias("start_col"),
+            (end["breaks"] + 1).alias("end_line"),
+            (end["tail"] + 1).alias("end_col"),
+            text.alias("text"),
         )
-        return F.filter(spans, lambda _, i: i % 2 == 1)
+
+    def build(ps: Column, at: Column) -> Column:
+        places = numbers(F.floor(F.size(ps) / 2))
+        return F.transform(places, lambda n: span(F.get(ps, n * 2 - 1), F.get(at, n * 2 - 1), F.get(at, n * 2)))
 
     return let(parts, lambda ps: let(positions(ps), lambda at: build(ps, at)))
 

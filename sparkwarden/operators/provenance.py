@@ -16,6 +16,7 @@ from sparkwarden.functions.text import (
     pieces,
     ramp,
     readable,
+    settled,
     spans_of,
     strip,
 )
@@ -103,7 +104,7 @@ def docstring_ratio(text: Column, language: Column) -> Column:
         .otherwise(F.lit(0))
     )
     share = F.coalesce(F.try_divide(doc, F.octet_length(text)), F.lit(0.0))
-    return F.round(ramp(share, 0.10, 0.30), 6)
+    return ramp(share, 0.10, 0.30)
 
 
 def null_density(text: Column, unicode: bool = True) -> Column:
@@ -111,7 +112,7 @@ def null_density(text: Column, unicode: bool = True) -> Column:
     checks = F.regexp_count(text, F.lit("(?=[.=!i?])" + NULL_CHECK))
     flows = F.greatest(F.regexp_count(text, F.lit(_flags("(?=[iemw])" + CONTROL_FLOW, unicode))), F.lit(1))
     ratio = F.when(_has_any(text, ".is_", "None", "null", "??"), checks / flows).when(text.isNotNull(), F.lit(0.0))
-    return F.round(ramp(ratio, 0.10, 0.30), 6)
+    return ramp(ratio, 0.10, 0.30)
 
 
 def marketing_comments(text: Column) -> Column:
@@ -120,7 +121,7 @@ def marketing_comments(text: Column) -> Column:
     hits = F.regexp_count(text, F.lit("(?i)(?=[rcpsebmh])(?:" + "|".join(PRAISE) + ")"))
     lower = F.lower(text)
     seen = F.when(_has_any(lower, *PRAISE), hits).when(text.isNotNull(), F.lit(0))
-    return F.round(F.least(seen / F.lit(3.0), F.lit(1.0)), 6)
+    return F.least(seen / F.lit(3.0), F.lit(1.0))
 
 
 def imported_names(text: Column, language: Column, unicode: bool = True) -> Column:
@@ -165,7 +166,7 @@ def unused_imports(text: Column, language: Column, unicode: bool = True) -> Colu
         unused = F.size(F.filter(names, lambda name: ~occurs_twice(text, name)))
         return F.coalesce(F.try_divide(unused, F.size(names)), F.lit(0.0))
 
-    return F.round(ramp(let(imported_names(text, language, unicode), share), 0.10, 0.40), 6)
+    return ramp(let(imported_names(text, language, unicode), share), 0.10, 0.40)
 
 
 def function_starts(text: Column, language: Column, unicode: bool = True) -> Column:
@@ -200,7 +201,7 @@ def function_variance(text: Column, language: Column, unicode: bool = True) -> C
         mean = F.try_divide(total, n)
         squares = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
         cv = F.try_divide(F.sqrt(F.try_divide(squares, n)), mean)
-        return F.when((n < 3) | (mean < 3), F.lit(0.0)).otherwise(F.round(ramp(F.round(cv, 6), 0.4, 0.2), 6))
+        return F.when((n < 3) | (mean < 3), F.lit(0.0)).otherwise(ramp(cv, 0.4, 0.2))
 
     return let(function_lengths(text, language, unicode), even)
 
@@ -238,7 +239,7 @@ def commit_msg(message: Column, markers: list[str] | None = None) -> Column:
 
 def commit_size(additions: Column) -> Column:
     """0 below 200 added lines, 1 from 500, linear between."""
-    return F.when(additions < 200, F.lit(0.0)).otherwise(F.round(ramp(additions, 200, 500), 6))
+    return F.when(additions < 200, F.lit(0.0)).otherwise(ramp(additions, 200, 500))
 
 
 def time_of_day(hour: Column) -> Column:
@@ -284,7 +285,7 @@ def weighted_score(signals: dict[str, Column], weights: dict[str, float] | None
     total = F.lit(0.0)
     for name, weight in (weights or WEIGHTS).items():
         total = total + F.lit(weight) * F.greatest(F.least(signals[name], F.lit(1.0)), F.lit(0.0))
-    return F.round(F.least(total, F.lit(1.0)), 6)
+    return settled(F.least(total, F.lit(1.0)))
 
 
 def with_score(rows: DataFrame, commit_side: DataFrame | None) -> DataFrame:
@@ -310,7 +311,10 @@ def provenance(
     """``repo, path, score, override`` plus the eight signals for every file."""
     side = None if commits is None else commit_signals(commits, commit_files)
     scored = with_score(text_signals(files, prefix, unicode), side)
-    return scored.select("repo", "path", "score", F.col("override").isNotNull().alias("override"), *WEIGHTS)
+    return scored.select(
+        "repo", "path", "score", F.col("override").isNotNull().alias("override"),
+        *[settled(F.col(name)).alias(name) for name in WEIGHTS],
+    )
 
 
 def signals_long(scored: DataFrame) -> DataFrame:
@@ -323,7 +327,7 @@ def signals_long(scored: DataFrame) -> DataFrame:
     )
     return scored.select("repo", "path", F.inline(rows)).withColumn(
         "contribution",
-        F.round(F.col("weight") * F.greatest(F.least("value", F.lit(1.0)), F.lit(0.0)), 6),
+        settled(F.col("weight") * F.greatest(F.least("value", F.lit(1.0)), F.lit(0.0))),
     )
 
 

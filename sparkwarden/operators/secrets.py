@@ -16,10 +16,8 @@ from sparkwarden.functions.arrays import count_at_most, let
 from sparkwarden.functions.text import (
     ascii_ws_ratio,
     pieces,
-    positions,
     preview,
     readable,
-    regex_spans,
     shannon_entropy,
     spans_of,
     strip,
@@ -46,6 +44,9 @@ TOKEN_PATTERNS = {"rust": _RUST, "typescript": _SCRIPT, "javascript": _SCRIPT, "
 
 _QUOTES = "[\"'`]+"
 
+# Numbers that stand for tokens and allow markers next to the rule numbers.
+_TOKENS, _MARKERS = -1, -2
+
 
 @dataclass(frozen=True)
 class SecretOptions:
@@ -81,12 +82,18 @@ def token_kind(token: Column, language: Column) -> Column:
     return F.when(comment, F.lit("comment")).when(char, F.lit("char")).otherwise(F.lit("string"))
 
 
-def marker_spans(text: Column, prefix: str) -> Column:
+_GAP = r"[^\S\n]"
+_ALLOWED = r"secrets(?:\.[a-zA-Z0-9_.-]+)?"
+
+
+def marker_pieces(text: Column, prefix: str) -> Column:
+    """``pieces`` output for allow markers; null for texts without one."""
+    pattern = f"(?U:{re.escape(prefix)}:allow{_GAP}+{_ALLOWED}(?:{_GAP}*,{_GAP}*{_ALLOWED})*)"
+    return F.when(F.contains(text, F.lit(f"{prefix}:allow")), pieces(text, pattern))
+
+
+def markers_of(spans: Column, prefix: str) -> Column:
     """Allow markers, the first of each line: ``array<struct<line, ids>>``; id "" allows every rule."""
-    gap = r"[^\S\n]"
-    one = r"secrets(?:\.[a-zA-Z0-9_.-]+)?"
-    # No look-behind: like the marker itself, anything may stand before it.
-    pattern = f"(?U:{re.escape(prefix)}:allow{gap}+{one}(?:{gap}*,{gap}*{one})*)"
 
     def ids(marker: Column) -> Column:
         listed = F.regexp_replace(marker, F.lit(rf"(?U)^{re.escape(prefix)}:allow\s+"), F.lit(""))
@@ -95,21 +102,20 @@ def marker_spans(text: Column, prefix: str) -> Column:
             lambda name: F.regexp_replace(strip(name), F.lit(r"^secrets\.?"), F.lit("")),
         )
 
-    def firsts(spans: Column) -> Column:
+    def firsts(found: Column) -> Column:
         kept = F.filter(
-            spans,
-            lambda s, i: (i == 0) | (s["start_line"] != F.get(spans, i - 1)["start_line"]),
+            found,
+            lambda s, i: (i == 0) | (s["start_line"] != F.get(found, i - 1)["start_line"]),
         )
         return F.transform(kept, lambda s: F.struct(s["start_line"].alias("line"), ids(s["text"]).alias("ids")))
 
-    none = F.expr("cast(array() as array<struct<line:int,ids:array<string>>>)")
-    return F.when(F.contains(text, F.lit(f"{prefix}:allow")), let(regex_spans(text, pattern), firsts)).otherwise(none)
+    return let(spans, firsts)
 
 
 def is_allowed(markers: Column, line: Column, rule_id: Column) -> Column:
     """True if the line carries a marker with an id that is part of the rule id."""
     at = F.get(markers, F.array_position(F.transform(markers, lambda m: m["line"]), line).cast("int") - 1)
-    return (F.size(markers) > 0) & F.coalesce(
+    return markers.isNotNull() & F.coalesce(
         F.exists(at["ids"], lambda name: F.contains(rule_id, name)), F.lit(False)
     )
 
@@ -136,27 +142,29 @@ def _needs_folding(options: SecretOptions) -> bool:
     return any(r.keywords and not r.exact_keywords for r in options.rules)
 
 
-def rule_spans(text: Column, hits: Column, options: SecretOptions) -> Column:
-    """All matches of the hit rules: spans with the rule number added."""
-    found = []
-    for number, rule in enumerate(options.rules):
-        found.append(
-            F.when(
-                F.get(hits, F.lit(number)),
-                F.struct(F.lit(number).alias("rule"), pieces(text, java_regex(rule.regex, options.unicode)).alias("parts")),
-            )
+def rule_pieces(text: Column, hits: Column, options: SecretOptions) -> list[Column]:
+    """One ``struct<rule, parts>`` per rule, null where the rule does not match."""
+    return [
+        F.when(
+            F.get(hits, F.lit(number)),
+            F.struct(F.lit(number).alias("rule"), pieces(text, java_regex(rule.regex, options.unicode)).alias("parts")),
         )
+        for number, rule in enumerate(options.rules)
+    ]
+
+
+def _located(lists: Column) -> Column:
+    """Spans for a list of ``struct<rule, parts>``; one expression serves rules, tokens and markers."""
+    return F.transform(lists, lambda x: F.struct(x["rule"].alias("rule"), spans_of(x["parts"]).alias("spans")))
 
-    def spans(hit: Column) -> Column:
-        return F.transform(
-            spans_of(hit["parts"]),
-            lambda s: F.struct(
-                hit["rule"].alias("rule"),
-                *[s[name].alias(name) for name in ("start", "end", "start_line", "start_col", "end_line", "end_col", "text")],
-            ),
-        )
 
-    return F.flatten(F.transform(F.array_compact(F.array(*found)), spans))
+def _rule_spans(located: Column) -> Column:
+    return F.flatten(
+        F.transform(
+            located,
+            lambda x: F.transform(x["spans"], lambda s: F.struct(x["rule"].alias("rule"), s.alias("at"))),
+        )
+    )
 
 
 def literal_candidates(parts: Column, language: Column, options: SecretOptions) -> Column:
@@ -213,10 +221,10 @@ def _scan_input(files: DataFrame, options: SecretOptions, keep: Sequence[str]) -
 def _findings_expr(options: SecretOptions) -> Column:
     text, hits, parts, language = F.col("text"), F.col("hits"), F.col("parts"), F.col("language")
     rules = list(options.rules)
-    ids = F.array(*[F.lit(r.rule_id) for r in rules])
-    descriptions = F.array(*[F.lit(r.description) for r in rules])
-    severities = F.array(*[F.lit(r.severity) for r in rules])
-    floors = F.array(*[F.lit(r.entropy).cast("double") for r in rules])
+    ids = F.array(*[F.lit(r.rule_id) for r in rules]).cast("array<string>")
+    descriptions = F.array(*[F.lit(r.description) for r in rules]).cast("array<string>")
+    severities = F.array(*[F.lit(r.severity) for r in rules]).cast("array<string>")
+    floors = F.array(*[F.lit(r.entropy).cast("double") for r in rules]).cast("array<double>")
     none = F.expr(f"cast(array() as array<{FINDING_ITEM}>)")
 
     def allowed_by_option(rule_id: Column) -> Column:
@@ -235,104 +243,108 @@ def _findings_expr(options: SecretOptions) -> Column:
             F.lit(False),
         )
 
-    def rule_findings(tokens: Column, markers: Column) -> Column:
-        found = rule_spans(text, hits, options)
+    def item(rule_id, severity, message, at, snippet, metadata) -> Column:
+        return F.struct(
+            F.lit(VERIFIER).alias("verifier_id"),
+            F.concat(F.lit("secrets."), rule_id).alias("rule_id"),
+            severity.alias("severity"),
+            message.alias("message"),
+            *[at[name].alias(name) for name in ("start_line", "start_col", "end_line", "end_col")],
+            snippet.alias("snippet"),
+            metadata.alias("metadata"),
+        )
+
+    def rule_findings(found: Column, tokens: Column, markers: Column) -> Column:
         kept = F.filter(
             found,
-            lambda m: ~is_allowed(markers, m["start_line"], F.get(ids, m["rule"]))
+            lambda m: ~is_allowed(markers, m["at"]["start_line"], F.get(ids, m["rule"]))
             & ~allowed_by_option(F.get(ids, m["rule"]))
             & (
                 F.get(floors, m["rule"]).isNull()
-                | (F.round(shannon_entropy(m["text"]), 6) >= F.get(floors, m["rule"]))
+                | (F.round(shannon_entropy(m["at"]["text"]), 6) >= F.get(floors, m["rule"]))
             )
-            & ~in_comment(tokens, m["start"]),
+            & ~in_comment(tokens, m["at"]["start"]),
         )
         return F.transform(
             kept,
-            lambda m: F.struct(
-                F.lit(VERIFIER).alias("verifier_id"),
-                F.concat(F.lit("secrets."), F.get(ids, m["rule"])).alias("rule_id"),
-                F.get(severities, m["rule"]).alias("severity"),
-                F.concat(F.get(descriptions, m["rule"]), F.lit(" ("), preview(m["text"]), F.lit(")")).alias("message"),
-                *[m[name].alias(name) for name in ("start_line", "start_col", "end_line", "end_col")],
-                preview(m["text"]).alias("snippet"),
-                F.lit(None).cast("map<string,string>").alias("metadata"),
+            lambda m: let(
+                preview(m["at"]["text"]),
+                lambda short: item(
+                    F.get(ids, m["rule"]),
+                    F.get(severities, m["rule"]),
+                    F.concat(F.get(descriptions, m["rule"]), F.lit(" ("), short, F.lit(")")),
+                    m["at"],
+                    short,
+                    F.lit(None).cast("map<string,string>"),
+                ),
             ),
         )
 
-    def literal_findings(candidates: Column, at: Column, markers: Column) -> Column:
+    def literal_findings(candidates: Column, token_spans: Column, markers: Column) -> Column:
         rule = F.lit("generic-high-entropy")
-        kept = F.filter(
-            candidates,
-            lambda c: ~is_allowed(markers, F.get(at, c["place"])["breaks"] + 1, rule) & ~allowed_by_option(rule),
+        # The token at piece 1, 3, 5, ... is span 0, 1, 2, ...
+        placed = F.transform(
+            candidates, lambda c: F.struct(c.alias("c"), F.get(token_spans, F.floor(c["place"] / 2).cast("int")).alias("at"))
         )
+        kept = F.filter(placed, lambda x: ~is_allowed(markers, x["at"]["start_line"], rule) & ~allowed_by_option(rule))
         return F.transform(
             kept,
-            lambda c: F.struct(
-                F.lit(VERIFIER).alias("verifier_id"),
-                F.lit("secrets.generic-high-entropy").alias("rule_id"),
-                F.lit("medium").alias("severity"),
+            lambda x: item(
+                rule,
+                F.lit("medium"),
                 F.format_string(
-                    "High-entropy string literal (%.1f bits); may be a hardcoded credential", c["entropy"]
-                ).alias("message"),
-                (F.get(at, c["place"])["breaks"] + 1).alias("start_line"),
-                (F.get(at, c["place"])["tail"] + 1).alias("start_col"),
-                (F.get(at, c["place"] + 1)["breaks"] + 1).alias("end_line"),
-                (F.get(at, c["place"] + 1)["tail"] + 1).alias("end_col"),
-                preview(c["cleaned"]).alias("snippet"),
-                F.create_map(F.lit("entropy"), F.round(c["entropy"], 6).cast("string")).alias("metadata"),
+                    "High-entropy string literal (%.1f bits); may be a hardcoded credential", x["c"]["entropy"]
+                ),
+                x["at"],
+                preview(x["c"]["cleaned"]),
+                F.create_map(F.lit("entropy"), F.round(x["c"]["entropy"], 6).cast("string")),
             ),
         )
 
-    def token_table(ps: Column, at: Column) -> Column:
-        table = F.filter(
-            F.transform(
-                ps,
-                lambda p, i: F.struct(
-                    F.get(at, i)["offset"].alias("start"),
-                    F.get(at, i + 1)["offset"].alias("end"),
-                    (token_kind(p, language) == "comment").alias("comment"),
-                ),
-            ),
-            lambda _, i: i % 2 == 1,
+    def token_table(spans: Column) -> Column:
+        return F.struct(
+            F.transform(spans, lambda t: t["start"]).alias("starts"),
+            F.transform(spans, lambda t: t["end"]).alias("ends"),
+            F.transform(spans, lambda t: token_kind(t["text"], language) == "comment").alias("comments"),
         )
-        return let(
-            table,
-            lambda rows: F.struct(
-                F.transform(rows, lambda r: r["start"]).alias("starts"),
-                F.transform(rows, lambda r: r["end"]).alias("ends"),
-                F.transform(rows, lambda r: r["comment"]).alias("comments"),
+
+    def spans_named(located: Column, number: int) -> Column:
+        return F.get(F.filter(located, lambda x: x["rule"] == number), F.lit(0))["spans"]
+
+    def combine(candidates: Column, located: Column) -> Column:
+        found = _rule_spans(F.filter(located, lambda x: x["rule"] >= 0))
+        return let(spans_named(located, _TOKENS), lambda spans: let(
+            F.when(some_hit & spans.isNotNull(), token_table(spans)),
+            lambda table: let(
+                markers_of(spans_named(located, _MARKERS), options.prefix),
+                lambda marks: F.concat(
+                    rule_findings(found, table, marks), literal_findings(candidates, spans, marks)
+                ),
             ),
-        )
+        ))
 
-    no_tokens = F.lit(None).cast("struct<starts:array<int>,ends:array<int>,comments:array<boolean>>")
     some_hit = F.array_contains(hits, True)
-
-    def with_positions(candidates: Column, at: Column, markers: Column, ps: Column) -> Column:
-        by_rule = F.when(some_hit, let(token_table(ps, at), lambda tokens: rule_findings(tokens, markers))).otherwise(none)
-        return F.concat(by_rule, literal_findings(candidates, at, markers))
-
-    def in_code(ps: Column) -> Column:
-        candidates = (
-            literal_candidates(ps, language, options)
-            if options.literals
-            else F.expr("cast(array() as array<struct<place:int,cleaned:string,entropy:double>>)")
+    no_candidates = F.expr("cast(array() as array<struct<place:int,cleaned:string,entropy:double>>)")
+    candidates = (
+        F.coalesce(F.when(parts.isNotNull(), literal_candidates(parts, language, options)), no_candidates)
+        if options.literals
+        else no_candidates
+    )
+    marks = marker_pieces(text, options.prefix)
+    lists = F.array_compact(
+        F.array(
+            F.when(parts.isNotNull(), F.struct(F.lit(_TOKENS).alias("rule"), parts.alias("parts"))),
+            F.when(marks.isNotNull(), F.struct(F.lit(_MARKERS).alias("rule"), marks.alias("parts"))),
+            *rule_pieces(text, hits, options),
         )
-        return let(
+    )
+    return F.coalesce(
+        let(
             candidates,
-            lambda c: F.when(
-                some_hit | (F.size(c) > 0),
-                let(
-                    positions(ps),
-                    lambda at: let(marker_spans(text, options.prefix), lambda marks: with_positions(c, at, marks, ps)),
-                ),
-            ).otherwise(none),
-        )
-
-    without_context = F.when(
-        some_hit, let(marker_spans(text, options.prefix), lambda marks: rule_findings(no_tokens, marks))
-    ).otherwise(none)
-    return F.coalesce(F.when(parts.isNotNull(), let(parts, in_code)).otherwise(without_context), none)
+            lambda c: F.when(some_hit | (F.size(c) > 0), let(_located(lists), lambda located: combine(c, located))),
+        ),
+        none,
+    )
 
 
 def scan_secrets(files: DataFrame, options: SecretOptions | None = None, keep: Sequence[str] = ("repo", "path")) -> DataFrame:
@@ -395,14 +407,15 @@ def rule_matches(files: DataFrame, options: SecretOptions | None = None) -> Data
     options = options or SecretOptions()
     rules = list(options.rules)
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
-    spans = F.when(F.array_contains("hits", True), rule_spans(F.col("text"), F.col("hits"), options))
+    lists = F.array_compact(F.array(*rule_pieces(F.col("text"), F.col("hits"), options)))
+    spans = F.when(F.array_contains("hits", True), _rule_spans(_located(lists)))
     rows = _scan_input(files, options, ("repo", "path")).select("repo", "path", F.explode_outer(spans).alias("m"))
     return rows.where(F.col("m").isNotNull()).select(
         "repo",
         "path",
         F.get(ids, F.col("m.rule")).alias("rule_id"),
-        *[F.col(f"m.{name}").alias(name) for name in ("start", "end", "start_line", "start_col", "end_line", "end_col", "text")],
-        shannon_entropy(F.col("m.text")).alias("entropy"),
+        "m.at.*",
+        shannon_entropy(F.col("m.at.text")).alias("entropy"),
     )
 
 
@@ -447,8 +460,8 @@ def string_literals(files: DataFrame) -> DataFrame:
 
 def allow_markers(files: DataFrame, prefix: str = "audit") -> DataFrame:
     """Inline allow markers, one row per line and allowed id ("" allows all rules)."""
-    text = readable(F.col("content"))
-    rows = files.select("repo", "path", F.explode_outer(marker_spans(text, prefix)).alias("m"))
+    marks = markers_of(spans_of(marker_pieces(readable(F.col("content")), prefix)), prefix)
+    rows = files.select("repo", "path", F.explode_outer(marks).alias("m"))
     return rows.where(F.col("m").isNotNull()).select(
         "repo", "path", F.col("m.line").alias("line"), F.explode("m.ids").alias("rule_part")
     )

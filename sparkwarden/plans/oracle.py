@@ -53,6 +53,14 @@ def preview(text: str) -> str:
     return f"CASE WHEN strlen({text}) <= 50 THEN {text} ELSE substr({text}, 1, 50) || '…' END"
 
 
+# Added before rounding, so that ties in the sixth digit go up in both engines.
+UP = "1e-9"
+
+
+def six(x: str) -> str:
+    return f"round({x} + {UP}, 6)"
+
+
 def ramp(x: str, lo: float, hi: float) -> str:
     return f"greatest(least(({x} - {lo}) / ({hi} - {lo}), 1.0), 0.0)"
 
@@ -147,7 +155,7 @@ def last_commit_cte() -> str:
 COMMIT_MSG = "CASE WHEN regexp_matches(message, {0}) THEN 1.0 ELSE 0.0 END".format(
     quoted("(?i)" + "|".join(f"(?:{m})" for m in prov.COMMIT_MARKERS))
 )
-COMMIT_SIZE = f"CASE WHEN additions < 200 THEN 0.0 ELSE round({ramp('additions', 200, 500)}, 6) END"
+COMMIT_SIZE = f"CASE WHEN additions < 200 THEN 0.0 ELSE {ramp('additions', 200, 500)} END"
 TIME_OF_DAY = "CASE WHEN author_hour BETWEEN 8 AND 22 OR author_hour IS NULL THEN 0.0 ELSE 1.0 END"
 
 
@@ -164,18 +172,18 @@ def docstring_sql() -> str:
         WHEN language IN ('typescript', 'javascript') THEN {_bytes(r'/[*](?:[*]/|[*](?s:.*?)(?:[*]/|$))')}
         WHEN language = 'python' THEN {_bytes('"""(?s:.*?)"""')} + {_bytes("'''(?s:.*?)'''")} ELSE 0 END"""
     share = f"coalesce(({doc}) / nullif(strlen(content), 0), 0)"
-    return f"round({ramp(share, 0.10, 0.30)}, 6)"
+    return ramp(share, 0.10, 0.30)
 
 
 def null_density_sql() -> str:
     checks = f"len(regexp_extract_all(content, {quoted(prov.NULL_CHECK)}))"
     flows = f"greatest(len(regexp_extract_all(content, {quoted(prov.CONTROL_FLOW)})), 1)"
-    return f"round({ramp(f'{checks} / {flows}', 0.10, 0.30)}, 6)"
+    return ramp(f"{checks} / {flows}", 0.10, 0.30)
 
 
 def marketing_sql() -> str:
     lower = "translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"round(least(len(regexp_extract_all({lower}, {quoted('|'.join(prov.PRAISE))})) / 3.0, 1.0), 6)"
+    return f"least(len(regexp_extract_all({lower}, {quoted('|'.join(prov.PRAISE))})) / 3.0, 1.0)"
 
 
 def imports_cte() -> str:
@@ -198,7 +206,7 @@ import_rows AS MATERIALIZED (SELECT repo, path, language, content, unnest(names)
 
 
 UNUSED_CTE = f"""unused AS MATERIALIZED (
-  SELECT repo, path, round({ramp("avg(CASE WHEN (strlen(content) - strlen(replace(content, name, ''))) / strlen(name) <= 1 THEN 1.0 ELSE 0.0 END)", 0.10, 0.40)}, 6) AS v
+  SELECT repo, path, ({ramp("avg(CASE WHEN (strlen(content) - strlen(replace(content, name, ''))) / strlen(name) <= 1 THEN 1.0 ELSE 0.0 END)", 0.10, 0.40)}) AS v
   FROM import_rows GROUP BY repo, path)"""
 
 
@@ -215,7 +223,7 @@ function_rows AS MATERIALIZED (
   FROM function_at),
 evenness AS MATERIALIZED (
   SELECT repo, path, CASE WHEN count(*) < 3 OR avg(n_lines) < 3 THEN 0.0
-         ELSE round({ramp('round(stddev_pop(n_lines) / avg(n_lines), 6)', 0.4, 0.2)}, 6) END AS v
+         ELSE {ramp('stddev_pop(n_lines) / avg(n_lines)', 0.4, 0.2)} END AS v
   FROM function_rows GROUP BY repo, path)"""
 
 
@@ -229,7 +237,7 @@ def score_ctes() -> str:
 signals AS MATERIALIZED (
   SELECT f.repo, f.path, f.language,
     coalesce({COMMIT_MSG.replace('message', 'l.message')}, 0.0) AS commit_msg,
-    coalesce({COMMIT_SIZE.replace('additions', 'l.additions')}, 0.0) AS commit_size,
+    {COMMIT_SIZE.replace('additions', 'coalesce(l.additions, 0)')} AS commit_size,
     coalesce({TIME_OF_DAY.replace('author_hour', 'l.author_hour')}, 0.0) AS time_of_day,
     {docstring_sql()} AS docstring_ratio, {null_density_sql()} AS null_density, {marketing_sql()} AS marketing_comments,
     coalesce(u.v, 0.0) AS unused_imports, coalesce(e.v, 0.0) AS function_variance,
@@ -238,7 +246,7 @@ signals AS MATERIALIZED (
   LEFT JOIN unused u ON u.repo = f.repo AND u.path = f.path
   LEFT JOIN evenness e ON e.repo = f.repo AND e.path = f.path),
 scored AS MATERIALIZED (
-  SELECT *, coalesce(forced, round(least({weighted}, 1.0), 6)) AS score FROM signals)"""
+  SELECT *, coalesce(forced, round(least({weighted}, 1.0) + {UP}, 6)) AS score FROM signals)"""
 
 
 def tables(*names: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.text import settled
 from sparkwarden.operators import provenance as prov
 from sparkwarden.plans import oracle
 from sparkwarden.plans.oracle import tables
@@ -15,7 +16,7 @@ _SCORED = tables("files", "commits", "commit_files") + ", " + oracle.score_ctes(
 
 
 def _signal(spark, sf_dir, name):
-    return prov.text_signals(Inputs(spark, sf_dir).files, **ASCII).select("repo", "path", name)
+    return prov.text_signals(Inputs(spark, sf_dir).files, **ASCII).select("repo", "path", settled(F.col(name)).alias(name))
 
 
 def _scored(spark, sf_dir):
@@ -39,24 +40,25 @@ def signal_commit_msg(spark, sf_dir):
 
 @query(
     tables("commits", "commit_files") + ", " + oracle.last_commit_cte()
-    + f" SELECT repo, path, {oracle.COMMIT_SIZE} AS commit_size, {oracle.TIME_OF_DAY} AS time_of_day FROM last_commit"
+    + f" SELECT repo, path, {oracle.six(oracle.COMMIT_SIZE)} AS commit_size, {oracle.TIME_OF_DAY} AS time_of_day FROM last_commit"
 )
 def signals_commit_size_and_hour(spark, sf_dir):
     t = Inputs(spark, sf_dir)
-    return prov.commit_signals(t.commits, t.commit_files).drop("commit_msg")
+    rows = prov.commit_signals(t.commits, t.commit_files)
+    return rows.select("repo", "path", settled(F.col("commit_size")).alias("commit_size"), "time_of_day")
 
 
-@query(tables("files") + f"SELECT repo, path, {oracle.docstring_sql()} AS docstring_ratio FROM files")
+@query(tables("files") + f"SELECT repo, path, {oracle.six(oracle.docstring_sql())} AS docstring_ratio FROM files")
 def signal_docstring_ratio(spark, sf_dir):
     return _signal(spark, sf_dir, "docstring_ratio")
 
 
-@query(tables("files") + f"SELECT repo, path, {oracle.null_density_sql()} AS null_density FROM files")
+@query(tables("files") + f"SELECT repo, path, {oracle.six(oracle.null_density_sql())} AS null_density FROM files")
 def signal_null_density(spark, sf_dir):
     return _signal(spark, sf_dir, "null_density")
 
 
-@query(tables("files") + f"SELECT repo, path, {oracle.marketing_sql()} AS marketing_comments FROM files")
+@query(tables("files") + f"SELECT repo, path, {oracle.six(oracle.marketing_sql())} AS marketing_comments FROM files")
 def signal_marketing_comments(spark, sf_dir):
     return _signal(spark, sf_dir, "marketing_comments")
 
@@ -68,7 +70,7 @@ def imported_names(spark, sf_dir):
 
 @query(
     tables("files") + ", " + oracle.imports_cte() + ", " + oracle.UNUSED_CTE
-    + " SELECT f.repo, f.path, coalesce(v, 0.0) AS unused_imports FROM files f LEFT JOIN unused u ON u.repo = f.repo AND u.path = f.path"
+    + " SELECT f.repo, f.path, round(coalesce(v, 0.0) + 1e-9, 6) AS unused_imports FROM files f LEFT JOIN unused u ON u.repo = f.repo AND u.path = f.path"
 )
 def signal_unused_imports(spark, sf_dir):
     return _signal(spark, sf_dir, "unused_imports")
@@ -81,13 +83,13 @@ def function_table(spark, sf_dir):
 
 @query(
     tables("files") + ", " + oracle.function_ctes()
-    + " SELECT f.repo, f.path, coalesce(v, 0.0) AS function_variance FROM files f LEFT JOIN evenness u ON u.repo = f.repo AND u.path = f.path"
+    + " SELECT f.repo, f.path, round(coalesce(v, 0.0) + 1e-9, 6) AS function_variance FROM files f LEFT JOIN evenness u ON u.repo = f.repo AND u.path = f.path"
 )
 def signal_function_variance(spark, sf_dir):
     return _signal(spark, sf_dir, "function_variance")
 
 
-@query(_SCORED + f" SELECT repo, path, score, forced IS NOT NULL AS override, {', '.join(prov.WEIGHTS)} FROM scored")
+@query(_SCORED + f" SELECT repo, path, score, forced IS NOT NULL AS override, {', '.join(f'{oracle.six(n)} AS {n}' for n in prov.WEIGHTS)} FROM scored")
 def provenance_score(spark, sf_dir):
     return _scored(spark, sf_dir)
 
@@ -95,8 +97,8 @@ def provenance_score(spark, sf_dir):
 @query(
     _SCORED + " "
     + " UNION ALL ".join(
-        f"SELECT repo, path, '{name}' AS name, cast({weight} as double) AS weight, cast({name} as double) AS value, "
-        f"cast(round({weight} * {name}, 6) as double) AS contribution FROM scored"
+        f"SELECT repo, path, '{name}' AS name, cast({weight} as double) AS weight, cast({oracle.six(name)} as double) AS value, "
+        f"cast({oracle.six(f"{weight} * {oracle.six(name)}")} as double) AS contribution FROM scored"
         for name, weight in prov.WEIGHTS.items()
     )
 )
