@@ -7,10 +7,36 @@ from pyspark.sql import Column, functions as F
 from sparkwarden.functions.arrays import let
 
 _VERSION = r"^\s*v?(\d+)(?:\.(\d+|[*xX]))?(?:\.(\d+|[*xX]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\s*$"
+_COMPARATOR = r"^\s*(>=|<=|>|<|=|\^|~)?\s*(.*?)\s*$"
+
+
+def _parts(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a whole-text match as an array; one element if there is no match."""
+    joined = "|".join(f"${n + 1}" for n in range(groups))
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(joined)), r"\|", -1)
 
 
 def _number(text: Column) -> Column:
-    return F.coalesce(F.try_to_number(F.nullif(text, F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0))
+    return F.coalesce(text.try_cast("long"), F.lit(0).cast("long"))
+
+
+def _key(p: Column) -> Column:
+    identifiers = F.transform(
+        F.filter(F.split(p[3], r"\."), lambda x: x != ""),
+        lambda x: let(
+            F.rlike(x, F.lit(r"^\d+$")),
+            lambda numeric: F.struct(
+                F.when(numeric, F.lit(0)).otherwise(F.lit(1)).alias("word"),
+                F.when(numeric, _number(x)).otherwise(F.lit(0).cast("long")).alias("number"),
+                F.when(numeric, F.lit("")).otherwise(x).alias("text"),
+            ),
+        ),
+    )
+    return F.struct(
+        F.array(_number(p[0]), _number(p[1]), _number(p[2])).alias("core"),
+        (p[3] == "").alias("release"),
+        identifiers.alias("pre"),
+    )
 
 
 def semver_key(version: Column) -> Column:
@@ -19,21 +45,7 @@ def semver_key(version: Column) -> Column:
     A pre-release sorts before its release. Its identifiers compare one by one: numbers by value and
     before words, and a shorter list before a longer one.
     """
-    part = lambda i: F.regexp_extract(version, _VERSION, i)
-    identifiers = F.transform(
-        F.filter(F.split(part(4), r"\."), lambda x: x != ""),
-        lambda x: F.struct(
-            F.when(F.rlike(x, F.lit(r"^\d+$")), F.lit(0)).otherwise(F.lit(1)).alias("word"),
-            F.when(F.rlike(x, F.lit(r"^\d+$")), _number(x)).otherwise(F.lit(0)).alias("number"),
-            F.when(F.rlike(x, F.lit(r"^\d+$")), F.lit("")).otherwise(x).alias("text"),
-        ),
-    )
-    key = F.struct(
-        F.array(_number(part(1)), _number(part(2)), _number(part(3))).alias("core"),
-        (part(4) == "").alias("release"),
-        identifiers.alias("pre"),
-    )
-    return F.when(F.rlike(version, F.lit(_VERSION)), key)
+    return let(_parts(version, _VERSION, 4), lambda p: F.when(F.size(p) == 4, _key(p)))
 
 
 _KEY = "struct<core:array<bigint>,release:boolean,pre:array<struct<word:int,number:bigint,text:string>>>"
@@ -45,51 +57,46 @@ def _release(*core: Column) -> Column:
                     F.expr("cast(array() as array<struct<word:int,number:bigint,text:string>>)").alias("pre"))
 
 
-def _comparator(text: Column) -> Column:
-    """One comparator as ``struct<lo, lo_open, hi, hi_open, pre_core>``: a version range, open ends as null."""
-    op = F.regexp_extract(text, r"^\s*(>=|<=|>|<|=|\^|~)?", 1)
-    body = F.regexp_replace(text, F.lit(r"^\s*(?:>=|<=|>|<|=|\^|~)?\s*"), F.lit(""))
-    any_version = F.rlike(body, F.lit(r"^\s*[*xX]?\s*$"))
-    minor_given = F.rlike(F.regexp_extract(body, _VERSION, 2), F.lit(r"^\d+$"))
-    patch_given = F.rlike(F.regexp_extract(body, _VERSION, 3), F.lit(r"^\d+$"))
-
-    def build(key: Column) -> Column:
-        major, minor, patch = key["core"][0], key["core"][1], key["core"][2]
-        zero = F.lit(0).cast("long")
-        next_major, next_minor = _release(major + 1, zero, zero), _release(major, minor + 1, zero)
-        next_patch = _release(major, minor, patch + 1)
-        # First version above everything the (possibly partial) text stands for.
-        after = F.when(~minor_given, next_major).when(~patch_given, next_minor)
-        caret = (
-            F.when((major > 0) | ~minor_given, next_major)
-            .when((minor > 0) | ~patch_given, next_minor)
-            .otherwise(next_patch)
-        )
-        tilde = F.when(~minor_given, next_major).otherwise(next_minor)
-        wild = F.rlike(body, F.lit(r"\.[*xX]"))
-        none = F.lit(None).cast(_KEY)
-        caret_like = (op == "^") | ((op == "") & ~wild)
-        lo = F.when(op.isin("<", "<="), none).when((op == ">") & after.isNotNull(), after).otherwise(key)
-        hi = (
-            F.when(op == "<", key)
-            .when(op == "<=", F.coalesce(after, key))
-            .when(op.isin(">", ">="), none)
-            .when(op == "~", tilde)
-            .when(caret_like, caret)
-            .otherwise(F.coalesce(after, key))
-        )
-        return F.struct(
-            lo.alias("lo"),
-            ((op == ">") & after.isNull()).alias("lo_open"),
-            hi.alias("hi"),
-            (~((op.isin("<=", "=")) & after.isNull())).alias("hi_open"),
-        )
+def _range(op: Column, p: Column, key: Column) -> Column:
+    """Bounds of one comparator on a (possibly partial) version."""
+    major, minor, patch = key["core"][0], key["core"][1], key["core"][2]
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast(_KEY)
+    no_minor, no_patch = ~F.rlike(p[1], F.lit(r"^\d+$")), ~F.rlike(p[2], F.lit(r"^\d+$"))
+    wild = F.rlike(F.concat(p[1], p[2]), F.lit("[*xX]"))
+    caret = (op == "^") | ((op == "") & ~wild)
+    exact = ~no_minor & ~no_patch
+    # First version above everything the text stands for: which core number goes up.
+    up_major = no_minor | (caret & (major > 0))
+    up_minor = no_patch | (op == "~") | (caret & (minor > 0))
+    above = _release(
+        F.when(up_major, major + 1).otherwise(major),
+        F.when(up_major, zero).when(up_minor, minor + 1).otherwise(minor),
+        F.when(up_major | up_minor, zero).otherwise(patch + 1),
+    )
+    at_text = exact & op.isin("=", "<=")
+    return F.struct(
+        F.when(op.isin("<", "<="), none).when((op == ">") & ~exact, above).otherwise(key).alias("lo"),
+        ((op == ">") & exact).alias("lo_open"),
+        F.when(op.isin(">", ">="), none).when((op == "<") | at_text, key).otherwise(above).alias("hi"),
+        (~at_text).alias("hi_open"),
+    )
+
 
+def _comparator(text: Column) -> Column:
+    """One comparator as ``struct<lo, lo_open, hi, hi_open>``, open ends as null; null if it cannot be read."""
+    none = F.lit(None).cast(_KEY)
     unbounded = F.struct(
-        F.lit(None).cast(_KEY).alias("lo"), F.lit(False).alias("lo_open"),
-        F.lit(None).cast(_KEY).alias("hi"), F.lit(False).alias("hi_open"),
+        none.alias("lo"), F.lit(False).alias("lo_open"), none.alias("hi"), F.lit(False).alias("hi_open")
     )
-    return F.when(any_version, unbounded).otherwise(let(semver_key(body), lambda k: F.when(k.isNotNull(), build(k))))
+
+    def read(c: Column) -> Column:
+        bounded = let(
+            _parts(c[1], _VERSION, 4),
+            lambda p: F.when(F.size(p) == 4, let(_key(p), lambda key: _range(c[0], p, key))),
+        )
+        return F.when(c[1].isin("", "*", "x", "X"), unbounded).otherwise(bounded)
+
+    return let(_parts(text, _COMPARATOR, 2), read)
 
 
 def requirement_ranges(requirement: Column) -> Column:

@@ -48,13 +48,20 @@ def ignore_file_kinds(prefix: str = "audit", respect_git: bool = True) -> dict[s
 
 def ignore_rules(files: DataFrame, prefix: str = "audit", respect_git: bool = True) -> DataFrame:
     """Rules of all ignore files: ``repo, dir, kind, ordinal, pattern, regex, negated, dir_only``."""
+    named = basename(F.col("path")).isin(list(ignore_file_kinds(prefix, respect_git)))
+    rows = files.where(named & F.col("content").isNotNull())
+    return rules_of_lines(rows.select("repo", "path", lines(F.col("content")).alias("lines")), prefix, respect_git)
+
+
+def rules_of_lines(rows: DataFrame, prefix: str = "audit", respect_git: bool = True) -> DataFrame:
+    """The same from rows of ``repo, path, lines``."""
     kinds = ignore_file_kinds(prefix, respect_git)
     name = basename(F.col("path"))
     kind = None
     for file_name, weight in kinds.items():
         kind = (F if kind is None else kind).when(name == file_name, F.lit(weight))
-    rows = files.where(name.isin(list(kinds)) & F.col("content").isNotNull()).select(
-        "repo", dirname(F.col("path")).alias("dir"), kind.alias("kind"), F.posexplode(lines(F.col("content"))).alias("ordinal", "line")
+    rows = rows.where(name.isin(list(kinds))).select(
+        "repo", dirname(F.col("path")).alias("dir"), kind.alias("kind"), F.posexplode("lines").alias("ordinal", "line")
     )
     rows = rows.withColumn("line", F.regexp_replace("line", F.lit(r"(?<!\\)[ \t]+$"), F.lit("")))
     rows = rows.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))

@@ -161,31 +161,34 @@ def _by_name(name: Column, values: dict) -> Column:
     return out
 
 
-def lockfiles_of(files: DataFrame, root_only: bool = True) -> DataFrame:
-    """The lockfiles among the files, with ecosystem and order. Only those at the root of a repository count."""
+def packages_in(path: Column, text: Column) -> Column:
+    """Packages of one file by its name; null for files that are no lockfiles."""
+    name = basename(path)
+    parsed = _by_name(name, {key: parser(text) for key, parser in PARSERS.items()})
+    return F.when(name.isin(list(LOCKFILES)), F.coalesce(parsed, F.expr(f"cast(array() as {PACKAGE_ARRAY})")))
+
+
+def lockfile_rows(rows: DataFrame) -> DataFrame:
+    """Ecosystem and order for rows of ``repo, path, packages``."""
     name = basename(F.col("path"))
-    rows = files.where(name.isin(list(LOCKFILES)) & F.col("content").isNotNull())
-    if root_only:
-        rows = rows.where(~F.contains("path", F.lit("/")))
     return rows.select(
         "repo",
         F.col("path").alias("lockfile_path"),
         name.alias("lockfile"),
         _by_name(name, {k: F.lit(v[0]) for k, v in LOCKFILES.items()}).alias("ecosystem"),
         _by_name(name, {k: F.lit(v[1]) for k, v in LOCKFILES.items()}).alias("priority"),
-        "content",
+        "packages",
     )
 
 
 def parsed_lockfiles(files: DataFrame, root_only: bool = True) -> DataFrame:
-    """Each lockfile with its packages as an array."""
-    locks = lockfiles_of(files, root_only)
-    text = F.col("content")
-    parsed = _by_name(F.col("lockfile"), {name: parser(text) for name, parser in PARSERS.items()})
-    return locks.select(
-        "repo", "lockfile_path", "lockfile", "ecosystem", "priority",
-        F.coalesce(parsed, F.expr(f"cast(array() as {PACKAGE_ARRAY})")).alias("packages"),
-    )
+    """Each lockfile with its packages as an array. Only those at the root of a repository count.
+
+    The path test for root lockfiles is a plain list of values, which the scan of a columnar table can use.
+    """
+    wanted = F.col("path").isin(list(LOCKFILES)) if root_only else basename(F.col("path")).isin(list(LOCKFILES))
+    locks = files.where(wanted & F.col("content").isNotNull())
+    return lockfile_rows(locks.select("repo", "path", packages_in(F.col("path"), F.col("content")).alias("packages")))
 
 
 def all_packages(files: DataFrame, root_only: bool = True) -> DataFrame:
@@ -197,19 +200,17 @@ def all_packages(files: DataFrame, root_only: bool = True) -> DataFrame:
 
 
 def chosen_packages(files: DataFrame) -> DataFrame:
-    """Packages per repository and ecosystem, from its first lockfile that gives any.
+    """Packages per repository and ecosystem, from its first lockfile that gives any."""
+    return first_lockfiles(parsed_lockfiles(files))
 
-    A group is at most the three root lockfiles of one ecosystem.
-    """
-    chosen = (
-        parsed_lockfiles(files)
-        .groupBy("repo", "ecosystem")
-        .agg(
-            F.min_by(
-                F.struct("lockfile_path", "packages"),
-                F.when(F.size("packages") > 0, F.col("priority")),
-            ).alias("first")
-        )
+
+def first_lockfiles(parsed: DataFrame) -> DataFrame:
+    """The choice between the (at most three) root lockfiles of each repository and ecosystem."""
+    chosen = parsed.groupBy("repo", "ecosystem").agg(
+        F.min_by(
+            F.struct("lockfile_path", "packages"),
+            F.when(F.size("packages") > 0, F.col("priority")),
+        ).alias("first")
     )
     rows = chosen.select("repo", "first.lockfile_path", "ecosystem", F.explode_outer("first.packages").alias("p"))
     return rows.where(F.col("p").isNotNull()).select("repo", "lockfile_path", "ecosystem", "p.name", "p.version")

@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from sparkwarden.functions.paths import basename
+from sparkwarden.functions.text import lines
 
 from sparkwarden.operators import discovery, lockfiles, provenance, secrets, vulnerabilities
-from sparkwarden.operators.findings import attach_provenance, choose_verifiers, run_verifiers, union_findings
+from sparkwarden.operators.findings import (
+    attach_provenance,
+    candidate_counts,
+    choose_verifiers,
+    run_verifiers,
+    union_findings,
+)
 from sparkwarden.operators.secrets import SecretOptions, explode_items
 from sparkwarden.schemas import FINDINGS
+from sparkwarden.session import checkpointed
 
 VERIFIERS = {secrets.VERIFIER: secrets.DESCRIPTION, vulnerabilities.VERIFIER: vulnerabilities.DESCRIPTION}
 
@@ -29,6 +39,12 @@ class AuditOptions:
     secrets: SecretOptions = field(default_factory=SecretOptions)
     prefix: str = "audit"
 
+    def chosen(self, tables: Tables) -> list[str]:
+        """Ids of the verifiers that run. Without vulnerability tables there is nothing to look up."""
+        has_advisories = tables.advisories is not None or tables.osv_vulns is not None
+        available = {secrets.VERIFIER: True, vulnerabilities.VERIFIER: has_advisories}
+        return choose_verifiers(available, self.verifiers, self.skip)
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -42,60 +58,77 @@ class Tables:
     refs: DataFrame | None = None
 
 
-def candidate_files(tables: Tables, options: AuditOptions) -> DataFrame:
-    """Files that row-wise filters leave over. In diff mode neither language nor globs are tested."""
+def _is_candidate(tables: Tables, options: AuditOptions) -> Column:
+    """The row-wise part of file selection. In diff mode neither language nor globs are tested."""
     if tables.refs is not None:
-        return tables.files
-    return discovery.not_excluded(discovery.by_language(tables.files, options.languages), options.exclude)
+        return F.lit(True)
+    known = (
+        F.col("language") != "unknown" if options.languages is None else F.col("language").isin(list(options.languages))
+    )
+    return known & ~discovery.excluded(F.col("path"), options.exclude)
 
 
-def _narrowed(rows: DataFrame, tables: Tables, options: AuditOptions) -> DataFrame:
-    """Join filters, applied to rows without text."""
-    paths = tables.files.select("repo", "path")
+def extract(tables: Tables, options: AuditOptions) -> DataFrame:
+    """Everything the audit needs from file text, in one row-wise pass over the files.
+
+    One small row per file that matters: ``repo, path, language, candidate, signals, secrets, packages,
+    ignore_lines``. The text goes no further, so nothing later depends on its size.
+    """
+    text, path, language = F.col("content"), F.col("path"), F.col("language")
+    chosen = options.chosen(tables)
+    ignore_names = discovery.ignore_file_kinds(options.prefix, options.respect_gitignore)
+    is_lock, is_ignore = path.isin(list(lockfiles.LOCKFILES)), basename(path).isin(list(ignore_names))
+    files = tables.files.withColumn("candidate", _is_candidate(tables, options)).where(
+        F.col("candidate") | is_lock | is_ignore
+    )
+    carried = [
+        F.when(is_lock, lockfiles.packages_in(path, text)).alias("packages"),
+        F.when(is_ignore, lines(text)).alias("ignore_lines"),
+    ]
+    if options.detect:
+        names = [*provenance.TEXT_SIGNALS, "override"]
+        rows = provenance.text_signals(
+            files, options.prefix, options.secrets.unicode, ("repo", "path", "language", "candidate", "content")
+        )
+        files = rows.select("repo", "path", "language", "candidate", "content", F.struct(*names).alias("signals"))
+    else:
+        files = files.withColumn("signals", F.lit(None).cast("string"))
+    files = files.select("repo", "path", "language", "candidate", "signals", *carried, "content")
+    keep = ["repo", "path", "language", "candidate", "signals", "packages", "ignore_lines"]
+    if secrets.VERIFIER not in chosen:
+        return files.select(*keep)
+    scanned = F.when(F.col("candidate") & language.isin(secrets.LANGUAGES), text).alias("content")
+    return secrets.scan_secrets(files.select(*keep, scanned), options.secrets, keep)
+
+
+def candidates(tables: Tables, extracted: DataFrame, options: AuditOptions) -> DataFrame:
+    """The extracted rows that take part: ignore rules or the change set are applied here, to small rows."""
+    rows = extracted.where("candidate")
     if tables.refs is not None:
-        wanted = discovery.change_set(paths, tables.commits, tables.commit_files, tables.refs).distinct()
+        wanted = discovery.change_set(
+            tables.files.select("repo", "path"), tables.commits, tables.commit_files, tables.refs
+        )
         return rows.join(wanted, ["repo", "path"], "left_semi")
     if options.use_ignore_files:
-        rules = discovery.ignore_rules(tables.files, options.prefix, options.respect_gitignore)
-        return discovery.not_ignored(rows, candidate_files(tables, options).select("repo", "path"), rules)
+        ignore_files = extracted.where(F.col("ignore_lines").isNotNull()).withColumnRenamed("ignore_lines", "lines")
+        rules = discovery.rules_of_lines(ignore_files, options.prefix, options.respect_gitignore)
+        return discovery.not_ignored(rows, rows, rules)
     return rows
 
 
-def scan(tables: Tables, options: AuditOptions | None = None, with_secrets: bool = True) -> DataFrame:
-    """One row per candidate: ``repo, path, language, provenance_score, secrets`` (array of findings).
-
-    The text is read once. Signals and secrets are worked out in the same stage, and only their small
-    results meet the commit side, the ignore rules and the change set.
-    """
-    options = options or AuditOptions()
-    files = candidate_files(tables, options)
-    keep = ["repo", "path", "language"]
-    if options.detect:
-        signals = F.struct(*provenance.TEXT_SIGNALS, "override").alias("signals")
-        rows = provenance.text_signals(files, options.prefix, options.secrets.unicode, (*keep, "content"))
-        files = rows.select(*keep, "content", signals)
-        keep = [*keep, "signals"]
-    if with_secrets:
-        gated = F.when(F.col("language").isin(secrets.LANGUAGES), F.col("content")).alias("content")
-        slim = secrets.scan_secrets(files.select(*keep, gated), options.secrets, keep)
-    else:
-        slim = files.select(*keep)
-    slim = _narrowed(slim, tables, options)
+def scored(tables: Tables, rows: DataFrame, options: AuditOptions) -> DataFrame:
+    """Candidates with ``provenance_score``; null throughout if detection is off."""
     if not options.detect:
-        return slim.withColumn("provenance_score", F.lit(None).cast("double"))
+        return rows.withColumn("provenance_score", F.lit(None).cast("double"))
     side = None if tables.commits is None else provenance.commit_signals(tables.commits, tables.commit_files)
-    scored = provenance.with_score(slim.select("*", "signals.*").drop("signals"), side)
-    scored = scored.withColumn("provenance_score", F.col("score")).select(
-        "repo", "path", "language", "provenance_score", *(["secrets"] if with_secrets else [])
-    )
-    return provenance.likely_generated(scored.withColumnRenamed("provenance_score", "score"), options.threshold).withColumnRenamed(
-        "score", "provenance_score"
-    ) if options.ai_only else scored
+    with_score = provenance.with_score(rows.select("*", "signals.*"), side)
+    if options.ai_only:
+        with_score = provenance.likely_generated(with_score, options.threshold)
+    return with_score.withColumn("provenance_score", F.col("score")).select(*rows.columns, "provenance_score")
 
 
-def dependency_findings(tables: Tables) -> DataFrame:
+def dependency_findings(tables: Tables, packages: DataFrame) -> DataFrame:
     """Findings in locked dependencies, per repository and ecosystem."""
-    packages = lockfiles.chosen_packages(tables.files)
     parts = []
     if tables.advisories is not None:
         parts.append(vulnerabilities.advisory_findings(packages, tables.advisories))
@@ -105,28 +138,40 @@ def dependency_findings(tables: Tables) -> DataFrame:
 
 
 def audit(tables: Tables, options: AuditOptions | None = None) -> DataFrame:
-    """All findings, with scores. Write them to a table before counting or reporting on them."""
+    """All findings, with scores. Write them to a table before counting or reporting on them.
+
+    Calling this runs the extraction and writes its result to the checkpoint folder: the text is read
+    exactly once, however many parts use what was found in it.
+    """
     options = options or AuditOptions()
-    has_advisories = tables.advisories is not None or tables.osv_vulns is not None
+    extracted = checkpointed(extract(tables, options))
 
     def from_secrets() -> DataFrame:
-        scanned = scan(tables, options)
-        return explode_items(scanned, "secrets", ("repo", "path", "provenance_score"))
+        rows = scored(tables, candidates(tables, extracted, options), options)
+        return explode_items(rows, "secrets", ("repo", "path", "provenance_score"))
 
     def from_dependencies() -> DataFrame:
-        found = dependency_findings(tables)
-        lockfiles_scored = options.detect and (tables.refs is not None or "unknown" in (options.languages or ()))
-        if not lockfiles_scored:
+        locks = extracted.where(F.col("packages").isNotNull())
+        packages = lockfiles.first_lockfiles(lockfiles.lockfile_rows(locks))
+        found = dependency_findings(tables, packages)
+        if not options.detect or (tables.refs is None and "unknown" not in (options.languages or ())):
             return found
-        # Lockfiles are candidates only here; score these few files for their findings.
-        locks = tables.files.where(F.col("path").isin(list(lockfiles.LOCKFILES)))
-        scored = scan(Tables(locks, tables.commits, tables.commit_files, refs=tables.refs), options, with_secrets=False)
-        return attach_provenance(found, scored.withColumnRenamed("provenance_score", "score"))
+        # Lockfiles are candidates only here, so only here can their findings get a score.
+        rows = scored(tables, candidates(tables, extracted, options).where(F.col("packages").isNotNull()), options)
+        return attach_provenance(found, rows.withColumnRenamed("provenance_score", "score"))
 
-    chosen = choose_verifiers(
-        {secrets.VERIFIER: True, vulnerabilities.VERIFIER: has_advisories}, options.verifiers, options.skip
+    parts = run_verifiers(
+        {secrets.VERIFIER: from_secrets, vulnerabilities.VERIFIER: from_dependencies}, options.chosen(tables)
     )
-    parts = run_verifiers({secrets.VERIFIER: from_secrets, vulnerabilities.VERIFIER: from_dependencies}, chosen)
     if not parts:
         return tables.files.sparkSession.createDataFrame([], FINDINGS)
     return union_findings(parts)
+
+
+def run_table(tables: Tables, options: AuditOptions | None = None) -> DataFrame:
+    """Scanned files per repository, for reports. Reads no text beyond the ignore files."""
+    options = options or AuditOptions()
+    rows = tables.files.withColumn("candidate", _is_candidate(tables, options))
+    ignore_names = discovery.ignore_file_kinds(options.prefix, options.respect_gitignore)
+    ignore = F.when(basename(F.col("path")).isin(list(ignore_names)), lines(F.col("content"))).alias("ignore_lines")
+    return candidate_counts(candidates(tables, rows.select("repo", "path", "candidate", ignore), options))

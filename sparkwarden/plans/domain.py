@@ -10,8 +10,12 @@ the results are checked against.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwarden.session import shared_dir
+
 # Characters that need no quoting in either SQL dialect, and braces for use inside f-strings.
 NL, DQ, SQ = "chr(10)", "chr(34)", "chr(39)"
 LB_, RB_ = "{", "}"
@@ -267,15 +271,30 @@ TABLES = {
 }
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame."""
+    """A derived table as a DataFrame. The files table is written once per application, like a real corpus."""
+    if name != "files":
+        return _derived(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/derived-{key[0]}-{uuid4().hex}/files"
+        _derived(spark, sf_dir, name).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, stages = TABLES[name]
     df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     for depth, stage in enumerate(stages(Spark)):
         df = df.selectExpr(*stage)
         if name == "files" and depth == 0:
             # Two numbers become a whole file each: spread them first, the given table may be one small split.
-            df = df.repartition(spark.sparkContext.defaultParallelism, "k")
+            spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            df = df.repartition(spread, "k")
     return df
 
 

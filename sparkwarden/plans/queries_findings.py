@@ -8,12 +8,12 @@ from sparkwarden import __version__
 from sparkwarden.functions.severity import SEVERITIES, parse_severity, severity_rank
 from sparkwarden.operators import findings as fnd
 from sparkwarden.operators import reports
-from sparkwarden.operators.discovery import by_language
 from sparkwarden.operators.secrets import SecretOptions
-from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, candidate_files, scan
+from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, run_table
 from sparkwarden.plans.oracle import RANK, audit_ctes
 from sparkwarden.plans.queries_discovery import DIFF_CTES, refs_of
 from sparkwarden.plans.registry import Inputs, flat, query
+from sparkwarden.session import checkpointed
 
 OPTIONS = AuditOptions(secrets=SecretOptions(unicode=False))
 AUDIT = audit_ctes()
@@ -29,8 +29,13 @@ def _found(spark, sf_dir, options=OPTIONS):
     return audit(tables_of(spark, sf_dir), options)
 
 
+def _written(spark, sf_dir):
+    """Findings written once; reports read them several times."""
+    return checkpointed(_found(spark, sf_dir))
+
+
 def _runs(spark, sf_dir):
-    return fnd.candidate_counts(scan(tables_of(spark, sf_dir), AuditOptions(detect=False), with_secrets=False))
+    return run_table(tables_of(spark, sf_dir))
 
 
 @query(AUDIT + f"SELECT {_COLUMNS} FROM findings")
@@ -82,12 +87,12 @@ def findings_in_order(spark, sf_dir):
     + " FROM runs r LEFT JOIN findings f ON f.repo = r.repo GROUP BY r.repo"
 )
 def findings_by_severity(spark, sf_dir):
-    return fnd.counts_by_severity(_found(spark, sf_dir), _runs(spark, sf_dir))
+    return fnd.counts_by_severity(_written(spark, sf_dir), _runs(spark, sf_dir))
 
 
 @query(AUDIT + f"SELECT r.repo, max({RANK}) FILTER (WHERE severity IS NOT NULL) AS worst, coalesce(max({RANK}) FILTER (WHERE severity IS NOT NULL) < 4, true) AS passed FROM runs r LEFT JOIN findings f ON f.repo = r.repo GROUP BY r.repo")
 def gate_on_critical(spark, sf_dir):
-    return fnd.gate(_found(spark, sf_dir), "CRITICAL", _runs(spark, sf_dir))
+    return fnd.gate(_written(spark, sf_dir), "CRITICAL", _runs(spark, sf_dir))
 
 
 @query(AUDIT + f"SELECT {_COLUMNS} FROM findings WHERE {RANK} >= 3")
@@ -109,12 +114,12 @@ _DESCRIPTORS = f"SELECT repo, rule_id, arg_min(message, (-({RANK}), path, start_
 
 @query(AUDIT + _DESCRIPTORS)
 def rule_descriptors(spark, sf_dir):
-    return fnd.rule_descriptors(_found(spark, sf_dir), VERIFIERS).select("repo", "rule_id", "full_text")
+    return fnd.rule_descriptors(_written(spark, sf_dir), VERIFIERS).select("repo", "rule_id", "full_text")
 
 
 @query(AUDIT + "SELECT repo, verifier_id, severity, count(*) AS n FROM findings GROUP BY ROLLUP (repo, verifier_id, severity)")
 def severity_rollup(spark, sf_dir):
-    return fnd.severity_rollup(_found(spark, sf_dir))
+    return fnd.severity_rollup(_written(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, CASE lower(s) WHEN 'none' THEN 'info' ELSE lower(s) END AS severity, CASE lower(s) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS rank FROM (SELECT o_orderkey, replace(replace(substr(o_orderpriority, 3), 'NOT SPECIFIED', 'None'), 'URGENT', 'Critical') AS s FROM orders)")
@@ -175,7 +180,7 @@ _VERIFIER_LIST = ",".join(f'"{v}"' for v in VERIFIERS)
     UNION ALL {_listed(1, _FINDING)} UNION ALL SELECT repo, 2, ']}}' FROM runs"""
 )
 def json_report(spark, sf_dir):
-    lines = reports.json_lines(_found(spark, sf_dir), _runs(spark, sf_dir), VERIFIERS, duration_ms=1500)
+    lines = reports.json_lines(_written(spark, sf_dir), _runs(spark, sf_dir), VERIFIERS, duration_ms=1500)
     return lines.select("repo", "place.section", "line")
 
 
@@ -190,7 +195,7 @@ _OWN_RULES = ",".join(
     UNION ALL SELECT repo, 2, ']}}}},"results":[' FROM runs UNION ALL {_listed(3, _SARIF)} UNION ALL SELECT repo, 4, ']}}]}}' FROM runs"""
 )
 def sarif_report(spark, sf_dir):
-    lines = reports.sarif_lines(_found(spark, sf_dir), _runs(spark, sf_dir), VERIFIERS)
+    lines = reports.sarif_lines(_written(spark, sf_dir), _runs(spark, sf_dir), VERIFIERS)
     return lines.select("repo", "place.section", "line")
 
 
@@ -199,10 +204,10 @@ _COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in
 
 @query(
     AUDIT + f"""SELECT repo, 0 AS section, '{reports.TOOL} v{__version__}  ·  scanned ' || candidates_scanned || ' file(s) in 1.50s' || chr(10) AS line FROM runs
-    UNION ALL SELECT repo, 1, rpad(upper(severity), greatest(9, length(severity)), ' ') || ' ' || path || ':' || rpad(cast(start_line as varchar), 5, ' ') || '  ' || rule_id || chr(10) || '          ' || message FROM findings
+    UNION ALL SELECT repo, 1, rpad(upper(severity), 9, ' ') || ' ' || path || ':' || rpad(cast(start_line as varchar), cast(greatest(5, length(cast(start_line as varchar))) as int), ' ') || '  ' || rule_id || chr(10) || '          ' || message FROM findings
     UNION ALL SELECT repo, 2, CASE WHEN n = 0 THEN '0 findings' ELSE chr(10) || {" || ' · ' || ".join(f"{s} || ' {s}'" for s in SEVERITIES)} END
     FROM (SELECT r.repo, count(f.rule_id) AS n, {_COUNTS} FROM runs r LEFT JOIN findings f ON f.repo = r.repo GROUP BY r.repo)"""
 )
 def text_report(spark, sf_dir):
-    lines = reports.text_lines(_found(spark, sf_dir), _runs(spark, sf_dir), duration_ms=1500)
+    lines = reports.text_lines(_written(spark, sf_dir), _runs(spark, sf_dir), duration_ms=1500)
     return lines.select("repo", "place.section", "line")
