@@ -155,3 +155,17 @@ def on_changed_lines(findings: DataFrame, hunks: DataFrame) -> DataFrame:
         & (F.col("f.location.start_line") < F.col("h.end_line"))
     )
     return f.join(h, inside, "left_semi")
+
+
+def weekly_counts(findings: DataFrame, last: DataFrame) -> DataFrame:
+    """Findings per repository and week of the last commit of their file: ``week, repo, n``.
+
+    Findings are first counted per file, so the join and the final count see one row per file.
+    """
+    per_file = findings.groupBy("repo", F.col("location.path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    dated = per_file.join(last.select("repo", "path", "author_ts"), ["repo", "path"])
+    return (
+        dated.groupBy(F.window("author_ts", "7 days").alias("w"), "repo")
+        .agg(F.sum("n").alias("n"))
+        .select(F.col("w.start").alias("week"), "repo", "n")
+    )

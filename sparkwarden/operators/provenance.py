@@ -218,13 +218,17 @@ def text_signals(
 ) -> DataFrame:
     """Text signals and the override of every file; all null where the text is null. No shuffle."""
     text, language = F.col("content"), F.col("language")
+    signals = {
+        "docstring_ratio": docstring_ratio(text, language),
+        "null_density": null_density(text, unicode),
+        "marketing_comments": marketing_comments(text),
+        "unused_imports": unused_imports(text, language, unicode),
+        "function_variance": function_variance(text, language, unicode),
+    }
+    # The ramps are built on greatest and least, which pass over nulls: missing text is tested for here.
     return files.select(
         *keep,
-        docstring_ratio(text, language).alias("docstring_ratio"),
-        null_density(text, unicode).alias("null_density"),
-        marketing_comments(text).alias("marketing_comments"),
-        unused_imports(text, language, unicode).alias("unused_imports"),
-        F.when(text.isNotNull(), function_variance(text, language, unicode)).alias("function_variance"),
+        *[F.when(text.isNotNull(), value).alias(name) for name, value in signals.items()],
         inline_override(text, prefix).alias("override"),
     )
 
@@ -298,7 +302,7 @@ def with_score(rows: DataFrame, commit_side: DataFrame | None) -> DataFrame:
             {name: F.coalesce(name, F.lit(0.0)) for name in COMMIT_SIGNALS}
         )
     score = weighted_score({name: F.col(name) for name in WEIGHTS})
-    return rows.withColumn("score", F.coalesce("override", score))
+    return rows.withColumn("score", F.coalesce("override", F.when(F.col("null_density").isNotNull(), score)))
 
 
 def provenance(

@@ -6,5 +6,6 @@ from sparkwarden.plans import (  # noqa: F401
     queries_findings,
     queries_provenance,
     queries_secrets,
+    queries_streaming,
 )
 from sparkwarden.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,6 +8,7 @@ from sparkwarden import __version__
 from sparkwarden.functions.severity import SEVERITIES, parse_severity, severity_rank
 from sparkwarden.operators import findings as fnd
 from sparkwarden.operators import reports
+from sparkwarden.operators.provenance import last_commits
 from sparkwarden.operators.secrets import SecretOptions
 from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, run_table
 from sparkwarden.plans.oracle import RANK, audit_ctes
@@ -67,19 +68,12 @@ def audit_changed_files(spark, sf_dir):
     return flat(audit(tables, OPTIONS))
 
 
-@query(
-    AUDIT + f"""SELECT repo, path, start_line, rule_id, row_number() OVER (PARTITION BY repo ORDER BY {RANK} DESC, path, start_line, start_col, rule_id, snippet) AS place
-    FROM findings WHERE verifier_id = 'secrets'"""
-)
+@query(AUDIT + "SELECT repo, severity, path, start_line, start_col, rule_id, provenance_score FROM findings")
 def findings_in_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    found = _found(spark, sf_dir, AuditOptions(skip=["cve"], secrets=OPTIONS.secrets))
-    order = Window.partitionBy("repo").orderBy(*[c for c in fnd.order_key()], "location.snippet")
-    place = F.row_number().over(order)
-    return fnd.sort_findings(
-        found.select("*", place.alias("place"))
-    ).select("repo", "location.path", "location.start_line", "rule_id", "place")
+    found = fnd.sort_findings(_found(spark, sf_dir), ai_priority=True)
+    return found.select(
+        "repo", "severity", "location.path", "location.start_line", "location.start_col", "rule_id", "provenance_score"
+    )
 
 
 @query(
@@ -131,6 +125,24 @@ def severity_names(spark, sf_dir):
     return Inputs(spark, sf_dir).orders.select("o_orderkey", name.alias("severity"), severity_rank(name).alias("rank"))
 
 
+@query(
+    AUDIT + f"""SELECT {_COLUMNS} FROM findings f WHERE EXISTS (SELECT 1 FROM commit_files h WHERE h.repo = f.repo AND h.path = f.path
+    AND f.start_line >= h.start_line AND f.start_line < h.end_line)"""
+)
+def findings_on_changed_lines(spark, sf_dir):
+    hunks = Inputs(spark, sf_dir).commit_files.select("repo", "path", "start_line", "end_line")
+    return flat(fnd.on_changed_lines(_found(spark, sf_dir), hunks))
+
+
+@query(
+    AUDIT + """SELECT time_bucket(INTERVAL 7 DAYS, l.author_ts, TIMESTAMP '1970-01-01 00:00:00') AS week, f.repo, count(*) AS n
+    FROM findings f JOIN last_commit l ON l.repo = f.repo AND l.path = f.path GROUP BY 1, 2"""
+)
+def findings_per_week(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    return fnd.weekly_counts(_found(spark, sf_dir), last_commits(t.commits, t.commit_files))
+
+
 # --- reports ---
 
 def _json(x: str) -> str:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkwarden.functions.paths import extension, language_of
+from sparkwarden.functions.paths import basename, extension, glob_to_regex, language_of
 
 SNIFF_BYTES = 8192
+# Content handed over by a reading task at a time.
+READ_BYTES = 32 << 20
 
 
 def looks_binary(content: Column) -> Column:
@@ -36,19 +41,81 @@ def as_files(rows: DataFrame) -> DataFrame:
     )
 
 
+def _list_below(root: str):
+    """Task function: files below each given folder. Names starting with a dot or underscore are listed too."""
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as arrow_fs
+
+        files, base = arrow_fs.FileSystem.from_uri(root)
+        local = isinstance(files, arrow_fs.LocalFileSystem)
+        for batch in batches:
+            for folder, recursive in zip(batch["folder"], batch["recursive"]):
+                found = files.get_file_info(arrow_fs.FileSelector(folder, recursive=bool(recursive)))
+                paths = [f.path for f in found if f.is_file and not (local and _through_link(f.path, base))]
+                yield pd.DataFrame({"full": paths, "rel": [p[len(base):].lstrip("/") for p in paths]})
+
+    return run
+
+
+def _through_link(path: str, base: str) -> bool:
+    """True if the file or a folder between it and the root is a symbolic link."""
+    while len(path) > len(base.rstrip("/")):
+        if os.path.islink(path):
+            return True
+        path = os.path.dirname(path)
+    return False
+
+
+def _read_files(root: str):
+    """Task function: content of each path, handed over in batches of bounded size. Unreadable files are null."""
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as arrow_fs
+
+        files, _ = arrow_fs.FileSystem.from_uri(root)
+        for batch in batches:
+            rows, size = [], 0
+            for full, rel in zip(batch["full"], batch["rel"]):
+                try:
+                    with files.open_input_file(full) as stream:
+                        content = stream.read()
+                except OSError:
+                    content = None
+                rows.append((rel, content))
+                size += len(content or b"")
+                if size >= READ_BYTES:
+                    yield pd.DataFrame(rows, columns=["rel", "content"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["rel", "content"])
+
+    return run
+
+
 def read_tree(spark: SparkSession, root: str, repo: str | None = None, name_glob: str | None = None) -> DataFrame:
-    """Every regular file under ``root``, hidden ones included, as a files table.
+    """Every regular file under ``root`` (a path or URI all executors see), hidden ones included, as a files table.
 
-    With ``repo`` unset the first folder below the root names the repository. A missing root fails with
-    Spark's own path-not-found error. For large corpora keep the files in a columnar table and use
-    ``as_files``: listing many small files costs more than reading them.
+    Spark's own file sources pass over names that start with a dot or underscore, such as ignore files and
+    ``__init__.py``. So tasks list the top folders and then read the files, evenly spread. Links are not
+    followed. With ``repo`` unset the first folder below the root names the repository. A missing root
+    raises FileNotFoundError. For large corpora keep the files in a columnar table and use ``as_files``.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    files, base = pyarrow.fs.FileSystem.from_uri(uri)
+    top = [
+        f.path
+        for f in files.get_file_info(pyarrow.fs.FileSelector(base))
+        if f.type == pyarrow.fs.FileType.Directory and not os.path.islink(f.path)
+    ]
+    folders = spark.createDataFrame([(base, False), *[(p, True) for p in top]], "folder string, recursive boolean")
+    listed = folders.repartition(len(top) + 1, "folder").mapInPandas(_list_below(uri), "full string, rel string")
     if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    raw = reader.load(root)
-    clean_root = root.rstrip("/").removeprefix("file:")
-    rel = F.regexp_replace(F.substring_index(F.col("path"), clean_root, -1), F.lit("^/+"), F.lit(""))
+        listed = listed.where(F.rlike(basename(F.col("rel")), F.lit(glob_to_regex(name_glob) or "^$")))
+    raw = listed.repartition("full").mapInPandas(_read_files(uri), "rel string, content binary")
+    rel = F.col("rel")
     if repo is None:
         cols = [F.substring_index(rel, "/", 1).alias("repo"), F.regexp_replace(rel, F.lit("^[^/]*/"), F.lit("")).alias("path")]
     else:
