@@ -74,48 +74,46 @@ def rules_of_lines(rows: DataFrame, prefix: str = "audit", respect_git: bool = T
     )
 
 
-def _decision(rules: Column, path: Column, is_dir: Column) -> Column:
-    """What the last matching rule says about one path: true = ignore, false = keep, null = nothing."""
-
-    def applies(r: Column) -> Column:
-        inside = (r["dir"] == "") | F.startswith(path, F.concat(r["dir"], F.lit("/")))
-        below = F.when(r["dir"] == "", path).otherwise(F.substring(path, F.length(r["dir"]) + 2, F.length(path)))
-        return inside & (~r["dir_only"] | is_dir) & F.rlike(below, r["regex"])
-
-    return let(F.filter(rules, applies), lambda hit: F.when(F.size(hit) > 0, ~F.element_at(hit, -1)["negated"]))
-
-
 def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """The ``repo, path`` rows that the ignore rules leave out.
 
-    A path is left out if the last matching rule for it, or for any folder above it, is not negated:
-    nothing can be taken back below an ignored folder. Rules are first gathered into one sorted list
-    per repository (a few dozen short patterns), so a file meets its rules in one row and repositories
-    with many files are split over tasks like any other join side.
+    For a path and each folder above it, the last matching rule decides; kind comes before depth, and
+    depth before the order within one file. A path is left out if any of these decisions says so:
+    nothing can be taken back below an ignored folder.
+
+    Each path meets only the ignore files of the folders above it, in an equi join on repository and
+    folder. The rules of one ignore file form one list, never those of a whole repository.
     """
-    listed = rules.groupBy("repo").agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("kind", F.length("dir").alias("depth"), "dir", "ordinal", "regex", "negated", "dir_only")
-                )
-            ),
-            lambda r: F.struct(r["dir"].alias("dir"), r["regex"].alias("regex"), r["negated"].alias("negated"), r["dir_only"].alias("dir_only")),
-        ).alias("rules")
+    lists = rules.groupBy("repo", "dir", "kind").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "regex", "negated", "dir_only"))).alias("rules")
+    )
+    parts = paths.select("repo", "path", F.split("path", "/").alias("parts"))
+    folders = parts.select(
+        "repo", "path", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth")
+    ).withColumn("dir", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
+
+    def last_match(n: Column) -> Column:
+        # The first n parts of the path, seen from the folder of the ignore file.
+        below = F.array_join(F.slice("parts", F.col("depth") + 1, n - F.col("depth")), "/")
+        is_dir = n < F.size("parts")
+        hits = let(
+            below, lambda text: F.filter("rules", lambda r: (~r["dir_only"] | is_dir) & F.rlike(text, r["regex"]))
+        )
+        return let(hits, lambda h: F.struct(n.alias("n"), F.get(h, F.size(h) - 1)["negated"].alias("negated")))
+
+    steps = F.transform(F.sequence(F.col("depth") + 1, F.size("parts")), last_match)
+    decided = (
+        folders.join(lists, ["repo", "dir"])
+        .select("repo", "path", "kind", "depth", F.explode_outer(steps).alias("step"))
+        .where(F.col("step.negated").isNotNull())
+    )
+    return (
+        decided.groupBy("repo", "path", "step.n")
+        .agg(F.max(F.struct("kind", "depth", F.col("step.negated").alias("negated"))).alias("last"))
+        .where("not last.negated")
+        .select("repo", "path")
+        .distinct()
     )
-
-    def out(path: Column, ignore: Column) -> Column:
-        def steps(parts: Column) -> Column:
-            return F.exists(
-                F.sequence(F.lit(1), F.size(parts)),
-                lambda n: F.coalesce(
-                    _decision(ignore, F.array_join(F.slice(parts, F.lit(1), n), "/"), n < F.size(parts)), F.lit(False)
-                ),
-            )
-
-        return let(F.split(path, "/"), steps)
-
-    return paths.select("repo", "path").join(listed, "repo").where(out(F.col("path"), F.col("rules"))).select("repo", "path")
 
 
 def not_ignored(rows: DataFrame, paths: DataFrame, rules: DataFrame) -> DataFrame:

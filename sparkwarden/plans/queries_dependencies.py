@@ -87,18 +87,21 @@ def version_requirements(spark, sf_dir):
     )
 
 
+_OTHER = "concat(p_size % 4, '.', p_partkey % 7, '.', p_size % 9, CASE WHEN p_size % 2 = 0 THEN concat('-rc.', p_partkey % 30) ELSE '' END)"
+_ORDER_KEY = "list_append({key}, coalesce(try_cast(regexp_extract({v}, '-rc\\.([0-9]+)$', 1) as bigint), -1))"
+
+
+def _order_key(v: str) -> str:
+    return _ORDER_KEY.format(key=oracle._key(v), v=v)
+
+
 @query(
-    f"""SELECT p_partkey, version, dense_rank() OVER (ORDER BY k, pre) AS place FROM (
-          SELECT p_partkey, version, {oracle._key('version')} AS k, coalesce(try_cast(regexp_extract(version, '-rc\\.([0-9]+)$', 1) as bigint), -1) AS pre
-          FROM (SELECT p_partkey, {_VERSION} AS version FROM part))"""
+    f"""SELECT p_partkey, version, other, {_order_key('version')} < {_order_key('other')} AS earlier
+        FROM (SELECT p_partkey, {_VERSION} AS version, {_OTHER} AS other FROM part)"""
 )
 def version_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = Inputs(spark, sf_dir).part.selectExpr("p_partkey", f"{_VERSION} AS version").withColumn("k", semver_key(F.col("version")))
-    # Only distinct versions are ranked in one place: they are a few hundred however many parts there are.
-    ranks = rows.select("version", "k").distinct().select("version", F.dense_rank().over(Window.orderBy("k")).alias("place"))
-    return rows.join(ranks, "version").select("p_partkey", "version", "place")
+    rows = Inputs(spark, sf_dir).part.selectExpr("p_partkey", f"{_VERSION} AS version", f"{_OTHER} AS other")
+    return rows.withColumn("earlier", semver_key(F.col("version")) < semver_key(F.col("other")))
 
 
 @query(
