@@ -20,6 +20,8 @@ from sparkwarden.llm.common import strings
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+#: Fixed value: public_tokenizers.PATTERN.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same pattern in the standard library's own classes, right for texts without a character of RARE.
 USUAL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -31,13 +33,13 @@ RARE = frozenset("\x1c\x1d\x1e\x1f").union(
 
 
 def pieces(text: str) -> list[str]:
-    """The matches of public_tokenizers.PATTERN in a text."""
+    """The matches of PATTERN in a text."""
     return (USUAL if RARE.isdisjoint(text) else splitter()).findall(text)
 
 
 @lru_cache(maxsize=1)
 def splitter() -> re.Pattern:
-    """public_tokenizers.PATTERN for the standard library, with its Unicode classes written out."""
+    """PATTERN for the standard library, with its Unicode classes written out."""
 
     def ranges(kind: str) -> str:
         codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]

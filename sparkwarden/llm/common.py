@@ -66,3 +66,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def whole_groups(batches, key: str):
+    """Regroups Arrow batches that are sorted by ``key``: yields (table, starts), where the table holds whole groups only.
+
+    ``starts`` are the first rows of the groups and the table's end. What is kept between batches is one group.
+    """
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if kept:
+            last = kept[-1].column(kept[-1].schema.get_field_index(key))[-1].as_py()
+            if last != keys[0]:
+                yield _grouped(kept, key)
+                kept = []
+        if not len(cuts):
+            kept.append(b)
+            continue
+        yield _grouped([*kept, b.slice(0, cuts[-1])], key)
+        kept = [b.slice(cuts[-1])]
+    if kept:
+        yield _grouped(kept, key)
+
+
+def _grouped(batches: list[pa.RecordBatch], key: str):
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    keys = whole.column(key).to_numpy()
+    return whole, np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, kind=np.float32) -> np.ndarray:
+    """Rows of a binary column, all of one length, as a matrix."""
+    data, bounds = byte_rows(column)
+    return data.reshape(len(bounds) - 1, -1).view(kind) if len(bounds) > 1 else np.zeros((0, 0), kind)
+
+
+class Forest:
+    """Union-find over the numbers below n; the root is the smallest member."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+        return i != j

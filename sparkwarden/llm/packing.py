@@ -9,51 +9,70 @@ among the pieces of that size, without meeting the others.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparkwarden.llm.bpe import RARE, USUAL
+from sparkwarden.llm.bpe import PATTERN, RARE
 from sparkwarden.llm.common import chunks, stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a worker keeps.
-MAX_WORDS = 300_000
 
 
 class _Ids:
-    """Ids of texts as little-endian unsigned 32-bit integers. The tokenizer's words are encoded once and kept."""
+    """Ids of texts by a file of the tokenizers library.
+
+    If the file is a plain byte-level BPE (its n-th merge makes the token of rank n, words by the usual pattern), its own
+    table of ranks goes to tiktoken's core, which applies the same merges several times faster. Other files, and texts
+    with special tokens or rare characters, go through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        # In portions: each encoding holds offsets and masks besides its ids.
-        out: list[bytes] = []
-        for at in range(0, len(texts), 2000):
-            part = self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in part]
-        return out
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [
-            USUAL.findall(t) if RARE.isdisjoint(t) and not any(s in t for s in self.special) else None for t in texts
-        ]
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        new = list({w for ws in words if ws for w in ws}.difference(self.words))
-        self.words.update(zip(new, self._encode(new)))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self._encode([t])[0] for t, ws in zip(texts, words)]
+        with open(path, encoding="utf-8") as file:
+            ranks = byte_ranks(json.load(file))
+        self.core = None
+        if ranks:
+            import tiktoken
+
+            self.core = tiktoken.Encoding("core", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def of(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if self.core is not None and RARE.isdisjoint(text) and not any(s in text for s in self.special):
+            return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def byte_ranks(file: dict) -> dict[bytes, int] | None:
+    """Token bytes and ranks of a tokenizer file, or None if it is not a plain byte-level BPE."""
+    model, split = file["model"], file["pre_tokenizer"] or {}
+    plain = (
+        model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        and not split.get("add_prefix_space") and not file.get("normalizer") and not file.get("post_processor")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    )
+    if not plain:
+        return None
+    # The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256, 257, ...
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    alphabet = {chr(b): b for b in printable}
+    alphabet |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    added = {t["content"] for t in file.get("added_tokens") or []}
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [ranks.get(bytes(alphabet[c] for c in a + b)) for a, b in pairs]
+    return ranks if made == list(range(256, 256 + len(made))) and len(ranks) == 256 + len(made) else None
 
 
 @lru_cache(maxsize=2)
@@ -78,12 +97,11 @@ def pieces(
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             keys, column = b.column(0), b.column(1)
-            sizes = np.array([len(t or "") for t in column.to_pylist()], np.int64)
-            for lo, hi in chunks(sizes, 1 << 20):
+            for lo, hi in chunks(pc.fill_null(pc.binary_length(column), 0).to_numpy(), 1 << 20):
                 ids = _ids(path)
                 rows: list[tuple] = []
-                for i, data in enumerate(ids.of([t or "" for t in column.slice(lo, hi - lo).to_pylist()])):
-                    data += END_ID.to_bytes(4, "little")
+                for i, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
+                    data = ids.of(text or "") + END_ID.to_bytes(4, "little")
                     n = len(data) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
