@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import sys
@@ -11,10 +12,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sparkwarden.llm.common import strings
+from sparkwarden.llm.common import byte_rows, chunks, strings
 
 #: The code points of the pattern's white space.
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -80,18 +83,37 @@ class Transducer:
     one of the places from which the bytes read so far begin some token of the vocabulary; tokens left of a boundary do
     not depend on what is right of it. So what the segmentations up to all these places have in common at their start is
     settled: it is emitted, and the rest is the next state. The lookahead is thereby less than the longest token plus the
-    part on which the segmentations differ. Transitions are computed once and kept; ``max_states`` bounds them, after
-    which they are dropped and built anew, as lazily built automata do.
+    part on which the segmentations differ.
+
+    Transitions are worked out when an input first takes them, and kept in a hash table of arrays, so that many pieces
+    move on by one byte at a time together. At ``max_states`` states all are dropped, as lazily built automata do.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
         self.ranks, self.max_states = ranks, max_states
         self.starts = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.bytes_of = {r: t for t, r in ranks.items()}
+        #: Runs of ids that are emitted together, one after the other in ``pool``; run 0 is empty.
+        self.runs: dict[tuple[int, ...], int] = {(): 0}
+        self.pool, self.pool_start = [], [0, 0]
         self._reset()
 
     def _reset(self) -> None:
-        self.moves: dict[bytes, dict[int, tuple]] = {b"": {}}
+        self.rest, self.number, self.ends = [b""], {b"": 0}, [0]
+        self.size = 1 << 16
+        self.keys, self.values = np.full(self.size, -1), np.zeros(self.size, np.int64)
+        self.filled = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x1E3779B97F4A7C15 >> 20) & (self.size - 1)
+
+    def _run(self, ids: tuple[int, ...]) -> int:
+        run = self.runs.get(ids)
+        if run is None:
+            run = self.runs[ids] = len(self.runs)
+            self.pool += ids
+            self.pool_start.append(len(self.pool))
+        return run
 
     @lru_cache(maxsize=400_000)
     def tokens(self, piece: bytes) -> tuple[int, ...]:
@@ -110,25 +132,88 @@ class Transducer:
         out = paths[0][:settled]
         return read[sum(len(self.bytes_of[t]) for t in out) :], out
 
+    def _new(self, key: int) -> int:
+        """Works out the move ``key`` = state * 256 + byte: next state << 32 | run."""
+        rest, emitted = self._step(self.rest[key >> 8], key & 255)
+        after = self.number.get(rest)
+        if after is None:
+            after = self.number[rest] = len(self.rest)
+            self.rest.append(rest)
+            self.ends.append(self._run(self.tokens(rest) if rest else ()))
+        return after << 32 | self._run(emitted)
+
+    def _keep(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.filled += len(keys)
+        if 2 * self.filled >= self.size:
+            old = self.keys[self.keys >= 0], self.values[self.keys >= 0]
+            while 2 * self.filled >= self.size:
+                self.size *= 2
+            self.keys, self.values = np.full(self.size, -1), np.zeros(self.size, np.int64)
+            self._put(*old)
+        self._put(keys, values)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & (self.size - 1)
+
+    def _moves(self, keys: np.ndarray) -> np.ndarray:
+        """Values (next state << 32 | run) of moves; new ones are worked out."""
+        out, todo = np.empty(len(keys), np.int64), np.arange(len(keys))
+        at, missing = self._slot(keys), []
+        while len(todo):
+            there = self.keys[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            missing.append(todo[there < 0])
+            on = ~hit & (there >= 0)
+            todo, at = todo[on], (at[on] + 1) & (self.size - 1)
+        missing = np.concatenate(missing) if missing else todo
+        if len(missing):
+            new = np.unique(keys[missing])
+            self._keep(new, np.array(list(map(self._new, new.tolist()))))
+            out[missing] = self._moves(keys[missing])
+        return out
+
+    def encode_all(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces (bytes data[bounds[i]:bounds[i + 1]]), one after the other, and where each piece's begin."""
+        if len(self.rest) >= self.max_states:
+            self._reset()
+        begin, size = bounds[:-1], np.diff(bounds)
+        n = len(size)
+        order = np.argsort(-size, kind="stable")
+        state = np.zeros(n, np.int64)
+        pieces_, runs_ = [], []
+        for k in range(int(size.max(initial=0))):
+            order = order[: np.searchsorted(-size[order], -k, "left")]  # longer than k
+            value = self._moves(state[order] << 8 | data[begin[order] + k])
+            state[order] = value >> 32
+            run = value & 0xFFFFFFFF
+            some = np.flatnonzero(run)
+            pieces_.append(order[some])
+            runs_.append(run[some])
+        pieces_.append(np.arange(n))
+        runs_.append(np.array(self.ends)[state])
+        piece, run = np.concatenate(pieces_), np.concatenate(runs_)
+        by = np.argsort(piece, kind="stable")
+        piece, run = piece[by], run[by]
+        start = np.array(self.pool_start)
+        ids, length = ragged(np.array(self.pool, np.int32), start[run], start[run + 1] - start[run])
+        return ids, np.r_[0, np.cumsum(np.bincount(piece, length, n)).astype(np.int64)]
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Token ids of one piece, of any length."""
-        if piece in self.ranks:
-            return (self.ranks[piece],)
-        out: list[int] = []
-        state, moves = b"", self.moves[b""]
-        for byte in piece:
-            move = moves.get(byte)
-            if move is None:
-                after, emitted = self._step(state, byte)
-                if len(self.moves) > self.max_states:
-                    self._reset()
-                    moves = self.moves.setdefault(state, {})
-                move = moves[byte] = (after, self.moves.setdefault(after, {}), emitted)
-            state, moves, emitted = move
-            if emitted:
-                out += emitted
-        out += self.tokens(state) if state else ()
-        return tuple(out)
+        """Token ids of one piece."""
+        return tuple(self.encode_all(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))[0].tolist())
+
+
+def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[start[i] : start[i] + size[i]] for all i, one after the other, and the sizes."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(start - ends + size, size) + np.arange(total)], size
 
 
 class Utf8Stream:
@@ -170,24 +255,33 @@ class Utf8Stream:
 class Codec:
     """Encoder and decoder for whole texts; one for each Python worker."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str):
         ranks = read_ranks(path)
         self.machine = Transducer(ranks)
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.names = [str(i) for i in range(len(self.table))]
-        encode = self.machine.encode
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                if len(self) >= max_pieces:
-                    self.clear()
-                self[piece] = ids = encode(piece.encode())
-                return ids
-
-        self.pieces = Pieces()
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, pieces(text))))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. A piece that several hold goes through the transducer once; one that is a token is that."""
+        split = list(map(pieces, texts))
+        each = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        if not len(each):
+            return [[] for _ in texts]
+        different = each.dictionary
+        whole = np.array([self.machine.ranks.get(p.encode(), -1) for p in different.to_pylist()])
+        data, bounds = byte_rows(different.filter(pa.array(whole < 0)))
+        ids, starts = self.machine.encode_all(data, bounds)
+        # Of all different pieces: where their ids begin in ``ids`` with the whole tokens behind, and how many they are.
+        start, size = np.empty(len(whole), np.int64), np.ones(len(whole), np.int64)
+        start[whole >= 0] = len(ids) + np.arange((whole >= 0).sum())
+        start[whole < 0], size[whole < 0] = starts[:-1], np.diff(starts)
+        code = each.indices.to_numpy()
+        out, sizes = ragged(np.r_[ids, whole[whole >= 0]], start[code], size[code])
+        cuts = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, split)])]
+        return [out[s:e].tolist() for s, e in zip(cuts, cuts[1:])]
 
     def decode(self, ids: Iterable[int], portion: int = 65_536) -> Iterator[tuple[bytes, str]]:
         """(bytes, complete text) of the ids, portion by portion; the last portion closes the stream."""
@@ -203,14 +297,25 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def portions(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Texts of about a megabyte together, null as empty, and the first one's row. No cycles are made meanwhile."""
+    gc.disable()  # else each collection walks all states
+    try:
+        for lo, hi in chunks(pc.fill_null(pc.binary_length(column), 0).to_numpy(), limit):
+            yield lo, strings(column.slice(lo, hi - lo))
+    finally:
+        gc.enable()
+
+
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every whole text. A null or empty text has no ids; a null key stays null."""
 
     def run(batches):
         for b in batches:
             c = codec(path)
-            ids = [c.encode(t) for t in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+            for lo, part in portions(b.column(1)):
+                ids = pa.array(c.encode_all(part), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), ids], ["key", "ids"])
 
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = picked.schema["key"].dataType.simpleString()
@@ -244,19 +349,20 @@ def round_trips(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def run(batches):
         for b in batches:
-            c, counts, of_ids, of_bytes = codec(path), [], [], []
-            for t in strings(b.column(1)):
-                ids = c.encode(t)
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
-                digest = hashlib.sha256()
-                for _, part in c.decode(ids):
-                    digest.update(part.encode())
-                of_bytes.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            c = codec(path)
+            for lo, part in portions(b.column(1)):
+                counts, of_ids, of_bytes = [], [], []
+                for ids in c.encode_all(part):
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
+                    digest = hashlib.sha256()
+                    for _, text_of_ids in c.decode(ids):
+                        digest.update(text_of_ids.encode())
+                    of_bytes.append(digest.hexdigest())
+                columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, len(part)), *columns], ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
 
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = picked.schema["key"].dataType.simpleString()

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwarden.llm import bpe, chat, html, lattice, packing, toxicity, vptree
+from sparkwarden.llm import bpe, chat, html, lattice, packing, setsketch, toxicity, vptree
 from sparkwarden.llm.common import table
 
 #: Folder of the public vocabularies; the operators take paths.
@@ -47,6 +47,10 @@ def op8_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), os.path.join(VOCABULARIES, "byte_bpe_multi_50k.tiktoken"))
 
@@ -60,6 +64,7 @@ QUERIES = {
         op5_crf_extraction,
         op6_chat_formatting,
         op8_vantage_point_trees,
+        op9_setsketch_near_duplicates,
         op10_bpe_transducer,
     )
 }
