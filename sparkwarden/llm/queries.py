@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwarden.llm import bpe, chat, html, lattice, packing, setsketch, toxicity, vptree
+from sparkwarden.llm import bpe, chat, html, lattice, packing, repeats, setsketch, toxicity, vptree
 from sparkwarden.llm.common import table
 
 #: Folder of the public vocabularies; the operators take paths.
@@ -43,6 +43,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(added)))
 
 
+def op7_common_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op8_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op4_counterfactual_toxicity,
         op5_crf_extraction,
         op6_chat_formatting,
+        op7_common_prefix_intervals,
         op8_vantage_point_trees,
         op9_setsketch_near_duplicates,
         op10_bpe_transducer,
