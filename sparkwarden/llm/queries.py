@@ -7,13 +7,25 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwarden.llm import bpe, chat, html, lattice, packing, repeats, setsketch, toxicity, vptree
+from sparkwarden.llm import bpe, chat, html, language, lattice, packing, repeats, setsketch, toxicity, vptree
 from sparkwarden.llm.common import table
 
 #: Folder of the public vocabularies; the operators take paths.
 VOCABULARIES = os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identified(docs, language.fit(docs))
+
+
+def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on pages, with the language they declare, their addresses' suffixes and hosts."""
+    model = language.fit(table(spark, sf_dir, "documents"))
+    pages = language.of_pages(table(spark, sf_dir, "pages"))
+    return language.identified(pages, model, "page_id", "text", "declared", "host", "suffix")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), os.path.join(VOCABULARIES, "byte_bpe_50k.json"))
 
@@ -62,6 +74,8 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_language_fusion,
+        llm_page_language,
         op2_best_fit_packing,
         op3_lattice_near_duplicates,
         op4_counterfactual_toxicity,

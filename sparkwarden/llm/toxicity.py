@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -11,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwarden.llm.common import strings
+from sparkwarden.llm.common import stored, strings
 
-#: Labelled rows that training takes at most (in expectation; drawn by a hash of the id, and never above twice that).
-SAMPLE = 20_000
+#: Labelled rows that training takes at most in expectation, drawn evenly by a hash of the id.
+SAMPLE = 12_000
 THRESHOLD = 0.3
 #: Beginnings of words that are features beside whole words, so that unseen inflections share them.
 STEMS = (4, 5, 6)
@@ -64,11 +65,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def swaps(found: set[str], draw: np.random.Generator) -> tuple[set[str], set[str]]:
+def swaps(found: set[str]) -> tuple[set[str], set[str]]:
     """A counterfactual of a text's words: (taken out, put in).
 
-    Every identity term is swapped for another of its language. A text without any gets a neutral mention of one.
+    Every identity term is swapped for another of its language. A text without any gets a neutral mention of one. Which
+    one, the words decide.
     """
+    draw = np.random.default_rng(zlib.crc32(" ".join(sorted(found)).encode()))
     out, into = set(), set()
     for terms in _TERMS:
         for t in sorted(found & terms.keys()):
@@ -83,60 +86,46 @@ def swaps(found: set[str], draw: np.random.Generator) -> tuple[set[str], set[str
 _TERMS = [dict.fromkeys(t.split()) for t in IDENTITIES.values()]
 
 
+def features(found: set[str]) -> set[str]:
+    return {f for w in found for f in word_features(w)}
+
+
+def choose(counts: list[tuple[str, int, int]], rows: int, toxic: int) -> list[str]:
+    """Features worth a weight: of (feature, rows with it, toxic rows with it), those whose share of toxic rows differs
+    from that of all rows beyond chance (chi-square 12), and those of identity terms, whose effect must be held at zero."""
+    share = toxic / rows
+    telling = {f for f, n, t in counts if (t - n * share) ** 2 >= 12 * n * share * (1 - share)}
+    return sorted(telling | {f for terms in _TERMS for t in terms for f in word_features(t)})
+
+
 def train(
-    rows: list[tuple[set[str], int]], evenness: float = 20.0, ridge: float = 0.5, rounds: int = 250, seed: int = 4
-) -> Model:
-    """Logistic regression on presence of words and stems; ``rows`` are (words, label).
-
-    The loss is the log loss, plus ``ridge`` times the squared weights, plus ``evenness`` times the mean squared change
-    of the score between a row and its counterfactual. Features are words and stems that four rows have and whose
-    share differs between the labels beyond chance (chi-square 12), and those of identity terms, which the penalty
-    holds at zero effect. Without rows of both labels the score is the constant share of label 1.
+    known: list[str], present: list[np.ndarray], changes: list[np.ndarray], labels: np.ndarray,
+    evenness: float = 20.0, ridge: float = 0.5, rounds: int = 250,
+) -> Model:
+    """Logistic regression on the presence of the known features, by Adam.
+
+    ``present`` are each row's feature numbers; ``changes`` those that its counterfactual puts in and, as -1 - number,
+    takes out. The loss is the log loss, plus ``ridge`` times the squared weights, plus ``evenness`` times the squared
+    change of the score between a row and its counterfactual.
     """
-    n, toxic = len(rows), sum(y for _, y in rows)
-    if not toxic or toxic == n:
-        return Model(-4.0 if not toxic else 4.0, {})
-    draw = np.random.default_rng(seed)
-    features = [{f for w in found for f in word_features(w)} for found, _ in rows]
-    count, among = Counter(), Counter()
-    for present, (_, y) in zip(features, rows):
-        count.update(present)
-        if y:
-            among.update(present)
-    expected = toxic / n
-    identity = {f for terms in _TERMS for t in terms for f in word_features(t)}
-    known = {}
-    for f, c in sorted(count.items()):
-        off = among[f] - c * expected
-        if c >= 4 and off * off / (c * expected * (1 - expected)) >= 12 or f in identity:
-            known[f] = len(known)
-    if not known:
-        return Model(math.log(expected / (1 - expected)), {})
-    at = [(i, known[f]) for i, present in enumerate(features) for f in sorted(present & known.keys())]
-    row, column = (np.array(x, np.int64) for x in zip(*at)) if at else (np.zeros(0, np.int64),) * 2
-    y = np.array([label for _, label in rows], float)
-    pairs = []
-    for i, (found, _) in enumerate(rows):
-        out, into = swaps(found, draw)
-        before = features[i]
-        after = {f for w in (found - out) | into for f in word_features(w)} if out or into else before
-        pairs += [(i, known[f], -1.0) for f in sorted((before - after) & known.keys())]
-        pairs += [(i, known[f], 1.0) for f in sorted((after - before) & known.keys())]
-    p_row, p_column, p_sign = (np.array(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    k = len(known)
-    w, bias = np.zeros(k), math.log(expected / (1 - expected))
+    n, k = len(labels), len(known)
+    flat = lambda rows: (np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64))
+    (row, column), (p_row, change) = flat(present), flat(changes)
+    p_sign, p_column = np.where(change < 0, -1.0, 1.0), np.where(change < 0, -1 - change, change)
+    share = labels.mean()
+    w, bias = np.zeros(k), math.log(share / (1 - share))
     first, second = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, rounds + 1):
         score = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[column], minlength=n), -500, 500)))
-        change = np.bincount(p_row, p_sign * w[p_column], minlength=n)
-        error = score - y
+        moved = np.bincount(p_row, p_sign * w[p_column], minlength=n)
+        error = score - labels
         slope = np.bincount(column, error[row], minlength=k) + ridge * w
-        slope += 2 * evenness * np.bincount(p_column, p_sign * change[p_row], minlength=k)
+        slope += 2 * evenness * np.bincount(p_column, p_sign * moved[p_row], minlength=k)
         slope = np.r_[slope, error.sum()]
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3})
+    return Model(float(bias), {f: float(x) for f, x in zip(known, w) if abs(x) > 1e-3})
 
 
 def held_out(key: Column) -> Column:
@@ -147,7 +136,9 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from about ``sample`` labelled rows outside ``held_out``, drawn evenly by a hash of the id.
 
-    Of a repeated label the largest counts; null labels and ids are left out. Executors reduce texts to their words.
+    Of a repeated label the largest counts; null labels and ids are left out. Executors reduce texts to words and count
+    features; the driver gets the telling features and, for each row of the sample, their numbers. Without rows of both
+    labels the score is a constant.
     """
     known = labels.where(labels[label].isNotNull() & labels[key].isNotNull() & ~held_out(labels[key]))
     known = known.groupBy(labels[key].alias("key")).agg(F.max(labels[label]).alias("label"))
@@ -160,10 +151,51 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
             found = [" ".join(sorted(words(t))) for t in strings(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(1)], ["words", "label"])
 
-    picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(drawn, "key").select("text", "label")
-    rows = picked.mapInArrow(reduce, f"words string, label {drawn.schema['label'].dataType.simpleString()}")
-    found = rows.orderBy("words", "label").limit(2 * sample).toArrow()
-    return train([(set(w.split()), int(y > 0)) for w, y in zip(found["words"].to_pylist(), found["label"].to_pylist())])
+    def count(batches):
+        seen, among = Counter(), Counter()
+        for b in batches:
+            for found, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = features(set(found.split()))
+                seen.update(own)
+                among.update(own if y else ())
+        names = list(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([seen[f] for f in names], pa.int64()), pa.array([among[f] for f in names], pa.int64())],
+            ["feature", "n", "toxic"],
+        )
+
+    picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(drawn, "key")
+    picked = picked.select("text", (F.col("label") > 0).cast("int").alias("label"))
+    rows = stored(picked.mapInArrow(reduce, "words string, label int"))
+    told = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    size, toxic = told[0], told[1] or 0
+    if not toxic or toxic == size:
+        return Model(4.0 if toxic else -4.0, {})
+    counts = rows.mapInArrow(count, "feature string, n long, toxic long").groupBy("feature")
+    counts = counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("n >= 4")
+    share = toxic / size
+    # The same test as in ``choose``, so that only features that pass travel.
+    counts = counts.where(F.pow(F.col("toxic") - F.col("n") * share, 2) >= 12 * F.col("n") * share * (1 - share))
+    known = choose([tuple(r) for r in counts.collect()], size, toxic)
+    number = {f: i for i, f in enumerate(known)}
+
+    def numbered(batches):
+        for b in batches:
+            present, changes = [], []
+            for found in b.column(0).to_pylist():
+                before = set(found.split())
+                out, into = swaps(before)
+                old, new = features(before), features((before - out) | into)
+                present.append(sorted(number[f] for f in old if f in number))
+                changes.append(
+                    sorted([number[f] for f in new - old if f in number] + [-1 - number[f] for f in old - new if f in number])
+                )
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(present, kind), pa.array(changes, kind), b.column(1)], ["present", "changes", "label"])
+
+    data = rows.mapInArrow(numbered, "present array<int>, changes array<int>, label int").orderBy("label", "present", "changes").toArrow()
+    arrays = lambda name: [np.array(x, np.int64) for x in data[name].to_pylist()]
+    return train(known, arrays("present"), arrays("changes"), data["label"].to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
