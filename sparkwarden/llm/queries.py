@@ -12,6 +12,8 @@ from sparkwarden.llm.common import table
 
 #: Folder of the public vocabularies; the operators take paths.
 VOCABULARIES = os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
+TOKENIZER = os.path.join(VOCABULARIES, "byte_bpe_50k.json")
+RANKS = os.path.join(VOCABULARIES, "byte_bpe_multi_50k.tiktoken")
 
 
 def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), os.path.join(VOCABULARIES, "byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op3_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trips(table(spark, sf_dir, "documents"), os.path.join(VOCABULARIES, "byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trips(table(spark, sf_dir, "documents"), RANKS)
 
 
 QUERIES = {

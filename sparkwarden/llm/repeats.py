@@ -176,15 +176,20 @@ def _same(a: str, b: str):
 def _packed(docs: DataFrame) -> DataFrame:
     """Documents with compressed texts, which halves what their joins shuffle."""
 
+    others = docs.columns[3:]
+
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for b in batches:
             texts = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
             packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
             sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, packed], ["doc_id", "sum", "size", "packed"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), sizes, packed, *b.columns[3:]], ["doc_id", "sum", "size", "packed", *others]
+            )
 
-    return docs.mapInArrow(run, "doc_id long, sum int, size long, packed binary")
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[3:])
+    return docs.mapInArrow(run, f"doc_id long, sum int, size long, packed binary{kinds}")
 
 
 def _padded(column, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,12 +323,11 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     return found.groupBy("gram", "context").agg(F.max("d").alias("before"), (length - F.min("d")).alias("after"))
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, sum, text); ``sum`` tells apart different texts of one id."""
-    t = docs[text].cast("string")
-    return docs.select(
-        docs[key].cast("long").alias("doc_id"), F.hash(F.coalesce(t, F.lit(""))).alias("sum"), F.coalesce(t, F.lit("")).alias("text")
-    )
+def _identified(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sum, text, with_0, ...); ``sum`` tells apart different texts of one id."""
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
+    others = [docs[c].alias(f"with_{i}") for i, c in enumerate(carry)]
+    return docs.select(docs[key].cast("long").alias("doc_id"), F.hash(t).alias("sum"), t.alias("text"), *others)
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
@@ -367,8 +371,11 @@ def _runs(spans_: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", cell: int = CELL, whole_characters: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row of ``docs``.
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", cell: int = CELL,
+    whole_characters: bool = False, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) and the columns ``carry`` for every row of ``docs``.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else in the documents as given,
     the same document included; overlaps count, and matches do not cross documents. ``n_spans`` counts maximal runs.
@@ -378,12 +385,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     """
     named = _identified(docs, key, text)
     spans_ = covered(named, length, GRAM, cell)
+    whole = _identified(docs, key, text, carry)
+    carried = [f"with_{i}" for i in range(len(carry))]
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
         codec = pa.Codec("zstd")
         for b in batches:
             rows: list[tuple] = []
-            for doc, size, packed, found in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, size, packed, found in zip(*(c.to_pylist() for c in b.columns[:4])):
                 data = codec.decompress(packed, size, asbytes=True) if size else b""
                 runs = _runs([(x["s"], x["e"]) for x in found or ()], size)
                 if whole_characters:
@@ -395,15 +406,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 kept = b"".join([*kept, data[at:]])
                 rows.append((doc, size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
-
-    joined = _packed(named).alias("d").join(spans_.alias("s"), _same("d", "s"), "left").select("d.doc_id", "size", "packed", "spans")
-    return joined.mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*columns, *b.columns[4:]], [*names, *carried])
+
+    joined = _packed(whole).alias("d").join(spans_.alias("s"), _same("d", "s"), "left")
+    joined = joined.select("d.doc_id", "size", "packed", "spans", *carried)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:])
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{kinds}"
+    return joined.mapInArrow(run, schema).withColumnsRenamed(dict(zip(carried, carry)))
 
 
 def _narrowed(data: bytes, s: int, e: int) -> tuple[int, int]:

@@ -218,3 +218,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"), out.alias("held_out"))
     kind = picked.schema["key"].dataType.simpleString()
     return picked.mapInArrow(run, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+
+
+def harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below ``threshold``, with all their columns; nothing is shuffled."""
+
+    def run(batches):
+        memo: dict[str, tuple[str, ...]] = {}
+        for b in batches:
+            texts = strings(b.column(b.schema.get_field_index(text)))
+            yield b.filter(pa.array([model.score(words(t), memo) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
