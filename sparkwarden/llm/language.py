@@ -30,18 +30,19 @@ _CLASS[_CLASS == 0] = 32
 
 
 def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each trigram of letters, with word ends but without runs of spaces."""
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(text, bucket) of each trigram around a letter, with the ends of words; all that is not a letter is space."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     letters = _CLASS[data]
     # Capitals of Latin-1 in UTF-8: the second byte after 195.
     capital = np.flatnonzero((data[:-1] == 195) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     letters[capital] |= 0x20
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    a, b, c = letters[:-2], letters[1:-1], letters[2:]
-    at = np.flatnonzero((text[:-2] == text[2:]) & (b != 32) & ((a != 32) | (c != 32)))
-    code = (a[at].astype(np.uint32) << 16) | (b[at].astype(np.uint32) << 8) | c[at]
-    return text[at], ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)).astype(np.int64)
+    # A space before and after each text.
+    padded = np.full(len(data) + 2 * (len(bounds) - 1), 32, np.uint8)
+    own = np.arange(len(data)) + 1 + 2 * text
+    padded[own] = letters
+    at = own[letters != 32]
+    code = (padded[at - 1].astype(np.uint32) << 16) | (padded[at].astype(np.uint32) << 8) | padded[at + 1]
+    return text[letters != 32], ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)).astype(np.int64)
 
 
 def _primary(declared: Column) -> Column:
@@ -126,8 +127,8 @@ def identified(
     this suffix. All shares are sums of the rows' text-only posteriors by grouped aggregation. ``UNKNOWN`` is explained by
     even chances. ``accepted`` rows have a known language with a posterior of ``CONFIDENCE`` or more.
 
-    Null or empty texts and texts without three letters in a row's reach have no likelihood: they are ``UNKNOWN``, not
-    accepted, and count nowhere. Null or unusual declared values, hosts and suffixes give no evidence. Repeated rows count
+    Null and empty texts and texts without letters have no likelihood: they are ``UNKNOWN``, not accepted, and count
+    nowhere. Null or unusual declared values, hosts and suffixes give no evidence. Repeated rows count
     as rows; further columns are ignored; an empty table gives an empty one. Ties go to the first of ``languages``.
     """
     none = F.lit(None).cast("string")
