@@ -38,6 +38,16 @@ def language_of(path: Column) -> Column:
     return out.otherwise(F.lit("unknown"))
 
 
+def class_regex(members: str, negated: bool) -> str:
+    """Java regex of a glob's character class; a range that runs backwards holds nothing."""
+    parts = re.findall(r"(?s)(.)-(.)|(.)", members)
+    code = lambda c: f"\\u{ord(c):04x}" if ord(c) < 0x10000 else c
+    inside = [code(one) if one else f"{code(a)}-{code(b)}" for a, b, one in parts if one or a <= b]
+    if not inside:
+        return "(?s:.)" if negated else "(?!)"
+    return "[" + "^" * negated + "".join(inside) + "]"
+
+
 def glob_to_regex(glob: str) -> str | None:
     """Whole-path regex of a shell glob, or None if the glob is not valid.
 
@@ -73,8 +83,7 @@ def glob_to_regex(glob: str) -> str | None:
             close = glob.find("]", k + 1)
             if close < 0:
                 return None
-            members = re.sub(r"([\\\[\]^&~])", r"\\\1", glob[k:close])
-            out.append("[" + ("^" if negated else "") + members + "]")
+            out.append(class_regex(glob[k:close], negated))
             i = close
         else:
             out.append(re.escape(c))
@@ -82,27 +91,72 @@ def glob_to_regex(glob: str) -> str | None:
     return "^" + "".join(out) + "$"
 
 
+# What an ignore pattern is made of: double stars with their slashes, stars, classes, escapes, single characters.
+_IGNORE_TOKEN = r"(?s)(^\*\*/|/\*\*/|/\*\*$|\*+|\[[!^]?\]?[^\]]*\]|\\.|.)"
+_IGNORE_STEPS = {"**/": "(?:.*/)?", "/**/": "/(?:.*/)?", "/**": "/.+", "?": "[^/]"}
+
+
+def _char_regex(char: Column) -> Column:
+    """A character by its code, which no regex syntax can touch."""
+    return F.concat(F.lit("\\x{"), F.lower(F.hex(F.ascii(char))), F.lit("}"))
+
+
+def _class_items(token: Column) -> Column:
+    """Members of a class token: ranges ``a-b`` and single characters."""
+    inner = F.regexp_replace(token, F.lit(r"(?s)^\[[!^]?(.*)\]$"), F.lit("$1"))
+    return F.regexp_extract_all(inner, F.lit("(?s)(.-.|.)"), F.lit(1))
+
+
+def _is_range(item: Column) -> Column:
+    return F.length(item) == 3
+
+
+def _ignore_tokens(pattern: Column) -> tuple[Column, Column]:
+    """The pattern without its leading and trailing slashes as tokens, and whether it is anchored."""
+    body = F.regexp_replace(pattern, F.lit("/+$"), F.lit(""))
+    rel = F.regexp_replace(F.regexp_replace(body, F.lit("^/"), F.lit("")), F.lit(r"(/\*\*)+/"), F.lit("/**/"))
+    return F.regexp_extract_all(rel, F.lit(_IGNORE_TOKEN), F.lit(1)), F.contains(body, F.lit("/"))
+
+
+def ignore_pattern_valid(pattern: Column) -> Column:
+    """False for an unclosed class, a range that runs backwards and a backslash at the end: such rules are left out."""
+    tokens, _ = _ignore_tokens(pattern)
+
+    def bad(token: Column) -> Column:
+        is_class = F.startswith(token, F.lit("[")) & (F.length(token) > 1)
+        backwards = F.exists(
+            _class_items(token), lambda i: _is_range(i) & (F.ascii(F.substring(i, 1, 1)) > F.ascii(F.substring(i, 3, 1)))
+        )
+        return (token == "[") | (token == "\\") | (is_class & backwards)
+
+    return ~F.exists(tokens, bad)
+
+
 def ignore_pattern_regex(pattern: Column) -> Column:
-    """Regex of one ignore-file pattern, for paths relative to the folder of that ignore file.
+    """Regex of one valid ignore-file pattern, for paths relative to the folder of that ignore file.
 
-    A pattern with a slash before its end is anchored; any other one matches at every depth.
+    A pattern with a slash before its end is anchored; any other one matches at every depth. Every character without a
+    meaning in the pattern stands for itself, also after a backslash.
     """
-    body = F.regexp_replace(pattern, F.lit("/+$"), F.lit(""))
-    anchored = F.contains(body, F.lit("/"))
-    rel = F.regexp_replace(body, F.lit("^/"), F.lit(""))
-    # Literal characters are quoted first, then the wildcards get their meaning.
-    quoted = F.regexp_replace(rel, F.lit(r"([.+^$(){}|])"), F.lit(r"\\$1"))
-    quoted = F.regexp_replace(quoted, F.lit(r"\[!"), F.lit("[^"))
-    steps = [
-        (r"^\*\*/", "\x02"),
-        (r"/\*\*/", "\x03"),
-        (r"/\*\*$", "\x04"),
-        (r"\*+", "[^/]*"),
-        (r"\?", "[^/]"),
-        ("\x02", "(?:.*/)?"),
-        ("\x03", "/(?:.*/)?"),
-        ("\x04", "/.+"),
-    ]
-    for old, new in steps:
-        quoted = F.regexp_replace(quoted, F.lit(old), F.lit(new))
+    tokens, anchored = _ignore_tokens(pattern)
+    steps = F.create_map(*[F.lit(x) for pair in _IGNORE_STEPS.items() for x in pair])
+
+    def regex(token: Column) -> Column:
+        negated = token.rlike(r"^\[[!^]")
+        members = F.transform(
+            _class_items(token),
+            lambda i: F.when(_is_range(i), F.concat(_char_regex(F.substring(i, 1, 1)), F.lit("-"), _char_regex(F.substring(i, 3, 1)))).otherwise(_char_regex(i)),
+        )
+        return (
+            F.when(F.try_element_at(steps, token).isNotNull(), F.try_element_at(steps, token))
+            .when(F.startswith(token, F.lit("*")), F.lit("[^/]*"))
+            .when(
+                F.startswith(token, F.lit("[")) & (F.length(token) > 1),
+                F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), F.array_join(members, ""), F.lit("]")),
+            )
+            .when(F.startswith(token, F.lit("\\")) & (F.length(token) > 1), _char_regex(F.substring(token, 2, 1)))
+            .otherwise(_char_regex(token))
+        )
+
+    quoted = F.array_join(F.transform(tokens, regex), "")
     return F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), quoted, F.lit("$"))

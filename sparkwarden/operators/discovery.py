@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwarden.functions.arrays import let
-from sparkwarden.functions.paths import basename, dirname, glob_to_regex, ignore_pattern_regex
+from sparkwarden.functions.paths import basename, dirname, glob_to_regex, ignore_pattern_regex, ignore_pattern_valid
 from sparkwarden.functions.text import lines
 
 # Added, copied, modified, renamed; deleted paths are left out.
@@ -53,8 +53,8 @@ def ignore_rules(files: DataFrame, prefix: str = "audit", respect_git: bool = Tr
     return rules_of_lines(rows.select("repo", "path", lines(F.col("content")).alias("lines")), prefix, respect_git)
 
 
-def rules_of_lines(rows: DataFrame, prefix: str = "audit", respect_git: bool = True) -> DataFrame:
-    """The same from rows of ``repo, path, lines``."""
+def rules_of_lines(rows: DataFrame, prefix: str = "audit", respect_git: bool = True, invalid: bool = False) -> DataFrame:
+    """The same from rows of ``repo, path, lines``; with ``invalid`` the lines that are no valid rule instead."""
     kinds = ignore_file_kinds(prefix, respect_git)
     name = basename(F.col("path"))
     kind = None
@@ -67,10 +67,23 @@ def rules_of_lines(rows: DataFrame, prefix: str = "audit", respect_git: bool = T
     rows = rows.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     negated = F.startswith("line", F.lit("!"))
     pattern = F.when(negated, F.substring(F.col("line"), F.lit(2), F.length("line"))).otherwise(F.col("line"))
-    return rows.select(
-        "repo", "dir", "kind", "ordinal", pattern.alias("pattern"), negated.alias("negated"),
-        F.endswith(pattern, F.lit("/")).alias("dir_only"),
-        ignore_pattern_regex(pattern).alias("regex"),
+    rows = rows.withColumn("pattern", pattern)
+    valid = ignore_pattern_valid(F.col("pattern"))
+    return rows.where(valid if not invalid else ~valid).select(
+        "repo", "dir", "kind", "ordinal", "pattern", negated.alias("negated"),
+        F.endswith("pattern", F.lit("/")).alias("dir_only"),
+        ignore_pattern_regex(F.col("pattern")).alias("regex"),
+    )
+
+
+def invalid_ignore_rules(rows: DataFrame, prefix: str = "audit", respect_git: bool = True) -> DataFrame:
+    """Lines of ignore files (rows of ``repo, path, lines``) that are no valid rule, as an error table."""
+    names = F.create_map(*[F.lit(x) for name, kind in ignore_file_kinds(prefix, respect_git).items() for x in (kind, name)])
+    bad = rules_of_lines(rows, prefix, respect_git, invalid=True)
+    path = F.concat(F.when(F.col("dir") != "", F.concat("dir", F.lit("/"))).otherwise(F.lit("")), F.element_at(names, F.col("kind")))
+    return bad.select(
+        "repo", path.alias("path"), F.lit("discovery").alias("verifier_id"),
+        F.format_string("invalid ignore rule in line %d: %s", F.col("ordinal") + 1, F.col("pattern")).alias("reason"),
     )
 
 

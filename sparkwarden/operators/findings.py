@@ -17,6 +17,8 @@ AI_LIKELY = 0.5
 Verifier = Callable[[], DataFrame]
 
 
+WEEK = 7 * 24 * 3600
+
 def choose_verifiers(
     available: Mapping[str, bool], explicit: Sequence[str] | None = None, skip: Sequence[str] = ()
 ) -> list[str]:
@@ -119,12 +121,12 @@ def with_levels(findings: DataFrame) -> DataFrame:
     )
 
 
-def rule_descriptors(findings: DataFrame, verifiers: Mapping[str, str]) -> DataFrame:
+def rule_descriptors(findings: DataFrame, verifiers: Mapping[str, str], ai_priority: bool = False) -> DataFrame:
     """Rules of each repository's report: ``repo, rule_id, short_text, full_text, place``.
 
-    Verifiers come first; every other rule id is described by the message of its first finding.
+    Verifiers come first; every other rule id is described by the message of its first finding in the report's order.
     """
-    key = F.struct(*order_key())
+    key = F.struct(*([] if ai_priority else [F.lit(0.0).alias("by_score")]), *order_key(ai_priority))
     seen = (
         findings.where(~F.col("rule_id").isin(list(verifiers)))
         .groupBy("repo", "rule_id")
@@ -160,12 +162,11 @@ def on_changed_lines(findings: DataFrame, hunks: DataFrame) -> DataFrame:
 def weekly_counts(findings: DataFrame, last: DataFrame) -> DataFrame:
     """Findings per repository and week of the last commit of their file: ``week, repo, n``.
 
-    Findings are first counted per file, so the join and the final count see one row per file.
+    Findings are first counted per file, so the join and the final count see one row per file. Files without history
+    have a null week.
     """
     per_file = findings.groupBy("repo", F.col("location.path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    dated = per_file.join(last.select("repo", "path", "author_ts"), ["repo", "path"])
-    return (
-        dated.groupBy(F.window("author_ts", "7 days").alias("w"), "repo")
-        .agg(F.sum("n").alias("n"))
-        .select(F.col("w.start").alias("week"), "repo", "n")
-    )
+    dated = per_file.join(last.select("repo", "path", "author_ts"), ["repo", "path"], "left")
+    # A window would drop the rows without time.
+    week = F.timestamp_seconds(F.floor(F.unix_timestamp("author_ts") / WEEK) * WEEK)
+    return dated.groupBy(week.alias("week"), "repo").agg(F.sum("n").alias("n")).select("week", "repo", "n")

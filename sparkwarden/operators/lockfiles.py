@@ -42,11 +42,16 @@ def npm_packages(text: Column) -> Column:
     """``packages`` map of a package-lock (version 2 and 3). The name follows the last ``node_modules/``."""
     parsed = F.from_json(text, "packages map<string,struct<version:string>>")
     entries = F.coalesce(F.map_entries(parsed["packages"]), F.expr("cast(array() as array<struct<key:string,value:struct<version:string>>>)"))
+    # The same entries with their values as JSON: a version that is no string voids the file.
+    raw = F.from_json(text, "packages map<string,map<string,variant>>")
+    typed = F.map_values(raw["packages"])
+    string = lambda v: F.schema_of_variant(v).isin("STRING", "VOID")
+    sound = F.coalesce(F.forall(typed, lambda v: F.coalesce(string(F.try_element_at(v, F.lit("version"))), F.lit(True))), F.lit(True))
     found = F.transform(
         F.filter(entries, lambda e: (e["key"] != "") & e["value"]["version"].isNotNull()),
         lambda e: _package(F.substring_index(e["key"], "node_modules/", -1), e["value"]["version"]),
     )
-    return F.filter(found, lambda p: p["name"] != "")
+    return F.when(sound, F.filter(found, lambda p: p["name"] != "")).otherwise(F.filter(found, lambda p: F.lit(False)))
 
 
 def pnpm_packages(text: Column) -> Column:

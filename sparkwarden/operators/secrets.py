@@ -121,11 +121,11 @@ def is_allowed(markers: Column, line: Column, rule_id: Column) -> Column:
 
 
 def rule_hits(text: Column, folded: Column, options: SecretOptions) -> Column:
-    """One flag per rule: does it match somewhere? Cheap keyword tests come first, then the regex."""
+    """One flag per rule: does it match somewhere? Where a rule allows it, cheap keyword tests come before the regex."""
     tests = []
     for rule in options.rules:
         hit = F.rlike(text, F.lit(java_regex(rule.regex, options.unicode)))
-        if rule.keywords:
+        if rule.prefilter and rule.keywords:
             seen = [
                 F.contains(text, F.lit(k)) if rule.exact_keywords else F.contains(folded, F.lit(k.lower()))
                 for k in rule.keywords
@@ -139,7 +139,7 @@ def rule_hits(text: Column, folded: Column, options: SecretOptions) -> Column:
 
 
 def _needs_folding(options: SecretOptions) -> bool:
-    return any(r.keywords and not r.exact_keywords for r in options.rules)
+    return any(r.prefilter and r.keywords and not r.exact_keywords for r in options.rules)
 
 
 def rule_pieces(text: Column, hits: Column, options: SecretOptions) -> list[Column]:

@@ -18,10 +18,11 @@ BATCH_SIZE = 500
 TTL_HOURS = 24
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
     """Inner join in which a key held by a large share of ``left`` is worked on by ``salts`` tasks.
 
-    ``right`` is repeated per salt, so use it where that side is much smaller. The salt comes from the
+    Without salts Spark joins as it likes, and adaptive execution splits skewed partitions. With them ``right`` is
+    repeated per salt, so use it where that side is much smaller. The salt comes from the
     row itself: a recomputed task gives the same rows. If ``right`` is small enough for Spark's own
     size-checked broadcast, nothing is shuffled at all.
     """
@@ -84,7 +85,7 @@ def _finding(rule_id: Column, severity: Column, message: Column, snippet: Column
     ]
 
 
-def advisory_findings(packages: DataFrame, advisories: DataFrame, salts: int = 16) -> DataFrame:
+def advisory_findings(packages: DataFrame, advisories: DataFrame, salts: int = 1) -> DataFrame:
     """Findings from version-range advisories."""
     hits = spread_join(packages, vulnerable_versions(packages, advisories), ["ecosystem", "name", "version"], salts)
     name, version = F.col("name"), F.col("version")
@@ -104,9 +105,25 @@ def advisory_findings(packages: DataFrame, advisories: DataFrame, salts: int = 1
     )
 
 
-def exact_findings(packages: DataFrame, osv_vulns: DataFrame, salts: int = 16) -> DataFrame:
-    """Findings from a table of vulnerabilities by exact version; severity is always high."""
-    vulns = osv_vulns.select("ecosystem", "name", "version", "vuln_id")
+def latest_answers(answers: DataFrame, as_of: Column | None = None, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """``ecosystem, name, version, vuln_id`` of the last answer for each package, each vulnerability once.
+
+    Rows of one package with one ``fetched_at`` are one answer; a null ``vuln_id`` says that there is nothing. With
+    ``as_of``, answers that are later than that or no longer fresh don't count.
+    """
+    keys = ["ecosystem", "name", "version"]
+    if as_of is not None:
+        answers = fresh(answers, as_of, ttl_hours).where(F.col("fetched_at") <= as_of)
+    last = answers.groupBy(*keys, "fetched_at").agg(F.collect_set("vuln_id").alias("ids"))
+    last = last.groupBy(*keys).agg(F.max_by("ids", "fetched_at").alias("ids"))
+    return last.select(*keys, F.explode("ids").alias("vuln_id"))
+
+
+def exact_findings(
+    packages: DataFrame, answers: DataFrame, salts: int = 1, as_of: Column | None = None, ttl_hours: int = TTL_HOURS
+) -> DataFrame:
+    """Findings from the last answer for each exact version; severity is always high."""
+    vulns = latest_answers(answers, as_of, ttl_hours)
     hits = spread_join(packages, vulns, ["ecosystem", "name", "version"], salts)
     name, version = F.col("name"), F.col("version")
     metadata = F.create_map(
@@ -130,7 +147,7 @@ def fresh(rows: DataFrame, as_of: Column, ttl_hours: int = TTL_HOURS) -> DataFra
 
 
 def to_refresh(packages: DataFrame, answers: DataFrame, as_of: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """Distinct packages without a fresh answer."""
+    """Distinct packages without a fresh answer; an answer that names no vulnerability is one too."""
     keys = ["ecosystem", "name", "version"]
     return packages.select(*keys).distinct().join(fresh(answers, as_of, ttl_hours).select(*keys), keys, "left_anti")
 

@@ -244,7 +244,7 @@ def _osv(d) -> list[list[str]]:
             "CASE p % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'Go' END AS ecosystem",
             "concat(CASE WHEN p % 3 = 2 THEN 'example.org/' WHEN p % 9 = 0 THEN '@scope/' ELSE '' END, 'pkg', p % 2000) AS name",
             "concat(CASE WHEN p % 3 = 2 THEN 'v' ELSE '' END, p % 5, '.', i, '.', (p + i) % 4) AS version",
-            "concat('OSV-', p, '-', i % 3) AS vuln_id",
+            "CASE WHEN (p + i) % 6 = 0 THEN NULL ELSE concat('OSV-', p, '-', i % 3) END AS vuln_id",
             "concat('2024-0', i) AS modified",
             f"{d.hours_after('2024-01-01 00:00:00', '(p + i) % 72')} AS fetched_at",
         ],

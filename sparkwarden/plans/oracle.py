@@ -342,7 +342,9 @@ exact_rows AS MATERIALIZED (
     p.name || ' ' || p.version || ': see ' || vuln_id AS message, lockfile_path AS path, 1 AS start_line, 1 AS start_col, 1 AS end_line, 1 AS end_col,
     p.name || ' ' || p.version AS snippet, cast(NULL as double) AS provenance_score,
     'advisory_id=' || vuln_id || ';ecosystem=' || p.ecosystem || ';package=' || p.name || ';source=osv.dev;version=' || p.version AS metadata
-  FROM chosen p JOIN osv_vulns o ON o.ecosystem = p.ecosystem AND o.name = p.name AND o.version = p.version)"""
+  FROM chosen p JOIN (SELECT DISTINCT ecosystem, name, version, vuln_id FROM osv_vulns a WHERE vuln_id IS NOT NULL AND fetched_at =
+      (SELECT max(fetched_at) FROM osv_vulns b WHERE b.ecosystem = a.ecosystem AND b.name = a.name AND b.version = a.version)) o
+    ON o.ecosystem = p.ecosystem AND o.name = p.name AND o.version = p.version)"""
 
 
 # --- the whole audit ---

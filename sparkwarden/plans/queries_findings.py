@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sparkwarden import __version__
 from sparkwarden.functions.severity import SEVERITIES, parse_severity, severity_rank
@@ -68,12 +68,22 @@ def audit_changed_files(spark, sf_dir):
     return flat(audit(tables, OPTIONS))
 
 
-@query(AUDIT + "SELECT repo, severity, path, start_line, start_col, rule_id, provenance_score FROM findings")
+@query(
+    AUDIT + f"""SELECT repo, severity, path, start_line, start_col, rule_id, provenance_score,
+    rank() OVER (ORDER BY repo, coalesce(provenance_score, 0) DESC, {RANK} DESC, path, start_line, start_col, rule_id) AS position FROM findings"""
+)
 def findings_in_order(spark, sf_dir):
-    found = fnd.sort_findings(_found(spark, sf_dir), ai_priority=True)
-    return found.select(
+    # The place of a row in the sorted table; equal rows share the first place, so that order is compared as a value.
+    found = fnd.sort_findings(_found(spark, sf_dir), ai_priority=True).select(
         "repo", "severity", "location.path", "location.start_line", "location.start_col", "rule_id", "provenance_score"
     )
+    placed = checkpointed(found).withColumn("id", F.monotonically_increasing_id())
+    parts = placed.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    rows = placed.withColumn("part", F.shiftright("id", 33)).join(before, "part")
+    rows = rows.withColumn("position", F.col("id").bitwiseAND((1 << 33) - 1) + F.col("before") + 1).drop("id", "part", "before")
+    equal = Window.partitionBy("repo", "path", "start_line", "start_col", "rule_id", "severity", "provenance_score")
+    return rows.withColumn("position", F.min("position").over(equal))
 
 
 @query(
@@ -136,7 +146,7 @@ def findings_on_changed_lines(spark, sf_dir):
 
 @query(
     AUDIT + """SELECT time_bucket(INTERVAL 7 DAYS, l.author_ts, TIMESTAMP '1970-01-01 00:00:00') AS week, f.repo, count(*) AS n
-    FROM findings f JOIN last_commit l ON l.repo = f.repo AND l.path = f.path GROUP BY 1, 2"""
+    FROM findings f LEFT JOIN last_commit l ON l.repo = f.repo AND l.path = f.path GROUP BY 1, 2"""
 )
 def findings_per_week(spark, sf_dir):
     t = Inputs(spark, sf_dir)

@@ -36,10 +36,15 @@ def stream_secret_findings(spark, sf_dir):
     return flat(inc.run_to_table(inc.scan_new_files(stream, OPTIONS)))
 
 
-@query(tables("osv_vulns") + "SELECT DISTINCT ecosystem, name, version FROM osv_vulns")
+@query(
+    tables("osv_vulns").replace("WITH ", "WITH RECURSIVE ", 1) + """, asks AS (SELECT ecosystem, name, version, min(fetched_at) AS asked_at FROM osv_vulns GROUP BY ALL
+      UNION ALL SELECT a.ecosystem, a.name, a.version, min(o.fetched_at) FROM asks a JOIN osv_vulns o ON o.ecosystem = a.ecosystem AND o.name = a.name
+        AND o.version = a.version AND o.fetched_at > a.asked_at + INTERVAL 24 HOURS GROUP BY a.ecosystem, a.name, a.version, a.asked_at)
+    SELECT * FROM asks"""
+)
 def stream_lookups_once(spark, sf_dir):
-    rows = inc.run_to_table(inc.lookups_once(_stream(spark, sf_dir, "osv_vulns")))
-    return rows.select("ecosystem", "name", "version")
+    rows = _stream(spark, sf_dir, "osv_vulns").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    return inc.lookups_once(rows).withColumn("asked_at", F.col("asked_at").cast("timestamp_ntz"))
 
 
 @query(
@@ -54,9 +59,9 @@ def stream_weekly_commits(spark, sf_dir):
 
 
 @query(
-    tables("commits") + """, marked AS (SELECT *, CASE WHEN author_ts < lag(author_ts) OVER (PARTITION BY author ORDER BY author_ts) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM commits),
-    numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY author ORDER BY author_ts, sha) AS burst FROM marked)
-    SELECT min(author_ts) AS first_ts, author, count(*) AS commits FROM numbered GROUP BY author, burst
+    tables("commits") + """, marked AS (SELECT *, CASE WHEN author_ts < lag(author_ts) OVER (PARTITION BY repo, author ORDER BY author_ts) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM commits),
+    numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY repo, author ORDER BY author_ts, sha) AS burst FROM marked)
+    SELECT min(author_ts) AS first_ts, repo, author, count(*) AS commits FROM numbered GROUP BY repo, author, burst
     HAVING max(author_ts) + INTERVAL 30 MINUTES <= (SELECT max(author_ts) FROM commits) - INTERVAL 1 HOUR"""
 )
 def stream_commit_bursts(spark, sf_dir):

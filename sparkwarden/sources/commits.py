@@ -2,24 +2,28 @@
 
 Export with (one record per commit, fields split by U+001F, records by U+001E)::
 
-    git log --no-renames --raw --numstat --format='%x1e%H%x1f%an%x1f%aI%x1f%B%x1f'
+    git -c core.quotePath=false log --no-renames --raw --numstat --format='%x1e%H%x1f%an%x1f%aI%x1f%B%x1f'
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 RECORD, FIELD = "\x1e", "\x1f"
 
 
-def read_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """Raw records of one exported history: ``repo, sha, author, authored, message, changes``."""
+def read_log(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
+    """Raw records of exported histories: ``repo, sha, author, authored, message, changes``.
+
+    Without ``repo`` each file below ``path`` is a repository's history and its name without the ending is the repository.
+    """
     record = F.split(F.col("value"), FIELD, -1)
+    by_file = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return (
         spark.read.option("lineSep", RECORD).text(path)
         .where(F.contains("value", F.lit(FIELD)))
         .select(
-            F.lit(repo).alias("repo"),
+            (F.lit(repo) if repo is not None else by_file).alias("repo"),
             record[0].alias("sha"),
             record[1].alias("author"),
             record[2].alias("authored"),
@@ -41,6 +45,24 @@ def commits_of(log: DataFrame) -> DataFrame:
     )
 
 
+def unquoted(path: Column) -> Column:
+    """The path that git put in quotes: octal bytes, tabs, line feeds, quotes and backslashes spelled out.
+
+    Each escape or run of plain text becomes bytes; the bytes together are the path's UTF-8.
+    """
+    inner = F.substring(path, F.lit(2), F.length(path) - 2)
+    pieces = F.regexp_extract_all(inner, F.lit(r"(\\[0-7]{3}|\\.|[^\\]+)"), F.lit(1))
+    simple = F.create_map(*[F.lit(x) for k, v in (("t", "09"), ("n", "0A"), ("r", "0D"), ('"', "22"), ("\\", "5C")) for x in (k, v)])
+    hexed = F.transform(
+        pieces,
+        lambda p: F.when(p.rlike(r"^\\[0-7]{3}$"), F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0"))
+        .when(F.startswith(p, F.lit("\\")), F.coalesce(F.try_element_at(simple, F.substring(p, 2, 1)), F.hex(p)))
+        .otherwise(F.hex(p)),
+    )
+    quoted = F.startswith(path, F.lit('"')) & F.endswith(path, F.lit('"')) & (F.length(path) > 1)
+    return F.when(quoted, F.decode(F.unhex(F.array_join(hexed, "")), "UTF-8")).otherwise(path)
+
+
 def commit_files_of(log: DataFrame) -> DataFrame:
     """Changed paths per commit with status and line counts; ``-`` counts (binary files) become null."""
     line = log.select("repo", "sha", F.explode(F.split("changes", "\n")).alias("line")).where(F.col("line") != "")
@@ -49,14 +71,14 @@ def commit_files_of(log: DataFrame) -> DataFrame:
     parsed = line.select(
         "repo",
         "sha",
-        F.when(raw, tab[1]).otherwise(F.get(tab, F.lit(2))).alias("path"),
+        unquoted(F.when(raw, tab[1]).otherwise(F.get(tab, F.lit(2)))).alias("path"),
         F.when(raw, F.substring(F.regexp_extract(tab[0], r"([A-Z])\d*$", 1), 1, 1)).alias("status"),
-        F.when(~raw, F.try_to_number(tab[0], F.lit("999999999")).cast("int")).alias("additions"),
-        F.when(~raw, F.try_to_number(F.get(tab, F.lit(1)), F.lit("999999999")).cast("int")).alias("deletions"),
+        F.when(~raw, tab[0].try_cast("bigint")).alias("additions"),
+        F.when(~raw, F.get(tab, F.lit(1)).try_cast("bigint")).alias("deletions"),
     )
     return parsed.groupBy("repo", "sha", "path").agg(
         F.max("status").alias("status"),
-        F.sum("additions").cast("int").alias("additions"),
-        F.sum("deletions").cast("int").alias("deletions"),
+        F.sum("additions").alias("additions"),
+        F.sum("deletions").alias("deletions"),
         F.lit(False).alias("staged"),
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 @dataclass(frozen=True)
 class SecretRule:
-    """One rule. ``keywords`` must be implied by the regex: a file without any of them is not searched.
+    """One rule. With ``prefilter`` a file without any of the ``keywords`` is not searched, so that the regex must imply
+    one of them; without it the keywords are only kept.
 
     Keywords are compared case-insensitively unless ``exact_keywords`` is set.
     """
@@ -23,6 +24,7 @@ class SecretRule:
     entropy: float | None = None
     keywords: tuple[str, ...] = ()
     exact_keywords: bool = False
+    prefilter: bool = False
 
     @property
     def severity(self) -> str:
@@ -58,7 +60,7 @@ def rule_severity(rule_id: Column) -> Column:
 
 
 def _rule(rule_id, description, entropy, regex, *keywords, exact=True):
-    return SecretRule(rule_id, description, regex, entropy, tuple(keywords), exact)
+    return SecretRule(rule_id, description, regex, entropy, tuple(keywords), exact, prefilter=True)
 
 
 # Publicly documented token formats.
@@ -115,17 +117,19 @@ def java_regex(regex: str, unicode: bool = True) -> str:
 def load_rules(spark: SparkSession, toml_text: str) -> tuple[list[SecretRule], list[tuple[str, str]]]:
     """Rules of a TOML document with ``[[rules]]`` entries, and ``(id, reason)`` of the skipped ones.
 
-    Entries without a regex and entries whose regex does not compile are skipped. Text that is not valid
-    TOML gives no rules. The rule list is a parameter table: it stays on the driver and becomes literals.
+    Entries without a regex and entries whose regex does not compile are skipped. Text that is not valid TOML, or in
+    which an entry has no id, gives no rules. Keywords do not restrict the search. The rule list is a parameter table: it stays on the driver and becomes literals.
     """
     try:
         entries = tomllib.loads(toml_text).get("rules", [])
     except tomllib.TOMLDecodeError as error:
         return [], [("*", f"unreadable rule file: {error}")]
+    if not all(isinstance(entry, dict) and isinstance(entry.get("id"), str) for entry in entries):
+        return [], [("*", "unreadable rule file: an entry without id")]
     rules, skipped = [], []
     compiler = spark._jvm.java.util.regex.Pattern
     for entry in entries:
-        rule_id, regex = entry.get("id", ""), entry.get("regex")
+        rule_id, regex = entry["id"], entry.get("regex")
         if not regex:
             skipped.append((rule_id, "path-only"))
             continue
@@ -134,8 +138,12 @@ def load_rules(spark: SparkSession, toml_text: str) -> tuple[list[SecretRule], l
         except Exception as error:  # the compiler's message names the place
             skipped.append((rule_id, str(getattr(error, "java_exception", error)).splitlines()[0]))
             continue
+        entropy = entry.get("entropy")
         rules.append(
-            SecretRule(rule_id, entry.get("description", ""), regex, entry.get("entropy"), tuple(entry.get("keywords", ())))
+            SecretRule(
+                rule_id, entry.get("description", ""), regex, None if entropy is None else float(entropy),
+                tuple(entry.get("keywords", ())),
+            )
         )
     return rules, skipped
 

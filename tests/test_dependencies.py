@@ -8,27 +8,27 @@ from sparkwarden.operators import vulnerabilities as vul
 
 CASES = {
     "package-lock.json": (
-        '{"lockfileVersion":3,"packages":{"":{},"node_modules/lodash":{"version":"4.17.20"},"node_modules/a/node_modules/@s/p":{"version":"1.0.0"},'
+        '{"lockfileVersion":3,"packages":{"":{},"node_modules/treeline":{"version":"3.4.9"},"node_modules/a/node_modules/@s/p":{"version":"1.0.0"},'
         '"apps/web":{"version":"0.1.0"},"node_modules/none":{},"node_modules/":{"version":"1"}}}',
-        {("lodash", "4.17.20"), ("@s/p", "1.0.0"), ("apps/web", "0.1.0")},
+        {("treeline", "3.4.9"), ("@s/p", "1.0.0"), ("apps/web", "0.1.0")},
     ),
     "pnpm-lock.yaml": (
-        "lockfileVersion: '6.0'\n\n/early@1.0.0:\n\npackages:\n\n  /lodash@4.17.20:\n    resolution: {}\n  /@s/p@1.0.0(peer@2.0.0):\n    dev: true\n"
+        "lockfileVersion: '6.0'\n\n/early@1.0.0:\n\npackages:\n\n  /treeline@3.4.9:\n    resolution: {}\n  /@s/p@1.0.0(peer@2.0.0):\n    dev: true\n"
         "  bare@1.0.0:\n  /noversion:\n  /@only:\n\nother:\n  /late@1.0.0:\n",
-        {("lodash", "4.17.20"), ("@s/p", "1.0.0")},
+        {("treeline", "3.4.9"), ("@s/p", "1.0.0")},
     ),
     "yarn.lock": (
-        '# yarn lockfile v1\n\nlodash@^4.17.15, lodash@^4.0.0:\n  version "4.17.20"\n  resolved "x"\n\n"@s/p@^1.0.0":\n  version "1.0.0"\n  version "9.9.9"\n'
+        '# yarn lockfile v1\n\ntreeline@^3.4.1, treeline@^3.0.0:\n  version "3.4.9"\n  resolved "x"\n\n"@s/p@^1.0.0":\n  version "1.0.0"\n  version "9.9.9"\n'
         '"odd":\n  version "7.0.0"\nberry@npm:1:\n  version: 2.0.0\n',
-        {("lodash", "4.17.20"), ("@s/p", "1.0.0")},
+        {("treeline", "3.4.9"), ("@s/p", "1.0.0")},
     ),
     "poetry.lock": (
-        '[[package]]\nname = "requests"\nversion = "2.28.0"\n\n[package.extras]\nversion = "no"\n\n[[package]]\nversion = \'1.26.9\'\nname = "urllib3"\n',
-        {("requests", "2.28.0"), ("urllib3", "1.26.9")},
+        '[[package]]\nname = "quillpad"\nversion = "5.1.2"\n\n[package.extras]\nversion = "no"\n\n[[package]]\nversion = \'0.8.3\'\nname = "mossgate"\n',
+        {("quillpad", "5.1.2"), ("mossgate", "0.8.3")},
     ),
     "requirements.txt": (
-        "requests==2.28.0\r\n urllib3==1.26.9 ; python_version < '3.11'\n# a==1\n-r other==1\ndjango>=4.0,<5.0\nx== 1.0\ny===1.0\nz[e]==2,<3\n\n",
-        {("requests", "2.28.0"), ("urllib3", "1.26.9"), ("y", "=1.0"), ("z[e]", "2")},
+        "quillpad==5.1.2\r\n mossgate==0.8.3 ; sys_platform == 'linux'\n# a==1\n-r other==1\nfernway>=2.1,<3\nx== 1.0\ny===1.0\nz[e]==2,<3\n\n",
+        {("quillpad", "5.1.2"), ("mossgate", "0.8.3"), ("y", "=1.0"), ("z[e]", "2")},
     ),
     "go.sum": (
         "example.org/a v1.2.3 h1:x=\nexample.org/a v1.2.3/go.mod h1:y=\nexample.org/b\tv0.1.0   h1:z=\nshort\n",
@@ -45,7 +45,7 @@ def test_parsers(files_of, name):
     assert len(rows) == len(want) and {(r.name, r.version) for r in rows} == want
 
 
-@pytest.mark.parametrize("name,text", [("package-lock.json", '{"packages": {"node_modules/a": {"version": "1"}'), ("package-lock.json", "[1]"), ("package-lock.json", '{"dependencies": {}}'), ("poetry.lock", '[[package]]\nname = "a"\nversion = "1"\n[[package]]\nname = "b"\n'), ("yarn.lock", ""), ("go.sum", "\n"), ("pnpm-lock.yaml", "x: 1\n")])
+@pytest.mark.parametrize("name,text", [("package-lock.json", '{"packages": {"node_modules/a": {"version": "1"}'), ("package-lock.json", "[1]"), ("package-lock.json", '{"packages": {"node_modules/a": {"version": "1.0.0"}, "node_modules/b": {"version": 2}}}'), ("package-lock.json", '{"dependencies": {}}'), ("poetry.lock", '[[package]]\nname = "a"\nversion = "1"\n[[package]]\nname = "b"\n'), ("yarn.lock", ""), ("go.sum", "\n"), ("pnpm-lock.yaml", "x: 1\n")])
 def test_broken_lockfiles_give_nothing(files_of, name, text):
     assert locks.all_packages(files_of((name, text))).count() == 0
 
@@ -86,7 +86,7 @@ def test_exact_versions_freshness_and_refresh(spark):
         "ecosystem string, name string, version string, vuln_id string, fetched_at timestamp",
     )
     rows = vul.exact_findings(pk, vulns).collect()
-    assert sorted(r.rule_id for r in rows) == ["cve.go.V-3", "cve.go.V-3", "cve.npm.V-1", "cve.npm.V-2"]
+    assert sorted(r.rule_id for r in rows) == ["cve.go.V-3", "cve.go.V-3", "cve.npm.V-2"]  # the later answer alone
     assert {r.severity for r in rows} == {"high"} and rows[0].location.path == "Cargo.lock"
     as_of = F.lit(at).cast("timestamp")
     assert sorted(r.vuln_id for r in vul.fresh(vulns, as_of).collect()) == ["V-1", "V-2"]
@@ -103,5 +103,24 @@ def test_batches_are_full_and_even(spark):
 
 def test_hot_package_join_is_whole(spark):
     pk = spark.range(5000).select(F.concat(F.lit("r"), "id").alias("repo"), F.lit("go.sum").alias("lockfile_path"), F.lit("Go").alias("ecosystem"), F.lit("hot").alias("name"), F.lit("v1").alias("version"))
-    vulns = spark.createDataFrame([("Go", "hot", "v1", f"V-{i}") for i in range(3)], "ecosystem string, name string, version string, vuln_id string")
+    vulns = spark.createDataFrame([("Go", "hot", "v1", f"V-{i}", 0) for i in range(3)], "ecosystem string, name string, version string, vuln_id string, fetched_at int")
     assert vul.exact_findings(pk, vulns, salts=16).count() == 15000
+
+
+def test_last_answer_counts(spark):
+    rows = [
+        ("npm", "alpha", "1.0.0", "V-1", "2024-01-01 00:00:00"),
+        ("npm", "alpha", "1.0.0", "V-1", "2024-01-02 00:00:00"),
+        ("npm", "alpha", "1.0.0", "V-2", "2024-01-02 00:00:00"),
+        ("npm", "beta", "2.0.0", "V-3", "2024-01-01 00:00:00"),
+        ("npm", "beta", "2.0.0", None, "2024-01-02 00:00:00"),
+        ("npm", "gamma", "3.0.0", "V-4", "2023-12-01 00:00:00"),
+    ]
+    answers = spark.createDataFrame(rows, "ecosystem string, name string, version string, vuln_id string, fetched_at string")
+    answers = answers.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    as_of = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    assert {tuple(r) for r in vul.latest_answers(answers).select("name", "vuln_id").collect()} == {("alpha", "V-1"), ("alpha", "V-2"), ("gamma", "V-4")}
+    assert {r.name for r in vul.latest_answers(answers, as_of).collect()} == {"alpha"}
+    packages = spark.createDataFrame([("r", "p", "npm", n, v) for n, v in (("alpha", "1.0.0"), ("beta", "2.0.0"), ("gamma", "3.0.0"))], "repo string, lockfile_path string, ecosystem string, name string, version string")
+    assert vul.exact_findings(packages, answers, as_of=as_of).count() == 2
+    assert [r.name for r in vul.to_refresh(packages, answers, as_of).collect()] == ["gamma"]

@@ -91,6 +91,40 @@ def test_exported_history(spark, tmp_path):
     assert touched == {("s1", "a.rs"): ("A", 10, 0), ("s1", "b.png"): ("A", None, None), ("s2", "a.rs"): ("M", 3, 2)}
 
 
+def test_histories_by_file_and_odd_records(spark, tmp_path):
+    r, f = log.RECORD, log.FIELD
+    quoted = '"caf\\303\\251 \\"x\\".rs"'
+    big = "12345678901"
+    for repo in ("one", "two.x"):
+        text = f"{r}s{f}A{f}2024-03-01T10:00:00+00:00{f}m{f}\n:000000 100644 0 a A\t{quoted}\n{big}\t1\t{quoted}\n"
+        (tmp_path / f"{repo}.log").write_text(text)
+    rows = log.commit_files_of(log.read_log(spark, str(tmp_path))).collect()
+    assert sorted((c.repo, c.path, c.status, c.additions) for c in rows) == [
+        (repo, 'café "x".rs', "A", int(big)) for repo in ("one", "two.x")
+    ]
+
+
 def test_binary_and_utf8(spark):
     rows = spark.createDataFrame([("r", "a.rs", bytearray(b"ok")), ("r", "b.rs", bytearray(b"\x00")), ("r", "c.rs", None)], "repo string, path string, content binary")
     assert paths(as_files(rows)) == ["a.rs", "c.rs"]
+
+
+def test_hostile_ignore_lines(spark, files_of):
+    lines = ["[a", "x\\", "[z-a]*", "\\d.rs", "[a&&b].py", "[[].go", "q[!a-c]+.ts", "\\#no.js", "a{1}(b)$.rs", "deep/**/**/k.rs"]
+    names = ["1.rs", "d.rs", "a.py", "&.py", "[.go", "qd+.ts", "qa+.ts", "#no.js", "a{1}(b)$.rs", "a1b.rs", "deep/a/b/k.rs", "zz.rs"]
+    files = files_of((".gitignore", "\n".join(lines)), *[(n, "x") for n in names])
+    rules = disc.ignore_rules(files)
+    assert {r.pattern for r in rules.collect()} == set(lines) - {"[a", "x\\", "[z-a]*"}
+    got = {r.path for r in disc.ignored_paths(files, rules).collect()}
+    assert got == {"d.rs", "a.py", "&.py", "[.go", "qd+.ts", "#no.js", "a{1}(b)$.rs", "deep/a/b/k.rs"}
+    from sparkwarden.functions.text import lines as split_lines
+
+    rows = files.where("path = '.gitignore'").select("repo", "path", split_lines(F.col("content")).alias("lines"))
+    errors = disc.invalid_ignore_rules(rows).orderBy("reason").collect()
+    assert [(e.path, e.reason.split(" line ")[1].split(":")[0]) for e in errors] == [(".gitignore", "1"), (".gitignore", "2"), (".gitignore", "3")]
+
+
+def test_backwards_glob_matches_nothing(spark, files_of):
+    files = files_of(("z.rs", "x"), ("m1.rs", "x"))
+    assert disc.not_excluded(files, ["[z-a]*"]).count() == 2
+    assert disc.not_excluded(files, ["[a-z]*"]).count() == 0
