@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,7 +21,7 @@ from sparkwarden.operators.findings import (
 )
 from sparkwarden.operators.secrets import SecretOptions, explode_items
 from sparkwarden.schemas import FINDINGS
-from sparkwarden.session import checkpointed
+from sparkwarden.session import stored
 
 VERIFIERS = {secrets.VERIFIER: secrets.DESCRIPTION, vulnerabilities.VERIFIER: vulnerabilities.DESCRIPTION}
 
@@ -38,6 +39,10 @@ class AuditOptions:
     skip: Sequence[str] = ()
     secrets: SecretOptions = field(default_factory=SecretOptions)
     prefix: str = "audit"
+    #: Only files with a staged change that is no deletion.
+    staged: bool = False
+    #: Answers of vulnerability lookups count if they are fresh at this time; without it the last one counts.
+    as_of: datetime | None = None
 
     def chosen(self, tables: Tables) -> list[str]:
         """Ids of the verifiers that run. Without vulnerability tables there is nothing to look up."""
@@ -48,7 +53,11 @@ class AuditOptions:
 
 @dataclass(frozen=True)
 class Tables:
-    """Input tables. Only ``files`` is needed; what is missing switches its part off."""
+    """Input tables. Only ``files`` is needed; what is missing switches its part off.
+
+    ``ignore_files(repo, path, content)`` may hold the ignore files apart from the others, so that reading their rules
+    reads no other text; without it they are taken from ``files``.
+    """
 
     files: DataFrame
     commits: DataFrame | None = None
@@ -56,11 +65,25 @@ class Tables:
     advisories: DataFrame | None = None
     osv_vulns: DataFrame | None = None
     refs: DataFrame | None = None
+    ignore_files: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Audited:
+    """What an audit gives: findings, ``runs(repo, candidates_scanned)`` and ``errors(repo, path, verifier_id, reason)``."""
+
+    findings: DataFrame
+    runs: DataFrame
+    errors: DataFrame
+
+
+def _by_change(tables: Tables, options: AuditOptions) -> bool:
+    return tables.refs is not None or options.staged
 
 
 def _is_candidate(tables: Tables, options: AuditOptions) -> Column:
-    """The row-wise part of file selection. In diff mode neither language nor globs are tested."""
-    if tables.refs is not None:
+    """The row-wise part of file selection. In diff and staged mode neither language nor globs are tested."""
+    if _by_change(tables, options):
         return F.lit(True)
     known = (
         F.col("language") != "unknown" if options.languages is None else F.col("language").isin(list(options.languages))
@@ -68,54 +91,67 @@ def _is_candidate(tables: Tables, options: AuditOptions) -> Column:
     return known & ~discovery.excluded(F.col("path"), options.exclude)
 
 
-def extract(tables: Tables, options: AuditOptions) -> DataFrame:
-    """Everything the audit needs from file text, in one row-wise pass over the files.
+def _ignore_lines(tables: Tables, options: AuditOptions) -> DataFrame:
+    """``repo, path, lines`` of the ignore files."""
+    names = list(discovery.ignore_file_kinds(options.prefix, options.respect_gitignore))
+    source = tables.files if tables.ignore_files is None else tables.ignore_files
+    rows = source.where(basename(F.col("path")).isin(names) & F.col("content").isNotNull())
+    return rows.select("repo", "path", lines(F.col("content")).alias("lines"))
+
 
-    One small row per file that matters: ``repo, path, language, candidate, signals, secrets, packages,
-    ignore_lines``. The text goes no further, so nothing later depends on its size.
+def selected(tables: Tables, options: AuditOptions, ignore_lines: DataFrame | None) -> DataFrame:
+    """``files`` with ``candidate``, decided before any text is searched, and without files that have no part.
+
+    The change set, or else the paths that ignore rules leave out, come from ``repo, path`` rows. They are written down, so
+    that Spark knows their size when it chooses how to join them to the text: by broadcast if they are small, by a shuffle
+    if not, with the same rows either way.
+    """
+    is_lock = F.col("path").isin(list(lockfiles.LOCKFILES))
+    paths = tables.files.select("repo", "path", "language")
+    if tables.refs is not None:
+        marked = discovery.change_set(paths, tables.commits, tables.commit_files, tables.refs)
+    elif options.staged:
+        marked = discovery.staged_paths(paths, tables.commit_files)
+    elif ignore_lines is not None:
+        rules = discovery.rules_of_lines(ignore_lines, options.prefix, options.respect_gitignore)
+        marked = discovery.ignored_paths(paths.where(_is_candidate(tables, options)).select("repo", "path"), rules)
+    else:
+        files = tables.files.withColumn("candidate", _is_candidate(tables, options))
+        return files.where(F.col("candidate") | is_lock)
+    marked = stored(marked.select("repo", "path").distinct()).withColumn("_marked", F.lit(True))
+    files = tables.files.join(marked, ["repo", "path"], "left")
+    there = F.coalesce("_marked", F.lit(False))
+    files = files.withColumn(
+        "candidate", there if _by_change(tables, options) else ~there & _is_candidate(tables, options)
+    ).drop("_marked")
+    return files.where(F.col("candidate") | is_lock)
+
+
+def extract(files: DataFrame, options: AuditOptions, with_secrets: bool) -> DataFrame:
+    """Everything the audit needs from the text of selected files, in one row-wise pass.
+
+    One small row per file: ``repo, path, language, candidate, unreadable, signals, secrets, packages``. The text goes no
+    further, so nothing later depends on its size.
     """
     text, path, language = F.col("content"), F.col("path"), F.col("language")
-    chosen = options.chosen(tables)
-    ignore_names = discovery.ignore_file_kinds(options.prefix, options.respect_gitignore)
-    is_lock, is_ignore = path.isin(list(lockfiles.LOCKFILES)), basename(path).isin(list(ignore_names))
-    files = tables.files.withColumn("candidate", _is_candidate(tables, options)).where(
-        F.col("candidate") | is_lock | is_ignore
-    )
-    carried = [
-        F.when(is_lock, lockfiles.packages_in(path, text)).alias("packages"),
-        F.when(is_ignore, lines(text)).alias("ignore_lines"),
-    ]
+    is_lock = path.isin(list(lockfiles.LOCKFILES))
+    files = files.withColumn("unreadable", text.isNull())
+    base = ["repo", "path", "language", "candidate", "unreadable"]
+    packages = F.when(is_lock, lockfiles.packages_in(path, text)).alias("packages")
     if options.detect:
         names = [*provenance.TEXT_SIGNALS, "override"]
-        rows = provenance.text_signals(
-            files, options.prefix, options.secrets.unicode, ("repo", "path", "language", "candidate", "content")
-        )
-        files = rows.select("repo", "path", "language", "candidate", "content", F.struct(*names).alias("signals"))
+        rows = provenance.text_signals(files, options.prefix, options.secrets.unicode, (*base, "content"))
+        files = rows.select(*base, "content", F.struct(*names).alias("signals"))
     else:
         files = files.withColumn("signals", F.lit(None).cast("string"))
-    files = files.select("repo", "path", "language", "candidate", "signals", *carried, "content")
-    keep = ["repo", "path", "language", "candidate", "signals", "packages", "ignore_lines"]
-    if secrets.VERIFIER not in chosen:
+    keep = [*base, "signals", "packages"]
+    files = files.select(*base, "signals", packages, "content")
+    if not with_secrets:
         return files.select(*keep)
     scanned = F.when(F.col("candidate") & language.isin(secrets.LANGUAGES), text).alias("content")
     return secrets.scan_secrets(files.select(*keep, scanned), options.secrets, keep)
 
 
-def candidates(tables: Tables, extracted: DataFrame, options: AuditOptions) -> DataFrame:
-    """The extracted rows that take part: ignore rules or the change set are applied here, to small rows."""
-    rows = extracted.where("candidate")
-    if tables.refs is not None:
-        wanted = discovery.change_set(
-            tables.files.select("repo", "path"), tables.commits, tables.commit_files, tables.refs
-        )
-        return rows.join(wanted, ["repo", "path"], "left_semi")
-    if options.use_ignore_files:
-        ignore_files = extracted.where(F.col("ignore_lines").isNotNull()).withColumnRenamed("ignore_lines", "lines")
-        rules = discovery.rules_of_lines(ignore_files, options.prefix, options.respect_gitignore)
-        return discovery.not_ignored(rows, rows, rules)
-    return rows
-
-
 def scored(tables: Tables, rows: DataFrame, options: AuditOptions) -> DataFrame:
     """Candidates with ``provenance_score``; null throughout if detection is off."""
     if not options.detect:
@@ -127,51 +163,77 @@ def scored(tables: Tables, rows: DataFrame, options: AuditOptions) -> DataFrame:
     return with_score.withColumn("provenance_score", F.col("score")).select(*rows.columns, "provenance_score")
 
 
-def dependency_findings(tables: Tables, packages: DataFrame) -> DataFrame:
+def dependency_findings(tables: Tables, packages: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Findings in locked dependencies, per repository and ecosystem."""
     parts = []
     if tables.advisories is not None:
         parts.append(vulnerabilities.advisory_findings(packages, tables.advisories))
     if tables.osv_vulns is not None:
-        parts.append(vulnerabilities.exact_findings(packages, tables.osv_vulns))
+        at = None if as_of is None else F.lit(as_of).cast("timestamp")
+        parts.append(vulnerabilities.exact_findings(packages, tables.osv_vulns, as_of=at))
     return union_findings(parts)
 
 
-def audit(tables: Tables, options: AuditOptions | None = None) -> DataFrame:
-    """All findings, with scores. Write them to a table before counting or reporting on them.
+def audited(tables: Tables, options: AuditOptions | None = None) -> Audited:
+    """The whole audit. Write the findings to a table before counting or reporting on them.
 
-    Calling this runs the extraction and writes its result to the checkpoint folder: the text is read
-    exactly once, however many parts use what was found in it.
+    Calling this selects the files, searches the text of those, and writes what it found to the shared folder: text is
+    searched exactly once, however many parts use what was found in it. Only in AI-only mode it is searched twice, the
+    second time for secrets in the files that are left.
     """
     options = options or AuditOptions()
-    extracted = checkpointed(extract(tables, options))
+    chosen = options.chosen(tables)
+    use_ignore = options.use_ignore_files and not _by_change(tables, options)
+    ignore_lines = stored(_ignore_lines(tables, options)) if use_ignore else None
+    files = selected(tables, options, ignore_lines)
+    scan_now = secrets.VERIFIER in chosen and not options.ai_only
+    extracted = stored(extract(files, options, scan_now))
+    candidates = extracted.where("candidate")
 
     def from_secrets() -> DataFrame:
-        rows = scored(tables, candidates(tables, extracted, options), options)
+        rows = scored(tables, candidates, options)
+        if options.ai_only:
+            # Scores come first: only the text of what is left is searched.
+            left = stored(rows.select("repo", "path", "provenance_score"))
+            scanned = files.where(F.col("candidate") & F.col("language").isin(secrets.LANGUAGES))
+            rows = scanned.select("repo", "path", "language", "content").join(left, ["repo", "path"])
+            rows = stored(secrets.scan_secrets(rows, options.secrets, ["repo", "path", "provenance_score"]))
         return explode_items(rows, "secrets", ("repo", "path", "provenance_score"))
 
     def from_dependencies() -> DataFrame:
         locks = extracted.where(F.col("packages").isNotNull())
         packages = lockfiles.first_lockfiles(lockfiles.lockfile_rows(locks))
-        found = dependency_findings(tables, packages)
-        if not options.detect or (tables.refs is None and "unknown" not in (options.languages or ())):
+        found = dependency_findings(tables, packages, options.as_of)
+        if not options.detect or (not _by_change(tables, options) and "unknown" not in (options.languages or ())):
             return found
         # Lockfiles are candidates only here, so only here can their findings get a score.
-        rows = scored(tables, candidates(tables, extracted, options).where(F.col("packages").isNotNull()), options)
+        rows = scored(tables, candidates.where(F.col("packages").isNotNull()), options)
         return attach_provenance(found, rows.withColumnRenamed("provenance_score", "score"))
 
-    parts = run_verifiers(
-        {secrets.VERIFIER: from_secrets, vulnerabilities.VERIFIER: from_dependencies}, options.chosen(tables)
+    parts = run_verifiers({secrets.VERIFIER: from_secrets, vulnerabilities.VERIFIER: from_dependencies}, chosen)
+    unread = candidates.where("unreadable").select(
+        "repo", "path", F.lit(secrets.VERIFIER).alias("verifier_id"), F.lit("not valid UTF-8").alias("reason")
     )
-    if not parts:
-        return tables.files.sparkSession.createDataFrame([], FINDINGS)
-    return union_findings(parts)
+    locks = extracted.where(F.col("packages").isNotNull() & (F.size("packages") == 0)).select(
+        "repo", "path", F.lit(vulnerabilities.VERIFIER).alias("verifier_id"), F.lit("no packages in lockfile").alias("reason")
+    )
+    errors = unread.unionByName(locks)
+    if ignore_lines is not None:
+        errors = errors.unionByName(
+            discovery.invalid_ignore_rules(ignore_lines, options.prefix, options.respect_gitignore)
+        )
+    found = union_findings(parts) if parts else tables.files.sparkSession.createDataFrame([], FINDINGS)
+    return Audited(found, candidate_counts(candidates), errors)
+
+
+def audit(tables: Tables, options: AuditOptions | None = None) -> DataFrame:
+    """The findings of ``audited``."""
+    return audited(tables, options).findings
 
 
 def run_table(tables: Tables, options: AuditOptions | None = None) -> DataFrame:
-    """Scanned files per repository, for reports. Reads no text beyond the ignore files."""
+    """Scanned files per repository without an audit. Reads the text of ignore files alone."""
     options = options or AuditOptions()
-    rows = tables.files.withColumn("candidate", _is_candidate(tables, options))
-    ignore_names = discovery.ignore_file_kinds(options.prefix, options.respect_gitignore)
-    ignore = F.when(basename(F.col("path")).isin(list(ignore_names)), lines(F.col("content"))).alias("ignore_lines")
-    return candidate_counts(candidates(tables, rows.select("repo", "path", "candidate", ignore), options))
+    use_ignore = options.use_ignore_files and not _by_change(tables, options)
+    ignore_lines = stored(_ignore_lines(tables, options)) if use_ignore else None
+    return candidate_counts(selected(tables, options, ignore_lines).where("candidate").select("repo", "path"))

@@ -10,11 +10,11 @@ from sparkwarden.operators import findings as fnd
 from sparkwarden.operators import reports
 from sparkwarden.operators.provenance import last_commits
 from sparkwarden.operators.secrets import SecretOptions
-from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, run_table
+from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, audited
 from sparkwarden.plans.oracle import RANK, audit_ctes
 from sparkwarden.plans.queries_discovery import DIFF_CTES, refs_of
 from sparkwarden.plans.registry import Inputs, flat, query
-from sparkwarden.session import checkpointed
+from sparkwarden.session import stored
 
 OPTIONS = AuditOptions(secrets=SecretOptions(unicode=False))
 AUDIT = audit_ctes()
@@ -30,13 +30,14 @@ def _found(spark, sf_dir, options=OPTIONS):
     return audit(tables_of(spark, sf_dir), options)
 
 
-def _written(spark, sf_dir):
-    """Findings written once; reports read them several times."""
-    return checkpointed(_found(spark, sf_dir))
+def _reported(spark, sf_dir):
+    """Findings written once, as reports read them several times, and the scanned files of the same audit."""
+    done = audited(tables_of(spark, sf_dir), OPTIONS)
+    return stored(done.findings), done.runs
 
 
-def _runs(spark, sf_dir):
-    return run_table(tables_of(spark, sf_dir))
+def _written(spark, sf_dir):
+    return _reported(spark, sf_dir)[0]
 
 
 @query(AUDIT + f"SELECT {_COLUMNS} FROM findings")
@@ -68,6 +69,16 @@ def audit_changed_files(spark, sf_dir):
     return flat(audit(tables, OPTIONS))
 
 
+@query(
+    AUDIT + """, staged_paths AS MATERIALIZED (SELECT DISTINCT repo, path FROM commit_files WHERE staged AND status IN ('A', 'C', 'M', 'R'))
+    SELECT s.repo, s.path, s.rule_id, s.start_line, s.start_col, p.score AS provenance_score FROM secret_rows s
+    JOIN scored p ON p.repo = s.repo AND p.path = s.path WHERE (s.repo, s.path) IN (SELECT repo, path FROM staged_paths)"""
+)
+def audit_staged_files(spark, sf_dir):
+    found = audit(tables_of(spark, sf_dir), AuditOptions(staged=True, verifiers=["secrets"], secrets=OPTIONS.secrets))
+    return found.select("repo", "location.path", "rule_id", "location.start_line", "location.start_col", "provenance_score")
+
+
 @query(
     AUDIT + f"""SELECT repo, severity, path, start_line, start_col, rule_id, provenance_score,
     rank() OVER (ORDER BY repo, coalesce(provenance_score, 0) DESC, {RANK} DESC, path, start_line, start_col, rule_id) AS position FROM findings"""
@@ -77,11 +88,12 @@ def findings_in_order(spark, sf_dir):
     found = fnd.sort_findings(_found(spark, sf_dir), ai_priority=True).select(
         "repo", "severity", "location.path", "location.start_line", "location.start_col", "rule_id", "provenance_score"
     )
-    placed = checkpointed(found).withColumn("id", F.monotonically_increasing_id())
-    parts = placed.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-    before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
-    rows = placed.withColumn("part", F.shiftright("id", 33)).join(before, "part")
-    rows = rows.withColumn("position", F.col("id").bitwiseAND((1 << 33) - 1) + F.col("before") + 1).drop("id", "part", "before")
+    # Part files in name order hold the sorted rows.
+    file, row = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    placed = stored(found).select("*", file, row)
+    parts = placed.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    before = parts.select("file", (F.sum("rows").over(Window.orderBy("file")) - F.col("rows")).alias("before"))
+    rows = placed.join(before, "file").withColumn("position", F.col("row") + F.col("before") + 1).drop("file", "row", "before")
     equal = Window.partitionBy("repo", "path", "start_line", "start_col", "rule_id", "severity", "provenance_score")
     return rows.withColumn("position", F.min("position").over(equal))
 
@@ -91,12 +103,13 @@ def findings_in_order(spark, sf_dir):
     + " FROM runs r LEFT JOIN findings f ON f.repo = r.repo GROUP BY r.repo"
 )
 def findings_by_severity(spark, sf_dir):
-    return fnd.counts_by_severity(_written(spark, sf_dir), _runs(spark, sf_dir))
+    return fnd.counts_by_severity(*_reported(spark, sf_dir))
 
 
 @query(AUDIT + f"SELECT r.repo, max({RANK}) FILTER (WHERE severity IS NOT NULL) AS worst, coalesce(max({RANK}) FILTER (WHERE severity IS NOT NULL) < 4, true) AS passed FROM runs r LEFT JOIN findings f ON f.repo = r.repo GROUP BY r.repo")
 def gate_on_critical(spark, sf_dir):
-    return fnd.gate(_written(spark, sf_dir), "CRITICAL", _runs(spark, sf_dir))
+    found, runs = _reported(spark, sf_dir)
+    return fnd.gate(found, "CRITICAL", runs)
 
 
 @query(AUDIT + f"SELECT {_COLUMNS} FROM findings WHERE {RANK} >= 3")
@@ -202,7 +215,7 @@ _VERIFIER_LIST = ",".join(f'"{v}"' for v in VERIFIERS)
     UNION ALL {_listed(1, _FINDING)} UNION ALL SELECT repo, 2, ']}}' FROM runs"""
 )
 def json_report(spark, sf_dir):
-    lines = reports.json_lines(_written(spark, sf_dir), _runs(spark, sf_dir), VERIFIERS, duration_ms=1500)
+    lines = reports.json_lines(*_reported(spark, sf_dir), VERIFIERS, duration_ms=1500)
     return lines.select("repo", "place.section", "line")
 
 
@@ -217,7 +230,7 @@ _OWN_RULES = ",".join(
     UNION ALL SELECT repo, 2, ']}}}},"results":[' FROM runs UNION ALL {_listed(3, _SARIF)} UNION ALL SELECT repo, 4, ']}}]}}' FROM runs"""
 )
 def sarif_report(spark, sf_dir):
-    lines = reports.sarif_lines(_written(spark, sf_dir), _runs(spark, sf_dir), VERIFIERS)
+    lines = reports.sarif_lines(*_reported(spark, sf_dir), VERIFIERS)
     return lines.select("repo", "place.section", "line")
 
 
@@ -231,5 +244,5 @@ _COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in
     FROM (SELECT r.repo, count(f.rule_id) AS n, {_COUNTS} FROM runs r LEFT JOIN findings f ON f.repo = r.repo GROUP BY r.repo)"""
 )
 def text_report(spark, sf_dir):
-    lines = reports.text_lines(_written(spark, sf_dir), _runs(spark, sf_dir), duration_ms=1500)
+    lines = reports.text_lines(*_reported(spark, sf_dir), duration_ms=1500)
     return lines.select("repo", "place.section", "line")

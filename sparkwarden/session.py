@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a fresh scratch folder only where none is set."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a fresh scratch folder; on a cluster that would lose data, so that it fails.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: several sinks then read one written copy, and a lost executor costs no rescan."""
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Several sinks then read one written copy, of known size and only the columns they need, and a lost executor costs no
+    recomputation. The folder is deleted when the session's JVM ends.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)

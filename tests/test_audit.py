@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import findings as fnd
 from sparkwarden.operators import reports
-from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, run_table
+from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, _ignore_lines, audit, audited, extract, run_table, selected
 
 AWS = "AKIA" + "IOSFODNN7EXAMPLE"
 
@@ -18,7 +18,7 @@ def tables(spark, files_of):
         ("ai.rs", f'// audit:ai\nlet k = "{AWS}";\n'), ("human.py", f'# audit:human\nk = "{AWS}"\n'), ("plain.go", f'k := "{AWS}"\n'),
         ("skip/a.rs", f'let k = "{AWS}";\n'), (".gitignore", "skip/\n"), ("go.sum", "example.org/a v1.0.0 h1:x=\n"), ("notes.md", AWS),
     ).unionByName(files_of(("ok.rs", "fn a() {}\n"), repo="clean"))
-    osv = spark.createDataFrame([("Go", "example.org/a", "v1.0.0", "V-1")], "ecosystem string, name string, version string, vuln_id string")
+    osv = spark.createDataFrame([("Go", "example.org/a", "v1.0.0", "V-1", 0)], "ecosystem string, name string, version string, vuln_id string, fetched_at int")
     return Tables(files, osv_vulns=osv)
 
 
@@ -124,7 +124,31 @@ def test_partitioning_does_not_matter(tables):
     assert keys(audit(one)) == keys(audit(many))
 
 
-def test_text_is_read_once(tables):
-    # After the extract nothing in the plan reads file text again.
-    plan = audit(tables)._jdf.queryExecution().optimizedPlan().toString()
-    assert "regexp_replace(content" not in plan
+def test_text_is_read_once(spark, tables, tmp_path):
+    # After the extract no plan reads file text again: neither findings, nor counts, nor errors.
+    tables.files.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    done = audited(Tables(files, osv_vulns=tables.osv_vulns))
+    for df in (done.findings, done.runs, done.errors):
+        assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_selected_before_their_text_is_searched(spark, tables, tmp_path):
+    tables.files.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    options = AuditOptions()
+    chosen = selected(Tables(files), options, _ignore_lines(Tables(files), options))
+    assert sorted(r.path for r in chosen.where("candidate").collect()) == ["ai.rs", "human.py", "ok.rs", "plain.go"]
+    plan = extract(chosen, options, True)._jdf.queryExecution().optimizedPlan().toString()
+    # The join with the selection stands below the first search of the text.
+    assert plan.index("regexp") < plan.index("Join") < plan.rindex("Relation")
+
+
+def test_staged_errors_and_as_of(spark, tables, files_of):
+    touched = spark.createDataFrame([("r", "s1", "human.py", "M", True), ("r", "s1", "ai.rs", "D", True)], "repo string, sha string, path string, status string, staged boolean")
+    staged = Tables(tables.files, commit_files=touched, osv_vulns=tables.osv_vulns)
+    assert [k[0] for k in keys(audit(staged, AuditOptions(staged=True, skip=["cve"])))] == ["human.py"]
+    bad = tables.files.where("path <> '.gitignore'").unionByName(files_of((".gitignore", "[a\nskip/\n"), ("bad.rs", None), ("yarn.lock", "")))
+    done = audited(Tables(bad))
+    assert sorted((r.path, r.verifier_id) for r in done.errors.collect()) == [(".gitignore", "discovery"), ("bad.rs", "secrets"), ("yarn.lock", "cve")]
+    assert "skip/a.rs" not in [k[0] for k in keys(done.findings)]
