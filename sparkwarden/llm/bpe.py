@@ -14,10 +14,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sparkwarden.llm.common import byte_rows, chunks, strings
+from sparkwarden.llm.common import byte_rows, texts_of
 
 #: The code points of the pattern's white space.
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -297,12 +296,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def portions(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Texts of about a megabyte together, null as empty, and the first one's row. No cycles are made meanwhile."""
+def portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts of about a megabyte together and the first one's row. No cycles are made meanwhile."""
     gc.disable()  # else each collection walks all states
     try:
-        for lo, hi in chunks(pc.fill_null(pc.binary_length(column), 0).to_numpy(), limit):
-            yield lo, strings(column.slice(lo, hi - lo))
+        yield from texts_of(column)
     finally:
         gc.enable()
 

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.session import shared_dir
+from sparkwarden.session import stored  # noqa: F401  # written tables of the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back.
-
-    A lost executor costs no recomputation, and readers prune columns. The folder is deleted when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null becomes empty."""
     return [x or "" for x in column.to_pylist()]
@@ -45,6 +31,12 @@ def chunks(lengths: np.ndarray, limit: int):
         yield start, len(lengths)
 
 
+def texts_of(column: pa.Array, limit: int = 1 << 20):
+    """(first row, texts) of a string column in portions of about ``limit`` bytes; null becomes empty."""
+    for lo, hi in chunks(pc.fill_null(pc.binary_length(column), 0).to_numpy(), limit):
+        yield lo, strings(column.slice(lo, hi - lo))
+
+
 def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column in one array, and the n + 1 row boundaries in it (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

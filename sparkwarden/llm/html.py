@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkwarden.llm.common import strings
+from sparkwarden.llm.common import texts_of
 
 #: Pages that training takes from the table at most, and their largest size in characters.
 SAMPLE, SAMPLE_CHARS = 400, 50_000
@@ -405,7 +405,7 @@ def main_text(pages: DataFrame, chain: Chain, key: str = "page_id", url: str = "
     def run(batches):
         memo: dict = {}
         for b in batches:
-            texts = [chain.text(p, memo) if p else "" for p in strings(b.column(2))]
+            texts = [chain.text(p, memo) if p else "" for _, part in texts_of(b.column(2)) for p in part]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["key", "url", "text", "n_chars"],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwarden.llm.common import byte_rows, chunks, stored
@@ -67,7 +68,7 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", languages:
         for b in batches:
             data, bounds = byte_rows(b.column(0))
             label = np.array([languages.index(x) for x in b.column(1).to_pylist()], np.int64)
-            for lo, hi in chunks(np.diff(bounds), 1 << 20):
+            for lo, hi in chunks(np.diff(bounds), 1 << 18):
                 of, bucket = trigrams(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 counts += np.bincount(label[lo + of] * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
         at = np.flatnonzero(counts)
@@ -81,34 +82,46 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", languages:
 
 
 def _likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Replaces ``text`` by ``likely``: log likelihoods per language and, last, of even chances; empty without letters."""
+    """Replaces ``text`` by ``likely``, log likelihoods per language and, last, of even chances, and ``share``, the
+    posteriors by the text alone over the languages. Both are empty without letters."""
     others = [f for f in rows.schema if f.name != "text"]
+    n = len(model)
 
     def run(batches):
         table = np.c_[model.T, np.full(BUCKETS, -np.log(BUCKETS))]
         for b in batches:
             data, bounds = byte_rows(b.column(b.schema.get_field_index("text")))
-            sums, count = np.zeros((b.num_rows, table.shape[1])), np.zeros(b.num_rows, np.int64)
-            for lo, hi in chunks(np.diff(bounds), 1 << 20):
+            for lo, hi in chunks(np.diff(bounds), 1 << 18):
                 of, bucket = trigrams(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                count[lo:hi] = np.bincount(of, minlength=hi - lo)
-                for k in range(table.shape[1]):
-                    sums[lo:hi, k] = np.bincount(of, table[bucket, k], minlength=hi - lo)
-            size = np.where(count > 0, table.shape[1], 0)
-            likely = pa.ListArray.from_arrays(
-                pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(sums[count > 0].ravel())
-            )
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), likely], [*(f.name for f in others), "likely"])
+                sums = np.stack([np.bincount(of, table[bucket, k], minlength=hi - lo) for k in range(n + 1)], 1)
+                some = np.bincount(of, minlength=hi - lo) > 0
+                share = _softmax(sums[:, :n] * TEMPER)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(f.name).slice(lo, hi - lo) for f in others), _lists(sums, some), _lists(share, some)],
+                    [*(f.name for f in others), "likely", "share"],
+                )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return rows.mapInArrow(run, f"{kept}, likely array<double>")
+    return rows.mapInArrow(run, f"{kept}, likely array<double>, share array<double>")
 
 
-def _softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    parts = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(parts, lambda v: v / total)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(1, keepdims=True))
+    return x / x.sum(1, keepdims=True)
+
+
+def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The rows as lists, empty where not ``some``."""
+    size = np.where(some, rows.shape[1], 0)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(rows[some].ravel()))
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Lists of n numbers as rows; null and empty lists are zeros."""
+    out = np.zeros((len(column), n))
+    some = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) > 0
+    out[some] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
 
 
 def _sums(column: str, n: int) -> Column:
@@ -143,51 +156,54 @@ def identified(
     )
     n = len(languages)
     rows = stored(_likelihoods(rows, model))
-    # Text alone, over the known languages: what the shares are made of.
-    alone = _softmax(F.transform(F.slice("likely", 1, n), lambda v: v * TEMPER))
-    rows = rows.withColumn("share", F.when(F.size("likely") > 0, alone))
-    counted = rows.where(F.col("share").isNotNull())
-
-    def plus(own: Column, parent: Column) -> Column:
-        """Own sums with ``STRENGTH`` rows of the parent's prior, as shares."""
-        size = F.aggregate(own, F.lit(0.0), lambda s, v: s + v)
-        return F.zip_with(own, parent, lambda a, b: (F.greatest(a, F.lit(0.0)) + STRENGTH * b) / (F.greatest(size, F.lit(0.0)) + STRENGTH))
-
-    zero, even = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(1.0 / n)] * n)
-    for name in ("host", "site", "declared", "suffix"):
-        sums = counted.where(F.col(name).isNotNull()).groupBy(name).agg(_sums("share", n).alias(f"by_{name}"))
-        rows = rows.join(sums, name, "left")
+    counted = rows.where(F.size("share") > 0)
     told = counted.agg(
         _sums("share", n).alias("all"),
         *[x for c in ("declared", "suffix") for x in (F.count_distinct(c).alias(f"n_{c}"), _sums_where(c, n).alias(f"all_{c}"))],
     ).first()
-    lit = lambda xs: F.array(*[F.lit(float(x or 0)) for x in xs])
-    minus = lambda a, b: F.zip_with(F.coalesce(a, zero), F.coalesce(b, zero), lambda x, y: x - y)
-    own = F.col("share")
-    prior = plus(minus(F.col("by_host"), own), plus(minus(F.col("by_site"), own), plus(minus(lit(told["all"]), own), even)))
-    # A row without host takes all rows' shares: its sums are empty, so that minus gives nothing above zero.
-    evidence = F.transform(prior, lambda p: F.log(p))
-    for name in ("declared", "suffix"):
-        different = float(told[f"n_{name}"] or 0) + 1
-        of_language = minus(lit(told[f"all_{name}"]), own)
-        chance = F.zip_with(
-            minus(F.col(f"by_{name}"), own), of_language,
-            lambda a, t: F.log((F.greatest(a, F.lit(0.0)) + 1) / (F.greatest(t, F.lit(0.0)) + different)),
-        )
-        evidence = F.zip_with(evidence, F.when(F.col(name).isNotNull(), chance).otherwise(zero), lambda a, b: a + b)
-    known = F.zip_with(F.slice("likely", 1, n), evidence, lambda t, e: t * TEMPER + e + float(np.log1p(-OTHER)))
-    # The unknown language has no say on hosts and declarations; it is held against the best of these.
-    unknown = F.get("likely", F.lit(n)) * TEMPER + F.array_max(evidence) + float(np.log(OTHER))
-    names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
-    rows = rows.withColumn("posterior", F.when(own.isNotNull(), _softmax(F.concat(known, F.array(unknown)))))
-    at = lambda xs: F.array_position(xs, F.array_max(xs)).cast("int") - 1
-    language = F.coalesce(F.get(names, at(F.col("posterior"))), F.lit(UNKNOWN))
-    confidence = F.coalesce(F.array_max("posterior"), F.lit(0.0))
-    return rows.select(
-        F.col("key").alias(key), language.alias("language"), confidence.alias("confidence"), "posterior",
-        F.coalesce(F.get(names, at(own)), F.lit(UNKNOWN)).alias("text_language"),
-        ((language != UNKNOWN) & (confidence >= CONFIDENCE)).alias("accepted"),
-    )
+    for name in ("host", "site", "declared", "suffix"):
+        sums = counted.where(F.col(name).isNotNull()).groupBy(name).agg(_sums("share", n).alias(f"by_{name}"))
+        rows = rows.join(sums, name, "left")
+    total = {c: np.array([x or 0.0 for x in told[c]]) for c in ("all", "all_declared", "all_suffix")}
+    values = {c: float(told[f"n_{c}"] or 0) + 1 for c in ("declared", "suffix")}
+    names = np.array([*languages, UNKNOWN], object)
+
+    def plus(own: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Own sums with ``STRENGTH`` rows of the parent's prior, as shares."""
+        own = np.maximum(own, 0)
+        return (own + STRENGTH * parent) / (own.sum(1, keepdims=True) + STRENGTH)
+
+    def fuse(batches):
+        for b in batches:
+            column = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            own, likely = _matrix(column["share"], n), _matrix(column["likely"], n + 1)
+            some = own.sum(1) > 0
+            by = {c: _matrix(column[f"by_{c}"], n) - own for c in ("host", "site", "declared", "suffix")}
+            prior = plus(by["host"], plus(by["site"], plus(total["all"] - own, np.full(own.shape, 1 / n))))
+            evidence = np.log(prior)
+            for c, different in values.items():
+                chance = np.log((np.maximum(by[c], 0) + 1) / (np.maximum(total[f"all_{c}"] - own, 0) + different))
+                evidence += np.where(column[c].is_valid().to_numpy(zero_copy_only=False)[:, None], chance, 0)
+            known = likely[:, :n] * TEMPER + evidence + np.log1p(-OTHER)
+            # The unknown language has no say on hosts and declarations; it is held against the best of these.
+            unknown = likely[:, n:] * TEMPER + evidence.max(1, keepdims=True) + np.log(OTHER)
+            posterior = _softmax(np.c_[known, unknown])
+            best = np.where(some, posterior.argmax(1), n)
+            confidence = np.where(some, posterior.max(1), 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column["key"], pa.array(names[best], pa.string()), pa.array(confidence), _lists(posterior, some),
+                    pa.array(names[np.where(some, own.argmax(1), n)], pa.string()),
+                    pa.array((best < n) & (confidence >= CONFIDENCE)),
+                ],
+                ["key", "language", "confidence", "posterior", "text_language", "accepted"],
+            )
+
+    kind = rows.schema["key"].dataType.simpleString()
+    out = rows.mapInArrow(
+        fuse, f"key {kind}, language string, confidence double, posterior array<double>, text_language string, accepted boolean"
+    )
+    return out.withColumnRenamed("key", key)
 
 
 def _sums_where(name: str, n: int) -> Column:

@@ -181,9 +181,10 @@ def _packed(docs: DataFrame) -> DataFrame:
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for b in batches:
-            texts = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
+            data, bounds = byte_rows(b.column(2))
+            texts = (pa.py_buffer(data[x:y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist()))
             packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
-            sizes = pa.array([len(t) for t in texts], pa.int64())
+            sizes = pa.array(np.diff(bounds))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), sizes, packed, *b.columns[3:]], ["doc_id", "sum", "size", "packed", *others]
             )

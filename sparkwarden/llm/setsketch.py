@@ -129,7 +129,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, bounds = byte_rows(batch.column(1))
-            for lo, hi in chunks(np.diff(bounds), 1 << 20):
+            for lo, hi in chunks(np.diff(bounds), 1 << 18):
                 sets, begin = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], words)
                 other = np.r_[np.uint64(0), np.cumsum(mix(sets * _STEP))]
                 sums = np.r_[np.uint64(0), np.cumsum(sets)]

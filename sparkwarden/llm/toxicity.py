@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwarden.llm.common import stored, strings
+from sparkwarden.llm.common import stored, texts_of
 
 #: Labelled rows that training takes at most in expectation, drawn evenly by a hash of the id.
 SAMPLE = 12_000
@@ -56,7 +56,7 @@ class Model:
         for w in found:
             known = memo.get(w)
             if known is None:
-                if len(memo) > 300_000:
+                if len(memo) > 100_000:
                     memo.clear()
                 known = memo[w] = self.of_word(w)
             if known:
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
 
     def reduce(batches):
         for b in batches:
-            found = [" ".join(sorted(words(t))) for t in strings(b.column(0))]
+            found = [" ".join(sorted(words(t))) for _, part in texts_of(b.column(0)) for t in part]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(1)], ["words", "label"])
 
     def count(batches):
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str
     def run(batches):
         memo: dict[str, tuple[str, ...]] = {}
         for b in batches:
-            scores = np.array([model.score(words(t), memo) for t in strings(b.column(1))], float)
+            scores = np.array([model.score(words(t), memo) for _, part in texts_of(b.column(1)) for t in part], float)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 ["key", "held_out", "score", "predicted"],
@@ -226,7 +226,8 @@ def harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text:
     def run(batches):
         memo: dict[str, tuple[str, ...]] = {}
         for b in batches:
-            texts = strings(b.column(b.schema.get_field_index(text)))
-            yield b.filter(pa.array([model.score(words(t), memo) < threshold for t in texts], pa.bool_()))
+            column = b.column(b.schema.get_field_index(text))
+            kept = [model.score(words(t), memo) < threshold for _, part in texts_of(column) for t in part]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
