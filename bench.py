@@ -10,6 +10,8 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from sparkwarden.operators import lockfiles, provenance, secrets, vulnerabilities
 from sparkwarden.operators.findings import counts_by_severity, for_languages
 from sparkwarden.plans.audit import Tables, audit
@@ -25,6 +27,9 @@ def main() -> None:
     t = Inputs(spark, SF_DIR)
     files = t.files
     code = for_languages(files, secrets.LANGUAGES)
+    # Each repository since its last commit but one: few files changed.
+    last = t.commits.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("author_ts", "sha")), asc=False).alias("c"))
+    refs = last.select("repo", F.get("c", F.lit(1))["sha"].alias("ref"))
     lines = files.selectExpr("sum(length(content) - length(replace(content, chr(10), '')))").collect()[0][0]
     queries = {
         "secrets_code": lambda: secrets.secret_findings(code),
@@ -35,6 +40,7 @@ def main() -> None:
         "advisory_join": lambda: vulnerabilities.advisory_findings(lockfiles.chosen_packages(files), t.advisories),
         "exact_join": lambda: vulnerabilities.exact_findings(lockfiles.chosen_packages(files), t.osv_vulns),
         "audit": lambda: audit(Tables(files, t.commits, t.commit_files, t.advisories, t.osv_vulns)),
+        "audit_diff": lambda: audit(Tables(files, t.commits, t.commit_files, t.advisories, t.osv_vulns, refs=refs)),
     }
     best: dict[str, float] = {}
     for _ in range(2):

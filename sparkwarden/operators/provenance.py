@@ -6,7 +6,7 @@ row-wise; only their few numbers are joined with the commit side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwarden.functions.arrays import let
 from sparkwarden.functions.text import (
@@ -251,6 +251,24 @@ def time_of_day(hour: Column) -> Column:
     return F.when(~hour.between(8, 22), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+#: Commits of an author that make up the usual pattern, how many are needed for one, and the share below which an hour is unusual.
+PAST_COMMITS, LEAST_COMMITS, USUAL_SHARE = 100, 10, 0.05
+
+
+def hour_anomalies(commits: DataFrame, past: int = PAST_COMMITS, least: int = LEAST_COMMITS, usual: float = USUAL_SHARE) -> DataFrame:
+    """``repo, sha, usual_share, unusual``: the share of the author's last commits in the repository in this commit's hour.
+
+    The pattern is the ``past`` commits before this one, in order of time and hash. With fewer than ``least`` nothing is
+    unusual. Unknown hours are no part of a pattern and have a null share.
+    """
+    order = Window.partitionBy("repo", "author").orderBy("author_ts", "sha").rowsBetween(-past, -1)
+    rows = commits.select("repo", "sha", "author_hour", F.collect_list("author_hour").over(order).alias("hours"))
+    same = F.size(F.filter("hours", lambda h: h == F.col("author_hour")))
+    share = F.when((F.size("hours") > 0) & F.col("author_hour").isNotNull(), same / F.size("hours"))
+    unusual = F.coalesce((F.size("hours") >= least) & (share < usual), F.lit(False))
+    return rows.select("repo", "sha", share.alias("usual_share"), unusual.alias("unusual"))
+
+
 def last_commits(commits: DataFrame, commit_files: DataFrame, *carry: str) -> DataFrame:
     """The latest commit of each path with the lines it added there: ``repo, path, sha, additions, <carry>``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import settled
+from sparkwarden.operators import imports, lockfiles
 from sparkwarden.operators import provenance as prov
 from sparkwarden.plans import oracle
 from sparkwarden.plans.oracle import tables
@@ -121,3 +122,41 @@ def inline_overrides(spark, sf_dir):
 @query(_SCORED + " SELECT repo, path, score FROM scored WHERE round(score, 6) >= 0.5")
 def likely_generated_files(spark, sf_dir):
     return prov.likely_generated(_scored(spark, sf_dir)).select("repo", "path", "score")
+
+
+@query(
+    tables("commits")
+    + """SELECT repo, sha, CASE WHEN len(hours) > 0 THEN len(list_filter(hours, lambda h: h = author_hour)) / len(hours) END AS usual_share,
+       coalesce(len(hours) >= 3 AND len(list_filter(hours, lambda h: h = author_hour)) / len(hours) < 0.2, false) AS unusual
+    FROM (SELECT repo, sha, author_hour, coalesce(list(author_hour) OVER (PARTITION BY repo, author ORDER BY author_ts, sha ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS hours
+          FROM (SELECT * REPLACE (concat('dev', cast(substr(author, 4) AS bigint) % 3) AS author) FROM commits))"""
+)
+def commit_hour_anomalies(spark, sf_dir):
+    commits = Inputs(spark, sf_dir).commits
+    # Three authors in each repository, so that they have a past.
+    author = F.concat(F.lit("dev"), (F.expr("cast(substr(author, 4) as bigint)") % 3).cast("string"))
+    return prov.hour_anomalies(commits.withColumn("author", author), past=5, least=3, usual=0.2)
+
+
+_FAMILY = "CASE language WHEN 'python' THEN 'python' WHEN 'rust' THEN 'rust' WHEN 'javascript' THEN 'script' WHEN 'typescript' THEN 'script' END"
+_SPELLED = "CASE WHEN family = 'script' THEN {0} ELSE lower(replace({0}, '-', '_')) END"
+_STANDARD = " OR ".join(f"(family = '{f}' AND module IN ({', '.join(repr(m) for m in ms)}))" for f, ms in imports.STANDARD.items())
+
+
+@query(
+    tables("files") + ", " + oracle.package_ctes() + f""",
+    imported AS (SELECT DISTINCT repo, path, family, module FROM (
+      SELECT repo, path, {_FAMILY} AS family, unnest(CASE {_FAMILY}
+        WHEN 'python' THEN regexp_extract_all(content, '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_]\w*)', 1)
+        WHEN 'script' THEN regexp_extract_all(content, '(?:\bfrom[ \t]+|\brequire\([ \t]*|\bimport[ \t]+)[''"](@[^''"/]+/[^''"/]+|[^''"./@:][^''"/:]*)', 1)
+        WHEN 'rust' THEN regexp_extract_all(content, '(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+(?:::)?([A-Za-z_]\w*)::', 1) END) AS module FROM files)),
+    known AS (SELECT repo, family, {_SPELLED.format('name')} AS spelled FROM (
+        SELECT repo, CASE ecosystem WHEN 'PyPI' THEN 'python' WHEN 'Rust' THEN 'rust' WHEN 'npm' THEN 'script' END AS family, name FROM parsed)
+      UNION SELECT repo, family, {_SPELLED.format('name')} FROM (SELECT DISTINCT repo, regexp_replace(unnest(string_split(path, '/')), '\.[^.]*$', '') AS name FROM files),
+        (VALUES ('python'), ('rust'), ('script')) AS f(family))
+    SELECT repo, path, module, 'hallucination' AS verifier_id, 'hallucination.unresolved-import' AS rule_id, 'high' AS severity FROM imported i
+    WHERE NOT ({_STANDARD}) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo = i.repo AND k.family = i.family AND k.spelled = {_SPELLED.format('i.module').replace('family', 'i.family')})"""
+)
+def unresolved_imports(spark, sf_dir):
+    files = Inputs(spark, sf_dir).files
+    return imports.unresolved_imports(files, lockfiles.all_packages(files, root_only=False))

@@ -105,3 +105,17 @@ def test_score_and_override(spark, files_of):
 def test_no_text_means_no_score(spark):
     files = spark.createDataFrame([("r", "a.rs", "rust", None)], "repo string, path string, language string, content string")
     assert prov.provenance(files).collect()[0].score is None
+
+
+def test_unresolved_imports(spark, files_of):
+    from sparkwarden.operators import imports, lockfiles
+
+    files = files_of(
+        ("a.py", "import os, x\nfrom quill_pad.core import y\nimport ghost\nfrom .near import z\nimport util\n"),
+        ("src/b.ts", "import a from './a';\nimport { b } from \"@s/p/sub\";\nconst c = require('vanished');\nimport 'fs';\n"),
+        ("src/c.rs", "use std::fmt;\nuse crate::a;\nuse fable::b;\nuse serde_x::C;\n"),
+        ("util.go", ""), ("requirements.txt", "Quill-Pad==1.0\n"), ("Cargo.lock", '[[package]]\nname = "serde-x"\nversion = "1.0.0"\n'),
+        ("package-lock.json", '{"packages":{"node_modules/@s/p":{"version":"1.0.0"}}}'),
+    )
+    got = imports.unresolved_imports(files, lockfiles.all_packages(files)).collect()
+    assert sorted((r.path, r.module) for r in got) == [("a.py", "ghost"), ("src/b.ts", "vanished"), ("src/c.rs", "fable")]
