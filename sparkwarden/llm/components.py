@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = _both_ways(edges)
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # Written first, so that the join with it can be split at a node with many links.
+        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

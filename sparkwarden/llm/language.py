@@ -163,7 +163,8 @@ def identified(
     ).first()
     for name in ("host", "site", "declared", "suffix"):
         sums = counted.where(F.col(name).isNotNull()).groupBy(name).agg(_sums("share", n).alias(f"by_{name}"))
-        rows = rows.join(sums, name, "left")
+        # Written first: of known size, it is broadcast if it is small, and else its join can be split at a common value.
+        rows = rows.join(stored(sums), name, "left")
     total = {c: np.array([x or 0.0 for x in told[c]]) for c in ("all", "all_declared", "all_suffix")}
     values = {c: float(told[f"n_{c}"] or 0) + 1 for c in ("declared", "suffix")}
     names = np.array([*languages, UNKNOWN], object)

@@ -116,7 +116,7 @@ def _dealt(rows: DataFrame, cell: int) -> DataFrame:
     A cell of up to ``cell`` rows is one block. A larger one is cut into parts by id; each pair of parts is a block, so
     that all its pairs are compared, by many tasks.
     """
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / cell).cast("int")
     rows = rows.join(counts, "key").withColumn("parts", parts)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int"))

@@ -335,7 +335,9 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int =
     """(doc_id, sum, spans array<struct<s, e>>) of the identified documents that hold repeats; spans may overlap."""
     found = stored(_anchored(docs, length, gram))
     many = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
-    again = stored(found.join(many.where("n > 1").select("gram", "mixed"), "gram"))
+    # Written first: both sides of the join are then plain shuffles, which adaptive execution splits at a common k-gram.
+    many = stored(many.where("n > 1").select("gram", "mixed"))
+    again = stored(found.join(many, "gram"))
     # One anchor of each context stands for all; a context that is there twice is covered throughout.
     each = again.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sum", "at")).alias("one"), F.first("mixed").alias("mixed")
@@ -353,7 +355,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int =
             _counted(contexts.join(crowded, "gram", "left_semi"), length)
         )
     whole = each.where("n > 1").select("gram", "context", F.lit(length).cast("long").alias("before"), F.lit(length).cast("long").alias("after"))
-    reach = whole.unionByName(reach.join(whole.select("gram", "context"), ["gram", "context"], "left_anti"))
+    reach = stored(whole.unionByName(reach.join(whole.select("gram", "context"), ["gram", "context"], "left_anti")))
     spans_ = again.join(reach, ["gram", "context"]).select(
         "doc_id", "sum", F.struct(F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("s"), (F.col("at") + F.col("after")).alias("e")).alias("span")
     )

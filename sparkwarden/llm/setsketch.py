@@ -166,7 +166,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
     """
     bands = _bands(sets)
     first = bands.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return components(bands.join(first, "key").select(F.col("id").alias("a"), "b"))
+    return components(bands.join(stored(first.select("key", "b")), "key").select(F.col("id").alias("a"), "b"))
 
 
 def _dealt(members: DataFrame, cell: int) -> DataFrame:
