@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from sparkwarden.operators import discovery, findings
 from sparkwarden.plans.oracle import tables
 from sparkwarden.plans.registry import Inputs, query
+from sparkwarden.session import shared_dir
+from sparkwarden.sources import commits as log
 from sparkwarden.sources.files import as_files
 
 EXCLUDE = ["vendor/*", "**/m3/*.js", "*[", "tests/**/f?[0-3]*.ts"]
@@ -166,3 +170,50 @@ def snapshot_diff(spark, sf_dir):
 @query(tables("files") + "SELECT repo, count(*) AS candidates_scanned FROM files WHERE language <> 'unknown' GROUP BY repo")
 def candidate_counts(spark, sf_dir):
     return findings.candidate_counts(discovery.by_language(Inputs(spark, sf_dir).files))
+
+
+@query(tables("commits") + "SELECT repo, sha, author, author_ts, author_hour, regexp_replace(message, '\\n+$', '') AS message FROM commits")
+def exported_commits(spark, sf_dir):
+    # The commits written as an exported history with a folder for each repository, and read back.
+    commits = Inputs(spark, sf_dir).commits
+    fields = ["sha", "author", F.date_format("author_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"), "message", F.lit("\n")]
+    record = F.concat(F.lit(log.RECORD), F.concat_ws(log.FIELD, *fields))
+    base = f"{shared_dir(spark)}/history-{uuid4().hex}"
+    commits.select("repo", record.alias("value")).write.partitionBy("repo").option("lineSep", "\n").text(base)
+    read = log.commits_of(log.read_log(spark, base))
+    return read.withColumn("author_ts", F.col("author_ts").cast("timestamp_ntz"))
+
+
+# Ignore files at the root and in folders: line, its regex for paths below the folder (written by hand), whether it must be a
+# folder. The weight of the file's kind comes first, the depth of its folder second, the line last.
+_NESTED = [
+    ("", 0, ".gitignore", ["# all", "*.ts", "!keep[0-9].ts", "[broken", "\\#x", "m3/"]),
+    ("src", 0, ".gitignore", ["!*.ts", "/m1", "m2/*.py"]),
+    ("", 1, ".ignore", ["f*[02468].js", "tests/**/f*1.*", "back\\"]),
+    ("tests", 2, ".auditignore", ["!f?1.go", "m5", "[!a-z]*"]),
+]
+_NESTED_RULES = [
+    ("", 0, 1, r"(.*/)?[^/]*\.ts", False, False), ("", 0, 2, r"(.*/)?keep[0-9]\.ts", True, False), ("", 0, 4, "(.*/)?#x", False, False),
+    ("", 0, 5, "(.*/)?m3", False, True), ("src", 0, 0, r"(.*/)?[^/]*\.ts", True, False), ("src", 0, 1, "m1", False, False),
+    ("src", 0, 2, r"m2/[^/]*\.py", False, False), ("", 1, 0, r"(.*/)?f[^/]*[02468]\.js", False, False),
+    ("", 1, 1, r"tests/(.*/)?f[^/]*1\.[^/]*", False, False), ("tests", 2, 0, r"(.*/)?f[^/]1\.go", True, False),
+    ("tests", 2, 1, "(.*/)?m5", False, False), ("tests", 2, 2, "(.*/)?[^a-z][^/]*", False, False),
+]
+
+
+@query(
+    tables("files")
+    + ", rules(dir, kind, ordinal, regex, negated, dir_only) AS (VALUES "
+    + ", ".join(f"('{d}', {k}, {o}, '{r}', {n}, {f})" for d, k, o, r, n, f in _NESTED_RULES)
+    + """), parts AS (SELECT repo, path, string_split(path, '/') AS s, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM files),
+    hits AS (SELECT repo, path, n, max_by(negated, (kind, depth, ordinal)) AS kept FROM (
+      SELECT p.*, r.*, CASE r.dir WHEN '' THEN 0 ELSE 1 END AS depth FROM parts p JOIN rules r ON (r.dir = '' OR (s[1] = r.dir AND n > 1)) AND (NOT dir_only OR n < len(s)))
+      WHERE regexp_full_match(array_to_string(s[depth + 1:n], '/'), regex) GROUP BY repo, path, n)
+    SELECT DISTINCT repo, path FROM hits WHERE NOT kept"""
+)
+def ignored_files_nested(spark, sf_dir):
+    files = Inputs(spark, sf_dir).files
+    rows = [(f"{d}/{name}".lstrip("/"), lines) for d, _, name, lines in _NESTED]
+    each = F.array(*[F.struct(F.lit(p).alias("path"), F.array(*[F.lit(x) for x in lines]).alias("lines")) for p, lines in rows])
+    rules = files.select("repo").distinct().select("repo", F.explode(each).alias("f")).select("repo", "f.path", "f.lines")
+    return discovery.ignored_paths(files.select("repo", "path"), discovery.rules_of_lines(rules))

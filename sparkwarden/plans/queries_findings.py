@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window, functions as F
 
 from sparkwarden import __version__
@@ -11,10 +13,10 @@ from sparkwarden.operators import reports
 from sparkwarden.operators.provenance import last_commits
 from sparkwarden.operators.secrets import SecretOptions
 from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, audited
-from sparkwarden.plans.oracle import RANK, audit_ctes
+from sparkwarden.plans.oracle import IGNORED_CTE, RANK, audit_ctes, tables
 from sparkwarden.plans.queries_discovery import DIFF_CTES, refs_of
 from sparkwarden.plans.registry import Inputs, flat, query
-from sparkwarden.session import stored
+from sparkwarden.session import shared_dir, stored
 
 OPTIONS = AuditOptions(secrets=SecretOptions(unicode=False))
 AUDIT = audit_ctes()
@@ -166,6 +168,28 @@ def findings_per_week(spark, sf_dir):
     return fnd.weekly_counts(_found(spark, sf_dir), last_commits(t.commits, t.commit_files))
 
 
+@query(
+    tables("files") + f""", {IGNORED_CTE} SELECT DISTINCT repo, 'sub/.ignore' AS path, 'discovery' AS verifier_id, 'invalid ignore rule in line 2: [a' AS reason FROM files
+    UNION ALL SELECT repo, path, 'secrets', 'not valid UTF-8' FROM files WHERE language <> 'unknown' AND k % 17 = 0 AND (repo, path) NOT IN (SELECT repo, path FROM ignored)"""
+)
+def audit_errors(spark, sf_dir):
+    files = Inputs(spark, sf_dir).files
+    files = files.withColumn("content", F.when((F.col("k") % 17 != 0) | (F.col("language") == "unknown"), F.col("content"))).drop("k")
+    bad = files.select("repo").distinct().select(
+        "repo", F.lit("sub/.ignore").alias("path"), F.lit("unknown").alias("language"), F.lit("# one bad line\n[a\n").alias("content")
+    )
+    errors = audited(Tables(files.unionByName(bad)), AuditOptions(detect=False, secrets=OPTIONS.secrets)).errors
+    return errors.where("verifier_id <> 'cve'")
+
+
+@query(AUDIT + f"SELECT {_COLUMNS} FROM findings")
+def findings_table(spark, sf_dir):
+    # Written as the table sink writes it, and read back.
+    path = f"{shared_dir(spark)}/findings-{uuid4().hex}"
+    reports.write_findings(_found(spark, sf_dir), path)
+    return flat(spark.read.parquet(path))
+
+
 # --- reports ---
 
 def _json(x: str) -> str:

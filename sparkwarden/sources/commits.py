@@ -15,13 +15,14 @@ RECORD, FIELD = "\x1e", "\x1f"
 def read_log(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
     """Raw records of exported histories: ``repo, sha, author, authored, message, changes``.
 
-    Without ``repo`` each file below ``path`` is a repository's history and its name without the ending is the repository.
+    Without ``repo`` the repository is that of the folder, if folders are named ``repo=<name>``, and else the file's name
+    without its ending: one read for the histories of many repositories.
     """
     record = F.split(F.col("value"), FIELD, -1)
-    by_file = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    rows = spark.read.option("lineSep", RECORD).text(path)
+    by_file = F.col("repo").cast("string") if "repo" in rows.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return (
-        spark.read.option("lineSep", RECORD).text(path)
-        .where(F.contains("value", F.lit(FIELD)))
+        rows.where(F.contains("value", F.lit(FIELD)))
         .select(
             (F.lit(repo) if repo is not None else by_file).alias("repo"),
             record[0].alias("sha"),
