@@ -207,6 +207,7 @@ _META = (
     "ELSE ['advisory_id','package','version','ecosystem','source'] END, lambda k: to_json(k) || ':' || "
     "to_json(regexp_extract(metadata, '(?:^|;)' || k || '=([^;]*)', 1))), ',') || '}' END"
 )
+_META = f"""regexp_replace({_META}, '"entropy":"([0-9]+(?:\\.[0-9]+)?)"', '"entropy":\\1')"""
 _SCORE = "CASE WHEN provenance_score IS NULL THEN '' ELSE ',\"provenance_score\":' || cast(provenance_score as varchar) END"
 _FINDING = (
     "'{\"verifier_id\":\"' || verifier_id || '\",\"rule_id\":\"' || rule_id || '\",\"severity\":\"' || severity || '\",\"message\":' || "

@@ -82,13 +82,13 @@ def documents(path):
 def test_json_and_sarif_documents(tables, tmp_path):
     found, runs = audit(tables), run_table(tables)
     doubled = found.unionAll(found)  # equal findings must not break the list
-    reports.write_lines(reports.json_lines(doubled, runs, VERIFIERS, duration_ms=7), str(tmp_path / "json"))
+    reports.write_lines(reports.json_lines(doubled, runs, VERIFIERS, duration_ms=7), str(tmp_path / "json"), folders=True)
     docs = {k: json.loads(v) for k, v in documents(tmp_path / "json").items()}
     assert docs["clean"]["findings"] == [] and docs["r"]["run"]["candidates_scanned"] == 3 and docs["r"]["run"]["duration_ms"] == 7
     assert [f["severity"] for f in docs["r"]["findings"]] == ["critical"] * 4 + ["high"] * 2
     assert "fix" not in docs["r"]["findings"][0] and docs["r"]["findings"][0]["location"]["start_line"] == 2
 
-    reports.write_lines(reports.sarif_lines(doubled, runs, VERIFIERS), str(tmp_path / "sarif"))
+    reports.write_lines(reports.sarif_lines(doubled, runs, VERIFIERS), str(tmp_path / "sarif"), folders=True)
     docs = {k: json.loads(v) for k, v in documents(tmp_path / "sarif").items()}
     run = docs["r"]["runs"][0]
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["secrets", "cve", "secrets.aws-access-token", "cve.go.V-1"]
@@ -101,7 +101,7 @@ def test_json_and_sarif_documents(tables, tmp_path):
 
 def test_text_report(tables, tmp_path):
     found, runs = audit(tables), run_table(tables)
-    reports.write_lines(reports.text_lines(found, runs, duration_ms=1234), str(tmp_path / "text"))
+    reports.write_lines(reports.text_lines(found, runs, duration_ms=1234), str(tmp_path / "text"), folders=True)
     docs = documents(tmp_path / "text")
     assert docs["clean"].splitlines()[0].endswith("scanned 1 file(s) in 1.23s") and docs["clean"].rstrip().endswith("0 findings")
     assert docs["r"].rstrip().endswith("2 critical · 1 high · 0 medium · 0 low · 0 info")
@@ -110,9 +110,14 @@ def test_text_report(tables, tmp_path):
 
 def test_table_sinks(tables, tmp_path):
     found = audit(tables)
-    reports.write_findings(found, str(tmp_path / "t"))
+    reports.write_findings(found, str(tmp_path / "t"), folders=True)
+    reports.write_findings(found, str(tmp_path / "one"))
+    lines = reports.text_lines(found, fnd.candidate_counts(found))
+    reports.write_lines(lines, str(tmp_path / "lines"))
     spark = found.sparkSession
     assert spark.read.parquet(str(tmp_path / "t")).where("repo = 'r'").count() == 3
+    assert keys(spark.read.parquet(str(tmp_path / "one"))) == keys(found)
+    assert spark.read.parquet(str(tmp_path / "lines")).columns == ["repo", "place", "line"]
     reports.write_json(found, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
     assert os.path.isdir(tmp_path / "t" / "repo=r")
