@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkwarden.llm import bpe, chat, html, language, lattice, packing, repeats, setsketch, toxicity, vptree
 from sparkwarden.llm.common import table
 
-#: Folder of the public vocabularies; the operators take paths.
-VOCABULARIES = os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-TOKENIZER = os.path.join(VOCABULARIES, "byte_bpe_50k.json")
-RANKS = os.path.join(VOCABULARIES, "byte_bpe_multi_50k.tiktoken")
+#: Vocabularies of the queries; the operators take any path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline and the registered queries on the smallest tables, each stage on its predecessor's output."""
 
+import os
 import re
+import sys
 
 import pytest
 
@@ -76,3 +78,12 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_and_their_sql(spark, name):
+    sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
+    import compare
+
+    rows, problems, *_ = compare.compare(spark, compare.connect(SF), name, queries.QUERIES[name], queries.ORACLES[name], SF)
+    assert rows > 0 and not problems
