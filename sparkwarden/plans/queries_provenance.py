@@ -144,7 +144,7 @@ _STANDARD = " OR ".join(f"(family = '{f}' AND module IN ({', '.join(repr(m) for
 
 
 @query(
-    tables("files") + ", " + oracle.package_ctes() + f""",
+    tables("files") + ", " + oracle.package_ctes() + rf""",
     imported AS (SELECT DISTINCT repo, path, family, module FROM (
       SELECT repo, path, {_FAMILY} AS family, unnest(CASE {_FAMILY}
         WHEN 'python' THEN regexp_extract_all(content, '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_]\w*)', 1)
