@@ -42,7 +42,10 @@ def as_files(rows: DataFrame) -> DataFrame:
 
 
 def _list_below(root: str):
-    """Task function: files below each given folder. Names starting with a dot or underscore are listed too."""
+    """Task function: files below each given folder. Names starting with a dot or underscore are listed too.
+
+    Folders are listed one by one, so that one that cannot be read is passed over and its neighbours are not.
+    """
 
     def run(batches):
         import pandas as pd
@@ -52,9 +55,16 @@ def _list_below(root: str):
         local = isinstance(files, arrow_fs.LocalFileSystem)
         for batch in batches:
             for folder, recursive in zip(batch["folder"], batch["recursive"]):
-                found = files.get_file_info(arrow_fs.FileSelector(folder, recursive=bool(recursive)))
-                paths = [f.path for f in found if f.is_file and not (local and _through_link(f.path, base))]
-                yield pd.DataFrame({"full": paths, "rel": [p[len(base):].lstrip("/") for p in paths]})
+                waiting = [folder]
+                while waiting:
+                    try:
+                        found = files.get_file_info(arrow_fs.FileSelector(waiting.pop()))
+                    except OSError:
+                        continue
+                    found = [f for f in found if not (local and _through_link(f.path, base))]
+                    waiting += [f.path for f in found if recursive and f.type == arrow_fs.FileType.Directory]
+                    paths = [f.path for f in found if f.is_file]
+                    yield pd.DataFrame({"full": paths, "rel": [p[len(base):].lstrip("/") for p in paths]})
 
     return run
 
@@ -81,7 +91,9 @@ def _read_files(root: str):
             for full, rel in zip(batch["full"], batch["rel"]):
                 try:
                     with files.open_input_file(full) as stream:
-                        content = stream.read()
+                        content = stream.read(SNIFF_BYTES)
+                        if b"\x00" not in content:  # else it is binary, and its beginning says so
+                            content += stream.read()
                 except OSError:
                     content = None
                 rows.append((rel, content))
