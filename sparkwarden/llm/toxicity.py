@@ -193,9 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(present, kind), pa.array(changes, kind), b.column(1)], ["present", "changes", "label"])
 
-    data = rows.mapInArrow(numbered, "present array<int>, changes array<int>, label int").orderBy("label", "present", "changes").toArrow()
-    arrays = lambda name: [np.array(x, np.int64) for x in data[name].to_pylist()]
-    return train(known, arrays("present"), arrays("changes"), data["label"].to_numpy().astype(float))
+    data = rows.mapInArrow(numbered, "present array<int>, changes array<int>, label int").toArrow()
+    # In an order of their own, so that sums come out the same however the rows were dealt.
+    data = sorted(zip(data["label"].to_pylist(), data["present"].to_pylist(), data["changes"].to_pylist()))
+    labels, present, changes = zip(*data)
+    arrays = lambda lists: [np.array(x, np.int64) for x in lists]
+    return train(known, arrays(present), arrays(changes), np.array(labels, float))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
