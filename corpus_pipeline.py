@@ -26,7 +26,7 @@ def _row(docs: DataFrame) -> Column:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a known language with a posterior of a half or more; the others go."""
     found = language.identified(docs.withColumn("row_key", _row(docs)), language.fit(docs), key="row_key")
-    gone = found.where("NOT accepted").select("row_key").distinct()
+    gone = stored(found.where("NOT accepted").select("row_key").distinct())
     return docs.withColumn("row_key", _row(docs)).join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
@@ -41,7 +41,7 @@ def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Of rows with the same id and text one stays. Rows without an id are compared with each other by their whole text.
     """
     found = setsketch.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id").distinct()
+    gone = stored(found.where("NOT kept").select("doc_id").distinct())
     left = docs.join(gone, "doc_id", "left_anti").withColumn("row_key", _row(docs))
     return left.dropDuplicates(["doc_id", "row_key"]).select(*COLUMNS)
 

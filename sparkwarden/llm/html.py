@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkwarden.llm.common import texts_of
 
-#: Pages that training takes from the table at most, and their largest size in characters.
+#: Pages that training takes from the table, in expectation, and their largest size in characters.
 SAMPLE, SAMPLE_CHARS = 400, 50_000
 
 #: Blocks of a training page at most; longer ones are left out of training.
@@ -389,10 +389,13 @@ def train(pages: list[str], drawn: int = 900, rounds: int = 80, seed: int = 5) -
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> Chain:
-    """Trains on at most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters, drawn by a hash of the key."""
+    """Trains on about ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters, drawn evenly by a hash of key and page."""
     size = F.length(pages[html])
-    drawn = pages.where((size > 0) & (size <= SAMPLE_CHARS)).select(F.xxhash64(pages[key]).alias("h"), pages[html].alias("html"))
-    return train([r.html for r in drawn.orderBy("h", "html").limit(SAMPLE).collect()])
+    known = pages.where((size > 0) & (size <= SAMPLE_CHARS)).select(F.xxhash64(pages[key], pages[html]).alias("h"), pages[html].alias("html"))
+    total = known.count()
+    share = min(1.0, SAMPLE / total) if total else 0.0
+    drawn = known.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(2 * SAMPLE)
+    return train([r.html for r in sorted(drawn.collect(), key=lambda r: (r.h, r.html))])
 
 
 def main_text(pages: DataFrame, chain: Chain, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
