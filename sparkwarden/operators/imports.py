@@ -19,12 +19,32 @@ STANDARD = {
 FAMILIES = {"python": "python", "rust": "rust", "javascript": "script", "typescript": "script"}
 ECOSYSTEMS = {"PyPI": "python", "Rust": "rust", "npm": "script"}
 
-#: The module that an import statement names; relative imports name none.
-PATTERNS = {
-    "python": r"(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_]\w*)",
-    "script": r"""(?:\bfrom[ \t]+|\brequire\([ \t]*|\bimport[ \t]+)['"](@[^'"/]+/[^'"/]+|[^'"./@:][^'"/:]*)""",
-    "rust": r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+(?:::)?([A-Za-z_]\w*)::",
-}
+#: Heads of Rust paths that are neither modules nor crates: primitive types and tools named in attributes.
+RUST_HEADS = "bool char f32 f64 i8 i16 i32 i64 i128 isize str u8 u16 u32 u64 u128 usize clippy diagnostic miri rustdoc rustfmt".split()
+
+_NAME = r"[^\W\d]\w*"
+_PYTHON_ITEM = rf"{_NAME}(?:[ \t]*\.[ \t]*{_NAME})*(?:[ \t]+as[ \t]+{_NAME})?"
+# At the start of a line, or after a semicolon or colon with neither quote nor comment before it in the line.
+_PYTHON_START = r"""(?mU)(?:^|[;:](?<=^[^#'"\n]{0,200}))[ \t]*"""
+#: One statement of Python: the list of modules, or the module that names come from; relative imports have neither.
+_PYTHON_LIST = rf"{_PYTHON_START}import[ \t]+({_PYTHON_ITEM}(?:[ \t]*,[ \t]*(?:\\\r?\n[ \t]*)?{_PYTHON_ITEM})*)"
+_PYTHON_FROM = rf"{_PYTHON_START}from[ \t]+({_NAME})[\w. \t]*[ \t](?:\\\r?\n[ \t]*)?import\b"
+#: Static, dynamic and required modules of scripts; templates with a placeholder name none.
+_SCRIPT = (
+    r"""(?:\bfrom\s*|\brequire(?:\.resolve)?\s*\(\s*|\bimport\s*(?:\(\s*)?)(?:/\*[^*]*\*/\s*)*['"`](?![^'"`]*\$\{)"""
+    r"""(@[^'"`/]+/[^'"`/]+|[^'"`./@:][^'"`/:]*)"""
+)
+#: Comments, strings and characters of Rust.
+_RUST_HIDDEN = (
+    r"""//[^\n]*+|(?s:/\*.*?\*/)|\bb?r(#*)"(?s:.*?)"\1|"(?s:.*?)(?<!\\)(?:\\\\)*"|'(?:\\[^\n][^'\n]*|[^'\\\n])'"""
+)
+_RUST_USE = r"\buse\s+([^;]+);"
+_RUST_EXTERN = r"\bextern\s+crate\s+(\w+)"
+#: Names that a file declares itself or binds by another name.
+_RUST_DECLARED = r"\b(?:mod|enum|struct|trait|type|union)\s+(\w+)"
+_RUST_ALIAS = r"\bextern\s+crate\s+\w+\s+as\s+(\w+)"
+#: The head of a path in code; crates and modules begin with a small letter. A generic call is no path.
+_RUST_PATH = r"(?<![\w:$.#>])(?:::\s*)?([a-z_]\w*)\s*::(?!\s*<)"
 
 
 def _family(language: Column) -> Column:
@@ -36,20 +56,63 @@ def _spelled(name: Column, family: Column) -> Column:
     return F.when(family == "script", name).otherwise(F.lower(F.replace(name, F.lit("-"), F.lit("_"))))
 
 
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def _each(items: Column, read) -> Column:
+    return F.flatten(F.transform(items, read))
+
+
+def _python_modules(text: Column) -> Column:
+    lists = _each(_all(text, _PYTHON_LIST), lambda names: F.split(names, ","))
+    heads = F.transform(lists, lambda name: F.regexp_extract(name, rf"(?U)({_NAME})", 1))
+    return F.concat(heads, _all(text, _PYTHON_FROM))
+
+
+def _rust_roots(tree: Column) -> Column:
+    """First names of a use tree; a tree in braces has several. Inner braces go one level after the other."""
+    bare = F.regexp_replace(tree, r"^\s*(?:::\s*)?\{([\s\S]*)\}\s*$", "$1")
+    levels = F.sequence(F.lit(0), F.length(tree) - F.length(F.replace(tree, F.lit("{"), F.lit(""))))
+    flat = F.aggregate(levels, bare, lambda t, _: F.regexp_replace(t, r"\{[^{}]*\}", ""))
+    roots = F.transform(F.split(flat, ","), lambda t: F.regexp_extract(t, r"^\s*(?:::\s*)?([A-Za-z_]\w*)", 1))
+    return F.filter(roots, lambda root: root != "")
+
+
+def _rust_bound(tree: Column) -> Column:
+    """Names that a use tree brings into the file."""
+    own = F.when(tree.rlike(r"\bself\b"), _all(tree, r"(\w+)\s*::\s*\{"))
+    return F.concat(_all(tree, r"(\w+)\s*(?:[,}]|$)"), F.coalesce(own, F.expr("cast(array() as array<string>)")))
+
+
+def _rust_modules(text: Column) -> Column:
+    # The text without comments and strings goes through one array, so that it is made once.
+    def read(code: Column) -> Column:
+        uses = _all(code, _RUST_USE)
+        bound = F.concat(_each(uses, _rust_bound), _all(code, _RUST_ALIAS), F.array(*[F.lit(h) for h in RUST_HEADS]))
+        paths = F.array_except(_all(F.regexp_replace(code, _RUST_USE, ";"), _RUST_PATH), bound)
+        named = F.concat(_each(uses, _rust_roots), _all(code, _RUST_EXTERN), paths)
+        return F.array_except(named, _all(code, _RUST_DECLARED))
+
+    return _each(F.array(F.regexp_replace(text, _RUST_HIDDEN, '""')), read)
+
+
+MODULES = {"python": _python_modules, "script": lambda text: _all(text, _SCRIPT), "rust": _rust_modules}
+
+
 def imported_modules(text: Column, language: Column) -> Column:
-    """Distinct top-level modules that a file imports."""
+    """Distinct top-level modules that a file imports, or that a path in Rust code begins with."""
     out = None
-    for family, pattern in PATTERNS.items():
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        out = (F if out is None else out).when(_family(language) == family, found)
+    for family, modules in MODULES.items():
+        out = (F if out is None else out).when(_family(language) == family, modules(text))
     return F.array_distinct(out.otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def unresolved_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
     """``repo, path, module, verifier_id, rule_id, severity`` of imports without a source, each module once per file.
 
-    A module is known if it is a package of one of the repository's lockfiles, a standard module, or a file or folder of the
-    repository. Modules are made distinct per repository before they meet the known ones; text goes through no shuffle.
+    A module is known if it is a package of one of the repository's lockfiles, a standard module, or a file of the same language
+    family in the repository or a folder above one, at any depth, as source roots are not known. Modules are made distinct per repository before they meet the known ones; text goes through no shuffle.
     """
     family = _family(F.col("language"))
     found = files.select("repo", "path", family.alias("family"), F.explode(imported_modules(F.col("content"), F.col("language"))).alias("module"))
@@ -61,8 +124,7 @@ def unresolved_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
     declared = packages.select("repo", ecosystem[F.col("ecosystem")].alias("family"), "name").where("family IS NOT NULL")
     declared = declared.select("repo", "family", _spelled(F.col("name"), F.col("family")).alias("spelled"))
     parts = F.transform(F.split("path", "/"), lambda p: F.regexp_replace(p, F.lit(r"\.[^.]*$"), F.lit("")))
-    families = F.array(*[F.lit(f) for f in sorted(set(FAMILIES.values()))])
-    own = files.select("repo", F.explode(parts).alias("name")).distinct().select("repo", F.explode(families).alias("family"), "name")
+    own = files.select("repo", family.alias("family"), F.explode(parts).alias("name")).where("family IS NOT NULL").distinct()
     own = own.select("repo", "family", _spelled(F.col("name"), F.col("family")).alias("spelled"))
     known = declared.unionByName(own).distinct()
     missing = found.select("repo", "family", "spelled").distinct().join(known, ["repo", "family", "spelled"], "left_anti")

@@ -119,3 +119,25 @@ def test_unresolved_imports(spark, files_of):
     )
     got = imports.unresolved_imports(files, lockfiles.all_packages(files)).collect()
     assert sorted((r.path, r.module) for r in got) == [("a.py", "ghost"), ("src/b.ts", "vanished"), ("src/c.rs", "fable")]
+
+
+def test_unresolved_imports_of_every_form(spark, files_of):
+    from sparkwarden.operators import imports, lockfiles
+
+    files = files_of(
+        ("a.py", "import os, ghost.sub as g, \\\n    spook\nimport sys; import wisp\ntry: import shade\nexcept ImportError: pass\nimport util\nimport mine, pkg\n"),
+        ("b.py", "from os import path, name\nfrom . import near\nfrom far.off import (x,\n  y)\n# say: import nothing\nx = 'a; import nothing'\n"),
+        ("c.js", "const a = import('lazy');\nimport(/* webpackChunkName: \"n\" */ `late`);\nimport x from\"tight\";\nimport(`${x}`);\nimport('./near');\n"),
+        ("d.rs", "use one;\nextern crate two;\npub(crate) use {three::{a, b::{c}}, four as f, std::fmt::{self, Debug}};\nuse ::five::x;\n"
+                 "// no::comment\nconst S: &str = \"no::string \\\" no::more\"; const Q: char = '\"';\nmod inner { pub fn x() {} }\n"
+                 "fn a() { six::run(); inner::x(); f::g(); fmt::format(); u8::MAX; x.iter().collect::<Vec<_>>(); Vec::new(); ::seven::y(); own::z(); b::h(); }\n"
+                 "#[eight::main]\nfn b() { std::mem::take(); }\n"),
+        ("src/own/lib.rs", ""), ("util.go", ""), ("wisp/x.go", ""), ("mine.py", ""), ("pkg/m.py", ""),
+    )
+    got = {}
+    for r in imports.unresolved_imports(files, lockfiles.all_packages(files)).collect():
+        got.setdefault(r.path, []).append(r.module)
+    assert {p: sorted(m) for p, m in got.items()} == {
+        "a.py": ["ghost", "shade", "spook", "util", "wisp"], "b.py": ["far"], "c.js": ["late", "lazy", "tight"],
+        "d.rs": ["eight", "five", "four", "one", "seven", "six", "three", "two"],
+    }
