@@ -38,12 +38,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: five-word shingles, similarity 0.8 or more, the smallest id stays.
 
-    Of rows with the same id and text one stays. Rows without an id are compared with each other by their whole text.
+    Decisions are made on rows, each with its number by id and text, as ids may be there twice or missing; rows without an
+    id come last. Of rows with the same id and text one stays.
     """
-    found = setsketch.near_duplicates(docs, words=5, percent=80)
-    gone = stored(found.where("NOT kept").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("row_key", _row(docs))
-    return left.dropDuplicates(["doc_id", "row_key"]).select(*COLUMNS)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row_key")]
+    rows = docs.withColumn("row_key", _row(docs)).repartitionByRange(*order).dropDuplicates(["doc_id", "row_key"])
+    rows = stored(rows.sortWithinPartitions(*order).select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
+    found = setsketch.near_duplicates(rows, words=5, percent=80, key="row_id")
+    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias("row_id")))
+    return rows.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,17 @@ def test_stages_on_odd_rows(spark):
         assert docs.count() == (2 if given else 0)
 
 
+def test_near_distinct_decides_on_rows(spark):
+    near = " ".join(f"word{i}" for i in range(60))
+    own = " ".join(f"other{i}" for i in range(60))
+    both = " ".join(f"third{i}" for i in range(60))
+    loose = " ".join(f"fourth{i}" for i in range(60))
+    rows = [(1, near), (7, near + " more"), (7, own), (8, both), (8, both + "  more"), (None, loose), (None, loose + " more"), (None, near + " else")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text.split()[0]) for r in pipeline.near_distinct(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == [(1, "word0"), (7, "other0"), (8, "third0"), (None, "fourth0")]
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0 and pipeline.ORACLE_SQL is None
 
