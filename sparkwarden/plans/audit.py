@@ -56,7 +56,7 @@ class Tables:
     """Input tables. Only ``files`` is needed; what is missing switches its part off.
 
     ``ignore_files(repo, path, content)`` may hold the ignore files apart from the others, so that reading their rules
-    reads no other text; without it they are taken from ``files``.
+    reads no other text; without it they are taken from ``files``. ``file_errors``, such as ``tree_errors``, go to the errors.
     """
 
     files: DataFrame
@@ -66,6 +66,7 @@ class Tables:
     osv_vulns: DataFrame | None = None
     refs: DataFrame | None = None
     ignore_files: DataFrame | None = None
+    file_errors: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -218,6 +219,8 @@ def audited(tables: Tables, options: AuditOptions | None = None) -> Audited:
         "repo", "path", F.lit(vulnerabilities.VERIFIER).alias("verifier_id"), F.lit("no packages in lockfile").alias("reason")
     )
     errors = unread.unionByName(locks)
+    if tables.file_errors is not None:
+        errors = errors.unionByName(tables.file_errors)
     if ignore_lines is not None:
         errors = errors.unionByName(
             discovery.invalid_ignore_rules(ignore_lines, options.prefix, options.respect_gitignore)

@@ -8,6 +8,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkwarden.functions.paths import basename, extension, glob_to_regex, language_of
+from sparkwarden.session import stored
 
 SNIFF_BYTES = 8192
 # Content handed over by a reading task at a time.
@@ -41,30 +42,30 @@ def as_files(rows: DataFrame) -> DataFrame:
     )
 
 
-def _list_below(root: str):
-    """Task function: files below each given folder. Names starting with a dot or underscore are listed too.
+def _list_folders(root: str, opened=None):
+    """Task function: what lies in each given folder. Names starting with a dot or underscore are listed too.
 
-    Folders are listed one by one, so that one that cannot be read is passed over and its neighbours are not.
+    A folder that may not be read or is gone gives a row that says so, and its neighbours are listed. Other errors fail the
+    task, so that Spark runs it again.
     """
 
     def run(batches):
         import pandas as pd
         from pyarrow import fs as arrow_fs
 
-        files, base = arrow_fs.FileSystem.from_uri(root)
+        files, base = (opened or arrow_fs.FileSystem.from_uri)(root)
         local = isinstance(files, arrow_fs.LocalFileSystem)
+        kinds = {arrow_fs.FileType.Directory: "folder", arrow_fs.FileType.File: "file"}
         for batch in batches:
-            for folder, recursive in zip(batch["folder"], batch["recursive"]):
-                waiting = [folder]
-                while waiting:
-                    try:
-                        found = files.get_file_info(arrow_fs.FileSelector(waiting.pop()))
-                    except OSError:
-                        continue
-                    found = [f for f in found if not (local and _through_link(f.path, base))]
-                    waiting += [f.path for f in found if recursive and f.type == arrow_fs.FileType.Directory]
-                    paths = [f.path for f in found if f.is_file]
-                    yield pd.DataFrame({"full": paths, "rel": [p[len(base):].lstrip("/") for p in paths]})
+            for folder in batch["folder"]:
+                try:
+                    found = files.get_file_info(arrow_fs.FileSelector(folder))
+                    rows = [(f.path, kinds[f.type]) for f in found if f.type in kinds and not (local and _through_link(f.path, base))]
+                except PermissionError:
+                    rows = [(folder, "folder not permitted")]
+                except FileNotFoundError:
+                    rows = [(folder, "folder not found")]
+                yield pd.DataFrame([(p, p[len(base):].lstrip("/"), kind) for p, kind in rows], columns=["full", "rel", "kind"])
 
     return run
 
@@ -107,29 +108,52 @@ def _read_files(root: str):
     return run
 
 
-def read_tree(spark: SparkSession, root: str, repo: str | None = None, name_glob: str | None = None) -> DataFrame:
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``full, rel, kind`` of all below ``root``; kind is file, folder, or why a folder could not be listed.
+
+    Level by level, the folders of each dealt out evenly, so that one repository is listed by many tasks.
+    """
+    uri = _uri(root)
+    files, base = pyarrow.fs.FileSystem.from_uri(uri)
+    files.get_file_info(pyarrow.fs.FileSelector(base))  # a missing root raises here
+    listed, folders, n = None, spark.createDataFrame([(base,)], "folder string"), 1
+    while n:
+        tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+        level = stored(folders.repartition(tasks, "folder").mapInPandas(_list_folders(uri), "full string, rel string, kind string"))
+        listed = level if listed is None else listed.unionByName(level)
+        folders = level.where("kind = 'folder'").select(F.col("full").alias("folder"))
+        n = folders.count()
+    return listed
+
+
+def _uri(root: str) -> str:
+    return root if "://" in root else f"file://{os.path.abspath(root)}"
+
+
+def _placed(rel: Column, repo: str | None) -> list[Column]:
+    if repo is None:
+        return [F.substring_index(rel, "/", 1).alias("repo"), F.regexp_replace(rel, F.lit("^[^/]*/"), F.lit("")).alias("path")]
+    return [F.lit(repo).alias("repo"), rel.alias("path")]
+
+
+def tree_errors(listed: DataFrame, repo: str | None = None) -> DataFrame:
+    """``repo, path, verifier_id, reason`` of the folders of ``list_tree`` that could not be listed, for the errors table."""
+    rows = listed.where("kind NOT IN ('file', 'folder')")
+    return rows.select(*_placed(F.col("rel"), repo), F.lit("files").alias("verifier_id"), F.col("kind").alias("reason"))
+
+
+def read_tree(
+    spark: SparkSession, root: str, repo: str | None = None, name_glob: str | None = None, listed: DataFrame | None = None
+) -> DataFrame:
     """Every regular file under ``root`` (a path or URI all executors see), hidden ones included, as a files table.
 
     Spark's own file sources pass over names that start with a dot or underscore, such as ignore files and
-    ``__init__.py``. So tasks list the top folders and then read the files, evenly spread. Links are not
-    followed. With ``repo`` unset the first folder below the root names the repository. A missing root
+    ``__init__.py``. So tasks list the folders and then read the files, evenly spread. Links are not
+    followed. ``listed`` is what ``list_tree`` gave, to take ``tree_errors`` from the same listing. With ``repo`` unset the first folder below the root names the repository. A missing root
     raises FileNotFoundError. For large corpora keep the files in a columnar table and use ``as_files``.
     """
-    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    files, base = pyarrow.fs.FileSystem.from_uri(uri)
-    top = [
-        f.path
-        for f in files.get_file_info(pyarrow.fs.FileSelector(base))
-        if f.type == pyarrow.fs.FileType.Directory and not os.path.islink(f.path)
-    ]
-    folders = spark.createDataFrame([(base, False), *[(p, True) for p in top]], "folder string, recursive boolean")
-    listed = folders.repartition(len(top) + 1, "folder").mapInPandas(_list_below(uri), "full string, rel string")
+    listed = (list_tree(spark, root) if listed is None else listed).where("kind = 'file'").select("full", "rel")
     if name_glob:
         listed = listed.where(F.rlike(basename(F.col("rel")), F.lit(glob_to_regex(name_glob) or "^$")))
-    raw = listed.repartition("full").mapInPandas(_read_files(uri), "rel string, content binary")
-    rel = F.col("rel")
-    if repo is None:
-        cols = [F.substring_index(rel, "/", 1).alias("repo"), F.regexp_replace(rel, F.lit("^[^/]*/"), F.lit("")).alias("path")]
-    else:
-        cols = [F.lit(repo).alias("repo"), rel.alias("path")]
-    return as_files(raw.select(*cols, "content"))
+    raw = listed.repartition("full").mapInPandas(_read_files(_uri(root)), "rel string, content binary")
+    return as_files(raw.select(*_placed(F.col("rel"), repo), "content"))

@@ -32,6 +32,36 @@ def test_tree_scan(spark, tree):
     assert {r.repo for r in read_tree(spark, str(tree)).where("path = 'util.rs'").collect()} == {"sub"}
 
 
+@pytest.mark.parametrize("error", [PermissionError, FileNotFoundError, OSError])
+def test_folders_that_cannot_be_listed(spark, tree, error):
+    import pandas as pd
+    from pyarrow import fs
+
+    from sparkwarden.plans.audit import AuditOptions, Tables, audited
+    from sparkwarden.sources import files as source
+
+    class Broken:
+        def get_file_info(self, selector):
+            if selector.base_dir.endswith("/sub"):
+                raise error("no")
+            return fs.LocalFileSystem().get_file_info(selector)
+
+    given = [pd.DataFrame({"folder": [f"{tree}/sub", f"{tree}/pkg"]})]
+    run = source._list_folders(f"file://{tree}", opened=lambda uri: (Broken(), str(tree)))
+    if error is OSError:
+        with pytest.raises(OSError):
+            list(run(given))
+        return
+    rows = pd.concat(run(given))
+    reason = "folder not permitted" if error is PermissionError else "folder not found"
+    assert rows[["rel", "kind"]].values.tolist() == [["sub", reason], ["pkg/__init__.py", "file"]]
+    errors = source.tree_errors(spark.createDataFrame(rows), repo="r").collect()
+    assert [tuple(r) for r in errors] == [("r", "sub", "files", reason)]
+    table = source.tree_errors(spark.createDataFrame(rows), repo="r")
+    done = audited(Tables(read_tree(spark, str(tree), repo="r"), file_errors=table), AuditOptions(detect=False))
+    assert ("r", "sub", "files", reason) in [tuple(r) for r in done.errors.collect()]
+
+
 def test_missing_root(spark):
     with pytest.raises(FileNotFoundError):
         read_tree(spark, "/nonexistent/root/xyz", repo="r")
