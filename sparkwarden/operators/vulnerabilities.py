@@ -108,14 +108,15 @@ def advisory_findings(packages: DataFrame, advisories: DataFrame, salts: int = 1
 def latest_answers(answers: DataFrame, as_of: Column | None = None, ttl_hours: int = TTL_HOURS) -> DataFrame:
     """``ecosystem, name, version, vuln_id`` of the last answer for each package, each vulnerability once.
 
-    Rows of one package with one ``fetched_at`` are one answer; a null ``vuln_id`` says that there is nothing. With
+    Rows of one package with one ``fetched_at`` are one answer, undated ones count if no dated one is there; a null ``vuln_id`` says that there is nothing. With
     ``as_of``, answers that are later than that or no longer fresh don't count.
     """
     keys = ["ecosystem", "name", "version"]
     if as_of is not None:
         answers = fresh(answers, as_of, ttl_hours).where(F.col("fetched_at") <= as_of)
     last = answers.groupBy(*keys, "fetched_at").agg(F.collect_set("vuln_id").alias("ids"))
-    last = last.groupBy(*keys).agg(F.max_by("ids", "fetched_at").alias("ids"))
+    earliest = F.expr("timestamp'0001-01-01 00:00:00'").cast(answers.schema["fetched_at"].dataType)
+    last = last.groupBy(*keys).agg(F.max_by("ids", F.coalesce("fetched_at", earliest)).alias("ids"))
     return last.select(*keys, F.explode("ids").alias("vuln_id"))
 
 

@@ -124,3 +124,10 @@ def test_last_answer_counts(spark):
     packages = spark.createDataFrame([("r", "p", "npm", n, v) for n, v in (("alpha", "1.0.0"), ("beta", "2.0.0"), ("gamma", "3.0.0"))], "repo string, lockfile_path string, ecosystem string, name string, version string")
     assert vul.exact_findings(packages, answers, as_of=as_of).count() == 2
     assert [r.name for r in vul.to_refresh(packages, answers, as_of).collect()] == ["gamma"]
+
+
+def test_undated_answers_count_without_dated_ones(spark):
+    rows = [("PyPI", "a", "1", "V1", None), ("PyPI", "a", "1", "V2", None), ("PyPI", "b", "1", "V3", None), ("PyPI", "b", "1", None, "2024-01-01")]
+    answers = spark.createDataFrame(rows, "ecosystem string, name string, version string, vuln_id string, fetched_at string")
+    answers = answers.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    assert sorted(r.vuln_id for r in vul.latest_answers(answers).collect()) == ["V1", "V2"]
