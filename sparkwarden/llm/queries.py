@@ -5,12 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwarden.llm import bpe, chat, html, language, lattice, packing, repeats, setsketch, toxicity, vptree
+from sparkwarden.llm import (
+    bpe,
+    chat,
+    heap_bounds,
+    html,
+    language,
+    lattice,
+    packing,
+    prefix_table,
+    repeats,
+    setsketch,
+    term_pipeline,
+    toxicity,
+    vptree,
+)
 from sparkwarden.llm.common import table
 
 #: Vocabularies of the queries; the operators take any path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +85,18 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op11_pipelined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_bounds.clustered(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dim=64, scale=256, salt="2")
+
+
+def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_table.round_trips(table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,9 +111,46 @@ QUERIES = {
         op8_vantage_point_trees,
         op9_setsketch_near_duplicates,
         op10_bpe_transducer,
+        op11_pipelined_terms,
+        op12_heap_bounds,
+        op13_prefix_table,
     )
 }
 
+
+
+def _clustering_sql(clusters: int, rounds: int) -> str:
+    """The rounds one after the other; each compares all vectors with all centroids."""
+    out = [
+        """k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+             FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM k
+             ORDER BY sha256('2:' || vec_id) LIMIT {clusters})""",
+    ]
+    for n in range(rounds + 1):
+        out.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, min(d * {clusters} + c) % {clusters} AS c, min(d) AS d FROM (
+              SELECT k.r, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+              FROM k, c{n} c) GROUP BY r)"""
+        )
+        if n < rounds:
+            out.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{n} o LEFT JOIN (
+                  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+                    SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+                      SELECT a.c, unnest(k.v) AS x, generate_subscripts(k.v, 1) AS i FROM k JOIN a{n} a USING (r)) GROUP BY c, i)
+                  GROUP BY c) m ON m.c = o.c)"""
+            )
+    return (
+        "WITH " + ",\n".join(out) + f"""
+        SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM k JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.c"""
+    )
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 #: Formatting adds the marks of a turn, the escapes and nothing else, so that its length follows from the input.
 ORACLES = {
     "op6_chat_formatting": r"""
@@ -103,4 +167,16 @@ ORACLES = {
                sha256(learnt) AS loss_sha256, n::BIGINT AS formatted_chars,
                regexp_full_match(roles, '(system )?(user assistant )*user assistant') AS valid
         FROM g""",
+    "op11_pipelined_terms": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+        s AS MATERIALIZED (SELECT count(*) FILTER (len(t) > 0) AS nd, sum(len(t))::BIGINT AS nt FROM d),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+        i AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, nd),
+        x AS (SELECT i.item_id, p.r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(t) * nd) // nt))))::BIGINT AS score
+              FROM i JOIN w USING (term) JOIN p USING (term) JOIN d ON d.r = p.r, s GROUP BY ALL)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+          SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+          FROM x JOIN d USING (r) WHERE score > 0) WHERE rank <= 50""",
+    "op12_heap_bounds": _clustering_sql(40, 5),
 }
