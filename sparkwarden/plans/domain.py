@@ -259,8 +259,80 @@ def _pages(d) -> list[list[str]]:
     return [["'pages' AS repo", "concat('p/', page_id, '.html') AS path", "'unknown' AS language", "html AS content"]]
 
 
+# Files of a module tree: some at fixed places of each repository, the others with imports of every form and functions that call each other.
+_TREE = {
+    0: ("src/helper0/deep.py", "'x = 1'"), 1: ("lib/helper1/__init__.py", "''"), 2: ("tools/inner/helper2.py", "''"),
+    3: ("requirements.txt", f"concat('Quill-Pad==1.0', {NL}, 'only', r % 3, '==2', {NL})"),
+    4: ("package.json", f"concat('{LB_}', {DQ}, 'name', {DQ}, ': ', {DQ}, 'own-pkg', {DQ}, '{RB_}')"),
+    5: ("app/pyproject.toml", "''"), 6: ("app/local6/thing.py", "''"),
+    7: ("Cargo.toml", f"concat('[package]', {NL}, 'name = ', {DQ}, 'own-crate', {DQ}, {NL})"),
+    8: ("crates/ring/src/lib.rs", "''"), 9: ("src/widgets/box.ts", "''"),
+    10: ("package-lock.json", f"concat('{LB_}', {DQ}, 'packages', {DQ}, ': {LB_}', {DQ}, 'node_modules/@s/p', {DQ}, ': {LB_}', {DQ}, 'version', {DQ}, ': ', {DQ}, '1.0.0', {DQ}, '{RB_}{RB_}{RB_}')"),
+}
+
+
+def _code_files(d) -> list[list[str]]:
+    rs, py, go = "lang = 'rust'", "lang = 'python'", "lang = 'go'"
+
+    def lines(*parts: str) -> str:
+        return _text(*[f"{p}, {NL}" for p in parts])
+
+    imports = f"""CASE
+        WHEN {py} THEN {lines(
+            "'import os, quill_pad.core as q, ghost', k % 5", "'import helper0.deep, helper1; import helper2'", "'from helper0.none', k % 2, ' import y'",
+            "'from local6.thing import z'", "'from . import near'", "'from .f', k, ' import a'", "'from .gone', k % 2, ' import b'",
+            f"'x = ', {SQ}, 'import nothing', {SQ}, '  # import nothing2'", "'try: import shade', k % 3", "'except ImportError: pass'")}
+        WHEN {rs} THEN {lines(
+            "'use std::fmt;'", "'use crate::a;'", f"'use {LB_}ring::x, fable', k % 3, '::{LB_}b{RB_}, ghost_r as g{RB_};'", "'extern crate lost', k % 2, ';'",
+            "'// no::comment'")}
+        WHEN {go} THEN {lines("'package main'")}
+        ELSE {lines(
+            f"'import a from ', {SQ}, './near', {SQ}, ';'", f"'import {LB_} b {RB_} from ', {DQ}, '@s/p/sub', {DQ}, ';'",
+            f"'const c = require(', {SQ}, 'vanished', k % 4, {SQ}, ');'", f"'const w = import(', {SQ}, 'lazy', k % 3, {SQ}, ');'",
+            f"'import ', {SQ}, 'fs', {SQ}, ';'", f"'import z from ', {SQ}, 'helper0/deep', {SQ}, ';'", f"'import o from ', {SQ}, 'own-pkg', {SQ}, ';'",
+            f"'import v from ', {SQ}, 'widgets/box', {SQ}, ';'")} END"""
+
+    def function(name: str, call: str, public: bool = False) -> str:
+        head = (
+            f"CASE WHEN {rs} THEN concat('{'pub ' if public else ''}fn ', {name}, '(a: u32) {LB_}') WHEN {py} THEN concat('def ', {name}, '(a):') "
+            f"WHEN {go} THEN concat('func ', {name}, '(a int) {LB_}') ELSE concat('{'export ' if public else ''}function ', {name}, '(a) {LB_}') END"
+        )
+        return _text(head, NL, "'    '", call, NL, f"CASE WHEN {py} THEN '' ELSE concat('{RB_}', {NL}) END")
+
+    mark = f"CASE WHEN {py} THEN '# ' ELSE '// ' END"
+    called = """CASE k % 5 WHEN 0 THEN concat('_chain1_', (k * 5) % 7, '(a)') WHEN 1 THEN concat('_ring2_', (k * 3) % 5, '(a)')
+        ELSE 'other(a)' END"""
+    body = [
+        function("concat('Open', k)", called, public=True),
+        function("concat('_chain1_', k % 7)", f"concat('_chain2_', k % 7, '(a) ', {mark}, '_chain3_', (k + 1) % 7)"),
+        function("concat('_chain2_', k % 7)", "concat('_chain3_', k % 7, '(a)')"),
+        function("concat('_chain3_', k % 7)", "'leaf(a)'"),
+        _text(mark, "'_lone_'", "k % 4", NL),
+        function("concat('_ring1_', k % 5)", f"CASE WHEN {rs} THEN concat('six', k % 3, '::run(_ring2_', k % 5, '); own_crate::z(); g::h()') ELSE concat('_ring2_', k % 5, '(a)') END"),
+        function("concat('_ring2_', k % 5)", "concat('_ring1_', k % 5, '(a)')"),
+        function("concat('_lone_', k % 4)", f"concat('leaf(', {DQ}, '_said_', k % 3, {DQ}, ')')"),
+        function("concat('_said_', k % 3)", "'leaf(a)'"),
+        f"CASE WHEN k % 50 = 0 AND NOT ({go} OR {rs}) THEN concat('_lone_', k % 4, '(1)', {NL}) ELSE '' END",
+    ]
+    path = " ".join(f"WHEN {n} THEN '{p}'" for n, (p, _) in _TREE.items())
+    told = " ".join(f"WHEN {n} THEN {c}" for n, (_, c) in _TREE.items())
+    ext = "CASE k % 5 WHEN 0 THEN 'rs' WHEN 1 THEN 'ts' WHEN 2 THEN 'py' WHEN 3 THEN 'js' ELSE 'go' END"
+    named = "CASE k % 5 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' ELSE 'go' END"
+    fixed = {0: "python", 1: "python", 2: "python", 6: "python", 8: "rust", 9: "typescript"}
+    slots = " ".join(f"WHEN {n} THEN '{fixed.get(n, 'unknown')}'" for n in _TREE)
+    return [
+        ["o_orderkey AS k"],
+        ["k", f"cast(floor(k / {FILES_PER_REPO}.0) as bigint) AS r", f"CASE {_SLOT} {slots} ELSE {named} END AS lang"],
+        [
+            "concat('r', r) AS repo", f"CASE {_SLOT} {path} ELSE concat('src/p', k % 4, '/f', k, '.', {ext}) END AS path", "lang AS language",
+            f"CASE {_SLOT} {told} ELSE concat({imports}, {', '.join(body)}) END AS content",
+        ],
+    ]
+
+
 # Name -> (given table, stages).
 TABLES = {
+    "code_files": ("orders", _code_files),
     "files": ("orders", _files),
     "commits": ("events", _commits),
     "commit_files": ("lineitem", _commit_files),
@@ -271,16 +343,16 @@ TABLES = {
 }
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame. The files table is written once per application, like a real corpus."""
-    if name != "files":
+    """A derived table as a DataFrame. Tables of files are written once per application, like a real corpus."""
+    if name not in ("files", "code_files"):
         return _derived(spark, sf_dir, name)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        path = f"{shared_dir(spark)}/derived-{key[0]}-{uuid4().hex}/files"
+        path = f"{shared_dir(spark)}/derived-{key[0]}-{uuid4().hex}/{name}"
         _derived(spark, sf_dir, name).write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
@@ -291,7 +363,7 @@ def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     for depth, stage in enumerate(stages(Spark)):
         df = df.selectExpr(*stage)
-        if name == "files" and depth == 0:
+        if source == "orders" and depth == 0:
             # Two numbers become a whole file each: spread them first, the given table may be one small split.
             spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
             df = df.repartition(spread, "k")

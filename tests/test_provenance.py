@@ -115,10 +115,12 @@ def test_unresolved_imports(spark, files_of):
         ("src/b.ts", "import a from './a';\nimport { b } from \"@s/p/sub\";\nconst c = require('vanished');\nimport 'fs';\n"),
         ("src/c.rs", "use std::fmt;\nuse crate::a;\nuse fable::b;\nuse serde_x::C;\n"),
         ("util.go", ""), ("requirements.txt", "Quill-Pad==1.0\n"), ("Cargo.lock", '[[package]]\nname = "serde-x"\nversion = "1.0.0"\n'),
-        ("package-lock.json", '{"packages":{"node_modules/@s/p":{"version":"1.0.0"}}}'),
+        ("package-lock.json", '{"packages":{"node_modules/@s/p":{"version":"1.0.0"}}}'), ("near.py", ""),
     )
     got = imports.unresolved_imports(files, lockfiles.all_packages(files)).collect()
-    assert sorted((r.path, r.module) for r in got) == [("a.py", "ghost"), ("src/b.ts", "vanished"), ("src/c.rs", "fable")]
+    assert sorted((r.path, r.module) for r in got) == [
+        ("a.py", "ghost"), ("a.py", "util"), ("a.py", "x"), ("src/b.ts", "vanished"), ("src/c.rs", "fable"),
+    ]
 
 
 def test_unresolved_imports_of_every_form(spark, files_of):
@@ -141,3 +143,46 @@ def test_unresolved_imports_of_every_form(spark, files_of):
         "a.py": ["ghost", "shade", "spook", "util", "wisp"], "b.py": ["far"], "c.js": ["late", "lazy", "tight"],
         "d.rs": ["eight", "five", "four", "one", "seven", "six", "three", "two"],
     }
+
+
+def test_modules_are_looked_for_below_roots(spark, files_of):
+    from sparkwarden.operators import imports, lockfiles
+
+    files = files_of(
+        ("a.py", "import util\nimport pkg.core, pkg.gone.deep\nfrom app_mod import x\nfrom tool import y\nimport Mixed_Case\n"),
+        ("x/y/util.py", ""), ("src/pkg/core.py", "from . import z\nfrom .far import z\nfrom ..other import z\nfrom ... import q\nfrom ..missing.deep import w\n"),
+        ("src/pkg/far.py", "import core\nimport util\n"), ("src/other/__init__.py", ""), ("svc/pyproject.toml", ""), ("svc/src/app_mod.py", ""),
+        ("deep/tool.py", ""), ("mixed-case/m.py", ""), ("x/y/z.py", "import util\n"),
+        ("m.js", "import a from 'widgets/b';\nimport c from 'own-pkg';\nimport d from 'nowhere/b';\n"), ("src/widgets/b.ts", ""),
+        ("package.json", '{"name": "own-pkg"}'), ("Cargo.toml", '[package]\nname = "own-crate"\n'), ("main.rs", "use own_crate::a;\nuse not_own::b;\n"),
+    )
+    got = {}
+    for r in imports.unresolved_imports(files, lockfiles.all_packages(files)).collect():
+        got.setdefault(r.path, []).append(r.module)
+    assert {p: sorted(m) for p, m in got.items()} == {
+        "a.py": ["pkg.gone", "tool", "util"], "src/pkg/core.py": ["..missing"], "src/pkg/far.py": ["util"], "m.js": ["nowhere"], "main.rs": ["not_own"],
+    }
+
+
+def test_imports_of_very_long_texts(spark):
+    import time
+
+    from sparkwarden.operators import imports
+
+    names = ", ".join(f"m{i}" for i in range(100_000))
+    texts = [
+        ("python", f"import {names}\n", 100_000), ("python", "y = " + "a" * 1_000_000 + "; import ghost\n", 1),
+        ("python", "import " * 150_000, None), ("python", "from a" + ".a" * 400_000, None), ("python", "x = '" + "a" * 500_000 + "\nimport late\n", 1),
+        ("rust", "use " + "a" * 1_000_000 + "-;", None), ("rust", "use " * 250_000, None), ("rust", "use a::" + "{b::" * 10_000 + "}" * 10_000 + ";", 1),
+        ("rust", 'r#"' * 300_000, None), ("rust", "use {" + names.replace(", ", "::x, ") + "::x};", 100_000),
+        ("javascript", "import " * 150_000, None), ("javascript", "import(" + "/* a */ " * 100_000 + "'late')", 1), ("javascript", "import `" * 120_000, None),
+    ]
+    rows = spark.createDataFrame([(i, x, t) for i, (x, t, _) in enumerate(texts)], "i int, language string, content string")
+    rows = rows.repartition(len(texts), "i").cache()
+    rows.count()
+    for i, (language, text, want) in enumerate(texts):
+        one = rows.where(F.col("i") == i).select(F.size(imports.imported_modules(F.col("content"), F.col("language"))))
+        start = time.time()
+        got = one.collect()[0][0]
+        assert time.time() - start < 10, (i, language, text[:20])
+        assert want is None or got == want, (i, got)
