@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwarden.functions.arrays import count_at_most, let
+from sparkwarden.functions.literals import any_of, fold, literals_in, required_literals
 from sparkwarden.functions.text import (
     ascii_ws_ratio,
     pieces,
@@ -50,7 +51,11 @@ _TOKENS, _MARKERS = -1, -2
 
 @dataclass(frozen=True)
 class SecretOptions:
-    """What to look for. ``allowlist`` drops findings whose rule id contains one of its entries."""
+    """What to look for. ``allowlist`` drops findings whose rule id contains one of its entries.
+
+    With ``find_literals`` a file is searched once for the literals that the rules' regexes need, and by regex only for rules
+    whose literals are there; rules without such a literal always run. The findings are the same.
+    """
 
     rules: Sequence[SecretRule] = field(default_factory=lambda: STARTER_RULES)
     prefix: str = "audit"
@@ -60,6 +65,14 @@ class SecretOptions:
     literal_max_space: float = 0.08
     allowlist: Sequence[str] = ()
     unicode: bool = True
+    find_literals: bool = True
+
+    def needed(self) -> dict[int, frozenset[str]]:
+        """Required literals by the number of the rule, for rules whose keywords are no such test already."""
+        if not self.find_literals:
+            return {}
+        found = {n: required_literals(r.regex) for n, r in enumerate(self.rules) if not (r.prefilter and r.keywords)}
+        return {n: words for n, words in found.items() if words}
 
 
 # --- building blocks --------------------------------------------------------------------------------
@@ -120,10 +133,11 @@ def is_allowed(markers: Column, line: Column, rule_id: Column) -> Column:
     )
 
 
-def rule_hits(text: Column, folded: Column, options: SecretOptions) -> Column:
-    """One flag per rule: does it match somewhere? Where a rule allows it, cheap keyword tests come before the regex."""
-    tests = []
-    for rule in options.rules:
+def rule_hits(text: Column, folded: Column, found: Column, options: SecretOptions) -> Column:
+    """One flag per rule: does it match somewhere? Where a rule allows it, cheap tests of keywords or literals come before the regex."""
+    tests, literals = [], options.needed()
+    words = sorted(set().union(*literals.values()))
+    for number, rule in enumerate(options.rules):
         hit = F.rlike(text, F.lit(java_regex(rule.regex, options.unicode)))
         if rule.prefilter and rule.keywords:
             seen = [
@@ -134,6 +148,8 @@ def rule_hits(text: Column, folded: Column, options: SecretOptions) -> Column:
             for other in seen[1:]:
                 any_seen = any_seen | other
             hit = any_seen & hit
+        elif number in literals:
+            hit = any_of(found, literals[number], words) & hit
         tests.append(hit)
     return F.array(*tests) if tests else F.expr("cast(array() as array<boolean>)")
 
@@ -209,11 +225,13 @@ def _scan_input(files: DataFrame, options: SecretOptions, keep: Sequence[str]) -
     text = files.select(*keep, "language", readable(F.col("content")).alias("text"))
     # Lower case alone misses the long s, which a case-insensitive regex takes for an s.
     folded = F.lower(F.replace(F.col("text"), F.lit("ſ"), F.lit("s"))) if _needs_folding(options) else F.lit("")
-    return text.select("*", folded.alias("folded")).select(
+    literals = options.needed()
+    found = literals_in(fold(F.col("text")), sorted(set().union(*literals.values()))) if literals else F.lit(None)
+    return text.select("*", folded.alias("folded"), found.alias("found")).select(
         *keep,
         "language",
         "text",
-        rule_hits(F.col("text"), F.col("folded"), options).alias("hits"),
+        rule_hits(F.col("text"), F.col("folded"), F.col("found"), options).alias("hits"),
         token_pieces(F.col("text"), F.col("language")).alias("parts"),
     )
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from sparkwarden.operators import provenance as prov
 from sparkwarden.operators import secrets as sec
 from sparkwarden.plans.domain import with_tables
-from sparkwarden.sources.rules import STARTER_RULES
+from sparkwarden.sources.rules import STARTER_RULES, SecretRule
 
 
 def quoted(text: str) -> str:
@@ -65,10 +67,10 @@ def ramp(x: str, lo: float, hi: float) -> str:
     return f"greatest(least(({x} - {lo}) / ({hi} - {lo}), 1.0), 0.0)"
 
 
-def rule_match_rows(source: str) -> str:
-    """Matches of every starter rule."""
+def rule_match_rows(source: str, rules: Sequence[SecretRule] = tuple(STARTER_RULES)) -> str:
+    """Matches of every rule."""
     rows = []
-    for rule in STARTER_RULES:
+    for rule in rules:
         floor = "cast(NULL as double)" if rule.entropy is None else f"cast({rule.entropy} as double)"
         rows.append(
             f"SELECT *, {quoted(rule.rule_id)} AS rule, {quoted(rule.description)} AS description, "
@@ -114,11 +116,11 @@ def literal_rows(tokens: str) -> str:
         AND round({entropy('t')}, 6) >= 4.5"""
 
 
-def secret_ctes(source: str, prefix: str = "") -> str:
+def secret_ctes(source: str, prefix: str = "", rules: Sequence[SecretRule] = tuple(STARTER_RULES)) -> str:
     """CTEs up to ``<prefix>secret_rows``: findings of the secrets verifier over a files relation."""
     p = prefix
     return f"""
-{p}matches AS MATERIALIZED ({rule_match_rows(source)}),
+{p}matches AS MATERIALIZED ({rule_match_rows(source, rules)}),
 {p}tokens AS MATERIALIZED ({token_rows(source)}),
 {p}markers AS MATERIALIZED ({marker_rows(source)}),
 {p}literals AS MATERIALIZED ({literal_rows(p + 'tokens')}),

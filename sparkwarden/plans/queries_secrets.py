@@ -10,7 +10,7 @@ from sparkwarden.operators.findings import counts_by_severity, for_languages
 from sparkwarden.plans import oracle
 from sparkwarden.plans.oracle import entropy, line_of, place, preview, tables
 from sparkwarden.plans.registry import Inputs, flat, query
-from sparkwarden.sources.rules import CRITICAL_MARKERS, MEDIUM_MARKERS, STARTER_RULES, rule_severity
+from sparkwarden.sources.rules import CRITICAL_MARKERS, MEDIUM_MARKERS, STARTER_RULES, SecretRule, load_rules, rule_severity
 
 OPTIONS = sec.SecretOptions(unicode=False)
 _CODE = "code AS MATERIALIZED (SELECT * FROM files WHERE language IN ('rust', 'typescript', 'javascript', 'python'))"
@@ -197,3 +197,40 @@ def text_measures(spark, sf_dir):
         F.round(tx.ascii_ws_ratio(text), 6).alias("ws_ratio"),
         tx.in_ranges(F.col("n_chars") % 100, ranges).alias("in_ranges"),
     )
+
+
+def _own_rules(n: int) -> list[SecretRule]:
+    """Rules of a large rule file: with one literal, with alternatives, in any case, with digits only, and for what is nowhere."""
+    rules = []
+    for i in range(n):
+        regex = [
+            rf"Name{i % 10}\('{i // 5 % 10}'\)", rf"(?i)MOD{i % 7}::name{i % 6}", rf"\b(?:helper|mod){i}\b", rf"[A-F]{{2,6}}{i:03d}[0-9A-F]{{5}}",
+            rf"gh{'p' if i == 4 else i}_[0-9a-f]{{{8 + i % 20}}}",
+        ][i % 5]
+        rules.append(SecretRule(f"own-{'trello' if i % 3 else 'vault-batch-token'}-{i}", f"Own rule {i}", regex, 3.0 if i % 7 == 0 else None, (f"name{i}",)))
+    return rules
+
+
+def _rule_file(rules: list[SecretRule]) -> str:
+    out = ["title = 'own rules'"]
+    for r in rules:
+        entropy = "" if r.entropy is None else f"entropy = {r.entropy}\n"
+        words = ", ".join(f'"{k}"' for k in r.keywords)
+        out.append(f"[[rules]]\nid = '{r.rule_id}'\ndescription = '{r.description}'\nregex = \'\'\'{r.regex}\'\'\'\n{entropy}keywords = [{words}]")
+    return "\n\n".join([*out, "[[rules]]\nid = 'path-only'\npath = 'x'", "[[rules]]\nid = 'broken'\nregex = '(['"])
+
+
+_OWN = _own_rules(200)
+
+
+@query(CODE + "," + oracle.secret_ctes("code", rules=_OWN) + f"SELECT {FLAT} FROM secret_rows WHERE rule_id <> 'secrets.generic-high-entropy'")
+def loaded_rule_findings(spark, sf_dir):
+    """The rules of a rule file with 200 usable entries."""
+    rules, _ = load_rules(spark, _rule_file(_OWN))
+    return flat(sec.secret_findings(code(spark, sf_dir), sec.SecretOptions(rules=rules, unicode=False, literals=False)))
+
+
+@query(tables("text_files") + f"SELECT repo, path, rule AS rule_id, length(before) AS start, text FROM ({oracle.rule_match_rows('text_files')})")
+def rule_matches_unicode(spark, sf_dir):
+    """Rules in their default mode, in which word and space classes cover Unicode, on texts in several languages."""
+    return sec.rule_matches(Inputs(spark, sf_dir).text_files, sec.SecretOptions()).select("repo", "path", "rule_id", "start", "text")
