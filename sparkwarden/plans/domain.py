@@ -382,8 +382,26 @@ def _licenses(d) -> list[list[str]]:
     ]]
 
 
+# Two snapshots of the same files: lines dropped, changed and added, files that only one of them has, and a line that repeats.
+def _snapshot(d, new: bool) -> list[list[str]]:
+    line, brace = f"concat('line ', i, ' of ', k, {NL})", f"CASE WHEN i % 6 = 0 THEN concat('{RB_}', {NL}) ELSE '' END"
+    if new:
+        added = f"CASE WHEN (i + k) % 13 = 2 THEN concat('added ', i, ' a', {NL}, 'added ', i, ' b', {NL}) ELSE '' END"
+        now = f"CASE WHEN (i + k) % 7 = 0 THEN '' WHEN (i + k) % 11 = 0 THEN concat('changed ', i, {NL}) ELSE {line} END"
+        body = f"CASE WHEN k % 3 = 0 THEN concat({line}, {brace}) ELSE concat({added}, {now}, {brace}) END"
+    else:
+        body = f"concat({line}, {brace})"
+    folder = "CASE WHEN k % 17 = 0 THEN 'fresh' ELSE 's' END" if new else "CASE WHEN k % 19 = 0 THEN 'gone' ELSE 's' END"
+    return [
+        ["o_orderkey AS k"],
+        [f"{REPO} AS repo", f"concat({folder}, '/f', k, '.txt') AS path", "'unknown' AS language", f"{d.each(45, '5 + k % 40', 'i', body)} AS content"],
+    ]
+
+
 # Name -> (given table, stages).
 TABLES = {
+    "old_files": ("orders", lambda d: _snapshot(d, False)),
+    "new_files": ("orders", lambda d: _snapshot(d, True)),
     "lock_files": ("orders", _lock_files),
     "licenses": ("part", _licenses),
     "code_files": ("orders", _code_files),
@@ -402,7 +420,7 @@ _written: dict[tuple[str, str, str], str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame. Tables of files are written once per application, like a real corpus."""
-    if name not in ("files", "code_files", "lock_files"):
+    if name not in ("files", "code_files", "lock_files", "old_files", "new_files"):
         return _derived(spark, sf_dir, name)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:

@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from sparkwarden.operators import discovery, findings
+from sparkwarden.operators import discovery, findings, hunks
 from sparkwarden.plans.oracle import tables
 from sparkwarden.plans.registry import Inputs, query
 from sparkwarden.session import shared_dir
@@ -217,3 +217,20 @@ def ignored_files_nested(spark, sf_dir):
     each = F.array(*[F.struct(F.lit(p).alias("path"), F.array(*[F.lit(x) for x in lines]).alias("lines")) for p, lines in rows])
     rules = files.select("repo").distinct().select("repo", F.explode(each).alias("f")).select("repo", "f.path", "f.lines")
     return discovery.ignored_paths(files.select("repo", "path"), discovery.rules_of_lines(rules))
+
+
+_LINES = "SELECT *, row_number() OVER (PARTITION BY repo, path, line ORDER BY i) AS n FROM (SELECT repo, path, unnest(l[:-2]) AS line, generate_subscripts(l[:-2], 1) AS i FROM (SELECT repo, path, string_split(content, chr(10)) AS l FROM {0}))"
+
+
+@query(
+    tables("old_files", "new_files") + f""",
+    o AS MATERIALIZED ({_LINES.format('old_files')}), n AS MATERIALIZED ({_LINES.format('new_files')}),
+    kept AS (SELECT n.repo, n.path, n.i AS y, o.i AS x FROM n JOIN o ON o.repo = n.repo AND o.path = n.path AND o.line = n.line AND o.n = n.n
+      UNION ALL SELECT f.repo, f.path, coalesce((SELECT max(i) FROM n WHERE n.repo = f.repo AND n.path = f.path), 0) + 1,
+        coalesce((SELECT max(i) FROM o WHERE o.repo = f.repo AND o.path = f.path), 0) + 1 FROM new_files f),
+    steps AS (SELECT repo, path, y, x, coalesce(lag(y) OVER w, 0) AS y0, coalesce(lag(x) OVER w, 0) AS x0 FROM kept WINDOW w AS (PARTITION BY repo, path ORDER BY y))
+    SELECT repo, path, (y0 + 1)::INT AS start_line, y::INT AS end_line, (x0 + 1)::INT AS old_start, x::INT AS old_end FROM steps WHERE y > y0 + 1 OR x > x0 + 1"""
+)
+def snapshot_hunks(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    return hunks.snapshot_hunks(t.old_files, t.new_files)
