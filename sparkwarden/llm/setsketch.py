@@ -20,8 +20,8 @@ REGISTERS = 128
 ROWS = 4
 #: Ratio of neighbouring levels, and the rate of an element's exponential variable, which keeps small sets off level 0.
 BASE, RATE = 1.05, 20.0
-#: Documents that one task compares with each other; larger candidate groups are dealt out block by block.
-CELL = 1000
+#: Documents that one task compares with each other, and bytes of their texts; larger groups are dealt out block by block.
+CELL, BYTES = 1000, 1 << 24
 #: A pair is verified unless its estimate is that many standard errors below the threshold.
 ERRORS = 4.5
 
@@ -124,7 +124,7 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, a, b, registers) of every document; a and b are a digest of its set."""
+    """(doc_id, n, a, b, registers, bytes) of every document; a and b are a digest of its set."""
 
     def run(batches):
         for batch in batches:
@@ -138,12 +138,12 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array(np.diff(begin)), pa.array(digest[0]), pa.array(digest[1]),
-                        pa.array([r.tobytes() for r in rows], pa.binary()),
+                        pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(np.diff(bounds[lo : hi + 1])),
                     ],
-                    ["doc_id", "n", "a", "b", "registers"],
+                    ["doc_id", "n", "a", "b", "registers", "bytes"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, registers binary")
+    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, registers binary, bytes long")
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -159,24 +159,113 @@ def _bands(sets: DataFrame) -> DataFrame:
     return sets.select("id", "registers").mapInArrow(run, "key long, id long")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(id, component_id): groups in which all sets that share a band lie together.
+def _margin(percent: int) -> float:
+    """Estimate from which a pair may have the similarity."""
+    return percent / 100 - ERRORS * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
-    Each set is joined to the smallest id of each of its bands, never to all sets there.
+
+def _allowed(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of registers may belong to sets of the similarity, by their sizes and the estimate; in small portions."""
+    out = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    some = np.flatnonzero(out)
+    for at in range(0, len(some), 4096):
+        k = some[at : at + 4096]
+        out[k] = estimate(a[k], b[k], size_a[k], size_b[k]) >= _margin(percent)
+    return out
+
+
+def _passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose registers allow the similarity."""
+
+    def run(batches):
+        for rows in batches:
+            x, y = (matrix(rows.column(c), np.uint16).reshape(rows.num_rows, -1) for c in ("registers_a", "registers_b"))
+            keep = _allowed(x, y, rows.column("n_a").to_numpy(), rows.column("n_b").to_numpy(), percent)
+            yield rows.select(["a", "b"]).filter(pa.array(keep))
+
+    for side in ("a", "b"):
+        own = sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.select("a", "b", "n_a", "registers_a", "n_b", "registers_b").mapInArrow(run, "a long, b long")
+
+
+def _candidates(sets: DataFrame, percent: int, cell: int) -> DataFrame:
+    """(id, component_id): what pairs that share a band and whose registers allow the similarity join together.
+
+    First each set meets the smallest id of each of its bands. Only bands whose sets are not together after that have all
+    their pairs compared, inside tasks, on registers alone.
     """
     bands = _bands(sets)
-    first = bands.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return components(bands.join(stored(first.select("key", "b")), "key").select(F.col("id").alias("a"), "b"))
+    shared = bands.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(bands.join(stored(shared.select("key", "b")), "key"))
+    stars = stored(shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    near = stored(components(_passing(stars, sets, percent)))
+    placed = shared.select("key", "id").join(near, "id", "left").withColumn("place", F.coalesce("component_id", "id")).drop("component_id")
+    placed = stored(placed)
+    mixed = placed.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high")
+    rows = placed.join(stored(mixed.select("key")), "key").withColumnRenamed("key", "component_id")
+    rows = rows.join(sets.select("id", "n", "registers"), "id").withColumn("bytes", F.lit(0))
+
+    def run(batches):
+        for group, starts in whole_groups(batches, "block"):
+            out: list[tuple[int, int]] = []
+            for s, e in zip(starts, starts[1:]):
+                if e - s > 1:
+                    out += _crossing(group.slice(s, e - s), percent)
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = _dealt(rows, cell).repartition("block").sortWithinPartitions("block")
+    crossing = dealt.mapInArrow(run, "a long, b long")
+    return components(near.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(crossing))
+
+
+def _pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows with a third of their registers equal, those with most equal ones first, and how many are."""
+    same = np.zeros((len(rows), len(rows)), np.uint8)
+    for k in range(REGISTERS):
+        same += rows[:, k, None] == rows[None, :, k]
+    i, j = np.nonzero(np.triu(same >= REGISTERS // 3, 1))
+    order = np.argsort(same[i, j], kind="stable")[::-1]
+    return i[order], j[order], same[i, j][order]
+
+
+def _open_pairs(group: pa.Table, forest: Forest, percent: int):
+    """Portions of pairs of a group that the registers allow and that the forest has not joined yet."""
+    sizes, rows = group["n"].to_numpy(), matrix(group["registers"], np.uint16)
+    i, j, _ = _pairs(rows)
+    for at in range(0, len(i), 8192):
+        roots = np.array([forest.root(k) for k in range(len(rows))])
+        x, y = i[at : at + 8192], j[at : at + 8192]
+        apart = roots[x] != roots[y]
+        x, y = x[apart], y[apart]
+        keep = _allowed(rows[x], rows[y], sizes[x], sizes[y], percent)
+        yield zip(x[keep].tolist(), y[keep].tolist())
+
+
+def _crossing(group: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs that join the sets of a band that are in different places; sets at one place are together already."""
+    ids, places = group["id"].to_numpy(), group["place"].to_numpy()
+    _, first, place = np.unique(places, return_index=True, return_inverse=True)
+    forest, out = Forest(len(ids)), []
+    for k, p in enumerate(place.tolist()):
+        forest.join(k, int(first[p]))
+    for portion in _open_pairs(group, forest, percent):
+        out += [(int(ids[x]), int(ids[y])) for x, y in portion if forest.join(x, y)]
+    return out
 
 
 def _dealt(members: DataFrame, cell: int) -> DataFrame:
-    """Rows with the task's key ``block``: a group of up to ``cell``, or a pair of parts of a larger one."""
-    sizes = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(sizes, "component_id").withColumn("parts", F.ceil(F.col("size") / cell).cast("int"))
+    """Rows with the task's key ``block``: a group of up to ``cell`` rows and BYTES bytes, or a pair of parts of a larger one."""
+    sizes = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"))
+    rows = members.join(stored(sizes), "component_id")
+    rows = rows.withColumn("parts", F.greatest(F.ceil(F.col("size") / cell), F.ceil(F.col("total") / BYTES)).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    return rows.withColumn("block", F.xxhash64("component_id", low, high)).drop("component_id", "size", "parts", "part", "other")
+    rows = rows.withColumn("block", F.xxhash64("component_id", low, high))
+    return rows.drop("component_id", "size", "total", "bytes", "parts", "part", "other")
 
 
 def _links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
@@ -185,14 +274,13 @@ def _links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
     Pairs whose estimate allows the threshold are verified on their whole sets, likeliest first, unless verified links
     join them already.
     """
-    margin = percent / 100 - ERRORS * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     def run(batches):
         for rows, starts in whole_groups(batches, "block"):
             out: list[tuple[int, int]] = []
             for s, e in zip(starts, starts[1:]):
                 if e - s > 1:
-                    out += _joined(rows.slice(s, e - s), words, percent, margin)
+                    out += _joined(rows.slice(s, e - s), words, percent)
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -200,25 +288,11 @@ def _links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def _joined(group: pa.Table, words: int, percent: int, margin: float) -> list[tuple[int, int]]:
+def _joined(group: pa.Table, words: int, percent: int) -> list[tuple[int, int]]:
     order = np.argsort(group["id"].to_numpy())
     group = group.take(pa.array(order))
-    ids, sizes = group["id"].to_numpy(), group["n"].to_numpy()
-    rows = matrix(group["registers"], np.uint16)
-    n = len(ids)
-    same = np.zeros((n, n), np.uint8)
-    for k in range(REGISTERS):
-        same += rows[:, k, None] == rows[None, :, k]
-    i, j = np.nonzero(np.triu(same >= REGISTERS // 3, 1))
-    fits = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
-    i, j = i[fits], j[fits]
-    if not len(i):
-        return []
-    likely = np.concatenate([estimate(rows[i[at : at + 8192]], rows[j[at : at + 8192]], sizes[i[at : at + 8192]], sizes[j[at : at + 8192]]) for at in range(0, len(i), 8192)])
-    keep = likely >= margin
-    i, j, likely = i[keep], j[keep], likely[keep]
+    ids, n, column = group["id"].to_numpy(), len(order), group["text"]
     forest, sets = Forest(n), {}
-    column = group["text"]
 
     def of(k: int) -> np.ndarray:
         if k not in sets:
@@ -226,13 +300,13 @@ def _joined(group: pa.Table, words: int, percent: int, margin: float) -> list[tu
             sets[k] = shingle_sets(data, bounds, words)[0]
         return sets[k]
 
-    for k in np.argsort(-likely, kind="stable").tolist():
-        x, y = int(i[k]), int(j[k])
-        if forest.root(x) != forest.root(y):
-            a, b = of(x), of(y)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                forest.join(x, y)
+    for portion in _open_pairs(group, forest, percent):
+        for x, y in portion:
+            if forest.root(x) != forest.root(y):
+                a, b = of(x), of(y)
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    forest.join(x, y)
     return [(int(ids[k]), int(ids[forest.root(k)])) for k in range(n) if forest.root(k) != k]
 
 
@@ -248,12 +322,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, cell: in
     picked = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     sketched = stored(_sketched(picked, words))
     full = sketched.where("doc_id IS NOT NULL AND n > 0")
-    sets = full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.min("registers").alias("registers"))
+    sets = full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.min("registers").alias("registers"), F.max("bytes").alias("bytes"))
     sets = stored(sets)
-    members = _candidates(sets).join(sets.select("id", "n", "registers"), "id")
+    members = _candidates(sets, percent, cell).join(sets.select("id", "n", "registers", "bytes"), "id")
+    dealt = _dealt(stored(members), cell)
     # Of an id with several texts, the text of this very set must come along.
-    texts = picked.join(members, picked["doc_id"] == members["id"]).select("id", "component_id", "n", "registers", "text")
-    links = _links(_dealt(texts, cell), words, percent)
+    texts = picked.join(dealt, picked["doc_id"] == dealt["id"]).select("id", "n", "registers", "block", "text")
+    links = _links(texts, words, percent)
     # Equal sets are one; an id may stand for several sets if its texts differ.
     same = full.select("doc_id", "a", "b", "n").join(sets.select("a", "b", "n", "id"), ["a", "b", "n"])
     same = same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
