@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as tx
+from sparkwarden.operators import promptleak
 from sparkwarden.operators import secrets as sec
 from sparkwarden.operators.findings import counts_by_severity, for_languages
 from sparkwarden.plans import oracle
@@ -234,3 +235,28 @@ def loaded_rule_findings(spark, sf_dir):
 def rule_matches_unicode(spark, sf_dir):
     """Rules in their default mode, in which word and space classes cover Unicode, on texts in several languages."""
     return sec.rule_matches(Inputs(spark, sf_dir).text_files, sec.SecretOptions()).select("repo", "path", "rule_id", "start", "text")
+
+
+def _grams(source: str, keys: str, text: str, size: int) -> str:
+    """All passages of a size, cut from pieces of the text's letters and digits."""
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""SELECT {keys}, base + i AS i, substr(piece, i::BIGINT, {size}) AS gram FROM (
+        SELECT *, unnest(range(1, length(piece) - {size} + 2)) AS i FROM (
+          SELECT {keys}, base, substr(s, base + 1, 1000 + {size} - 1) AS piece FROM (
+            SELECT *, unnest(range(0, length(s), 1000)) AS base FROM (
+              SELECT {keys}, regexp_replace({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '', 'g') AS s FROM {source}))))"""
+
+
+@query(
+    tables("text_files") + rf""",
+    g AS ({_grams('text_files', 'repo, path', 'content', promptleak.GUARANTEE)}), b AS ({_grams('benchmark', 'item_id', 'text', promptleak.GUARANTEE)}),
+    hits AS (SELECT DISTINCT repo, path, item_id AS prompt_id, g.i FROM g JOIN b USING (gram)),
+    runs AS (SELECT *, sum(CASE WHEN i - before <= {promptleak.GUARANTEE} THEN 0 ELSE 1 END) OVER (PARTITION BY repo, path, prompt_id ORDER BY i) AS run
+      FROM (SELECT *, lag(i) OVER (PARTITION BY repo, path, prompt_id ORDER BY i) AS before FROM hits))
+    SELECT repo, path, prompt_id, (min(i) - 1)::INT AS norm_start, (max(i) - min(i) + {promptleak.GUARANTEE})::INT AS length FROM runs GROUP BY repo, path, prompt_id, run"""
+)
+def prompt_leaks(spark, sf_dir):
+    """Passages of the benchmark, as prompts, in all documents, as files."""
+    t = Inputs(spark, sf_dir)
+    prompts = t.benchmark.select(F.col("item_id").alias("prompt_id"), "text")
+    return promptleak.prompt_leaks(t.text_files, prompts).select("repo", "path", "prompt_id", "norm_start", "length")
