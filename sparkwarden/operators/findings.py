@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NullType, StructType
 
 from sparkwarden.functions.severity import SEVERITIES, rank_of, severity_level, severity_rank
+from sparkwarden.schemas import FINDINGS
 
 # A file counts as likely machine-written from this score on.
 AI_LIKELY = 0.5
@@ -17,6 +20,21 @@ AI_LIKELY = 0.5
 Verifier = Callable[[], DataFrame]
 
 
+@dataclass(frozen=True)
+class UserVerifier:
+    """A verifier from outside: ``find`` gets the candidates (repo, path, language, content) and gives findings.
+
+    Of the findings schema ``repo, rule_id, severity`` and either ``location`` or ``path`` are needed; what else is missing is null. A
+    rule id is the verifier's own id or begins with it and a dot.
+    """
+
+    verifier_id: str
+    description: str
+    find: Callable[[DataFrame], DataFrame]
+    #: None: all languages.
+    languages: Sequence[str] | None = None
+
+
 WEEK = 7 * 24 * 3600
 
 def choose_verifiers(
@@ -46,18 +64,52 @@ def run_verifiers(verifiers: Mapping[str, Verifier], chosen: Sequence[str]) -> l
     for name in chosen:
         try:
             out.append(verifiers[name]())
-        except PySparkException as error:
+        except (PySparkException, ValueError) as error:
             warnings.warn(f"verifier {name} failed: {error}", stacklevel=2)
     return out
 
 
+def checked_findings(rows: DataFrame, verifier_id: str) -> DataFrame:
+    """Rows of a user's verifier in the findings schema; ValueError says what does not fit.
+
+    Rows with an unknown severity or a rule id of another verifier fail the job when they are read.
+    """
+    wanted = {f.name: f.dataType for f in StructType.fromDDL(FINDINGS).fields}
+    place = ("path", "start_line", "start_col", "end_line", "end_col", "snippet")
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    missing = [c for c in ("repo", "rule_id", "severity") if c not in have] + ([] if {"location", "path"} & set(have) else ["location"])
+    unknown = [c for c in have if c not in wanted and c not in place]
+    if missing or unknown:
+        raise ValueError(f"verifier {verifier_id}: columns missing {missing}, unknown {unknown}")
+    if "location" not in have:
+        kinds = {f.name: f.dataType for f in wanted["location"].fields}
+        parts = [(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in place]
+        rows = rows.withColumn("location", F.struct(*parts)).drop(*place)
+        have = {f.name: f.dataType for f in rows.schema.fields}
+    wrong = [c for c, t in have.items() if t.simpleString() != wanted[c].simpleString() and not isinstance(t, NullType) and c in ("location", "fix", "metadata", "repo", "rule_id", "severity")]
+    if wrong:
+        raise ValueError(f"verifier {verifier_id}: wrong types {wrong}")
+    own = (F.col("rule_id") == verifier_id) | F.startswith("rule_id", F.lit(f"{verifier_id}."))
+    fits = F.coalesce(own & F.col("severity").isin(SEVERITIES), F.lit(False))
+    text = F.concat(F.lit(f"verifier {verifier_id}: not its own rule, or no severity: "), F.to_json(F.struct("rule_id", "severity")))
+    rows = rows.withColumn("rule_id", F.when(fits, F.col("rule_id")).otherwise(F.raise_error(text).cast("string")))
+    rows = rows.withColumn("verifier_id", F.lit(verifier_id))
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+
+
 def unreadable_files(files: DataFrame, verifier_id: str = "secrets") -> DataFrame:
     """Files a verifier had to skip, as an error table."""
     return files.where(F.col("content").isNull()).select(
-        "repo", "path", F.lit(verifier_id).alias("verifier_id"), F.lit("not valid UTF-8").alias("reason")
+        "repo", "path", F.lit(verifier_id).alias("verifier_id"), unread_reason(files).alias("reason")
     )
 
 
+def unread_reason(files: DataFrame) -> Column:
+    """Why a file has no content: what its reader says, or else that it is no text."""
+    said = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
+    return F.coalesce(said, F.lit("not valid UTF-8"))
+
+
 def attach_provenance(findings: DataFrame, scored: DataFrame) -> DataFrame:
     """Fill missing scores from the file's score."""
     scores = scored.select("repo", F.col("path").alias("_path"), F.col("score").alias("_score"))

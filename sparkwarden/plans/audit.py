@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwarden.functions.paths import basename
 from sparkwarden.functions.text import lines
 
-from sparkwarden.operators import discovery, lockfiles, provenance, secrets, vulnerabilities
+from sparkwarden.functions.code import FAMILIES
+from sparkwarden.operators import deadcode, discovery, imports, lockfiles, provenance, secrets, vulnerabilities
 from sparkwarden.operators.findings import (
+    UserVerifier,
     attach_provenance,
     candidate_counts,
+    checked_findings,
     choose_verifiers,
     run_verifiers,
+    unread_reason,
     union_findings,
 )
 from sparkwarden.operators.secrets import SecretOptions, explode_items
@@ -25,6 +30,26 @@ from sparkwarden.session import stored
 
 VERIFIERS = {secrets.VERIFIER: secrets.DESCRIPTION, vulnerabilities.VERIFIER: vulnerabilities.DESCRIPTION}
 
+#: Verifiers of the library that run when they are asked for, as user verifiers.
+DEAD_CODE = UserVerifier(
+    deadcode.VERIFIER, deadcode.DESCRIPTION, lambda files: deadcode.dead_functions(files).drop("verifier_id").withColumnRenamed("name", "message"),
+    list(FAMILIES),
+)
+
+
+def unresolved_import_verifier(packages: DataFrame) -> UserVerifier:
+    """Unresolved imports as a verifier, given the packages of the lockfiles."""
+
+    def find(files: DataFrame) -> DataFrame:
+        return imports.unresolved_imports(files, packages).drop("verifier_id").withColumnRenamed("module", "message")
+
+    return UserVerifier(imports.VERIFIER, imports.DESCRIPTION, find)
+
+
+def verifiers_of(options: AuditOptions) -> dict[str, str]:
+    """Descriptions by verifier id for reports, the user's own included."""
+    return VERIFIERS | {v.verifier_id: v.description for v in options.user_verifiers}
+
 
 @dataclass(frozen=True)
 class AuditOptions:
@@ -41,6 +66,8 @@ class AuditOptions:
     prefix: str = "audit"
     #: Only files with a staged change that is no deletion.
     staged: bool = False
+    #: Further verifiers; they run after the others, by default and wherever their id is chosen.
+    user_verifiers: Sequence[UserVerifier] = ()
     #: Answers of vulnerability lookups count if they are fresh at this time; without it the last one counts.
     as_of: datetime | None = None
 
@@ -48,6 +75,10 @@ class AuditOptions:
         """Ids of the verifiers that run. Without vulnerability tables there is nothing to look up."""
         has_advisories = tables.advisories is not None or tables.osv_vulns is not None
         available = {secrets.VERIFIER: True, vulnerabilities.VERIFIER: has_advisories}
+        own = [v.verifier_id for v in self.user_verifiers]
+        if len({*available, *own}) < len(available) + len(own):
+            raise ValueError(f"verifier ids must differ: {[*available, *own]}")
+        available |= dict.fromkeys(own, True)
         return choose_verifiers(available, self.verifiers, self.skip)
 
 
@@ -119,12 +150,14 @@ def selected(tables: Tables, options: AuditOptions, ignore_lines: DataFrame | No
     else:
         files = tables.files.withColumn("candidate", _is_candidate(tables, options))
         return files.where(F.col("candidate") | is_lock)
-    marked = stored(marked.select("repo", "path").distinct()).withColumn("_marked", F.lit(True))
-    files = tables.files.join(marked, ["repo", "path"], "left")
-    there = F.coalesce("_marked", F.lit(False))
-    files = files.withColumn(
-        "candidate", there if _by_change(tables, options) else ~there & _is_candidate(tables, options)
-    ).drop("_marked")
+    marked = stored(marked.select("repo", "path").distinct())
+    if _by_change(tables, options):
+        # Few files: the text of the others takes no part in a join, and lockfiles are found by a filter of the scan.
+        changed = tables.files.join(marked, ["repo", "path"], "left_semi").withColumn("candidate", F.lit(True))
+        locks = tables.files.where(is_lock).join(marked, ["repo", "path"], "left_anti").withColumn("candidate", F.lit(False))
+        return changed.unionByName(locks)
+    files = tables.files.join(marked.withColumn("_marked", F.lit(True)), ["repo", "path"], "left")
+    files = files.withColumn("candidate", F.col("_marked").isNull() & _is_candidate(tables, options)).drop("_marked")
     return files.where(F.col("candidate") | is_lock)
 
 
@@ -136,7 +169,7 @@ def extract(files: DataFrame, options: AuditOptions, with_secrets: bool) -> Data
     """
     text, path, language = F.col("content"), F.col("path"), F.col("language")
     is_lock = path.isin(list(lockfiles.LOCKFILES))
-    files = files.withColumn("unreadable", text.isNull())
+    files = files.withColumn("unreadable", F.when(text.isNull(), unread_reason(files)))
     base = ["repo", "path", "language", "candidate", "unreadable"]
     packages = F.when(is_lock, lockfiles.packages_in(path, text)).alias("packages")
     if options.detect:
@@ -211,9 +244,21 @@ def audited(tables: Tables, options: AuditOptions | None = None) -> Audited:
         rows = scored(tables, candidates.where(F.col("packages").isNotNull()), options)
         return attach_provenance(found, rows.withColumnRenamed("provenance_score", "score"))
 
-    parts = run_verifiers({secrets.VERIFIER: from_secrets, vulnerabilities.VERIFIER: from_dependencies}, chosen)
-    unread = candidates.where("unreadable").select(
-        "repo", "path", F.lit(secrets.VERIFIER).alias("verifier_id"), F.lit("not valid UTF-8").alias("reason")
+    def from_user(verifier: UserVerifier) -> DataFrame:
+        rows = scored(tables, candidates, options)
+        left = stored(rows.select("repo", "path", F.col("provenance_score").alias("score")))
+        seen = files.where("candidate").select("repo", "path", "language", "content")
+        if verifier.languages is not None:
+            seen = seen.where(F.col("language").isin(list(verifier.languages)))
+        if options.ai_only:
+            seen = seen.join(left, ["repo", "path"], "left_semi")
+        return attach_provenance(checked_findings(verifier.find(seen), verifier.verifier_id), left)
+
+    runners = {secrets.VERIFIER: from_secrets, vulnerabilities.VERIFIER: from_dependencies}
+    runners |= {v.verifier_id: partial(from_user, v) for v in options.user_verifiers}
+    parts = run_verifiers(runners, chosen)
+    unread = candidates.where("unreadable IS NOT NULL").select(
+        "repo", "path", F.lit(secrets.VERIFIER).alias("verifier_id"), F.col("unreadable").alias("reason")
     )
     locks = extracted.where(F.col("packages").isNotNull() & (F.size("packages") == 0)).select(
         "repo", "path", F.lit(vulnerabilities.VERIFIER).alias("verifier_id"), F.lit("no packages in lockfile").alias("reason")

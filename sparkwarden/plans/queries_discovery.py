@@ -184,6 +184,26 @@ def exported_commits(spark, sf_dir):
     return read.withColumn("author_ts", F.col("author_ts").cast("timestamp_ntz"))
 
 
+@query(
+    tables("commit_files")
+    + """SELECT repo, sha, path, max(status) AS status, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, false AS staged
+    FROM commit_files GROUP BY repo, sha, path"""
+)
+def exported_commit_files(spark, sf_dir):
+    """Change lines of an exported history with statuses, counts, binary files and quoted paths, read back."""
+    changes = Inputs(spark, sf_dir).commit_files
+    path = F.when(F.octet_length("path") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit('"'), F.replace("path", F.lit("/"), F.lit(r"\057")), F.lit('"')))
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    raw = F.concat(F.lit(":100644 100644 0a1b2c3 4d5e6f7 "), "status", F.lit("\t"), path)
+    lines = F.concat_ws("\n", raw, F.concat_ws("\t", count("additions"), count("deletions"), path))
+    grouped = changes.groupBy("repo", "sha").agg(F.concat_ws("\n", F.collect_list(lines)).alias("changes"))
+    fields = ["sha", F.lit("dev"), F.lit("2024-01-01T00:00:00+00:00"), F.lit("message"), F.concat(F.lit("\n"), "changes", F.lit("\n"))]
+    record = F.concat(F.lit(log.RECORD), F.concat_ws(log.FIELD, *fields))
+    base = f"{shared_dir(spark)}/history-{uuid4().hex}"
+    grouped.select("repo", record.alias("value")).write.partitionBy("repo").option("lineSep", "\n").text(base)
+    return log.commit_files_of(log.read_log(spark, base))
+
+
 # Ignore files at the root and in folders: line, its regex for paths below the folder (written by hand), whether it must be a
 # folder. The weight of the file's kind comes first, the depth of its folder second, the line last.
 _NESTED = [

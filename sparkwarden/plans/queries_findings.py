@@ -10,10 +10,11 @@ from sparkwarden import __version__
 from sparkwarden.functions.severity import SEVERITIES, parse_severity, severity_rank
 from sparkwarden.operators import findings as fnd
 from sparkwarden.operators import reports
+from sparkwarden.operators.lockfiles import LOCKFILES
 from sparkwarden.operators.provenance import last_commits
 from sparkwarden.operators.secrets import SecretOptions
 from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, audited
-from sparkwarden.plans.oracle import IGNORED_CTE, RANK, audit_ctes, tables
+from sparkwarden.plans.oracle import IGNORED_CTE, RANK, audit_ctes, package_ctes, tables
 from sparkwarden.plans.queries_discovery import DIFF_CTES, refs_of
 from sparkwarden.plans.registry import Inputs, flat, query
 from sparkwarden.session import shared_dir, stored
@@ -169,8 +170,10 @@ def findings_per_week(spark, sf_dir):
 
 
 @query(
-    tables("files") + f""", {IGNORED_CTE} SELECT DISTINCT repo, 'sub/.ignore' AS path, 'discovery' AS verifier_id, 'invalid ignore rule in line 2: [a' AS reason FROM files
-    UNION ALL SELECT repo, path, 'secrets', 'not valid UTF-8' FROM files WHERE language <> 'unknown' AND k % 17 = 0 AND (repo, path) NOT IN (SELECT repo, path FROM ignored)"""
+    tables("files") + ", " + package_ctes() + f""", {IGNORED_CTE} SELECT DISTINCT repo, 'sub/.ignore' AS path, 'discovery' AS verifier_id, 'invalid ignore rule in line 2: [a' AS reason FROM files
+    UNION ALL SELECT repo, path, 'secrets', 'not valid UTF-8' FROM files WHERE language <> 'unknown' AND k % 17 = 0 AND (repo, path) NOT IN (SELECT repo, path FROM ignored)
+    UNION ALL SELECT repo, path, 'cve', 'no packages in lockfile' FROM files f WHERE path IN ({", ".join(f"'{p}'" for p in LOCKFILES)})
+      AND NOT EXISTS (SELECT 1 FROM parsed p WHERE p.repo = f.repo AND p.lockfile_path = f.path)"""
 )
 def audit_errors(spark, sf_dir):
     files = Inputs(spark, sf_dir).files
@@ -178,8 +181,30 @@ def audit_errors(spark, sf_dir):
     bad = files.select("repo").distinct().select(
         "repo", F.lit("sub/.ignore").alias("path"), F.lit("unknown").alias("language"), F.lit("# one bad line\n[a\n").alias("content")
     )
-    errors = audited(Tables(files.unionByName(bad)), AuditOptions(detect=False, secrets=OPTIONS.secrets)).errors
-    return errors.where("verifier_id <> 'cve'")
+    return audited(Tables(files.unionByName(bad)), AuditOptions(detect=False, secrets=OPTIONS.secrets)).errors
+
+
+def _marked_files(files):
+    """A user's own verifier: files with an override marker."""
+    marked = files.where(F.contains("content", F.lit("audit:ai")) | F.contains("content", F.lit("audit:human")))
+    return marked.select("repo", "path", F.lit("markers.override").alias("rule_id"), F.lit("info").alias("severity"), F.lit("override").alias("message"), F.lit(1).alias("start_line"))
+
+
+MARKERS = fnd.UserVerifier("markers", "Files with an override marker", _marked_files)
+
+
+@query(
+    AUDIT + """SELECT f.repo, 'markers' AS verifier_id, 'markers.override' AS rule_id, 'info' AS severity, 'override' AS message, f.path, 1 AS start_line,
+      p.score AS provenance_score
+    FROM files f JOIN scored p ON p.repo = f.repo AND p.path = f.path
+    WHERE f.language <> 'unknown' AND (f.repo, f.path) NOT IN (SELECT repo, path FROM ignored) AND (contains(f.content, 'audit:ai') OR contains(f.content, 'audit:human'))
+    UNION ALL SELECT repo, verifier_id, rule_id, severity, message, path, start_line, provenance_score FROM findings WHERE verifier_id = 'secrets'"""
+)
+def audit_user_verifier(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    options = AuditOptions(secrets=OPTIONS.secrets, user_verifiers=[MARKERS], skip=["cve"])
+    found = audit(Tables(t.files.drop("k"), t.commits, t.commit_files), options)
+    return flat(found).select("repo", "verifier_id", "rule_id", "severity", "message", "path", "start_line", "provenance_score")
 
 
 @query(AUDIT + f"SELECT {_COLUMNS} FROM findings")

@@ -125,6 +125,17 @@ def likely_generated_files(spark, sf_dir):
     return prov.likely_generated(_scored(spark, sf_dir)).select("repo", "path", "score")
 
 
+@query(
+    tables("commits")
+    + """SELECT repo, sha, CASE WHEN len(hours) > 0 THEN len(list_filter(hours, lambda h: h = author_hour)) / len(hours) END AS usual_share,
+       coalesce(len(hours) >= 10 AND len(list_filter(hours, lambda h: h = author_hour)) / len(hours) < 0.05, false) AS unusual
+    FROM (SELECT repo, sha, author_hour, coalesce(list(author_hour) OVER (PARTITION BY repo, author ORDER BY author_ts, sha ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), []) AS hours FROM commits)"""
+)
+def usual_commit_hours(spark, sf_dir):
+    """Hours against the past of each author with the operator's own limits."""
+    return prov.hour_anomalies(Inputs(spark, sf_dir).commits)
+
+
 @query(
     tables("commits")
     + """SELECT repo, sha, CASE WHEN len(hours) > 0 THEN len(list_filter(hours, lambda h: h = author_hour)) / len(hours) END AS usual_share,

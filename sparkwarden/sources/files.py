@@ -30,8 +30,9 @@ def as_files(rows: DataFrame) -> DataFrame:
     """Bring rows of ``repo, path, content`` (binary or string) into the files schema.
 
     Binary files are dropped. Files that are not valid UTF-8 stay in the table with null content, so
-    they count as candidates but give neither findings nor a score.
+    they count as candidates but give neither findings nor a score. A column ``problem`` (why there is no content) stays.
     """
+    problem = ["problem"] if "problem" in rows.columns else []
     return rows.where(~looks_binary(F.col("content"))).select(
         "repo",
         "path",
@@ -39,6 +40,7 @@ def as_files(rows: DataFrame) -> DataFrame:
         language_of(F.col("path")).alias("language"),
         utf8_text(F.col("content")).alias("content"),
         F.octet_length("content").cast("long").alias("n_bytes"),
+        *problem,
     )
 
 
@@ -79,31 +81,37 @@ def _through_link(path: str, base: str) -> bool:
     return False
 
 
-def _read_files(root: str):
-    """Task function: content of each path, handed over in batches of bounded size. Unreadable files are null."""
+def _read_files(root: str, opened=None):
+    """Task function: content of each path, handed over in batches of bounded size.
+
+    A file that may not be read or is gone has null content and says so. Other errors fail the task, so that Spark runs it again.
+    """
 
     def run(batches):
         import pandas as pd
         from pyarrow import fs as arrow_fs
 
-        files, _ = arrow_fs.FileSystem.from_uri(root)
+        files, _ = (opened or arrow_fs.FileSystem.from_uri)(root)
         for batch in batches:
             rows, size = [], 0
             for full, rel in zip(batch["full"], batch["rel"]):
+                content, problem = None, None
                 try:
                     with files.open_input_file(full) as stream:
                         content = stream.read(SNIFF_BYTES)
                         if b"\x00" not in content:  # else it is binary, and its beginning says so
                             content += stream.read()
-                except OSError:
-                    content = None
-                rows.append((rel, content))
+                except PermissionError:
+                    problem = "file not permitted"
+                except FileNotFoundError:
+                    problem = "file not found"
+                rows.append((rel, content, problem))
                 size += len(content or b"")
                 if size >= READ_BYTES:
-                    yield pd.DataFrame(rows, columns=["rel", "content"])
+                    yield pd.DataFrame(rows, columns=["rel", "content", "problem"])
                     rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["rel", "content"])
+                yield pd.DataFrame(rows, columns=["rel", "content", "problem"])
 
     return run
 
@@ -155,5 +163,5 @@ def read_tree(
     listed = (list_tree(spark, root) if listed is None else listed).where("kind = 'file'").select("full", "rel")
     if name_glob:
         listed = listed.where(F.rlike(basename(F.col("rel")), F.lit(glob_to_regex(name_glob) or "^$")))
-    raw = listed.repartition("full").mapInPandas(_read_files(_uri(root)), "rel string, content binary")
-    return as_files(raw.select(*_placed(F.col("rel"), repo), "content"))
+    raw = listed.repartition("full").mapInPandas(_read_files(_uri(root)), "rel string, content binary, problem string")
+    return as_files(raw.select(*_placed(F.col("rel"), repo), "content", "problem"))

@@ -157,3 +157,37 @@ def test_staged_errors_and_as_of(spark, tables, files_of):
     done = audited(Tables(bad))
     assert sorted((r.path, r.verifier_id) for r in done.errors.collect()) == [(".gitignore", "discovery"), ("bad.rs", "secrets"), ("yarn.lock", "cve")]
     assert "skip/a.rs" not in [k[0] for k in keys(done.findings)]
+
+
+def test_user_verifiers(spark, files_of):
+    from sparkwarden.operators import lockfiles
+    from sparkwarden.plans.audit import DEAD_CODE, audited, unresolved_import_verifier, verifiers_of
+
+    files = files_of(("a.py", "import ghost\ndef _f():\n    pass\n"), ("b.txt", "todo"), ("c.py", "# todo\n"))
+    todo = fnd.UserVerifier(
+        "todo", "Things to do",
+        lambda f: f.where(F.contains("content", F.lit("todo"))).select("repo", "path", F.lit("todo.any").alias("rule_id"), F.lit("low").alias("severity")),
+    )
+    options = AuditOptions(user_verifiers=[todo, DEAD_CODE, unresolved_import_verifier(lockfiles.all_packages(files))])
+    found = audited(Tables(files), options).findings
+    assert found.schema.simpleString() == audit(Tables(files)).schema.simpleString()
+    assert sorted((r.verifier_id, r.rule_id, r.location.path, r.location.start_line, r.provenance_score is None) for r in found.collect()) == [
+        ("deadcode", "deadcode.unused-function", "a.py", 2, False), ("hallucination", "hallucination.unresolved-import", "a.py", None, False),
+        ("todo", "todo.any", "c.py", None, False),
+    ]
+    assert set(verifiers_of(options)) == {"secrets", "cve", "todo", "deadcode", "hallucination"}
+    only = AuditOptions(user_verifiers=[todo, DEAD_CODE], verifiers=["todo"], detect=False)
+    assert [(r.rule_id, r.provenance_score) for r in audit(Tables(files), only).collect()] == [("todo.any", None)]
+    with pytest.raises(ValueError, match="differ"):
+        audit(Tables(files), AuditOptions(user_verifiers=[todo, todo]))
+    bad = {"columns missing": lambda f: f.select("repo"), "unknown": lambda f: f.selectExpr("repo", "path", "'x' rule_id", "'low' severity", "1 AS odd"),
+           "wrong types": lambda f: f.selectExpr("repo", "path", "1 AS rule_id", "'low' severity")}
+    for text, find in bad.items():
+        with pytest.raises(ValueError, match=text):
+            fnd.checked_findings(find(files), "x")
+        with pytest.warns(UserWarning, match="verifier x"):
+            assert audit(Tables(files), AuditOptions(user_verifiers=[fnd.UserVerifier("x", "d", find)], skip=["secrets"], detect=False)).count() == 0
+    for rule, severity in (("other.rule", "low"), ("x.rule", "urgent"), (None, "low")):
+        rows = fnd.checked_findings(files.select("repo", "path", F.lit(rule).cast("string").alias("rule_id"), F.lit(severity).alias("severity")), "x")
+        with pytest.raises(Exception, match="not its own rule"):
+            rows.collect()

@@ -62,6 +62,39 @@ def test_folders_that_cannot_be_listed(spark, tree, error):
     assert ("r", "sub", "files", reason) in [tuple(r) for r in done.errors.collect()]
 
 
+@pytest.mark.parametrize("error", [PermissionError, FileNotFoundError, OSError])
+def test_files_that_cannot_be_read(spark, tree, error):
+    import pandas as pd
+    from pyarrow import fs
+
+    class Broken:
+        def open_input_file(self, path):
+            if path.endswith("__init__.py"):
+                raise error(path)
+            return fs.LocalFileSystem().open_input_file(path)
+
+    (tree / "fine.py").write_text("x = 1\n")
+    given = [pd.DataFrame({"full": [f"{tree}/pkg/__init__.py", f"{tree}/fine.py"], "rel": ["pkg/__init__.py", "fine.py"]})]
+    from sparkwarden.plans.audit import AuditOptions, Tables, audited
+    from sparkwarden.sources import files as source
+
+    run = source._read_files(f"file://{tree}", opened=lambda uri: (Broken(), str(tree)))
+    if error is OSError:
+        with pytest.raises(OSError):
+            list(run(given))
+        return
+    reason = "file not permitted" if error is PermissionError else "file not found"
+    rows = pd.concat(run(given))
+    assert rows.values.tolist() == [["pkg/__init__.py", None, reason], ["fine.py", b"x = 1\n", None]]
+    read = spark.createDataFrame(rows, "rel string, content binary, problem string").selectExpr("'r' AS repo", "rel AS path", "content", "problem")
+    bad = spark.createDataFrame([("r", "bad.py", b"\xff", None)], "repo string, path string, content binary, problem string")
+    files = source.as_files(read.unionByName(bad))
+    done = audited(Tables(files), AuditOptions(detect=False))
+    assert sorted(tuple(r) for r in done.errors.collect()) == [
+        ("r", "bad.py", "secrets", "not valid UTF-8"), ("r", "pkg/__init__.py", "secrets", reason),
+    ]
+
+
 def test_missing_root(spark):
     with pytest.raises(FileNotFoundError):
         read_tree(spark, "/nonexistent/root/xyz", repo="r")
