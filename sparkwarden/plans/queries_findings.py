@@ -10,11 +10,13 @@ from sparkwarden import __version__
 from sparkwarden.functions.severity import SEVERITIES, parse_severity, severity_rank
 from sparkwarden.operators import findings as fnd
 from sparkwarden.operators import reports
+from sparkwarden.operators.asof import asof_join
+from sparkwarden.operators.findings import for_languages
 from sparkwarden.operators.lockfiles import LOCKFILES
 from sparkwarden.operators.provenance import last_commits
-from sparkwarden.operators.secrets import SecretOptions
+from sparkwarden.operators.secrets import LANGUAGES, SecretOptions, secret_findings
 from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, audited
-from sparkwarden.plans.oracle import IGNORED_CTE, RANK, audit_ctes, package_ctes, tables
+from sparkwarden.plans.oracle import CODE_CTE, IGNORED_CTE, RANK, audit_ctes, package_ctes, secret_ctes, tables
 from sparkwarden.plans.queries_discovery import DIFF_CTES, refs_of
 from sparkwarden.plans.registry import Inputs, flat, query
 from sparkwarden.session import shared_dir, stored
@@ -184,6 +186,25 @@ def audit_errors(spark, sf_dir):
     return audited(Tables(files.unionByName(bad)), AuditOptions(detect=False, secrets=OPTIONS.secrets)).errors
 
 
+_FOUND_AT = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(regexp_extract(path, '/f([0-9]+)[.]', 1) as int) * 37 % 50000)"
+
+
+@query(
+    tables("files", "commits") + f", {CODE_CTE}, {secret_ctes('code')}," + r"""
+    f AS (SELECT CASE WHEN n % 2 = 0 THEN 'r0' ELSE repo END AS repo, path, rule_id, start_line, start_col, TIMESTAMP '2024-01-01' + to_minutes(n * 37 % 50000) AS found_at
+      FROM (SELECT *, cast(regexp_extract(path, '/f([0-9]+)[.]', 1) as bigint) AS n FROM secret_rows)),
+    c AS (SELECT repo, author_ts, max(sha) AS sha FROM (SELECT CASE WHEN cast(substr(repo, 2) as bigint) % 2 = 0 THEN 'r0' ELSE repo END AS repo, author_ts, sha FROM commits) GROUP BY ALL)
+    SELECT f.repo, path, rule_id, start_line, start_col, found_at, c.sha, c.author_ts FROM f ASOF LEFT JOIN c ON f.repo = c.repo AND f.found_at >= c.author_ts"""
+)
+def findings_at_commit(spark, sf_dir):
+    """Each secret with the commit in force when it was found; one repository has half of all rows."""
+    t = Inputs(spark, sf_dir)
+    found = secret_findings(for_languages(t.files, LANGUAGES), OPTIONS.secrets).select("repo", "location.path", "rule_id", "location.start_line", "location.start_col")
+    found = found.withColumn("found_at", F.expr(_FOUND_AT)).withColumn("repo", F.expr("CASE WHEN cast(regexp_extract(path, '/f([0-9]+)[.]', 1) as int) % 2 = 0 THEN 'r0' ELSE repo END"))
+    commits = t.commits.select(F.expr("CASE WHEN cast(substr(repo, 2) as bigint) % 2 = 0 THEN 'r0' ELSE repo END").alias("repo"), "author_ts", "sha")
+    return asof_join(found, commits, ["repo"], "found_at", "author_ts", tie=["sha"])
+
+
 def _marked_files(files):
     """A user's own verifier: files with an override marker."""
     marked = files.where(F.contains("content", F.lit("audit:ai")) | F.contains("content", F.lit("audit:human")))
