@@ -25,6 +25,30 @@ def test_lookups_once(spark, tmp_path, files):
     assert sorted((r.name, (r.asked_at - begin).total_seconds() / 3600) for r in got) == WANT
 
 
+def test_lookups_go_on_after_a_restart(spark, tmp_path):
+    begin = dt.datetime(2024, 1, 1)
+    rows = [("npm", n, "1", begin + dt.timedelta(hours=h)) for n, h in HOURS] + [("npm", "a", "1", None), (None, None, None, begin), (None, None, None, begin)]
+    got = []
+    for part in (rows[:3], rows[3:5], rows[5:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        got = inc.lookups_once(stream, base=str(tmp_path / "out")).collect()
+    assert sorted((r.name, (r.asked_at - begin).total_seconds() / 3600) for r in got if r.name) == WANT
+    assert [(r.ecosystem, r.asked_at) for r in got if not r.name] == [(None, begin)]
+
+
+def test_state_goes_with_the_time_to_live(spark, tmp_path):
+    begin = dt.datetime(2024, 1, 1)
+    for hour, name in ((0, "a"), (200, "b"), (201, "b"), (400, "a")):
+        spark.createDataFrame([("npm", name, "1", begin + dt.timedelta(hours=hour))], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        found = inc.due_lookups(stream, delay="1 hour")
+        query = found.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept == 1
+
+
 def test_weekly_counts_keep_files_without_history(spark):
     found = spark.createDataFrame([("r", ("a",)), ("r", ("a",)), ("r", ("b",))], "repo string, location struct<path:string>")
     last = spark.createDataFrame([("r", "a", dt.datetime(2024, 1, 3))], "repo string, path string, author_ts timestamp")
