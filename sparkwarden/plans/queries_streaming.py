@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from sparkwarden.plans import domain, oracle
 from sparkwarden.plans.oracle import tables
 from sparkwarden.plans.queries_secrets import CODE, FLAT, OPTIONS
 from sparkwarden.plans.registry import Inputs, flat, query
+from sparkwarden.session import shared_dir
 from sparkwarden.streaming import incremental as inc
 
 
@@ -68,3 +70,29 @@ def stream_commit_bursts(spark, sf_dir):
     return inc.run_to_table(inc.commit_bursts(_commit_stream(spark, sf_dir))).withColumn(
         "first_ts", F.col("first_ts").cast("timestamp_ntz")
     )
+
+
+#: Three versions of each file: as it is, with its key ids gone in some and a new one in others, and then gone in some.
+_VERSION = """CASE v WHEN 1 THEN content
+  WHEN 2 THEN CASE k % 3 WHEN 0 THEN replace(content, 'AKIA', 'none') WHEN 1 THEN concat(content, chr(10), 'pat = ', chr(34), 'ghp_', substr(md5(concat('v', k)), 1, 32), 'abcd', chr(34), chr(10)) ELSE content END
+  WHEN 3 THEN CASE k % 5 WHEN 0 THEN NULL ELSE content END END"""
+
+
+@query(
+    tables("files") + f""", versions AS MATERIALIZED (SELECT repo, concat(path, '@', v) AS path, language, {_VERSION} AS content FROM files, (VALUES (1), (2), (3)) AS n(v)
+      WHERE language IN ('rust', 'typescript', 'javascript', 'python')), texts AS (SELECT * FROM versions WHERE content IS NOT NULL), {oracle.secret_ctes('texts')},
+    ids AS MATERIALIZED (SELECT DISTINCT repo, string_split(path, '@')[1] AS path, cast(string_split(path, '@')[2] AS int) AS v, rule_id, snippet FROM secret_rows)
+    SELECT repo, path, rule_id, snippet, 'added' AS change, TIMESTAMP '2024-01-01' + to_days(v) AS seen_at FROM ids a
+      WHERE NOT EXISTS (SELECT 1 FROM ids b WHERE b.repo = a.repo AND b.path = a.path AND b.rule_id = a.rule_id AND b.snippet = a.snippet AND b.v = a.v - 1)
+    UNION ALL SELECT repo, path, rule_id, snippet, 'resolved', TIMESTAMP '2024-01-01' + to_days(v + 1) FROM ids a
+      WHERE v < 3 AND NOT EXISTS (SELECT 1 FROM ids b WHERE b.repo = a.repo AND b.path = a.path AND b.rule_id = a.rule_id AND b.snippet = a.snippet AND b.v = a.v + 1)"""
+)
+def stream_finding_changes(spark, sf_dir):
+    """Versions of all files arrive as a stream, the last ones a second time; changes of findings come out."""
+    files = Inputs(spark, sf_dir).files
+    versions = files.withColumn("v", F.explode(F.array(*[F.lit(v) for v in (1, 2, 3, 3)])))
+    versions = versions.select("repo", "path", "language", F.expr(_VERSION).alias("content"), F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, v)").alias("seen_at"))
+    folder = f"{shared_dir(spark)}/versions-{uuid4().hex}"
+    versions.write.parquet(folder)
+    stream = spark.readStream.schema(versions.schema).parquet(folder)
+    return inc.run_to_table(inc.finding_changes(stream, OPTIONS)).withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))

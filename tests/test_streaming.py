@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.findings import weekly_counts
+from sparkwarden.operators.secrets import SecretOptions
 from sparkwarden.streaming import incremental as inc
 
 SCHEMA = "ecosystem string, name string, version string, fetched_at timestamp"
@@ -54,3 +55,26 @@ def test_weekly_counts_keep_files_without_history(spark):
     last = spark.createDataFrame([("r", "a", dt.datetime(2024, 1, 3))], "repo string, path string, author_ts timestamp")
     got = weekly_counts(found, last).select(F.col("week").cast("string").alias("week"), "n").collect()
     assert {(r.week, r.n) for r in got} == {("2023-12-28 00:00:00", 2), (None, 1)}
+
+
+def test_changes_of_findings(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, n)
+    key = lambda c: f'x = "AKIA{c}QWERTYU1234567{c}"\n'
+    batches = [
+        [("a.py", key("B"), day(1)), ("a.py", key("B") + key("B"), day(2)), ("b.py", "x = 1", day(1)), ("z.txt", key("B"), day(1))],
+        [("a.py", "\n\n" + key("B") + key("C"), day(3)), ("a.py", "", day(2)), ("a.py", key("D"), day(1)), ("b.py", key("C"), day(5))],
+        [("a.py", key("C"), day(6)), ("a.py", key("C"), day(6)), ("b.py", key("C"), day(4)), ("c.py", key("D"), None)],
+        [("a.py", None, day(7)), ("b.py", key("D"), day(8)), ("b.py", "", day(9))],
+    ]
+    schema = "repo string, path string, language string, content string, seen_at timestamp"
+    got = None
+    for batch in batches:
+        rows = [("r", p, "python" if p.endswith("py") else "unknown", c, t) for p, c, t in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        got = inc.run_to_table(inc.finding_changes(stream, SecretOptions(literals=False)), str(tmp_path / "out")).collect()
+    aws = [r for r in got if r.rule_id == "secrets.aws-access-token"]
+    assert sorted((r.path, r.seen_at.day, r.change, r.snippet[4]) for r in aws) == [
+        ("a.py", 1, "added", "B"), ("a.py", 3, "added", "C"), ("a.py", 6, "resolved", "B"), ("a.py", 7, "resolved", "C"),
+        ("b.py", 5, "added", "C"), ("b.py", 8, "added", "D"), ("b.py", 8, "resolved", "C"), ("b.py", 9, "resolved", "D"),
+    ]
