@@ -131,7 +131,7 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         ["gram", "context", "doc_id", "sum", "at"],
                     )
 
-    return docs.mapInArrow(run, "gram long, context long, doc_id long, sum int, at long")
+    return docs.mapInArrow(run, "gram long, context long, doc_id long, sum binary, at long")
 
 
 def _owned(text, s, at, first, last, length, gram) -> np.ndarray:
@@ -190,7 +190,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             )
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[3:])
-    return docs.mapInArrow(run, f"doc_id long, sum int, size long, packed binary{kinds}")
+    return docs.mapInArrow(run, f"doc_id long, sum binary, size long, packed binary{kinds}")
 
 
 def _padded(column, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,10 +325,10 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _identified(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, sum, text, with_0, ...); ``sum`` tells apart different texts of one id."""
+    """(doc_id, sum, text, with_0, ...); ``sum``, 128 bits, tells apart different texts of one id."""
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     others = [docs[c].alias(f"with_{i}") for i, c in enumerate(carry)]
-    return docs.select(docs[key].cast("long").alias("doc_id"), F.hash(t).alias("sum"), t.alias("text"), *others)
+    return docs.select(docs[key].cast("long").alias("doc_id"), F.unhex(F.md5(t)).alias("sum"), t.alias("text"), *others)
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
