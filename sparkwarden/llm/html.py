@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,9 +22,10 @@ LONGEST = 60
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+)|<",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+)|<",
     re.S,
 )
+_TAG = re.compile(r"</?[a-zA-Z][^\s/>]*+")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _BLOCK = frozenset(
@@ -56,6 +58,29 @@ def _marks(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
+class Ends:
+    """Whether a tag whose name ends at a place has an end, for all places of a page by one pass from its end.
+
+    Only needed from the first tag without end on: trying each such tag anew would read the rest of the page each time.
+    """
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in re.finditer("[>\"']", page)]
+        ends = [False] * (len(self.at) + 1)
+        later = {"\"": len(self.at), "'": len(self.at)}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[k]]
+            if c == ">":
+                ends[k] = True
+            else:
+                # Right after the quote's other end the tag goes on.
+                ends[k], later[c] = later[c] < len(self.at) and ends[later[c] + 1], k
+        self.ends = ends
+
+    def after(self, place: int) -> bool:
+        return self.ends[bisect_left(self.at, place)]
+
+
 def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = None) -> Iterator[Block]:
     """Leaf blocks of a page in order: their text with white space made single, and the features of what they are in.
 
@@ -67,6 +92,9 @@ def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = N
     above: frozenset = frozenset()
     tag, parts, linked, in_link, at = "", [], 0, 0, 0
     size = len(page)
+    ends: Ends | None = None
+    unended: set[str] = set()
+    opened: Counter = Counter()
 
     def done() -> Block | None:
         nonlocal parts, linked
@@ -78,6 +106,12 @@ def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = N
         return block
 
     while at < size:
+        if ends is not None and page[at] == "<":
+            tag_at = _TAG.match(page, at)
+            if tag_at is not None and not ends.after(tag_at.end()):
+                parts.append("<")
+                at += 1
+                continue
         m = _TOKEN.match(page, at)
         at = m.end()
         text, name = m[4], m[2]
@@ -88,6 +122,8 @@ def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = N
         if name is None:
             if m[0] == "<":
                 parts.append("<")
+                if ends is None and _TAG.match(page, at - 1) is not None:
+                    ends = Ends(page)
             continue
         name = name.lower()
         if name == "br":
@@ -97,9 +133,11 @@ def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = N
             in_link = 0 if m[1] else 1
             continue
         if name in _RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not m[1] and not m[3].endswith("/") and name not in unended:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else (at if name == "head" else size)
+                if end is None:
+                    unended.add(name)
             continue
         if name not in _BLOCK:
             continue
@@ -108,15 +146,16 @@ def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = N
             yield block
         in_link = 0
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while opened[name]:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == name:
                     break
         elif name not in _VOID:
             if stack and (stack[-1][0] == "p" or stack[-1][0] in _CLOSES.get(name, ())):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
                 if name == "tr" and stack and stack[-1][0] == "tr":
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             outer = stack[-1][1] if stack else frozenset()
             key = (outer, name, m[3])
             inner = memo.get(key)
@@ -127,6 +166,7 @@ def blocks(page: str, known: dict[str, int] | None = None, memo: dict | None = N
                     memo.clear()
                 memo[key] = inner
             stack.append((name, inner))
+            opened[name] += 1
         tag, above = stack[-1] if stack else ("", frozenset())
     block = done()
     if block is not None:

@@ -214,12 +214,12 @@ def _sums_where(name: str, n: int) -> Column:
 def of_pages(pages: DataFrame) -> DataFrame:
     """Pages as texts: (page_id, text without markup, declared, host, suffix) by column expressions."""
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>", " ")
     host = F.regexp_extract(F.lower(F.coalesce(pages["url"].cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
     return pages.select(
         "page_id",
         F.regexp_replace(text, r"&#?\w{1,12};", " ").alias("text"),
-        F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3}(?:[-_]\w+)*)", 1).alias("declared"),
+        F.regexp_extract(html, r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3}(?:[-_]\w+)*)", 1).alias("declared"),
         host.alias("host"),
         F.substring_index(host, ".", -1).alias("suffix"),
     )
