@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwarden.llm.common import byte_rows, chunks, stored
+from sparkwarden.llm.common import byte_rows, chunks, frugal, stored
 
 LANGUAGES = ("en", "de", "fr", "es")
 #: Label of texts that no language explains.
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", languages:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
 
-    rows = drawn.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = drawn.mapInArrow(frugal(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * BUCKETS)
     counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
     counts = counts.reshape(len(languages), BUCKETS) + 0.1
@@ -102,7 +102,7 @@ def _likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return rows.mapInArrow(run, f"{kept}, likely array<double>, share array<double>")
+    return rows.mapInArrow(frugal(run), f"{kept}, likely array<double>, share array<double>")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

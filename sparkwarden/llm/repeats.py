@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkwarden.llm.common import byte_rows, mix, stored, whole_groups
+from sparkwarden.llm.common import byte_rows, frugal, mix, stored, whole_groups
 
 LENGTH = 200
 GRAM = 32
@@ -131,7 +131,7 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         ["gram", "context", "doc_id", "sum", "at"],
                     )
 
-    return docs.mapInArrow(run, "gram long, context long, doc_id long, sum binary, at long")
+    return docs.mapInArrow(frugal(run), "gram long, context long, doc_id long, sum binary, at long")
 
 
 def _owned(text, s, at, first, last, length, gram) -> np.ndarray:
@@ -165,7 +165,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     kept = [[], [], [], []]
 
     joined = _packed(docs).alias("d").join(places.alias("p"), _same("d", "p")).select("size", "packed", "places")
-    return joined.mapInArrow(run, "gram long, context long, left binary, right binary")
+    return joined.mapInArrow(frugal(run), "gram long, context long, left binary, right binary")
 
 
 def _same(a: str, b: str):
@@ -190,7 +190,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             )
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[3:])
-    return docs.mapInArrow(run, f"doc_id long, sum binary, size long, packed binary{kinds}")
+    return docs.mapInArrow(frugal(run), f"doc_id long, sum binary, size long, packed binary{kinds}")
 
 
 def _padded(column, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +293,7 @@ def _treed(contexts: DataFrame, length: int) -> DataFrame:
                 )
 
     sorted_ = contexts.repartition("gram").sortWithinPartitions("gram")
-    return sorted_.mapInArrow(run, "gram long, context long, before long, after long")
+    return sorted_.mapInArrow(frugal(run), "gram long, context long, before long, after long")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in zip(*rows)], ["gram", "context", "d", "x", "y"]
                 )
 
-    windows = stored(contexts.mapInArrow(run, "gram long, context long, d long, x long, y long"))
+    windows = stored(contexts.mapInArrow(frugal(run), "gram long, context long, d long, x long, y long"))
     # The anchor is at the same place in equal windows, which the distance d makes part of the key.
     twice = windows.groupBy("gram", "d", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = windows.join(twice, ["gram", "d", "x", "y"])
@@ -416,7 +416,7 @@ def without_repeats(
     joined = joined.select("d.doc_id", "size", "packed", "spans", *carried)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:])
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{kinds}"
-    return joined.mapInArrow(run, schema).withColumnsRenamed(dict(zip(carried, carry)))
+    return joined.mapInArrow(frugal(run), schema).withColumnsRenamed(dict(zip(carried, carry)))
 
 
 def _narrowed(data: bytes, s: int, e: int) -> tuple[int, int]:

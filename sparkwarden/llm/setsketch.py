@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkwarden.llm.common import Forest, byte_rows, chunks, matrix, mix, stored, whole_groups
+from sparkwarden.llm.common import Forest, byte_rows, chunks, frugal, matrix, mix, stored, whole_groups
 from sparkwarden.llm.components import components
 
 REGISTERS = 128
@@ -143,7 +143,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "n", "a", "b", "registers", "bytes"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, registers binary, bytes long")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, a long, b long, registers binary, bytes long")
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _bands(sets: DataFrame) -> DataFrame:
             ids = np.repeat(b.column("id").to_numpy(), rows.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(ids)], ["key", "id"])
 
-    return sets.select("id", "registers").mapInArrow(run, "key long, id long")
+    return sets.select("id", "registers").mapInArrow(frugal(run), "key long, id long")
 
 
 def _margin(percent: int) -> float:
@@ -186,7 +186,7 @@ def _passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
         own = sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}"))
         pairs = pairs.join(own, side)
-    return pairs.select("a", "b", "n_a", "registers_a", "n_b", "registers_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "registers_a", "n_b", "registers_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _candidates(sets: DataFrame, percent: int, cell: int) -> DataFrame:
@@ -217,7 +217,7 @@ def _candidates(sets: DataFrame, percent: int, cell: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = _dealt(rows, cell).repartition("block").sortWithinPartitions("block")
-    crossing = dealt.mapInArrow(run, "a long, b long")
+    crossing = dealt.mapInArrow(frugal(run), "a long, b long")
     return components(near.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(crossing))
 
 
@@ -279,7 +279,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), packed], ["doc_id", "size", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, packed binary")
+    return docs.mapInArrow(frugal(run), "doc_id long, size long, packed binary")
 
 
 def _links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
@@ -299,7 +299,7 @@ def _links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(frugal(run), "a long, b long")
 
 
 def _joined(group: pa.Table, words: int, percent: int) -> list[tuple[int, int]]:

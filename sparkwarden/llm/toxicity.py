@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwarden.llm.common import stored, texts_of
+from sparkwarden.llm.common import frugal, stored, texts_of
 
 #: Labelled rows that training takes at most in expectation, drawn evenly by a hash of the id.
 SAMPLE = 12_000
@@ -166,12 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
 
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(drawn, "key")
     picked = picked.select("text", (F.col("label") > 0).cast("int").alias("label"))
-    rows = stored(picked.mapInArrow(reduce, "words string, label int"))
+    rows = stored(picked.mapInArrow(frugal(reduce), "words string, label int"))
     told = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     size, toxic = told[0], told[1] or 0
     if not toxic or toxic == size:
         return Model(4.0 if toxic else -4.0, {})
-    counts = rows.mapInArrow(count, "feature string, n long, toxic long").groupBy("feature")
+    counts = rows.mapInArrow(frugal(count), "feature string, n long, toxic long").groupBy("feature")
     counts = counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("n >= 4")
     share = toxic / size
     # The same test as in ``choose``, so that only features that pass travel.
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(present, kind), pa.array(changes, kind), b.column(1)], ["present", "changes", "label"])
 
-    data = rows.mapInArrow(numbered, "present array<int>, changes array<int>, label int").toArrow()
+    data = rows.mapInArrow(frugal(numbered), "present array<int>, changes array<int>, label int").toArrow()
     # In an order of their own, so that sums come out the same however the rows were dealt.
     data = sorted(zip(data["label"].to_pylist(), data["present"].to_pylist(), data["changes"].to_pylist()))
     labels, present, changes = zip(*data)
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str
     out = F.coalesce(held_out(docs[key]), F.lit(False))
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"), out.alias("held_out"))
     kind = picked.schema["key"].dataType.simpleString()
-    return picked.mapInArrow(run, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+    return picked.mapInArrow(frugal(run), f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
 def harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -233,4 +233,4 @@ def harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text:
             kept = [model.score(words(t), memo) < threshold for _, part in texts_of(column) for t in part]
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

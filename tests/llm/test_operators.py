@@ -493,3 +493,14 @@ def test_language_of_pages(spark):
     assert np.mean([r.language == r.declared for r in got]) > 0.9
     odd = spark.createDataFrame([(1, None, None), (2, "x", "<html lang='fr"), (3, "http://u@H.Org:80/x", "<HTML LANG=fr-CA><p>x")], "page_id long, url string, html string")
     assert rows_of(language.of_pages(odd).select("page_id", "declared", "host"), "page_id") == [(1, "", ""), (2, "fr", ""), (3, "fr-CA", "h.org")]
+
+
+def test_workers_give_back_freed_memory(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(calls.append)}))
+    assert list(common.frugal(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [0]
+    # Also of a task that ends early.
+    rest = common.frugal(lambda batches: (b for b in batches))(iter([1, 2]))
+    next(rest)
+    rest.close()
+    assert calls == [0, 0]
