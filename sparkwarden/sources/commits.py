@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 RECORD, FIELD = "\x1e", "\x1f"
 
 
-def read_log(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str, repo: str | None = None, named: bool = False) -> DataFrame:
     """Raw records of exported histories: ``repo, sha, author, authored, message, changes``.
 
     Without ``repo`` the repository is that of the folder, if folders are named ``repo=<name>``, and else the file's name
-    without its ending: one read for the histories of many repositories.
+    without its ending: one read for the histories of many repositories. With ``named`` each record begins with its
+    repository as a field of its own (``--format='%x1e<name>%x1f%H...'``): very many histories then fit into few files.
     """
     record = F.split(F.col("value"), FIELD, -1)
+    if named:
+        name, record = F.nullif(record[0], F.lit("")), F.slice(record, F.lit(2), F.size(record))
     rows = spark.read.option("lineSep", RECORD).text(path)
-    by_file = F.col("repo").cast("string") if "repo" in rows.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    by_file = name if named else F.col("repo").cast("string") if "repo" in rows.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return (
         rows.where(F.contains("value", F.lit(FIELD)))
         .select(

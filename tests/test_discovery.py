@@ -191,3 +191,25 @@ def test_backwards_glob_matches_nothing(spark, files_of):
     files = files_of(("z.rs", "x"), ("m1.rs", "x"))
     assert disc.not_excluded(files, ["[z-a]*"]).count() == 2
     assert disc.not_excluded(files, ["[a-z]*"]).count() == 0
+
+
+def test_histories_of_many_repositories_in_one_file(spark, tmp_path):
+    from sparkwarden.sources import commits as log
+
+    record = lambda repo, sha: f"\x1e{repo}\x1f{sha}\x1fann\x1f2024-03-01T09:30:00+02:00\x1ffix\n\n\x1f\n1\t2\ta.py\n"
+    (tmp_path / "all.log").write_text(record("one", "s1") + record("two", "s2") + record("", "s3"))
+    read = log.read_log(spark, str(tmp_path), named=True)
+    assert sorted((r.repo or "-", r.sha, r.author, r.author_hour, r.message) for r in log.commits_of(read).collect()) == [
+        ("-", "s3", "ann", 9, "fix"), ("one", "s1", "ann", 9, "fix"), ("two", "s2", "ann", 9, "fix"),
+    ]
+    assert sorted((r.repo or "-", r.path, r.additions) for r in log.commit_files_of(read).collect()) == [("-", "a.py", 1), ("one", "a.py", 1), ("two", "a.py", 1)]
+
+
+def test_exported_histories_have_no_folder_per_repository(spark, monkeypatch, tmp_path):
+    from sparkwarden.plans import queries_discovery as q
+
+    monkeypatch.setattr(q, "shared_dir", lambda _: str(tmp_path))
+    for name in ("exported_commits", "exported_commit_files"):
+        rows = q.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001")
+        assert rows.count() and rows.where("repo IS NULL").count() == 0
+    assert not [p for p in tmp_path.rglob("*") if p.is_dir() and p.name.startswith("repo=")]
