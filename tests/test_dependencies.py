@@ -131,3 +131,33 @@ def test_undated_answers_count_without_dated_ones(spark):
     answers = spark.createDataFrame(rows, "ecosystem string, name string, version string, vuln_id string, fetched_at string")
     answers = answers.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     assert sorted(r.vuln_id for r in vul.latest_answers(answers).collect()) == ["V1", "V2"]
+
+
+def test_findings_are_worded_before_they_meet_the_packages(spark):
+    from sparkwarden.operators import vulnerabilities as v
+
+    packages = spark.createDataFrame(
+        [("r1", "Cargo.lock", "Rust", "a", "1.0.0"), ("r2", "Cargo.lock", "Rust", "a", "1.0.0"), ("r2", "Cargo.lock", "Rust", "a", "1.0.0"), (None, "Cargo.lock", "Rust", "a", "2.0.0")],
+        "repo string, lockfile_path string, ecosystem string, name string, version string",
+    )
+    advisories = spark.createDataFrame(
+        [("A1", "Rust", "a", "bad", 9.8, "u", [">=2.0.0"], None)],
+        "advisory_id string, ecosystem string, package string, title string, cvss double, url string, patched array<string>, unaffected array<string>",
+    )
+    found = v.advisory_findings(packages, advisories)
+    assert sorted((r.repo, r.rule_id, r.severity, r.message, r.location.snippet, r.metadata["patched_versions"]) for r in found.collect()) == [
+        (repo, "cve.rust.A1", "critical", "a 1.0.0: bad (fixed in: >=2.0.0)", 'a = "1.0.0"', ">=2.0.0") for repo in ("r1", "r2", "r2")
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join ") < plan.index("(fixed in: ")
+
+
+def test_rollup_adds_up_counts(spark):
+    from sparkwarden.operators.findings import severity_rollup
+
+    rows = spark.createDataFrame([("r", "v", "low")] * 3 + [("r", "w", "high"), (None, "v", "low")], "repo string, verifier_id string, severity string")
+    got = severity_rollup(rows)
+    want = rows.rollup("repo", "verifier_id", "severity").count().withColumnRenamed("count", "n")
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Expand") :]
