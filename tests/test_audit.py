@@ -191,3 +191,21 @@ def test_user_verifiers(spark, files_of):
         rows = fnd.checked_findings(files.select("repo", "path", F.lit(rule).cast("string").alias("rule_id"), F.lit(severity).alias("severity")), "x")
         with pytest.raises(Exception, match="not its own rule"):
             rows.collect()
+
+
+def test_dependency_findings_get_scores_with_their_packages(spark, files_of):
+    """Scores meet the packages, not the findings: nothing above the advisory join is shuffled any more."""
+    files = files_of(("Cargo.lock", '[[package]]\nname = "a"\nversion = "1.0.0"\n'), ("audit.rs", "// audit:ai\n"))
+    locks = files_of(("Cargo.lock", '# audit:ai\n[[package]]\nname = "a"\nversion = "1.0.0"\n'), repo="ai")
+    advisories = spark.createDataFrame(
+        [(f"A-{i}", "Rust", "a", "flaw", None, None, ["^2.0.0"], []) for i in range(3)],
+        "advisory_id string, ecosystem string, package string, title string, cvss double, url string, patched array<string>, unaffected array<string>",
+    )
+    commits = spark.createDataFrame([("r", "s"), ("ai", "s")], "repo string, sha string")
+    commits = commits.selectExpr("repo", "sha", "'d' author", "timestamp'2024-01-01 10:00:00' author_ts", "10 author_hour", "'x' message")
+    touched = commits.selectExpr("repo", "sha", "'Cargo.lock' path", "'M' status", "1 additions", "0 deletions", "true staged")
+    found = audit(Tables(files.unionByName(locks), commits, touched, advisories), AuditOptions(staged=True, verifiers=["cve"]))
+    rows = sorted((r.repo, r.rule_id, r.provenance_score) for r in found.collect())
+    assert rows == [(repo, f"cve.rust.A-{i}", score) for repo, score in (("ai", 1.0), ("r", 0.0)) for i in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
