@@ -209,3 +209,17 @@ def test_dependency_findings_get_scores_with_their_packages(spark, files_of):
     assert rows == [(repo, f"cve.rust.A-{i}", score) for repo, score in (("ai", 1.0), ("r", 0.0)) for i in range(3)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan
+
+
+def test_findings_on_hunks_are_tested_before_advisories(spark, files_of):
+    """The same findings as with the test afterwards, but only packages and secrets meet the hunks."""
+    lock = '[[package]]\nname = "a"\nversion = "1.0.0"\n'
+    files = files_of(("Cargo.lock", lock), ("a.rs", f'let k = "{AWS}";\nlet l = "{AWS}";\n')).unionByName(files_of(("Cargo.lock", lock), repo="other"))
+    osv = spark.createDataFrame([("Rust", "a", "1.0.0", f"V-{i}", 0) for i in range(3)], "ecosystem string, name string, version string, vuln_id string, fetched_at int")
+    hunks = spark.createDataFrame(
+        [("r", "Cargo.lock", 0, 2), ("r", "Cargo.lock", 1, 5), ("r", "a.rs", 2, 3), ("other", "Cargo.lock", 2, 9)], "repo string, path string, start_line int, end_line int"
+    )
+    before = keys(fnd.on_changed_lines(audit(Tables(files, osv_vulns=osv)), hunks))
+    found = audit(Tables(files, osv_vulns=osv, hunks=hunks))
+    assert keys(found) == before and [k[1] for k in before] == ["cve.rust.V-0", "cve.rust.V-1", "cve.rust.V-2", "secrets.aws-access-token"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
