@@ -11,6 +11,7 @@ from sparkwarden.operators.findings import counts_by_severity, for_languages
 from sparkwarden.plans import oracle
 from sparkwarden.plans.oracle import entropy, line_of, place, preview, tables
 from sparkwarden.plans.registry import Inputs, flat, query
+from sparkwarden.session import stored
 from sparkwarden.sources.rules import CRITICAL_MARKERS, MEDIUM_MARKERS, STARTER_RULES, SecretRule, load_rules, rule_severity
 
 OPTIONS = sec.SecretOptions(unicode=False)
@@ -153,7 +154,8 @@ def secret_findings(spark, sf_dir):
 
 @query(CODE + "," + oracle.secret_ctes("code") + f"SELECT {FLAT} FROM (SELECT DISTINCT * FROM secret_rows)")
 def deduplicated_findings(spark, sf_dir):
-    found = sec.secret_findings(code(spark, sf_dir), OPTIONS)
+    # Written once: both copies come from one scan of the text.
+    found = stored(sec.secret_findings(code(spark, sf_dir), OPTIONS))
     return flat(sec.dedupe_findings(found.unionAll(found)))
 
 

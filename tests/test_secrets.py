@@ -166,3 +166,12 @@ def test_unreadable_files_give_nothing(spark):
     files = spark.createDataFrame([("r", "a.rs", "rust", None)], "repo string, path string, language string, content string")
     assert found(files) == []
     assert sec.scan_secrets(files).collect()[0].secrets == []
+
+
+def test_doubled_findings_come_from_one_scan(spark, tmp_path):
+    from sparkwarden.plans.all_queries import QUERIES
+
+    spark.range(12, 600).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["deduplicated_findings"](spark, str(tmp_path))
+    assert "content#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == QUERIES["secret_findings"](spark, str(tmp_path)).distinct().count() > 0
