@@ -78,3 +78,35 @@ def test_changes_of_findings(spark, tmp_path):
         ("a.py", 1, "added", "B"), ("a.py", 3, "added", "C"), ("a.py", 6, "resolved", "B"), ("a.py", 7, "resolved", "C"),
         ("b.py", 5, "added", "C"), ("b.py", 8, "added", "D"), ("b.py", 8, "resolved", "C"), ("b.py", 9, "resolved", "D"),
     ]
+
+
+def test_files_of_one_bucket_keep_their_own_versions(spark, tmp_path):
+    """Many files share a state, also those without a path; it goes on in the next run."""
+    schema = "repo string, path string, language string, content string, seen_at timestamp"
+    key = "AKIA" + "QWERTYUIOPASDFG"
+
+    def run(day, letter):
+        rows = [("r", p, "python", f'k = "{key}{letter}"\n' if p != "c.py" else None, dt.datetime(2024, 1, day)) for p in ("a.py", "b.py", "c.py", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        found = inc.finding_changes(stream, SecretOptions(literals=False), buckets=1)
+        return inc.run_to_table(found, str(tmp_path / "out")).where("rule_id = 'secrets.aws-access-token'")
+
+    assert run(1, "B").count() == 3
+    got = run(2, "C").collect()
+    assert sorted((r.path or "", r.seen_at.day, r.change) for r in got) == sorted(
+        (p, *change) for p in ("", "a.py", "b.py") for change in ((1, "added"), (2, "added"), (2, "resolved"))
+    )
+
+
+def test_versions_are_made_in_the_stream(spark, tmp_path):
+    """No copy of the texts is written for each version."""
+    from pathlib import Path
+
+    from sparkwarden.plans.all_queries import QUERIES
+    from sparkwarden.session import shared_dir
+
+    spark.range(12, 100).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("versions-*"))
+    assert QUERIES["stream_finding_changes"](spark, str(tmp_path)).count() > 0
+    assert set(Path(shared_dir(spark).removeprefix("file:")).glob("versions-*")) == before
