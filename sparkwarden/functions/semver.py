@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwarden.functions.arrays import let
 
@@ -122,3 +124,19 @@ def semver_satisfies(version: Column, requirement: Column) -> Column:
         semver_key(version),
         lambda key: F.when(key.isNotNull(), key_in_ranges(key, requirement_ranges(requirement))),
     )
+
+
+def with_requirements(rows: DataFrame, version: str, requirements: Mapping[str, str]) -> DataFrame:
+    """``rows`` with a column for each of the named requirements: what ``semver_satisfies`` says of the column ``version``.
+
+    Each version is read once for all requirements, and each requirement once for all rows: their ranges are one row that
+    meets the others. A column of ``rows`` with the name of a requirement is replaced.
+    """
+    rows = rows.drop(*requirements)
+    ranges = [requirement_ranges(F.lit(text)).alias(f"_range_{i}") for i, text in enumerate(requirements.values())]
+    keyed = rows.withColumn("_key", semver_key(F.col(version))).crossJoin(rows.sparkSession.range(1).select(*ranges))
+    tests = [
+        F.when(F.col("_key").isNotNull(), key_in_ranges(F.col("_key"), F.col(f"_range_{i}"))).alias(name)
+        for i, name in enumerate(requirements)
+    ]
+    return keyed.select(*rows.columns, *tests)

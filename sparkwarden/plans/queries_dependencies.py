@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.paths import basename
-from sparkwarden.functions.semver import semver_key, semver_satisfies
+from sparkwarden.functions.semver import semver_key, with_requirements
 from sparkwarden.functions.severity import cvss_severity
 from sparkwarden.operators import licenses
 from sparkwarden.operators import lockfiles as locks
@@ -75,17 +75,11 @@ _VERSION = "concat(p_partkey % 4, '.', p_size % 7, '.', p_partkey % 9, CASE WHEN
         FROM (SELECT p_partkey, version, {oracle._key('version')} AS k FROM (SELECT p_partkey, {_VERSION} AS version FROM part))"""
 )
 def version_requirements(spark, sf_dir):
-    v = F.col("version")
     rows = Inputs(spark, sf_dir).part.selectExpr("p_partkey", f"{_VERSION} AS version")
-    return rows.select(
-        "p_partkey",
-        "version",
-        semver_satisfies(v, F.lit(">=2.3.0")).alias("at_least"),
-        semver_satisfies(v, F.lit("^1.2.0")).alias("caret"),
-        semver_satisfies(v, F.lit("^0.3.1")).alias("caret_zero"),
-        semver_satisfies(v, F.lit("~3.1.4")).alias("tilde"),
-        semver_satisfies(v, F.lit(">=1.0.0, <3.2.0")).alias("between_two"),
-    )
+    return with_requirements(
+        rows, "version",
+        {"at_least": ">=2.3.0", "caret": "^1.2.0", "caret_zero": "^0.3.1", "tilde": "~3.1.4", "between_two": ">=1.0.0, <3.2.0"},
+    )
 
 
 _OTHER = "concat(p_size % 4, '.', p_partkey % 7, '.', p_size % 9, CASE WHEN p_size % 2 = 0 THEN concat('-rc.', p_partkey % 30) ELSE '' END)"

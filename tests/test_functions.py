@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkwarden.functions import text as tx
 from sparkwarden.functions.arrays import count_at_most, running
 from sparkwarden.functions.paths import extension, glob_to_regex, ignore_pattern_regex, language_of
-from sparkwarden.functions.semver import semver_key, semver_satisfies
+from sparkwarden.functions.semver import semver_key, semver_satisfies, with_requirements
 from sparkwarden.functions.severity import cvss_severity, parse_severity, rank_of, severity_level, severity_rank
 
 
@@ -135,3 +135,16 @@ def test_version_order(spark):
 def test_requirements(spark, version, requirement, met):
     rows = spark.createDataFrame([(version, requirement)], "v string, r string")
     assert rows.select(semver_satisfies(F.col("v"), F.col("r")).alias("x")).collect()[0].x is met
+
+
+def test_requirements_of_a_table(spark):
+    wanted = {"a": ">=1.2.0, <2", "b": "^0.2.3", "c": "no requirement"}
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(["1.2.0", "0.2.9", "2.0.0-rc.1", "x", None, "1.2.0"])], "i int, v string")
+    out = with_requirements(rows, "v", wanted)
+    assert out.columns == ["i", "v", "a", "b", "c"]
+    each = rows.select("i", "v", *[semver_satisfies(F.col("v"), F.lit(r)).alias(n) for n, r in wanted.items()])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, each.collect()))
+    # A version is read once, and requirements below their own side of the join.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(v#") == 1 and plan.count("Range (") == 1
+    assert each._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(v#") > 1
