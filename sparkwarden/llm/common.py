@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.session import stored  # noqa: F401  # written tables of the operators
+from sparkwarden.session import discard, stored  # noqa: F401  # written tables of the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

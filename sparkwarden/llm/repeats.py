@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkwarden.llm.common import byte_rows, frugal, mix, stored, whole_groups
+from sparkwarden.llm.common import byte_rows, discard, frugal, mix, stored, whole_groups
 
 LENGTH = 200
 GRAM = 32
@@ -338,6 +338,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int =
     # Written first: both sides of the join are then plain shuffles, which adaptive execution splits at a common k-gram.
     many = stored(many.where("n > 1").select("gram", "mixed"))
     again = stored(found.join(many, "gram"))
+    discard(found, many)
     # One anchor of each context stands for all; a context that is there twice is covered throughout.
     each = again.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sum", "at")).alias("one"), F.first("mixed").alias("mixed")
@@ -356,6 +357,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int =
         )
     whole = each.where("n > 1").select("gram", "context", F.lit(length).cast("long").alias("before"), F.lit(length).cast("long").alias("after"))
     reach = stored(whole.unionByName(reach.join(whole.select("gram", "context"), ["gram", "context"], "left_anti")))
+    discard(each, crowded)
     spans_ = again.join(reach, ["gram", "context"]).select(
         "doc_id", "sum", F.struct(F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("s"), (F.col("at") + F.col("after")).alias("e")).alias("span")
     )

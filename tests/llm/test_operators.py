@@ -406,6 +406,24 @@ def test_long_texts_have_the_same_anchors_in_parts(monkeypatch):
     assert (at, grams, contexts) == (whole[1].tolist(), whole[2].tolist(), whole[3].tolist())
 
 
+def test_written_tables_go_when_all_their_readers_are_written(spark, monkeypatch):
+    written = []
+
+    def noted(df):
+        table = common.stored(df)
+        written.append((df.columns, {f.rsplit("/", 1)[0].removeprefix("file://") for f in table.inputFiles()}))
+        return table
+
+    monkeypatch.setattr(repeats, "stored", noted)
+    same = "".join(f"{i} " for i in range(120))
+    docs = spark.createDataFrame([(1, "x" + same), (2, same + "y"), (3, "short")], "doc_id long, text string")
+    rows = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.without_repeats(docs).collect()}
+    assert rows == {1: (len(same) + 1, len(same)), 2: (len(same) + 1, len(same)), 3: (5, 0)}
+    left = [columns for columns, folders in written if any(map(os.path.exists, folders))]
+    # Only the anchors of repeated k-grams and the spans around them are still read.
+    assert left == [["gram", "context", "doc_id", "sum", "at", "mixed"], ["gram", "context", "before", "after"]]
+
+
 def test_repeats_keep_whole_characters(spark):
     rows = [(1, "é" * 40 + "1"), (2, "ü" + "é" * 40), (3, None)]
     got = repeats.without_repeats(docs_of(spark, rows), 61, whole_characters=True, carry=("label", "sum")).collect()
