@@ -6,7 +6,6 @@ Only files whose text differs are brought together; the line diff of a pair of t
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,6 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkwarden.session import stored
 
+# Hunks are handed over from about that many on.
+BATCH = 10_000
+
 
 def split_lines(text: str | None) -> list[str]:
     """Lines without their ends. CR LF and LF end a line; a final line end opens no further line."""
@@ -65,10 +67,18 @@ def _common(a: Sequence[int], b: Sequence[int], i: int, j: int) -> Iterator[tupl
         waiting += [(mid, e, cut, f), (s, mid, t, cut)]
 
 
+def _once(lines: Sequence[int]) -> dict[int, int]:
+    """Places of lines in the order of their first places; -1 for those that are there more than once."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(lines):
+        at[x] = -1 if x in at else i
+    return at
+
+
 def _anchors(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Places of lines that are there once on both sides: the most of them that keep their order."""
-    count_a, at_b, count_b = Counter(a), {x: j for j, x in enumerate(b)}, Counter(b)
-    pairs = [(i, at_b[x]) for i, x in enumerate(a) if count_a[x] == 1 and count_b.get(x) == 1]
+    at_a, at_b = _once(a), _once(b)
+    pairs = [(i, at_b[x]) for x, i in at_a.items() if i >= 0 and at_b.get(x, -1) >= 0]
     ends: list[int] = []
     last: list[int] = []
     back = [-1] * len(pairs)
@@ -108,13 +118,16 @@ def matched_lines(old: Sequence[str], new: Sequence[str]) -> list[tuple[int, int
         if s == e or t == f:
             continue
         left, right = a[s:e], b[t:f]
+        if set(left).isdisjoint(right):
+            continue
         found = _anchors(left, right)
         if not found:
             out += _common(left, right, s, t)
             continue
         at_s, at_t = s, t
         for i, j in found:
-            waiting.append((at_s, s + i, at_t, t + j))
+            if at_s < s + i and at_t < t + j:
+                waiting.append((at_s, s + i, at_t, t + j))
             out.append((s + i, t + j))
             at_s, at_t = s + i + 1, t + j + 1
         waiting.append((at_s, e, at_t, f))
@@ -152,13 +165,20 @@ def snapshot_hunks(old: DataFrame, new: DataFrame) -> DataFrame:
     pairs = texts(new, "new_digest", "new").join(texts(old, "digest", "old"), ["repo", "path"], "left")
     fields = ["repo", "path", "start_line", "end_line", "old_start", "old_end"]
 
+    def batch(rows):
+        kinds = [pa.string(), pa.string(), *[pa.int32()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], fields)
+
     def run(batches):
         for b in batches:
+            rows: list[tuple] = []
             for repo, path, after, before in zip(*(b.column(i).to_pylist() for i in range(4))):
-                found = line_hunks(split_lines(before), split_lines(after))
-                if found:
-                    places = [pa.array(c, pa.int32()) for c in zip(*found)]
-                    yield pa.RecordBatch.from_arrays([pa.array([repo] * len(found)), pa.array([path] * len(found)), *places], fields)
+                rows += [(repo, path, *hunk) for hunk in line_hunks(split_lines(before), split_lines(after))]
+                if len(rows) >= BATCH:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
     schema = "repo string, path string, start_line int, end_line int, old_start int, old_end int"
     return pairs.select("repo", "path", "new", "old").mapInArrow(run, schema)
