@@ -433,11 +433,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, stages = TABLES[name]
     df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    # Few numbers become a whole file, or nine answers: spread them first, the given table may be one small split.
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if name == "osv_vulns":
+        df = df.select("p_partkey").repartition(spread, "p_partkey")
     for depth, stage in enumerate(stages(Spark)):
         df = df.selectExpr(*stage)
         if source == "orders" and depth == 0:
-            # Two numbers become a whole file each: spread them first, the given table may be one small split.
-            spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
             df = df.repartition(spread, "k")
     return df
 

@@ -1,7 +1,9 @@
 """Work that is left out because it cannot change a result, and the results around it."""
 
+from pyspark.sql import functions as F
 
 from sparkwarden.operators import hunks
+from sparkwarden.plans import domain
 
 
 def test_parts_without_common_lines_are_not_compared(monkeypatch):
@@ -21,3 +23,13 @@ def test_hunks_of_many_files_come_in_few_batches(spark, monkeypatch):
     rows = hunks.snapshot_hunks(spark.createDataFrame(files, schema), spark.createDataFrame(after, schema)).collect()
     want = sorted((f"f{i}", *h) for i in range(30) for h in [(4, 5, 4, 5), (8, 8, 8, 9)])
     assert sorted(tuple(r)[1:] for r in rows) == want
+
+
+def test_derived_answers_are_spread(spark, tmp_path):
+    parts = [(k, f"name {k}", k % 50, 900.0 + k) for k in range(300)]
+    df = spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_retailprice double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    answers = domain.table(spark, str(tmp_path), "osv_vulns")
+    held = answers.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in held) == 2700
+    assert len(held) > 1
