@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwarden.functions.semver import key_in_ranges, requirement_ranges, semver_key
-from sparkwarden.functions.severity import cvss_severity
+from sparkwarden.functions.severity import cvss_severity, severity_rank
 from sparkwarden.schemas import FIX
+from sparkwarden.session import stored
 
 VERIFIER = "cve"
 DESCRIPTION = "Known vulnerabilities in locked dependencies"
@@ -106,6 +107,50 @@ def findings_of(
         score.cast("double").alias("provenance_score"),
         F.col("_metadata").alias("metadata"),
         *[F.col(f"_{c}").alias(c) for c in also or {}],
+        *[c for c in ("first",) if c in hits.columns],
+    )
+
+
+def _in_order(*more: str) -> Column:
+    """Order of what is said of one package, as ``findings.order_key`` has it: most severe first."""
+    return F.struct((-severity_rank(F.col("severity"))).alias("by_severity"), *more)
+
+
+def _said(said: DataFrame, *columns: str) -> DataFrame:
+    """``said`` with these columns of its own; the others are null."""
+    kinds = {"rule_id": "string", "severity": "string", "message": "string", "snippet": "string", "metadata": "map<string,string>"}
+    return said.select(*KEYS, *[(F.col(c) if c in columns else F.lit(None).cast(kind).alias(c)) for c, kind in kinds.items()])
+
+
+def first_findings(packages: DataFrame, said: DataFrame) -> DataFrame:
+    """The first finding of each package in its repository's report, as far as the report's order reads it."""
+    least = said.groupBy(*KEYS).agg(F.min(_in_order("rule_id", "severity")).alias("_first"))
+    return findings_of(packages, _said(least.select(*KEYS, "_first.rule_id", "_first.severity"), "rule_id", "severity"))
+
+
+def described_findings(packages: DataFrame, said: DataFrame) -> DataFrame:
+    """The first finding of each package and rule, for ``findings.rule_descriptors``, with ``alone``.
+
+    Most rules are about one package, and most lockfiles hold one version of it: then no other finding of the repository has
+    the rule, and the findings need not be brought together by it. Both is known before packages meet what is said of them.
+    """
+    first = said.groupBy(*KEYS, "rule_id").agg(F.min(_in_order("message", "severity")).alias("_first"))
+    about, by_rule = F.struct("ecosystem", "name"), Window.partitionBy("rule_id")
+    one_package = F.min(about).over(by_rule) == F.max(about).over(by_rule)
+    first = stored(first.select(*KEYS, "rule_id", "_first.severity", "_first.message", one_package.alias("_one_package")))
+    held = packages.select("repo", "lockfile_path", *KEYS, *[c for c in ("provenance_score",) if c in packages.columns]).distinct()
+    versions = F.count(F.lit(1)).over(Window.partitionBy("repo", "ecosystem", "name"))
+    held = stored(held.withColumn("_one_version", versions == 1))
+
+    def made(packages: DataFrame, said: DataFrame, alone: bool) -> DataFrame:
+        rows = findings_of(packages.drop("_one_version"), _said(said, "rule_id", "severity", "message"))
+        return rows.withColumn("alone", F.lit(alone))
+
+    single, one = held.where("_one_version"), first.where("_one_package")
+    return (
+        made(single, one, True)
+        .unionByName(made(single, first.where("NOT _one_package"), False))
+        .unionByName(made(held.where("NOT _one_version"), first, False))
     )
 
 

@@ -15,7 +15,7 @@ from sparkwarden.operators.findings import for_languages
 from sparkwarden.operators.lockfiles import LOCKFILES
 from sparkwarden.operators.provenance import last_commits
 from sparkwarden.operators.secrets import LANGUAGES, SecretOptions, secret_findings
-from sparkwarden.plans.audit import VERIFIERS, AuditOptions, Tables, audit, audited
+from sparkwarden.plans.audit import COUNTED, DESCRIBED, FIRST, VERIFIERS, AuditOptions, Tables, audit, audited
 from sparkwarden.plans.oracle import CODE_CTE, IGNORED_CTE, RANK, audit_ctes, package_ctes, secret_ctes, tables
 from sparkwarden.plans.queries_discovery import DIFF_CTES, refs_of
 from sparkwarden.plans.registry import Inputs, flat, metadata_text, query
@@ -43,7 +43,7 @@ def _reported(spark, sf_dir):
 
 def _counted(spark, sf_dir):
     """The same for counts: findings are numbers of rows that are not made one by one."""
-    done = audited(tables_of(spark, sf_dir), OPTIONS, counted=True)
+    done = audited(tables_of(spark, sf_dir), OPTIONS, form=COUNTED)
     return done.findings, done.runs
 
 
@@ -138,7 +138,8 @@ _DESCRIPTORS = f"SELECT repo, rule_id, arg_min(message, (-({RANK}), path, start_
 
 @query(AUDIT + _DESCRIPTORS)
 def rule_descriptors(spark, sf_dir):
-    return fnd.rule_descriptors(_found(spark, sf_dir), VERIFIERS).select("repo", "rule_id", "full_text")
+    found = audited(tables_of(spark, sf_dir), OPTIONS, form=DESCRIBED).findings
+    return fnd.rule_descriptors(found, VERIFIERS).select("repo", "rule_id", "full_text")
 
 
 @query(AUDIT + "SELECT repo, verifier_id, severity, count(*) AS n FROM findings GROUP BY ROLLUP (repo, verifier_id, severity)")
